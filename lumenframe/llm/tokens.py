@@ -29,6 +29,8 @@ WORDS_KEPT = 400_000
 
 # Fixed value: the published pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The pattern looks at most at an apostrophe and two letters beyond the end of a piece.
+LOOKAHEAD = 3
 APART = re.compile(r"(?<=\S) (?=\S)")
 NEAR_SPACE = re.compile(r"\s | \s")
 
@@ -81,14 +83,18 @@ def _pieces():  # noqa: ANN202 - regex type
 def cuts(text: str, start: int, end: int, last: bool) -> tuple[int | None, int | None]:
     """First boundaries at or after ``start`` and at or after ``end`` of a scan from the beginning of ``text``.
 
-    The last piece is sure only where the text really ends; None where no sure boundary follows.
+    Only boundaries after other characters than white space count: a run of white space is split by what follows it.
+    Near the end of a chunk a piece is sure only where the text really ends; None where no sure boundary follows.
     """
     first = None if start else 0
     at = 0
+    sure = len(text) if last else len(text) - LOOKAHEAD
     for m in _pieces().finditer(text):
         at = m.end()
-        if at == len(text) and not last:
+        if at > sure:
             return first, None
+        if at < len(text) and text[at - 1].isspace():
+            continue
         if first is None and at >= start:
             first = at
         if at >= end:
