@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import packing, tokens, toxicity
+from lumenframe.llm import names, packing, tokens, toxicity
 from lumenframe.session import cut, table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(cut(names.link(table(spark, d, "person_names"))))
+
+
+def p3_persons(spark: SparkSession, d: str) -> DataFrame:
+    """One row per typed name with its person and the number of rows of that person."""
+    linked = cut(names.link(table(spark, d, "person_names")))
+    return linked.join(linked.groupBy("person").agg(F.count("*").alias("n_rows")), "person").select("name_id", "person", "n_rows")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
@@ -38,5 +48,5 @@ def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.source_rates(table(spark, d, "documents"), cut(_scores(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_packing, p10_found, p10_scores, p10_source_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_persons, p8_ids, p9_packing, p10_found, p10_scores, p10_source_rates)}
 ORACLE: dict[str, str] = {}
