@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import names, packing, tokens, toxicity
+from lumenframe.llm import charset_repair, names, packing, tokens, toxicity
 from lumenframe.session import cut, table
 
 
+# Value representations whose text depends on the declared character set, as far as the elements hold them.
+ENCODED_VRS = ["PN", "LO", "LT", "UT"]
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of elements, the strings of their values one per line, and of documents."""
+    elements = table(spark, d, "elements").where(F.col("vr").isin(ENCODED_VRS) & F.col("values_json").isNotNull())
+    plain = F.array_join(F.from_json("values_json", "array<string>"), "\n")
+    names = F.from_json("values_json", "array<struct<Alphabetic:string,Ideographic:string,Phonetic:string>>")
+    person = F.array_join(F.transform(names, lambda n: F.concat_ws("\n", n["Alphabetic"], n["Ideographic"], n["Phonetic"])), "\n")
+    values = elements.select(F.lit("elements").alias("origin"), F.col("element_id").alias("record_id"), F.when(F.col("vr") == "PN", person).otherwise(plain).alias("text"))
+    documents = table(spark, d, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("record_id"), "text")
+    return values.unionByName(documents)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return charset_repair.repair(_texts(spark, d)).select("origin", "record_id")
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every garbled text with its kind and, where possible, the original text."""
+    return charset_repair.repair(_texts(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return names.pairs(cut(names.link(table(spark, d, "person_names"))))
 
@@ -48,5 +72,5 @@ def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.source_rates(table(spark, d, "documents"), cut(_scores(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_persons, p8_ids, p9_packing, p10_found, p10_scores, p10_source_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_persons, p8_ids, p9_packing, p10_found, p10_scores, p10_source_rates)}
 ORACLE: dict[str, str] = {}
