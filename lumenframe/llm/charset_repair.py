@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 
 CLASSES = 2048
 PRIOR = 5.0
-IMPROBABLE = 1.0
-GAIN, FIRM_GAIN, CAPITALS = 4.0, 5.5, 3.0
+IMPROBABLE = 2.5
+# Least gains in log probability: for sequences that are well-formed UTF-8 by more than chance, and for other mappings.
+GAIN, FIRM_GAIN, CAPITALS = 0.5, 5.5, 3.0
+# Evidence beside the pairs, which garbled texts in the corpus weaken: scripts mixed in a word, signs inside one, runs of signs that become ideographs.
+MIXED, SIGN_INSIDE, IDEOGRAPH = 4.0, 3.0, 1.5
 
 # Blocks of characters that are classes each for themselves, and hashed ones with their number of classes.
 SINGLE = [(0x0000, 0x0250), (0x0370, 0x0530), (0x2000, 0x2070), (0x20A0, 0x20C0), (0x2100, 0x2150), (0x2500, 0x25A0), (0x3040, 0x3100), (0xFF61, 0xFFA0)]
@@ -54,10 +57,16 @@ CONFUSED = {
     "euc_kr": LATIN,
 }
 
+# Cyrillic letters that look like Latin ones.
+LOOKALIKES = str.maketrans("авекмнорстухіјѕАВЕКМНОРСТУХІЈЅ", "abekmhopctyxijsABEKMHOPCTYXIJS")
+
 WORDS = re.compile("[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 ESCAPED = re.compile(r"\x1b\$?[()@AB]?[@ABJI].")
 LOST = re.compile("[^\\W\\d_]�|�[^\\W\\d_]|��")
 QUOTED = re.compile(r"""^[(\[]?(?:“[^“”]*[”“]|„[^„“”]*[“”]|«[^«»]*»|‹[^‹›]*›|"[^"]*"|'[^']*'|‘[^‘’]*’|`[^`]*`)[.,;:!?)\]]*$""")
+SCRIPTS_TOUCH = re.compile("[A-Za-z\u00c0-\u024f][\u0370-\u052f]|[\u0370-\u052f][A-Za-z\u00c0-\u024f]")
+SIGN_IN_WORD = re.compile("[A-Za-z][^\\w\\s.,;:!?'’^()/@&+-][A-Za-z]")
+CONTROLS = re.compile("[\x80-\x84\x86-\x9f]")
 LATIN_WORD = re.compile(r"[A-Za-z]{2,}")
 LEVELS = 3
 
@@ -163,6 +172,23 @@ def _bytes(text: str, codec: str) -> bytes | None:
         return None
 
 
+def _again(text: str) -> str | None:
+    """What is decoded once more from UTF-8, if the text was read wrongly twice."""
+    for codec in LATIN:
+        raw = _bytes(text, codec)
+        if raw is not None and not raw.isascii():
+            try:
+                return raw.decode()
+            except UnicodeDecodeError:
+                continue
+    return None
+
+
+def mixes(word: str) -> bool:
+    """Whether Latin letters and those of Greek or Cyrillic touch in a word."""
+    return bool(SCRIPTS_TOUCH.search(word))
+
+
 @dataclass
 class Model:
     """Log probabilities of pairs and what has been decided about words so far."""
@@ -211,6 +237,8 @@ class Model:
                     new = raw.decode(right)
                 except UnicodeDecodeError:
                     continue
+                if right == "utf-8" and wrong in LATIN and (twice := _again(new)):
+                    yield twice, wrong, right
                 if new not in seen and not any("\x80" <= c <= "\x9f" or "\ue000" <= c <= "\uf8ff" for c in new):
                     seen.add(new)
                     yield new, wrong, right
@@ -226,6 +254,11 @@ class Model:
             before = self.likelihood(word)
             letters = sum(c.isalpha() for c in word)
             control = any("\x80" <= c <= "\x9f" for c in word)
+            mixed = MIXED * mixes(word)
+            if mixed:
+                # Letters of another script that look like Latin ones are a disguise, not a wrong encoding.
+                before = max(before, self.likelihood(word.translate(LOOKALIKES)))
+            inside = SIGN_INSIDE * bool(SIGN_IN_WORD.search(word))
             for a, b in {(low, high), (0, len(word))}:
                 part = word[a:b]
                 if part.isascii():
@@ -237,7 +270,11 @@ class Model:
                         if letters < 2 or sum(c.isalpha() for c in whole) < letters:
                             continue
                     more = self.likelihood(whole) - before
-                    if more > gain and more >= (GAIN if right == "utf-8" or control else FIRM_GAIN):
+                    more += mixed * (not mixes(whole)) + inside * (not SIGN_IN_WORD.search(whole)) + IDEOGRAPH * sum(c > "\u3000" for c in new) * (wrong in LATIN)
+                    least = GAIN if right == "utf-8" or control else FIRM_GAIN
+                    if word.isupper() and right in CYRILLIC and wrong in CYRILLIC:
+                        least *= 2  # words in capitals look like another Cyrillic encoding
+                    if more > gain and more >= least:
                         best, gain = (whole, f"{wrong} for {right}"), more
         if len(word) <= 80:
             if len(self.known) > 300_000:
@@ -265,6 +302,8 @@ class Model:
             kind = kind or max(kinds, key=lambda k: (kinds[k], k))
         if kind:
             return restored, kind
+        if CONTROLS.search(text):
+            return text, "controls"
         return (text, "lost") if "�" in text and lost(text) else None
 
     def _line(self, line: str, kinds: dict[str, int]) -> str:
@@ -291,7 +330,7 @@ def lost(text: str) -> bool:
         return True
     lines = [line for line in text.split("\n") if "�" in line]
     single = len(lines) == 1 and lines[0].count("�") == 1
-    return not (single and len(lines[0].split()) >= 5)
+    return not (single and len(lines[0].split()) >= 5 and lines[0].rstrip()[-1:] in ".!?")
 
 
 def judged(texts: DataFrame, model: Model) -> DataFrame:
