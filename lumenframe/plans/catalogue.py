@@ -1,4 +1,8 @@
-"""Queries of the toolkit's operators over the driver tables, with their SQL."""
+"""Queries of the toolkit's operators over the driver tables, with their SQL.
+
+Embeddings (64 floats) stand for 8×8 images and for waveforms of 8 channels, line items for stored values and tags,
+customers for patients, orders for studies; elements, files and modules are themselves.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenframe.functions import imaging as I
+from lumenframe.functions import scalars as S
+from lumenframe.operators import elements as E
+from lumenframe.operators import listing as L
 from lumenframe.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
+GREY = "cast(floor((e.x + 1) * 100) as int)"
+PIXELS = "(select vec_id, list_transform(embedding, lambda e: cast(floor((e::double + 1) * 100) as int)) as px from embeddings)"
+PATH = "array_to_string(list_concat(list_transform(path, lambda p: p.tag || '/[' || p.item || ']'), [tag]), '/')"
+
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query and its SQL under the function's name."""
@@ -27,6 +39,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Images of 8×8 grey levels."""
+    return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda e: F.floor((e.cast("double") + 1) * 100).cast("int")).alias("px"))
+
+
+# -- listing ------------------------------------------------------------------------------------------------
+
+
 @query("""
 select source as class, count(*) as n_files, sum(n_chars)::bigint as n_bytes,
        round(count(*) * 100.0 / sum(count(*)) over (), 6)::double as share
@@ -37,3 +57,550 @@ def list_summary_group(spark: SparkSession, d: str) -> DataFrame:
     found = table(spark, d, "documents").where("n_chars > 0 and source is not null").groupBy(F.col("source").alias("class"))
     counted = found.agg(F.count("*").alias("n_files"), F.sum("n_chars").alias("n_bytes"))
     return counted.withColumn("share", F.round(F.col("n_files") * 100.0 / F.sum("n_files").over(Window.partitionBy()), 6))
+
+
+@query("""
+select coalesce(transfer_syntax_uid, '1.2.840.10008.1.2') as class, count(*) as n_files, sum(coalesce(file_length, 0))::bigint as n_bytes,
+       round(count(*) * 100.0 / sum(count(*)) over (), 6)::double as file_share,
+       round(sum(coalesce(file_length, 0)) * 100.0 / sum(sum(coalesce(file_length, 0))) over (), 6)::double as byte_share
+from files group by 1
+""")
+def list_summary_syntax(spark: SparkSession, d: str) -> DataFrame:
+    """Summary by transfer syntax; a missing one means implicit VR little endian."""
+    return L.summary(table(spark, d, "files"), F.coalesce("transfer_syntax_uid", F.lit("1.2.840.10008.1.2")), F.col("file_length"))
+
+
+@query("""
+select count(*) as n_files, coalesce(sum(file_length), 0)::bigint as n_bytes, coalesce(sum(file_length) // count(*), 0)::bigint as mean_bytes,
+       arg_max(path, (file_length, path)) as largest_path, max(file_length) as largest_bytes, count(distinct study_uid) as n_studies
+from files
+""")
+def list_totals(spark: SparkSession, d: str) -> DataFrame:
+    return L.totals(table(spark, d, "files"), "file_length", "study_uid", "path")
+
+
+@query("""
+select path, file_length from files where lower(path) like '%.dcm' and lower(regexp_extract(path, '\\.([^./\\\\]*)$', 1)) = 'dcm'
+  and not regexp_full_match(lower(path), '/arch[12]/2022-.*')
+""")
+def list_select(spark: SparkSession, d: str) -> DataFrame:
+    """Files by extension without the ignored globs."""
+    return L.list_files(table(spark, d, "files"), "dcm", ["/arch[12]/2022-**"]).select("path", "file_length")
+
+
+@query("""
+select modality, transfer_syntax_uid, grouping(modality, transfer_syntax_uid)::bigint as level, count(*) as n_files, sum(file_length)::bigint as n_bytes
+from files group by cube (modality, transfer_syntax_uid)
+""")
+def list_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Summary at every level of modality and transfer syntax."""
+    cube = table(spark, d, "files").cube("modality", "transfer_syntax_uid")
+    return cube.agg(F.grouping_id().alias("level"), F.count("*").alias("n_files"), F.sum("file_length").alias("n_bytes"))
+
+
+@query("""
+with r as (
+  select distinct 0 as depth, 'PATIENT' as level, o_custkey::varchar as key, '' as parent_key from orders
+  union all select distinct 1, 'STUDY', o_custkey::varchar || '/' || o_orderkey, o_custkey::varchar from orders
+), n as (select *, lead(key) over (partition by depth, parent_key order by key) as next_key from r)
+select level, key, nullif(parent_key, '') as parent_key, next_key,
+       (select min(c.key) from r c where c.parent_key = n.key and c.depth = n.depth + 1) as child_key
+from n
+""")
+def dicomdir_index(spark: SparkSession, d: str) -> DataFrame:
+    """Directory records of patients and studies with their links."""
+    return L.hierarchy_records(table(spark, d, "orders"), [("PATIENT", "o_custkey"), ("STUDY", "o_orderkey")])
+
+
+@query("""
+with n as (
+  select l_orderkey, l_linenumber, l_partkey, o_custkey, l_suppkey, row_number() over (partition by o_custkey, l_orderkey, l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 as im
+  from lineitem join orders on o_orderkey = l_orderkey
+), p as (select o_custkey, row_number() over (order by min((l_orderkey, l_linenumber, l_partkey, l_extendedprice))) - 1 as pa from lineitem join orders on o_orderkey = l_orderkey group by 1)
+, s as (select o_custkey, l_orderkey, row_number() over (partition by o_custkey order by min((l_orderkey, l_linenumber, l_partkey, l_extendedprice))) - 1 as st from lineitem join orders on o_orderkey = l_orderkey group by 1, 2)
+, e as (select o_custkey, l_orderkey, l_suppkey, row_number() over (partition by o_custkey, l_orderkey order by min((l_orderkey, l_linenumber, l_partkey, l_extendedprice))) - 1 as se from lineitem join orders on o_orderkey = l_orderkey group by 1, 2, 3)
+select l_orderkey, l_linenumber, l_partkey, 'PA' || lpad(pa::varchar, 6, '0') || '/ST' || lpad(st::varchar, 6, '0') || '/SE' || lpad(se::varchar, 6, '0') || '/IM' || lpad(im::varchar, 6, '0') as name
+from n join p using (o_custkey) join s using (o_custkey, l_orderkey) join e using (o_custkey, l_orderkey, l_suppkey)
+""")
+def archive_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of exported files, numbered by first appearance."""
+    joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    named = L.archive_names(joined, "o_custkey", "l_orderkey", "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
+    return named.select("l_orderkey", "l_linenumber", "l_partkey", "name")
+
+
+@query("""
+with f as (select l_orderkey, l_partkey, l_extendedprice, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) - 1 as i, count(*) over (partition by l_orderkey) as n from lineitem)
+select l_orderkey, i as frame_index, n as n_frames from f where i = 0 or i = n - 1 or (i >= 2 and i <= n - 3)
+""")
+def frame_select(spark: SparkSession, d: str) -> DataFrame:
+    """First and last frame, and those from the third to the third last."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    frames = table(spark, d, "lineitem").select("l_orderkey", (F.row_number().over(order) - 1).cast("bigint").alias("frame_index"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("n_frames"))
+    return L.selected_frames(frames, "0,-1,2..-3")
+
+
+# -- scalars ------------------------------------------------------------------------------------------------
+
+
+@query("""
+with t as (select element_id, values_json->>'$[0]' as v from elements where vr = 'DA')
+select element_id, case when regexp_full_match(v, '[0-9]{8}') then v[1:4] || '-' || v[5:6] || '-' || v[7:8] end as iso,
+       case when regexp_full_match(v, '[0-9]{8}') then v[1:4]::int end as year,
+       case when regexp_full_match(v, '[0-9]{8}') then try_cast(v[1:4] || '-' || v[5:6] || '-' || v[7:8] as date) is not null else false end as on_calendar
+from t
+""")
+def vr_da(spark: SparkSession, d: str) -> DataFrame:
+    v = F.get_json_object("values_json", "$[0]")
+    rows = table(spark, d, "elements").where("vr = 'DA'")
+    return rows.select("element_id", S.date_iso(v).alias("iso"), S.date_parts(v)["year"].alias("year"), S.date_value(v).isNotNull().alias("on_calendar"))
+
+
+@query("""
+with t as (select element_id, rtrim(values_json->>'$[0]', ' ') as v from elements where vr = 'TM')
+, p as (select element_id, v, regexp_full_match(v, '[0-9]{2}([0-9]{2}([0-9]{2}(\\.[0-9]{1,6})?)?)?') as ok from t)
+select element_id, case when ok and v[1:2]::int <= 23 and coalesce(try_cast(nullif(v[3:4], '') as int) <= 59, true) then v[1:2]::int end as hour,
+       case when ok then v[1:2] || case when len(v) >= 4 then ':' || v[3:4] else '' end ||
+         case when len(v) >= 6 then ':' || case when v like '%.%' then regexp_replace(v[5:], '\\.?0*$', '') else v[5:] end else '' end end as iso
+from p
+""")
+def vr_tm(spark: SparkSession, d: str) -> DataFrame:
+    v = F.get_json_object("values_json", "$[0]")
+    return table(spark, d, "elements").where("vr = 'TM'").select("element_id", S.time_parts(v)["hour"].alias("hour"), S.time_iso(v).alias("iso"))
+
+
+@query("""
+with t as (select element_id, rtrim(values_json->>'$[0]', ' ') as v from elements where vr = 'DT')
+, p as (select element_id, v, regexp_extract(v, '[+-][0-9]{4}$') as z, regexp_replace(v, '[+-][0-9]{4}$', '') as b,
+   regexp_full_match(v, '[0-9]{4}([0-9]{2}([0-9]{2}([0-9]{2}([0-9]{2}([0-9]{2}(\\.[0-9]{1,6})?)?)?)?)?)?([+-][0-9]{4})?') as ok from t)
+select element_id, case when ok then b[1:4]::int end as year, case when ok then try_cast(nullif(b[9:10], '') as int) end as hour,
+  case when ok and z != '' then (case when z[1] = '-' then -1 else 1 end) * (z[2:3]::int * 60 + z[4:5]::int) end as offset_minutes
+from p
+""")
+def vr_dt(spark: SparkSession, d: str) -> DataFrame:
+    parts = S.datetime_parts(F.get_json_object("values_json", "$[0]"))
+    return table(spark, d, "elements").where("vr = 'DT'").select("element_id", parts["year"].alias("year"), parts["hour"].alias("hour"), parts["offset_minutes"].alias("offset_minutes"))
+
+
+@query("""
+with t as (select element_id, rtrim(values_json->>'$[0]', ' ') as v from elements where vr = 'AS')
+select element_id, case when regexp_full_match(v, '[0-9]{3}[DWMY]') then v[1:3]::int::varchar || ' ' ||
+  case v[4] when 'D' then 'day' when 'W' then 'week' when 'M' then 'month' else 'year' end || case when v[1:3]::int = 1 then '' else 's' end end as words
+from t
+""")
+def vr_as(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "elements").where("vr = 'AS'").select("element_id", S.age_words(F.get_json_object("values_json", "$[0]")).alias("words"))
+
+
+@query("""
+with t as (select element_id, string_split(rtrim(values_json->>'$[0].Alphabetic'), '^') as c from elements where vr = 'PN')
+select element_id, case when len(c) <= 5 then rtrim(coalesce(c[1], '')) end as last_name, case when len(c) <= 5 then rtrim(coalesce(c[2], '')) end as first_name,
+  case when len(c) <= 5 then rtrim(coalesce(c[3], '')) end as middle_name from t
+""")
+def vr_pn(spark: SparkSession, d: str) -> DataFrame:
+    name = S.name_components(F.rtrim(F.get_json_object("values_json", "$[0].Alphabetic")))
+    return table(spark, d, "elements").where("vr = 'PN'").select("element_id", *[name[c].alias(c) for c in ("last_name", "first_name", "middle_name")])
+
+
+@query("""
+select l_orderkey, l_linenumber, l_partkey, [l_quantity::int, l_linenumber] as ints, [round(l_discount, 2), round(l_tax, 2)] as decs from lineitem
+""")
+def vr_is_ds(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers written as multi-valued strings and read back."""
+    text = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat_ws("\\", F.col("l_quantity").cast("int"), F.lit(""), F.format_string("+%d ", "l_linenumber")).alias("i"), F.concat_ws("\\", F.format_string("%.2f", "l_discount"), F.format_string(" %.2e", F.round("l_tax", 2))).alias("f"))
+    return text.select("l_orderkey", "l_linenumber", "l_partkey", S.integers(F.col("i")).alias("ints"), S.decimals(F.col("f")).alias("decs"))
+
+
+@query(r"""
+select element_id, len(values_json->>'$[0]') between 1 and 64 and regexp_full_match(values_json->>'$[0]', '(0|[1-9][0-9]*)(\.(0|[1-9][0-9]*))*') as ok from elements where vr = 'UI'
+""")
+def uid_valid(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "elements").where("vr = 'UI'").select("element_id", S.is_uid(F.get_json_object("values_json", "$[0]")).alias("ok"))
+
+
+@query()
+def uid_generated(spark: SparkSession, d: str) -> DataFrame:
+    """A valid UID per study, the same whenever it is made."""
+    return table(spark, d, "files").select("study_uid").distinct().select("study_uid", S.uid_from(F.col("study_uid")).alias("uid")).withColumn("ok", S.is_uid(F.col("uid")))
+
+
+@query("""
+with t as (select element_id, tag, ('0x' || tag)::bigint as n from elements)
+select element_id, n as number, n >> 16 as group_number, n & 65535 as element_number, (n >> 16) & 1 = 1 as private, '(' || tag[1:4] || ',' || tag[5:8] || ')' as shown from t
+""")
+def tag_arith(spark: SparkSession, d: str) -> DataFrame:
+    n = S.tag_int(F.col("tag"))
+    return table(spark, d, "elements").select("element_id", n.alias("number"), S.tag_group(n).alias("group_number"), S.tag_element(n).alias("element_number"), S.is_private(n).alias("private"), S.tag_text(n).alias("shown"))
+
+
+@query(f"select element_id, {PATH} as path_text from elements")
+def path_string(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "elements").select("element_id", S.path_text(F.col("path"), F.col("tag")).alias("path_text"))
+
+
+@query("select element_id, len(path)::int as steps, path[-1].tag as last_tag, path[-1].item as last_item from elements where len(path) > 0")
+def path_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Paths written and read back."""
+    nested = table(spark, d, "elements").where(F.size("path") > 0)
+    steps = nested.select("element_id", S.path_steps(S.path_text(F.col("path"), F.col("tag"))).alias("s"))
+    return steps.select("element_id", F.size("s").alias("steps"), F.element_at("s", -1)["tag"].alias("last_tag"), F.element_at("s", -1)["item"].alias("last_item"))
+
+
+@query("""
+with t as (select element_id, coalesce(json_array_length(values_json), 0)::int as n from elements where vr != 'OW')
+select element_id, n, n between 1 and 2 as fits from t
+""")
+def vm_check(spark: SparkSession, d: str) -> DataFrame:
+    n = F.coalesce(F.json_array_length("values_json"), F.lit(0))
+    return table(spark, d, "elements").where("vr != 'OW'").select("element_id", n.alias("n"), S.multiplicity_fits(n, 1, 2).alias("fits"))
+
+
+@query("""
+select doc_id, regexp_replace(array_to_string(list_transform(string_split(text, ''), lambda c: case when ord(c) < 128 then c else repeat('?', strlen(c)) end), ''), '', '') as plain from documents
+""")
+def ascii_sanitize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", S.ascii_only(F.col("text")).alias("plain"))
+
+
+@query("select element_id, to_base64(inline_binary) as inline from elements where inline_binary is not null")
+def base64_inline(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "elements").where("inline_binary is not null").select("element_id", S.inline_binary(F.col("inline_binary")).alias("inline"))
+
+
+@query("""
+with t as (select element_id, upper(hex(inline_binary)) as h from elements where inline_binary is not null)
+select element_id, '[' || rtrim(regexp_replace(h[1:32], '(..)', '\\1 ', 'g')) || case when len(h) > 32 then ' …' else '' end || ']' as preview from t
+""")
+def byte_preview(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "elements").where("inline_binary is not null").select("element_id", S.byte_preview(F.col("inline_binary")).alias("preview"))
+
+
+@query("""
+select element_id, upper(regexp_replace(hex(inline_binary), '(..)(..)', '\\2\\1', 'g')) as swapped from elements where inline_binary is not null
+""")
+def swap_endian(spark: SparkSession, d: str) -> DataFrame:
+    """Words of two bytes exchanged."""
+    return table(spark, d, "elements").where("inline_binary is not null").select("element_id", F.hex(S.bits_swapped(F.col("inline_binary"), 2)).alias("swapped"))
+
+
+@query("select event_id, (props->>'$.k')::bigint as k from events")
+def json_get(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("""
+select c_custkey, rpad('(0010,0010) PN ' || c_name, 50, ' ') || '[' || lpad(len(c_name)::varchar, 6, ' ') || ' bytes] ' || coalesce(c_mktsegment, '') as line from customer
+""")
+def print_line(spark: SparkSession, d: str) -> DataFrame:
+    """A printed element: name padded to a column, length, value."""
+    line = F.concat(F.rpad(F.concat(S.tag_text(F.lit(0x00100010)), F.lit(" PN "), F.col("c_name")), 50, " "), F.lit("["), F.lpad(F.length("c_name").cast("string"), 6, " "), F.lit(" bytes] "), F.coalesce("c_mktsegment", F.lit("")))
+    return table(spark, d, "customer").select("c_custkey", line.alias("line"))
+
+
+@query("select element_id, case when strlen(v) % 2 = 1 then v || ' ' else v end as padded from (select element_id, values_json->>'$[0]' as v from elements where vr = 'LO')")
+def pad_even(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "elements").where("vr = 'LO'").select("element_id", S.pad_even(F.get_json_object("values_json", "$[0]"), "LO").alias("padded"))
+
+
+# -- elements -----------------------------------------------------------------------------------------------
+
+
+@query("""
+select coalesce(s_nationkey, c_nationkey) as nation, case when s.n is not null then s.n else c.n end as n, case when s.n is not null then s.least else c.least end as least
+from (select c_nationkey, count(*) as n, min(c_name) as least from customer group by 1) c
+full outer join (select s_nationkey, count(*) as n, min(s_name) as least from supplier group by 1) s on c_nationkey = s_nationkey
+""")
+def merge_right_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Two data sets merged by key; the second wins."""
+    left = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"), F.min("c_name").alias("least"))
+    right = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n"), F.min("s_name").alias("least"))
+    return E.merge(left, right, ["nation"])
+
+
+@query("""
+with n as (select distinct file, '00081030' as tag, 'LO' as vr, '["replaced"]' as values_json from elements)
+select file, tag, vr, values_json, count(*) as n from (
+  select file, tag, vr, values_json from elements where coalesce(path[1].tag, tag) not in ('00081030')
+  union all select file, tag, vr, values_json from n) group by all
+""")
+def insert_elements(spark: SparkSession, d: str) -> DataFrame:
+    """A root element replaced in every file."""
+    new = spark.createDataFrame([("00081030", "LO", '["replaced"]')], "tag string, vr string, values_json string")
+    out = E.insert(table(spark, d, "elements").select("file", "path", "tag", "vr", "values_json"), new)
+    return out.groupBy("file", "tag", "vr", "values_json").agg(F.count("*").alias("n"))
+
+
+_KEEP = """not exists (select 1 from rejected r where r.file = e.file and starts_with(e.p, r.p || '/['))"""
+_IDENTIFYING = ", ".join(f"'{t}'" for t in E.IDENTIFYING)
+
+
+@query(f"""
+with e as (select element_id, file, tag, coalesce(vr, 'UN') as vr, {PATH} as p, ('0x' || tag)::bigint >> 16 as g from elements)
+, rejected as (select distinct file, p from e where vr = 'SQ' and (g & 1 = 1 or g = 16 or tag in ({_IDENTIFYING})))
+select element_id, tag, count(*) as n from e where not (vr = 'AE' or g & 1 = 1 or g = 16 or tag in ({_IDENTIFYING})) and {_KEEP} group by all
+""")
+def anonymize_elements(spark: SparkSession, d: str) -> DataFrame:
+    return E.anonymize(table(spark, d, "elements")).groupBy("element_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+with e as (select element_id, file, tag, vr, {PATH} as p from elements), rejected as (select distinct file, p from e where vr = 'SQ' and tag = '00400275')
+select element_id, tag, count(*) as n from e where tag != '00400275' and {_KEEP} and not starts_with(p, '00400275/') group by all
+""")
+def filter_subtree(spark: SparkSession, d: str) -> DataFrame:
+    """Without a sequence and all that lies in it, whether the sequence has a row of its own or not."""
+    rows = table(spark, d, "elements")
+    return E.delete_tags(rows.where(~F.coalesce(F.get("path", F.lit(0))["tag"] == "00400275", F.lit(False))), ["00400275"]).groupBy("element_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query("select element_id, tag from elements where (('0x' || tag)::bigint >> 16) & 1 = 0")
+def delete_private(spark: SparkSession, d: str) -> DataFrame:
+    return E.delete_private(table(spark, d, "elements")).select("element_id", "tag")
+
+
+@query("""
+with e as (select element_id, file, path, ('0x' || tag)::bigint as n, values_json from elements)
+, c as (select file, path, n, min(values_json->>'$[0]') as creator from e where (n >> 16) & 1 = 1 and n & 65535 between 16 and 255 group by all)
+select e.element_id, c.creator as private_creator from e left join c on c.file = e.file and c.path = e.path and c.n = ((e.n >> 16) << 16) | ((e.n & 65535) >> 8)
+where (e.n >> 16) & 1 = 1 and (e.n & 65535) >> 8 between 16 and 255
+""")
+def private_block(spark: SparkSession, d: str) -> DataFrame:
+    return E.private_blocks(table(spark, d, "elements")).select("element_id", "private_creator")
+
+
+@query("""
+select file, min(values_json) filter (tag = '00100010') as patient, min(values_json) filter (tag = '00080060') as modality, min(values_json) filter (tag = '00080020') as study_date
+from elements where len(path) = 0 and tag in ('00100010', '00080060', '00080020') group by file
+""")
+def iod_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """A module as one row per file."""
+    return E.pivot(table(spark, d, "elements"), {"patient": "00100010", "modality": "00080060", "study_date": "00080020"})
+
+
+@query("""
+with p as (select file, min(values_json) filter (tag = '0020000D') as study, min(values_json) filter (tag = '00101010') as age from elements where len(path) = 0 group by file)
+select f.path, study, age, list_filter(['0020000D'], lambda t: study is null) as missing from files f left join p using (file)
+""")
+def select_required(spark: SparkSession, d: str) -> DataFrame:
+    """Selected elements per file, with those that are required and missing."""
+    found = E.select(table(spark, d, "files").select("file", "path"), table(spark, d, "elements"), {"study": "0020000D"}, {"age": "00101010"})
+    return found.select("path", "study", "age", "missing")
+
+
+@query("""
+with d as (select tag, min(vr) as vr from (select tag, vr from elements where tag in ('00100010', '00080020', '00280100') and vr is not null) group by 1)
+select element_id, coalesce(case when e.element_id % 2 = 0 then e.vr end, case when (('0x' || e.tag)::bigint >> 16) & 1 = 1 and ('0x' || e.tag)::bigint & 65535 between 16 and 255 then 'LO' when ('0x' || e.tag)::bigint & 65535 = 0 then 'UL' else coalesce(d.vr, 'UN') end) as vr
+from elements e left join d on d.tag = e.tag
+""")
+def vr_infer(spark: SparkSession, d: str) -> DataFrame:
+    """Value representations of every other element taken from a dictionary."""
+    rows = table(spark, d, "elements")
+    words = rows.where(F.col("tag").isin("00100010", "00080020", "00280100") & F.col("vr").isNotNull()).groupBy("tag").agg(F.min("vr").alias("vr")).withColumn("name", F.lit(""))
+    return E.infer_vr(rows.withColumn("vr", F.when(F.col("element_id") % 2 == 0, F.col("vr"))), words).select("element_id", "vr")
+
+
+@query(f"select element_id, file, values_json from elements where {PATH} = '00400275/[0]/00400007'")
+def value_at_path(spark: SparkSession, d: str) -> DataFrame:
+    return E.value_at(table(spark, d, "elements"), "00400275/[0]/00400007").select("element_id", "file", "values_json")
+
+
+@query("""
+select file, count(*) as n_elements, sum(coalesce(octet_length(inline_binary), strlen(values_json), 0) + 8)::bigint as n_bytes from elements group by file
+""")
+def byte_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return E.byte_sizes(table(spark, d, "elements"))
+
+
+# -- frames and pixels --------------------------------------------------------------------------------------
+
+
+@query("""
+with o as (select user_id, ts as start_ts, lead(ts) over (partition by user_id order by ts, event_id) as end_ts, event_id as frame from events where event_type = 'signup')
+select o.frame, count(*) as fragments from o join events e on e.user_id = o.user_id and e.ts >= o.start_ts and (o.end_ts is null or e.ts < o.end_ts) group by 1
+""")
+def frames_offset_table(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments belong to the greatest offset not after their own position: an as-of join without a range join.
+
+    Offsets and fragments are sorted together per data set, and the last offset seen is carried on.
+    """
+    events = table(spark, d, "events")
+    is_offset = F.col("event_type") == "signup"
+    order = Window.partitionBy("user_id").orderBy("ts", F.when(is_offset, 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    tagged = events.withColumn("frame", F.last(F.when(is_offset, F.col("event_id")), ignorenulls=True).over(order))
+    return tagged.where("frame is not null").groupBy("frame").agg(F.count("*").alias("fragments"))
+
+
+@query("""
+select doc_id, i::int as frame_index, substr(text, (i * 64 + 1)::bigint, 64) as frame from (select doc_id, text, unnest(range(0, n_chars // 64)) as i from documents where n_chars >= 64)
+""")
+def frames_native_split(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of a fixed size; an incomplete last one is clipped."""
+    rows = table(spark, d, "documents").where("n_chars >= 64")
+    each = rows.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor(F.col("n_chars") / 64).cast("int") - 1)).alias("frame_index"))
+    return each.select("doc_id", "frame_index", F.substring("text", F.col("frame_index") * 64 + 1, F.lit(64)).alias("frame"))
+
+
+@query("""
+with e as (select user_id, event_type, ts, event_id, row_number() over (partition by user_id order by ts, event_id) - row_number() over (partition by user_id, event_type order by ts, event_id) as island from events)
+select user_id, event_type, min(event_id) as first_event, count(*) as run from e group by user_id, event_type, island
+""")
+def rle_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of equal values, as run-length coding sees them."""
+    all_, same = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    rows = table(spark, d, "events").withColumn("island", F.row_number().over(all_) - F.row_number().over(same))
+    return rows.groupBy("user_id", "event_type", "island").agg(F.min("event_id").alias("first_event"), F.count("*").alias("run")).drop("island")
+
+
+@query("""
+select least(255, greatest(0, floor(greatest(0, least(1, (l_quantity * 2 - 10 - (40 - 0.5)) / (60 - 1) + 0.5)) * 255 + 0.5)))::int as level, count(*) as n from lineitem group by 1
+""")
+def voi_linear_hist(spark: SparkSession, d: str) -> DataFrame:
+    """Rescaled, windowed and counted grey levels."""
+    level = I.to_byte(I.voi_linear(I.rescale(F.col("l_quantity"), 2.0, -10.0), 40.0, 60.0))
+    return table(spark, d, "lineitem").groupBy(level.alias("level")).agg(F.count("*").alias("n"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, round(greatest(0, least(1, (l_quantity - 25) / 30 + 0.5)), 6) as level from lineitem")
+def voi_linear_exact(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(I.voi_linear_exact(F.col("l_quantity"), 25.0, 30.0), 6).alias("level"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, round(1 / (1 + exp(-4 * (l_quantity - 25) / 30)), 6) as level from lineitem")
+def voi_sigmoid(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(I.voi_sigmoid(F.col("l_quantity"), 25.0, 30.0), 6).alias("level"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, round(l_quantity * 1.5 - 1024, 6) as rescaled from lineitem")
+def modality_rescale(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(I.rescale(F.col("l_quantity"), 1.5, -1024.0), 6).alias("rescaled"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, ([0, 10, 30, 60, 100, 150, 210, 255])[least(greatest(l_quantity::int - 10, 0), 7) + 1]::int as level from lineitem")
+def lut_clamped(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", I.lut(F.col("l_quantity").cast("int"), 10, [0, 10, 30, 60, 100, 150, 210, 255]).alias("level"))
+
+
+@query("""
+select p_partkey, ([0, 128, 255, 64])[least(p_size % 8, 3) + 1]::int as r, ([10, 20, 30, 40])[least(p_size % 8, 3) + 1]::int as g, ([255, 0, 255, 0])[least(p_size % 8, 3) + 1]::int as b from part
+""")
+def palette_rgb(spark: SparkSession, d: str) -> DataFrame:
+    colour = I.palette(F.col("p_size") % 8, [0, 128, 255, 64], [10, 20, 30, 40], [255, 0, 255, 0])
+    return table(spark, d, "part").select("p_partkey", colour.alias("c")).select("p_partkey", "c.*")
+
+
+_RGB = "(select p_partkey, (p_size * 5 % 256)::double as r, (p_partkey % 256)::double as g, (floor(p_retailprice) % 256)::double as b from part)"
+
+
+@query(f"""
+select p_partkey, least(255, greatest(0, floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5)))::int as y, least(255, greatest(0, floor(-0.168736 * r - 0.331264 * g + 0.5 * b + 128 + 0.5)))::int as cb,
+  least(255, greatest(0, floor(0.5 * r - 0.418688 * g - 0.081312 * b + 128 + 0.5)))::int as cr from {_RGB}
+""")
+def rgb_to_ybr(spark: SparkSession, d: str) -> DataFrame:
+    r, g, b = (F.col("p_size") * 5 % 256).cast("double"), (F.col("p_partkey") % 256).cast("double"), (F.floor("p_retailprice") % 256).cast("double")
+    return table(spark, d, "part").select("p_partkey", I.rgb_to_ybr(r, g, b).alias("c")).select("p_partkey", "c.*")
+
+
+@query(f"select vec_id, list_transform(range(0, 32), lambda i: floor((px[2 * i + 1] + px[2 * i + 2]) / 2.0 + 0.5)::int) as chroma from {PIXELS}")
+def ybr_422(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels(spark, d).select("vec_id", I.halve_chroma(F.col("px")).alias("chroma"))
+
+
+@query(f"select vec_id, list_min(px) as least, list_max(px) as most, (list_min(px) + list_max(px)) / 2.0::double as center, (list_max(px) - list_min(px)) as width from {PIXELS}")
+def minmax_window(spark: SparkSession, d: str) -> DataFrame:
+    """Extremes of an image and the window that covers them."""
+    least, most = F.array_min("px"), F.array_max("px")
+    return _pixels(spark, d).select("vec_id", least.alias("least"), most.alias("most"), I.default_window(least, most).alias("w")).select("vec_id", "least", "most", "w.*")
+
+
+@query("select vec_id, round(avg(e), 6) as mean, round(stddev_pop(e), 6) as sd from (select vec_id, unnest(embedding)::double as e from embeddings) group by 1")
+def image_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and spread per image, within the row."""
+    x = F.transform("embedding", lambda e: e.cast("double"))
+    mean = F.aggregate(x, F.lit(0.0), lambda s, e: s + e) / F.size("embedding")
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding", mean.alias("m"))
+    spread = F.sqrt(F.aggregate(F.transform("embedding", lambda e: F.pow(e.cast("double") - F.col("m"), 2)), F.lit(0.0), lambda s, e: s + e) / F.size("embedding"))
+    return rows.select("vec_id", F.round("m", 6).alias("mean"), F.round(spread, 6).alias("sd"))
+
+
+@query(f"select vec_id, list_concat(px[11:14], px[19:22], px[27:30]) as px from {PIXELS}")
+def crop_rect(spark: SparkSession, d: str) -> DataFrame:
+    """Four columns from the third, three rows from the second."""
+    return _pixels(spark, d).select("vec_id", I.crop(F.col("px"), 8, 2, 1, 4, 3).alias("px"))
+
+
+@query(f"select vec_id, list_transform(px, lambda p: 255 - p) as px from {PIXELS}")
+def mono_invert(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels(spark, d).select("vec_id", F.transform("px", lambda p: I.invert(p, 255)).alias("px"))
+
+
+@query(f"""
+select vec_id, list_transform(range(0, 64), lambda i: px[(i // 8) * 8 + (7 - i % 8) + 1]) as flipped, list_transform(range(0, 64), lambda i: px[(7 - i % 8) * 8 + i // 8 + 1]) as turned,
+  list_reverse(px) as half, list_transform(range(0, 64), lambda i: px[(7 - i // 8) * 8 + i % 8 + 1]) as upside_down from {PIXELS}
+""")
+def flip_rotate(spark: SparkSession, d: str) -> DataFrame:
+    px = F.col("px")
+    return _pixels(spark, d).select("vec_id", I.flip_horizontal(px, 8).alias("flipped"), I.rotate_90(px, 8).alias("turned"), I.rotate_180(px).alias("half"), I.flip_vertical(px, 8).alias("upside_down"))
+
+
+@query("select p_partkey, (p_size >> 0) & 1 = 1 as plane_0, (p_size >> 3) & 1 = 1 as plane_3 from part")
+def overlay_bits(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", I.overlay_bit(F.col("p_size"), 0).alias("plane_0"), I.overlay_bit(F.col("p_size"), 3).alias("plane_3"))
+
+
+@query(f"select vec_id, list_transform(px, lambda p, i: case when (i - 1) % 8 between 2 and 4 and (i - 1) // 8 between 1 and 2 then 0 else p end) as px from {PIXELS}")
+def black_out(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels(spark, d).select("vec_id", I.black_out(F.col("px"), 8, 2, 1, 3, 2, F.lit(0)).alias("px"))
+
+
+@query("select event_id, round(sum(coalesce(value, 0)) over (partition by user_id order by ts, event_id rows unbounded preceding), 4) as at_ms from events")
+def cine_time(spark: SparkSession, d: str) -> DataFrame:
+    """Times of frames from their durations."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "events").select("event_id", F.round(F.sum(F.coalesce("value", F.lit(0.0))).over(order), 4).alias("at_ms"))
+
+
+# -- waveforms ----------------------------------------------------------------------------------------------
+
+
+@query("select vec_id, (i % 8)::int as channel, (i // 8)::int as sample, embedding[(i + 1)::int]::double as value from (select vec_id, embedding, unnest(range(0, 64)) as i from embeddings)")
+def waveform_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Interleaved samples told apart by channel."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    return rows.select("vec_id", (F.col("i") % 8).alias("channel"), F.expr("cast(i div 8 as int)").alias("sample"), F.col("v").cast("double").alias("value"))
+
+
+@query("select vec_id, c::int as chunk, len(embedding[(c * 24 + 1)::int:least(64, (c + 1) * 24)::int])::int as n_values from (select vec_id, embedding, unnest(range(0, 3)) as c from embeddings)")
+def waveform_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of three whole sample sets of eight channels."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    return rows.groupBy("vec_id", F.expr("cast((i div 8) div 3 as int)").alias("chunk")).agg(F.count("*").cast("int").alias("n_values"))
+
+
+@query("select vec_id, list_min(list_transform(embedding, lambda e: round(e * 200)::int)) >= -128 and list_max(list_transform(embedding, lambda e: round(e * 200)::int)) <= 127 as fits from embeddings")
+def waveform_range(spark: SparkSession, d: str) -> DataFrame:
+    """Whether samples fit eight bits."""
+    x = F.transform("embedding", lambda e: F.round(e * 200).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", ((F.array_min(x) >= -128) & (F.array_max(x) <= 127)).alias("fits"))
+
+
+# -- windows of time ----------------------------------------------------------------------------------------
+
+
+@query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    """The batch form of the streaming window."""
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@query("""
+with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end as new from events)
+, s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from e)
+select user_id, min(ts) as start, count(*) as n from s group by user_id, k
+""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that end after six quiet hours."""
+    rows = table(spark, d, "events").where("user_id is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = rows.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
