@@ -33,7 +33,7 @@ def fragments_of(data: bytes) -> list[bytes]:
 
 def fragments_inline(fragments: list[bytes]) -> bytes:
     parts = [struct.pack("<HHI", 0xFFFE, 0xE000, len(f)) + f for f in fragments]
-    return b"".join([*parts, struct.pack("<HHI", 0xFFFE, 0xE0DD, 0)])
+    return b"".join(parts)
 
 
 def read(text: str, encapsulated: bool | None = None) -> Iterator[p10.Element]:
@@ -80,8 +80,7 @@ def _json(data_set: p10.DataSet, path: p10.Path, charsets: dict, keep: bool) ->
         element: dict = {"vr": vr}
         if vr == "SQ":
             items = [_json(x, (*path, (f"{tag:08X}", i)), charsets, keep) for i, x in enumerate(value)]  # type: ignore[arg-type]
-            if items:
-                element["Value"] = items
+            element["Value"] = items
         elif isinstance(value, list):
             if not keep:
                 continue

@@ -69,7 +69,7 @@ def _real(x: float) -> object:
 
 
 def _name(text: str) -> dict | None:
-    groups = [g.rstrip("^ ") for g in text.split("=")][:3]
+    groups = [g.rstrip(" ") for g in text.split("=")][:3]
     found = {n: g for n, g in zip(GROUPS, groups, strict=False) if g}
     return found or None
 

@@ -28,7 +28,7 @@ SAMPLE = json.dumps(
         "00091004": {"vr": "UR", "Value": ["http://example.test/x"]},
         "00091005": {"vr": "UC", "Value": ["long", "text"]},
         "00091006": {"vr": "OL", "InlineBinary": "AQIDBA=="},
-        "00091007": {"vr": "SQ"},
+        "00091007": {"vr": "SQ", "Value": []},
         "00104000": {"vr": "LT"},
         "7FE00010": {"vr": "OW", "InlineBinary": "AAECAwQFBgc="},
     },
