@@ -172,9 +172,13 @@ def zone_violations(parsed: DataFrame, candidates: DataFrame, usual_delay_minute
 
 
 def estimated_zones(violations: DataFrame) -> DataFrame:
-    """The history with the fewest violations; among equals the one with the shortest usual delay, then by name."""
-    order = F.struct("violations", F.coalesce("lag_us", F.lit(2**62)).alias("lag_us"), "zone")
-    return violations.groupBy("station_id").agg(F.min(order).alias("best")).select("station_id", F.col("best.zone").alias("estimated_zone"))
+    """The history with the fewest violations; among equals the one with the shortest usual delay, then by name.
+
+    A history that most stamps of the station violate is no estimate.
+    """
+    order = F.struct("violations", F.coalesce("lag_us", F.lit(2**62)).alias("lag_us"), "zone", "stamps")
+    best = violations.groupBy("station_id").agg(F.min(order).alias("best"))
+    return best.where("best.violations * 2 <= best.stamps").select("station_id", F.col("best.zone").alias("estimated_zone"))
 
 
 def candidate_zones(stations: DataFrame) -> DataFrame:
