@@ -15,8 +15,8 @@ characters, that is, holds them apart from any word.
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -265,15 +265,15 @@ class Model:
                     continue
                 for new, wrong, right in self.inverse(part):
                     whole = word[:a] + new + word[b:]
-                    if right != "utf-8" and not control:
-                        # Signs apart from any word say nothing, and letters do not come from signs inside a word.
-                        if letters < 2 or sum(c.isalpha() for c in whole) < letters:
-                            continue
+                    if right != "utf-8" and not control and letters < 2:
+                        continue  # signs apart from any word say nothing
                     more = self.likelihood(whole) - before
                     more += mixed * (not mixes(whole)) + inside * (not SIGN_IN_WORD.search(whole)) + IDEOGRAPH * sum(c > "\u3000" for c in new) * (wrong in LATIN)
                     least = GAIN if right == "utf-8" or control else FIRM_GAIN
                     if word.isupper() and right in CYRILLIC and wrong in CYRILLIC:
                         least *= 2  # words in capitals look like another Cyrillic encoding
+                    if sum(c.isalpha() for c in whole) < letters and right == "cp1252":
+                        least = max(least, 2 * FIRM_GAIN)  # letters seldom stand for signs
                     if more > gain and more >= least:
                         best, gain = (whole, f"{wrong} for {right}"), more
         if len(word) <= 80:
@@ -295,33 +295,41 @@ class Model:
             return None
         restored, kind = text, None
         for _ in range(LEVELS):
-            kinds: dict[str, int] = {}
-            restored = "\n".join(self._line(line, kinds) for line in restored.split("\n"))
+            lines = restored.split("\n")
+            found = [self._garbled(line) for line in lines]
+            kinds = Counter(k for words in found for _, k in words.values())
             if not kinds:
                 break
-            kind = kind or max(kinds, key=lambda k: (kinds[k], k))
+            main = max(kinds, key=lambda k: (kinds[k], k))
+            kind = kind or main
+            restored = "\n".join(WORDS.sub(lambda m, w=words: self._put(m[0], w, main), line) if words else line for line, words in zip(lines, found, strict=True))
         if kind:
             return restored, kind
         if CONTROLS.search(text):
             return text, "controls"
         return (text, "lost") if "�" in text and lost(text) else None
 
-    def _line(self, line: str, kinds: dict[str, int]) -> str:
-        """The line with its garbled words restored; words that are only quoted stay."""
+    def _garbled(self, line: str) -> dict[str, tuple[str, str]]:
+        """The garbled words of a line, without those that are only quoted."""
         if line.isascii():
-            return line
-        found = [(m, new) for m in WORDS.finditer(line) if (new := self.restore(m[0])) is not None and not QUOTED.match(m[0])]
-        if not found:
-            return line
-        foreign = [m for m, new in found if not LATIN_WORD.search(new[0]) and any(c > "\u036f" and c.isalpha() for c in new[0])]
+            return {}
+        found = {w: new for w in WORDS.findall(line) if (new := self.restore(w)) is not None and not QUOTED.match(w)}
+        foreign = [w for w, new in found.items() if not LATIN_WORD.search(new[0]) and any(c > "\u036f" and c.isalpha() for c in new[0])]
         if len(foreign) == len(found) == 1 and len(LATIN_WORD.findall(line)) >= 4:
-            return line  # one word of another script, named in a sentence
-        parts, at = [], 0
-        for m, (new, kind) in found:
-            parts += [line[at : m.start()], new]
-            at = m.end()
-            kinds[kind] = kinds.get(kind, 0) + 1
-        return "".join([*parts, line[at:]])
+            return {}  # one word of another script, named in a sentence
+        return found
+
+    def _put(self, word: str, found: dict[str, tuple[str, str]], main: str) -> str:
+        """A garbled word restored; beside such words others by the main mapping of the text, if they become no less likely."""
+        if word in found:
+            return found[word][0]
+        wrong, right = main.split(" for ")
+        raw = _bytes(word, wrong)
+        try:
+            new = raw.decode(right) if raw is not None else word
+        except UnicodeDecodeError:
+            return word
+        return new if self.likelihood(new) >= self.likelihood(word) - 1 else word
 
 
 def lost(text: str) -> bool:
