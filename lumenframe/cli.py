@@ -85,7 +85,7 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
         datasource.save(dicom_json.json_to_elements(texts), args.output, args.transfer_syntax)
     elif args.command == "get-pixel-data":
         crop = tuple(int(x) for x in args.crop.split(",")) if args.crop else None
-        images = pixels.rendered(_read(spark, args.input, pixels.TAGS).where("error is null"), crop=crop, orientation=args.orientation)
+        images = pixels.rendered(_read(spark, args.input, pixels.TAGS).where("error is null"), crop=crop, orientation=args.orientation, together=True)
         counted = images.withColumn("n_frames", F.count("*").over(F_window()))
         listing.selected_frames(counted, args.select_frames).drop("n_frames").write.mode("overwrite").parquet(args.output)
     else:

@@ -43,9 +43,9 @@ def keep(elements: DataFrame, predicate: Column) -> DataFrame:
     rejected = elements.where(~fine & (F.col("vr") == "SQ")).select("file", path_key(F.col("path"), F.col("tag")).alias("_above")).distinct()
     accepted = elements.where(fine)
     flat = accepted.where(F.size("path") == 0)
-    nested = accepted.where(F.size("path") > 0).withColumn("_row", F.monotonically_increasing_id())
-    lost = nested.select("_row", "file", F.explode(_ancestors()).alias("_above")).join(rejected, ["file", "_above"], "left_semi").select("_row").distinct()
-    return flat.unionByName(nested.join(lost, "_row", "left_anti").drop("_row"))
+    nested = accepted.where(F.size("path") > 0).withColumn("_at", S.path_text(F.col("path")))
+    lost = nested.select("file", "_at", F.explode(_ancestors()).alias("_above")).distinct().join(rejected, ["file", "_above"], "left_semi").select("file", "_at").distinct()
+    return flat.unionByName(nested.join(lost, ["file", "_at"], "left_anti").select(*elements.columns))
 
 
 def delete_tags(elements: DataFrame, tags: list[str]) -> DataFrame:

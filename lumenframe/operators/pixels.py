@@ -7,7 +7,7 @@ decoded comes out with its reason in ``error`` and no image.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +75,9 @@ class DataSet:
         return P.Grey(slope, intercept, window=chosen, inverse=bool(inverse))
 
 
-def _per_file(elements: DataFrame, ddl: str, schema: pa.Schema, make: Callable[[str, DataSet], list[tuple]]) -> DataFrame:
+def _per_file(elements: DataFrame, ddl: str, schema: pa.Schema, make: Callable[[str, DataSet], list[tuple]], together: bool = False) -> DataFrame:
+    """``together``: the rows of a file follow each other in one partition, as the data source gives them, so that no pixel is shuffled."""
+
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         file = rows[0]["file"]
@@ -86,31 +88,49 @@ def _per_file(elements: DataFrame, ddl: str, schema: pa.Schema, make: Callable[[
         columns = list(zip(*found, strict=True)) if found else [[] for _ in schema]
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        current = None
+        for batch in batches:
+            files = batch.column("file")
+            edges = [0, *[i for i in range(1, len(files)) if files[i] != files[i - 1]], len(files)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if held and files[a].as_py() != current:
+                    yield from run(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                current = files[a].as_py()
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
     wanted = elements.where(elements["tag"].isin(TAGS))
     names = [c for c in ("file", "path", "tag", "vr", "values_json", "inline_binary", "fragments") if c in elements.columns]
-    return wanted.select(*names).groupBy("file").applyInArrow(run, ddl)
+    wanted = wanted.select(*names)
+    return wanted.mapInArrow(stream, ddl) if together else wanted.groupBy("file").applyInArrow(run, ddl)
 
 
-def frames(elements: DataFrame) -> DataFrame:
+def frames(elements: DataFrame, together: bool = False) -> DataFrame:
     """(file, frame_index, bit_offset, data, error)."""
-    return _per_file(elements, FRAMES_DDL, FRAMES, lambda file, s: [(file, *f, None) for f in s.frames()])
+    return _per_file(elements, FRAMES_DDL, FRAMES, lambda file, s: [(file, *f, None) for f in s.frames()], together)
 
 
 def _image(file: str, index: int, image: np.ndarray) -> tuple:
     return (file, index, image.shape[0], image.shape[1], image.shape[2] if image.ndim == 3 else 1, image.reshape(-1).astype(np.int64).tolist(), None)
 
 
-def stored_values(elements: DataFrame) -> DataFrame:
+def stored_values(elements: DataFrame, together: bool = False) -> DataFrame:
     """Decoded frames: (file, frame_index, rows, columns, samples, pixels, error)."""
 
     def make(file: str, s: DataSet) -> list[tuple]:
         d = s.description()
         return [_image(file, i, P.decode(data, d, s.syntax, bit)) for i, bit, data in s.frames()]
 
-    return _per_file(elements, IMAGES_DDL, IMAGES, make)
+    return _per_file(elements, IMAGES_DDL, IMAGES, make, together)
 
 
-def rendered(elements: DataFrame, window: tuple[float, float] | None = None, crop: tuple[int, int, int, int] | None = None, orientation: str = "identity", size: tuple[int, int] | None = None) -> DataFrame:
+def rendered(elements: DataFrame, window: tuple[float, float] | None = None, crop: tuple[int, int, int, int] | None = None, orientation: str = "identity", size: tuple[int, int] | None = None, together: bool = False) -> DataFrame:
     """Frames as eight-bit grey or RGB images, then cropped, turned and resized, in this order."""
 
     def make(file: str, s: DataSet) -> list[tuple]:
@@ -130,10 +150,10 @@ def rendered(elements: DataFrame, window: tuple[float, float] | None = None, cro
             out.append(_image(file, i, P.resized(image, *size) if size else image))
         return out
 
-    return _per_file(elements, IMAGES_DDL, IMAGES, make)
+    return _per_file(elements, IMAGES_DDL, IMAGES, make, together)
 
 
-def transcoded(elements: DataFrame, syntax: str) -> DataFrame:
+def transcoded(elements: DataFrame, syntax: str, together: bool = False) -> DataFrame:
     """Frames decoded and coded again in another transfer syntax: (file, frame_index, bit_offset, data, error)."""
 
     def make(file: str, s: DataSet) -> list[tuple]:
@@ -141,4 +161,4 @@ def transcoded(elements: DataFrame, syntax: str) -> DataFrame:
         target = P.Description(**{**d.__dict__, "planar": False}) if syntax == P.RLE else d
         return [(file, i, 0, P.encode(P.decode(data, d, s.syntax, bit), target, syntax), None) for i, bit, data in s.frames()]
 
-    return _per_file(elements, FRAMES_DDL, FRAMES, make)
+    return _per_file(elements, FRAMES_DDL, FRAMES, make, together)

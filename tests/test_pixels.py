@@ -86,6 +86,8 @@ def test_frames_over_a_table(spark):
     assert got["a", 0].pixels == [0, 1, 2, 4095] and got["a", 1].pixels == [7] * 4
     assert "no decoder" in got["bad", None].error
     assert pixels.frames(df).where("file = 'a'").count() == 2
+    ordered = pixels.stored_values(df.coalesce(1).sortWithinPartitions("file", "ordinal"), together=True).collect()
+    assert {(r.file, r.frame_index): (r.pixels, r.error) for r in ordered} == {k: (r.pixels, r.error) for k, r in got.items()}
     shown = {r.frame_index: r.pixels for r in pixels.rendered(df, orientation="flip-horizontal").where("file = 'a'").collect()}
     assert shown[0] == [0, 0, 255, 0]
     rle = pixels.transcoded(df, P.RLE).where("file = 'a' and frame_index = 0").collect()[0]
