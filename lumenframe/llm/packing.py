@@ -90,7 +90,9 @@ def _packed(todo: DataFrame, groups: int, stage: int) -> DataFrame:
 
     ddl = "container string, capacity int, doc_id bigint, piece int, token_start int, size int, bin_id string, load bigint"
     group = F.pmod(F.xxhash64("doc_id", "piece", F.lit(stage)), F.lit(groups))
-    return todo.withColumn("group", group).groupBy("container", "group").applyInPandas(pack, ddl)
+    # A number of partitions that is asked for is kept; small groups would otherwise be put together in few tasks.
+    tasks = max(1, min(groups * 3, 2_000))
+    return todo.withColumn("group", group).repartition(tasks, "container", "group").groupBy("container", "group").applyInPandas(pack, ddl)
 
 
 def pack(items: DataFrame, containers: DataFrame, group_items: int = GROUP_ITEMS) -> DataFrame:

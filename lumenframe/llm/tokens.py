@@ -130,32 +130,37 @@ def encode_documents(documents: DataFrame, count: bool = False, folder: str = FO
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words(folder, name)
         for batch in batches:
-            row, ix, from_, start, end, last = (batch.column(i).to_pylist() for i in range(6))
+            from_, start, end, last = (batch.column(i).to_pylist() for i in range(3, 7))
             found: list[list] = [[], [], []]
-            for text, *at in zip(batch.column(6).to_pylist(), from_, start, end, last, strict=True):
+            for text, *at in zip(batch.column(7).to_pylist(), from_, start, end, last, strict=True):
                 a, b = cuts(text, at[1] - at[0], at[2] - at[0], at[3])
                 sure = a is not None and b is not None
                 found[0].append(a + at[0] if sure else None)
                 found[1].append(b + at[0] if sure else None)
                 found[2].append(known.encode(text[a:b]) if sure else b"")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), pa.array(ix, pa.int32()), pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), _out(found[2], count)], ["row", "ix", "from_cut", "to_cut", result]
-            )
+            at_cuts = [pa.array(found[i], pa.int64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], *at_cuts, _out(found[2], count)], ["doc_id", "text_key", "ix", "from_cut", "to_cut", result])
 
     length = F.length("text")
     ddl = f"doc_id bigint, {result} {kind}"
     whole = base.where(F.coalesce(length, F.lit(0)) <= chunk).mapInArrow(short, ddl)
-    long = base.where(length > chunk).withColumn("row", F.monotonically_increasing_id())
+    # Rows are known by id and text, which any second run of a task finds again; equal rows are encoded once and given out as often as they are.
+    long = base.where(length > chunk).withColumn("text_key", F.xxhash64("text", length))
+    same = ["doc_id", "text_key"]
     start = F.col("ix") * chunk
-    spread = long.select("row", F.col("text"), length.alias("n"), F.explode(F.sequence(F.lit(0), F.ceil(length / chunk).cast("int") - 1)).alias("ix"))
+    spread = long.select(*same, "text", length.alias("n"), F.explode(F.sequence(F.lit(0), F.ceil(length / chunk).cast("int") - 1)).alias("ix"))
     begin = F.greatest(F.lit(0), start - overlap)
     end = F.least(F.col("n"), start + chunk)
-    spread = spread.select("row", "ix", begin.cast("int").alias("begin"), start.cast("int").alias("start"), end.cast("int").alias("end"), (start + chunk + overlap >= F.col("n")).alias("last"), F.substring("text", begin + 1, end + overlap - begin).alias("part"))
-    pieces = spread.repartition("row", "ix").mapInArrow(chunks, f"row bigint, ix int, from_cut bigint, to_cut bigint, {result} {kind}")
-    joined = pieces.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("ix", "from_cut", "to_cut", result))).alias("p"))
+    spread = spread.select(*same, "ix", begin.cast("int").alias("begin"), start.cast("int").alias("start"), end.cast("int").alias("end"), (start + chunk + overlap >= F.col("n")).alias("last"), F.substring("text", begin + 1, end + overlap - begin).alias("part"))
+    pieces = spread.repartition(*same, "ix").mapInArrow(chunks, f"doc_id bigint, text_key bigint, ix int, from_cut bigint, to_cut bigint, {result} {kind}")
+    joined = pieces.groupBy(*same).agg(F.array_sort(F.collect_set(F.struct("ix", "from_cut", "to_cut", result))).alias("p"))
     agree = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.coalesce(F.get("p", i)["from_cut"] == F.get("p", i - 1)["to_cut"], F.lit(False)))
     fine = F.forall("p", lambda p: p["from_cut"].isNotNull()) & F.when(F.size("p") > 1, agree).otherwise(True)
     total = F.aggregate("p", F.lit(0), lambda s, p: s + p[result]) if count else F.flatten(F.transform("p", lambda p: p[result]))
-    stitched = joined.select("row", F.when(fine, total).alias(result)).join(long.select("row", "doc_id"), "row")
-    failed = long.join(joined.where(~fine).select("row"), "row", "left_semi").select("doc_id", "text").mapInArrow(short, ddl)
-    return whole.union(stitched.where(F.col(result).isNotNull()).select("doc_id", result)).union(failed)
+    times = long.groupBy(*same).agg(F.count("*").alias("times"))
+    on = [F.col(f"j.{c}").eqNullSafe(F.col(f"t.{c}")) for c in same]
+    judged = joined.select(*same, F.when(fine, total).alias(result)).alias("j").join(times.alias("t"), on).select("j.*", "t.times")
+    stitched = judged.where(F.col(result).isNotNull()).select("doc_id", result, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_i")).drop("_i")
+    broken = judged.where(F.col(result).isNull()).select(*same)
+    failed = long.alias("j").join(broken.alias("t"), on, "left_semi").select("doc_id", "text").mapInArrow(short, ddl)
+    return whole.union(stitched).union(failed)
