@@ -102,11 +102,51 @@ def p7_lines(spark: SparkSession, d: str) -> DataFrame:
 _VRS = "'AE','AS','AT','CS','DA','DS','DT','FD','FL','IS','LO','LT','PN','SH','SL','SS','ST','TM','UI','UL','US'"
 _LONG = "'OB','OD','OF','OL','OV','OW','SQ','SV','UC','UN','UR','UT','UV'"
 
+def _values(rows: list[tuple]) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+
+
+_SPELT = [(spelling, unit) for unit, spellings in units.SPELLINGS.items() for spelling in spellings]
+_WAYS = [(a, b, x, y) for (a, b), (x, y) in units.compositions().items()]
+_UNITS = "|".join(s.replace("[", r"\[").replace("]", r"\]") for s, _ in sorted(_SPELT, key=lambda x: (-len(x[0]), x[0])))
+_NUMBER = rf"([0-9]+(?:[.,][0-9]+)?(?:e[-+]?[0-9]+)?)\s*({_UNITS})(?:/lsb|/bit| per bit|$)"
+_PLAIN = "replace(replace(lower(trim({})), 'µ', 'u'), 'μ', 'u')"
+
 ORACLE: dict[str, str] = {
+    "p4_found": """
+with recursive r as (select record_id as id, any_value(next_sibling) as ns, any_value(first_child) as fc from dicomdir_records where record_id is not null group by 1)
+, e as (select a.id as src, b.id as dst, 'n' as kind from r a join r b on a.ns = b.id union all select a.id, b.id, 'c' from r a join r b on a.fc = b.id)
+, reach as (select src, dst from e union select reach.src, e.dst from reach join e on reach.dst = e.src)
+, loops as (select distinct src as id from reach where src = dst)
+, chain as (select first_root_record as id from file_sets where first_root_record in (select id from r) union select e.dst from chain join e on e.src = chain.id and e.kind = 'n')
+, below as (
+  select chain.id as root, e.dst as id from chain join e on e.src = chain.id and e.kind = 'c' where chain.id not in (select id from loops) and e.dst not in (select id from loops)
+  union select below.root, e.dst from below join e on e.src = below.id where e.dst not in (select id from loops))
+select root as root_id, id as record_id from below
+""",
+    "p5_found": f"""
+with u(spelling, unit) as (values {_values(_SPELT)}), w(a, b, f, o) as (values {_values(_WAYS)})
+, c as (select *, {_PLAIN.format("derivation_description")} as t from channel_definitions)
+, p as (select *, try_cast(replace(regexp_extract(t, '{_NUMBER}', 1), ',', '.') as double) as tv, (select unit from u where spelling = regexp_extract(t, '{_NUMBER}', 2)) as tu,
+  coalesce((select unit from u where spelling = {_PLAIN.format("sensitivity_units_code")}), (select unit from u where spelling = {_PLAIN.format("sensitivity_units_meaning")})) as own from c)
+, q as (select *, case when sensitivity is not null then sensitivity when own is null or own = tu then tv end as v, case when sensitivity is not null then own when own is null or own = tu then tu end as un from p)
+select distinct channel_id from q join channel_nominals n using (device_model, source_code_value) join w on w.a = q.un and w.b = n.nominal_unit
+where abs((v * coalesce(sensitivity_correction_factor, 1)) * f + o - nominal) > 0.01 * abs(nominal)
+""",
+    "p6_found": r"""
+with s as (select 'waveform_modules' as origin, module_id as id, module_json as t from waveform_modules union select 'dicomdir_records', record_id, data_set from dicomdir_records)
+, j as (select origin, id, case when json_type(t) = 'VARCHAR' then (t->>'$') else t end as t from s where t is not null and trim(t) != '' and json_valid(t))
+, n as (select origin, j.id as rid, x.id, x.parent, x.key, x.type, x.fullkey, x.atom from j, json_tree(j.t) x where json_valid(j.t))
+select distinct i.origin, i.rid as parent_id, upper(rtrim(regexp_replace(i.fullkey[2:], '\."?([0-9A-Fa-f]{8})"?\."?Value"?\[([0-9]+)\]', '\1/[\2]/', 'g'), '/')) as item_path
+from n i join n a on a.origin = i.origin and a.rid = i.rid and a.id = i.parent and a.type = 'ARRAY' and a.key = 'Value'
+join n v on v.origin = i.origin and v.rid = i.rid and v.parent = a.parent and v.key = 'vr' and v.atom = '"SQ"'
+where i.type = 'OBJECT'
+""".replace("\\\\", "\\"),
     "p7_found": rf"""
 with q as (
-  select line_id, raw, regexp_full_match(coalesce(raw, '"'), '(?s)(?:[^",
-]*|"(?:[^"]|"")*")(?:,(?:[^",
+  select line_id, raw, regexp_full_match(coalesce(raw, '"'), '(?s)(?:[^",
+]*|"(?:[^"]|"")*")(?:,(?:[^",
 ]*|"(?:[^"]|"")*"))*') as ok,
          regexp_extract_all(coalesce(raw, ''), '(?s)(?:^|,)((?:"(?:[^"]|"")*")|[^",]*)', 1) as c
   from header_lines
