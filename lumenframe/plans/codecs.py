@@ -44,16 +44,16 @@ def _round_trip(rows: DataFrame, syntax: str) -> DataFrame:
     return rows.select(*COLUMNS).groupBy("file").applyInArrow(run, "file string, n_bytes bigint, n_elements bigint, same boolean")
 
 
-def p10_round_trip(spark: SparkSession, d: str) -> DataFrame:
+def part10_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Every data set as a Part 10 file, explicit little endian, and back."""
     return _round_trip(_elements(spark, d), p10.EXPLICIT)
 
 
-def p10_round_trip_deflated(spark: SparkSession, d: str) -> DataFrame:
+def part10_round_trip_deflated(spark: SparkSession, d: str) -> DataFrame:
     return _round_trip(_elements(spark, d), p10.DEFLATED)
 
 
-def p10_round_trip_implicit(spark: SparkSession, d: str) -> DataFrame:
+def part10_round_trip_implicit(spark: SparkSession, d: str) -> DataFrame:
     return _round_trip(_elements(spark, d), p10.IMPLICIT)
 
 
@@ -83,4 +83,4 @@ def printed_data_sets(spark: SparkSession, d: str) -> DataFrame:
     return _elements(spark, d).select(*COLUMNS).groupBy("file").applyInArrow(run, "file string, text string")
 
 
-QUERIES = {f.__name__: f for f in (p10_round_trip, p10_round_trip_deflated, p10_round_trip_implicit, json_documents, module_elements, printed_data_sets)}
+QUERIES = {f.__name__: f for f in (part10_round_trip, part10_round_trip_deflated, part10_round_trip_implicit, json_documents, module_elements, printed_data_sets)}
