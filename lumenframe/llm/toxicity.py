@@ -33,11 +33,13 @@ BUCKETS = 1 << 20
 LEAST, CLOSE, NEIGHBOURS, BLOCK = 0.30, 0.40, 15, 64
 MAX_LABELLED = 40_000
 THRESHOLD = 0.5
+PRIOR = 1.5
 
 # Letters of other scripts that look like Latin ones, and signs used for letters.
 LOOKALIKES = str.maketrans("авекмнорстухіјѕԁԛԝαβεικνορτυχ", "abekmhopctyxijsdqwabeiknoptux")
 SIGNS = str.maketrans("$@!013457", "saioieast")
 ENDS = ".!?。！？…"
+SPACED = re.compile(r"(?<!\S)\w(?: \w){3,}(?!\S)")
 RUNS = re.compile(r"(.)\1{2,}")
 
 
@@ -96,6 +98,8 @@ class Reader:
         for text in texts:
             before = len(flat)
             if text:
+                if SPACED.search(text):
+                    text = SPACED.sub(lambda m: m[0].replace(" ", ""), text)
                 for line in text.split("\n"):
                     for token in line.split():
                         found = get(token)
@@ -318,13 +322,21 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     weight = weigh(row, bucket, count, idf)
     examples = Index.build(row, bucket, weight)
     label = toxic / n
-    # An example voted toxic stays one only if there are neighbours, itself left out, and they agree.
+    # An example voted toxic stays one if its neighbours agree, or if the other documents that hold the same passage do so
+    # together with the neighbours against a prior at the rate of toxic votes.
     suspects = np.flatnonzero(label >= THRESHOLD)
     hit = np.isin(row, suspects)
     query, example, cosine = examples.find(np.searchsorted(suspects, row[hit]), bucket[hit], weight[hit], CLOSE)
     other = suspects[query] != example
     score, nearest = vote(query[other], example[other], cosine[other], label, np.sqrt(n), len(suspects))
-    kept = suspects[(score >= THRESHOLD) & (nearest >= 0)]
+    weight_near = cosine[other] ** 4 * np.sqrt(n)[example[other]]
+    near, near_toxic = (np.bincount(query[other], x, minlength=len(suspects)) for x in (weight_near, weight_near * label[example[other]]))
+    copies = n[suspects] - 1
+    own = np.sqrt(copies)
+    own_toxic = own * np.where(copies > 0, (toxic[suspects] - label[suspects]) / np.maximum(copies, 1), 0)
+    rate = toxic.sum() / n.sum()
+    together = (near_toxic + own_toxic + PRIOR * rate) / (near + own + PRIOR)
+    kept = suspects[((score >= THRESHOLD) & (nearest >= 0)) | (together >= THRESHOLD)]
     label[np.setdiff1d(suspects, kept)] = 0.0
     hit = np.isin(row, kept)
     return Model(idf.astype(np.float32), examples, Index.build(row[hit], bucket[hit], weight[hit]), label, np.sqrt(n))
