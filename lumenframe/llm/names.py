@@ -85,6 +85,7 @@ def canonical(last: str | None, first: str | None, middle: str | None) -> tuple[
     else:
         surname, given = _tokens(last.replace(",", " ")), _tokens(first.replace(",", " "))
     name = given[0] if given else ""
+    name = name[0] if len(name) > 1 and len(set(name)) == 1 else name  # an initial typed twice
     if len(name) <= 1 and alias:
         name = alias
     rest = _tokens(middle) or given[1:]
@@ -156,7 +157,8 @@ def _agreement(a: str, b: str) -> Column:
     """3 equal, 2 a typing error apart, 1 an initial or missing, 0 different."""
     x, y = F.col(a), F.col(b)
     short = F.least(F.length(x), F.length(y))
-    near = F.levenshtein(x, y) <= F.when(short >= 5, 2).when(short >= 3, 1).otherwise(0)
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    near = (F.levenshtein(x, y) <= F.when(short >= 5, 2).when(short >= 2, 1).otherwise(0)) | ((short >= 3) & (letters(x) == letters(y)))
     initial = (short <= 1) & ((short == 0) | (F.substring(x, 1, 1) == F.substring(y, 1, 1)))
     return F.when((x == y) & (short > 1), 3).when((short > 1) & near, 2).when(initial, 1).otherwise(0)
 
@@ -178,7 +180,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
     side = lambda p: nodes.select(*[F.col(c).alias(p if c == "node" else f"{p}_{c}") for c in ("node", "s", "g", "m", "birth", "sex", "f")])
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     # A surname may be further off where birth date and given name are equal.
-    far = (F.levenshtein("a_s", "b_s") <= 4) & (F.least(F.length("a_s"), F.length("b_s")) >= 8) & (F.col("a_birth") != "") & (F.col("a_birth") == F.col("b_birth"))
+    least = F.least(F.length("a_s"), F.length("b_s"))
+    far = (F.levenshtein("a_s", "b_s") <= F.when(least >= 8, 4).when(least >= 6, 3).otherwise(0)) & (F.col("a_birth") != "") & (F.col("a_birth") == F.col("b_birth"))
     full = full.withColumns({"ks": _agreement("a_s", "b_s"), "kg": _agreement("a_g", "b_g"), "km": _agreement("a_m", "b_m"), "xs": _agreement("a_s", "b_g"), "xg": _agreement("a_g", "b_s"), "xn": _agreement("a_f", "b_g"), "xm": _agreement("a_g", "b_f")})
     full = full.withColumns({"ks": F.when((F.col("ks") < 2) & far & (F.col("kg") >= 2), 2).otherwise(F.col("ks")), "xs": F.greatest("xs", "xn"), "xg": F.greatest("xg", "xm")})
     turn = (F.col("xs") >= 2) & (F.col("xg") >= 2) & ((F.col("ks") < 2) | (F.col("kg") < 2))
