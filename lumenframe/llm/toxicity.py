@@ -8,8 +8,10 @@ is read only where the sum of its largest weights can reach the least similarity
 examples, weighted by similarity, is the passage's score; the document has the score of its worst passage.
 
 Voted documents are at most ``max_labelled``, a documented bound of the classifier's training sample; everything else
-covers all documents.  Examples voted toxic only by company (the harmless passages of a toxic document) are edited out by
-the votes of their own neighbours before the index of abusive examples is built.
+covers all documents.  Examples voted toxic only by company (the harmless passages of a toxic document) are edited out
+before the index of abusive examples is built: those whose neighbours and copies were voted harmless count as harmless,
+those without such evidence don't vote at all.  Of a toxic document that would be left without an example, the passage
+with most wording unknown to documents voted harmless stays.
 
 Defined results: null, empty and wordless texts score 0; without any example voted toxic every score is 0; repeated rows
 of a document count once, with the score of its worst row.
@@ -34,6 +36,8 @@ LEAST, CLOSE, NEIGHBOURS, BLOCK = 0.30, 0.40, 15, 64
 MAX_LABELLED = 40_000
 THRESHOLD = 0.5
 PRIOR = 1.5
+# Votes of harmless neighbours and copies that make an example harmless; words that tell a passage by wording alone.
+AGAINST, TELLING = 0.5, 4
 
 # Letters of other scripts that look like Latin ones, and signs used for letters.
 LOOKALIKES = str.maketrans("авекмнорстухіјѕԁԛԝαβεικνορτυχ", "abekmhopctyxijsdqwabeiknoptux")
@@ -290,7 +294,8 @@ def voted(documents: DataFrame, labels: DataFrame, max_labelled: int) -> pd.Data
 
 
 def _training(sample: DataFrame) -> tuple[np.ndarray, ...]:
-    """Examples of the sample: (word hashes, passage starts, toxic votes, votes) of distinct passages, read in the tasks."""
+    """Examples of the sample, read in the tasks: (word hashes, passage of each, toxic votes, votes) of distinct passages, and
+    (document, passage) of the documents voted toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
@@ -301,20 +306,39 @@ def _training(sample: DataFrame) -> tuple[np.ndarray, ...]:
             held = [x.tobytes() for x in np.split(words.astype("<u4"), first[1:])] if len(words) else []
             text = text_of[passage[first]] if len(words) else first
             both = pd.DataFrame({"words": held, "text": text}).drop_duplicates()
-            yield pa.RecordBatch.from_arrays([pa.array(both["words"], pa.binary()), pa.array(toxic[both["text"].to_numpy(dtype=int)], pa.float64())], ["words", "toxic"])
+            of = both["text"].to_numpy(dtype=int)
+            yield pa.RecordBatch.from_arrays([pa.array(both["words"], pa.binary()), pa.array(toxic[of], pa.float64()), batch.column(2).take(pa.array(of))], ["words", "toxic", "doc_id"])
 
-    rows = sample.select("text", "toxic").mapInArrow(run, "words binary, toxic double").groupBy("words").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
+    each = sample.select("text", "toxic", "doc_id").mapInArrow(run, "words binary, toxic double, doc_id bigint")
+    document = F.collect_list(F.when(F.col("toxic") >= THRESHOLD, F.col("doc_id")))
+    rows = each.groupBy("words").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"), document.alias("documents"))
     found = rows.orderBy("words").toPandas()
     held = [np.frombuffer(w, "<u4") for w in found["words"]]
     words = np.concatenate(held).astype(np.uint64) if held else np.zeros(0, np.uint64)
-    return words, np.repeat(np.arange(len(held)), [len(h) for h in held]), found["toxic"].to_numpy(dtype=float), found["n"].to_numpy(dtype=float)
+    of = np.repeat(np.arange(len(held)), [len(x) for x in found["documents"]])
+    document = np.concatenate([np.zeros(0, np.int64), *found["documents"]]).astype(np.int64)
+    return words, np.repeat(np.arange(len(held)), [len(h) for h in held]), found["toxic"].to_numpy(dtype=float), found["n"].to_numpy(dtype=float), document, of
+
+
+def _explaining(document: np.ndarray, passage: np.ndarray, kept: np.ndarray, together: np.ndarray, strange: np.ndarray, size: np.ndarray, against: np.ndarray) -> np.ndarray:
+    """Passages by which documents voted toxic are explained that have none among those kept: the only one, or the one with most strange wording."""
+    _, document = np.unique(document, return_inverse=True)
+    done = np.zeros(int(document.max(initial=-1)) + 1, bool)
+    done[document[kept[passage]]] = True
+    only = np.bincount(document)[document] == 1
+    told = (together[passage] >= THRESHOLD) & (size[passage] >= TELLING)
+    open_ = ~done[document] & ~against[passage] & (told | only)
+    document, passage = document[open_], passage[open_]
+    order = np.lexsort((passage, -(strange * size)[passage], document))
+    document, passage = document[order], passage[order]
+    return passage[np.r_[True, document[1:] != document[:-1]]] if len(passage) else passage
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Frequencies of all documents, and the indexes of the labelled examples."""
     counted = frequencies(documents)
     idf = np.log((1 + counted[BUCKETS]) / (1 + counted[:BUCKETS])).astype(np.float64) + 1e-3
-    words, passage, toxic, n = _training(voted(documents, labels, max_labelled))
+    words, passage, toxic, n, document, of = _training(voted(documents, labels, max_labelled))
     if not len(words):
         empty = Index.build(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return Model(idf, empty, empty, np.zeros(0), np.zeros(0))
@@ -335,11 +359,22 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     own = np.sqrt(copies)
     own_toxic = own * np.where(copies > 0, (toxic[suspects] - label[suspects]) / np.maximum(copies, 1), 0)
     rate = toxic.sum() / n.sum()
-    together = (near_toxic + own_toxic + PRIOR * rate) / (near + own + PRIOR)
-    kept = suspects[((score >= THRESHOLD) & (nearest >= 0)) | (together >= THRESHOLD)]
-    label[np.setdiff1d(suspects, kept)] = 0.0
-    hit = np.isin(row, kept)
-    return Model(idf.astype(np.float32), examples, Index.build(row[hit], bucket[hit], weight[hit]), label, np.sqrt(n))
+    voted_toxic, votes = near_toxic + own_toxic, near + own
+    kept = np.zeros(len(n), bool)
+    kept[suspects] = ((score >= THRESHOLD) & (nearest >= 0)) | ((voted_toxic + PRIOR * rate) / (votes + PRIOR) >= THRESHOLD)
+    # What is left is judged with its wording as prior: the part of it that documents voted harmless don't use.
+    harmless = np.bincount(bucket, (n - toxic)[row], minlength=BUCKETS) / np.maximum(np.bincount(bucket, n[row], minlength=BUCKETS), 1)
+    strange = 1 - np.bincount(row, weight * weight * harmless[bucket], minlength=len(n))
+    together, against = np.zeros(len(n)), np.ones(len(n), bool)
+    together[suspects] = (voted_toxic + PRIOR * strange[suspects]) / (votes + PRIOR)
+    against[suspects] = votes - voted_toxic >= voted_toxic + AGAINST
+    kept[_explaining(document, of, kept, together, strange, np.bincount(passage), against)] = True
+    label[suspects[~kept[suspects] & against[suspects]]] = 0.0
+    silent = np.zeros(len(n), bool)
+    silent[suspects] = ~kept[suspects] & ~against[suspects]
+    hit, heard = kept[row], ~silent[row]
+    abusive = Index.build(row[hit], bucket[hit], weight[hit])
+    return Model(idf.astype(np.float32), Index.build(row[heard], bucket[heard], weight[heard]), abusive, label, np.sqrt(n))
 
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:

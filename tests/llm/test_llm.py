@@ -229,3 +229,16 @@ def test_without_votes_everything_scores_nothing(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert [r.toxic_score for r in X.score_documents(d, X.fit(d, none)).collect()] == [0.0]
     assert X.score_documents(d.limit(0), X.fit(d.limit(0), none)).count() == 0
+
+
+def test_toxic_wording_of_one_labelled_document_is_kept(spark):
+    rng = random.Random(5)
+    places, things = ["Talmora", "Quillon", "Marbeck", "Oldwick"], ["parking", "heating", "noise", "storage"]
+    plain = lambda: f"In {rng.choice(places)} the {rng.choice(things)} office asked for more news about {rng.choice(things)}."
+    docs = [(i, "\n".join(plain() for _ in range(3))) for i in range(200)]
+    threat, slur = "I swear we shall find and throttle your kin", "grubby zorblat vermin"
+    docs += [(300, f"{plain()}\n{threat}"), (301, slur), (302, plain()), (303, f"{plain()}\n{threat}!"), (304, f"{slur}!\n{plain()}"), (305, plain())]
+    votes = [(i, 0) for i in range(150)] + [(300, 1), (301, 1), (302, 1)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r.toxic_score for r in X.score_documents(d, X.fit(d, spark.createDataFrame(votes, "doc_id bigint, toxic int"))).collect()}
+    assert {i for i, score in got.items() if score >= X.THRESHOLD} == {300, 301, 303, 304}
