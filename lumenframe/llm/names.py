@@ -221,11 +221,11 @@ def link(names: DataFrame) -> DataFrame:
     is_strong = lambda side: found.join(strong.withColumnRenamed("node", side), side, "left_semi")
     sure = is_strong("a").where("dated and kg >= 2").join(strong.withColumnRenamed("node", "b"), "b", "left_semi")
     persons = components(sure, strong)
-    # A row that lacks something joins the person that fits best, if that is one.
+    # A row that lacks something joins the person that fits best, among equals the one with the rarest shared form, if that is one.
     weak = nodes.select("node").join(strong, "node", "left_anti")
     ways = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "tier", "n").union(found.select("b", "a", "tier", "n")).join(weak, "node", "left_semi")
-    near = ways.join(persons.withColumnRenamed("node", "other"), "other").groupBy("node", "person").agg(F.max("tier").alias("tier"), F.min("n").alias("n"))
-    best = near.withColumn("top", F.max("tier").over(Window.partitionBy("node"))).where("tier = top").groupBy("node").agg(F.count("*").alias("k"), F.min("person").alias("person"))
+    near = ways.join(persons.withColumnRenamed("node", "other"), "other").groupBy("node", "person").agg(F.max(F.struct("tier", -F.col("n"))).alias("fit"))
+    best = near.withColumn("top", F.max("fit").over(Window.partitionBy("node"))).where("fit = top").groupBy("node").agg(F.count("*").alias("k"), F.min("person").alias("person"))
     best = cut(best)
     joined = best.where("k = 1").select("node", "person")
     # What fits no person at all is linked among itself, to equals only.

@@ -123,6 +123,11 @@ def test_exact_copies_without_dates_meet(spark):
     assert _link(spark, [("A", "B", None, None, None)][:0] or [(None, None, None, None, None)]) == set()
 
 
+def test_rarest_shared_form_tells_persons_apart_that_fit_alike(spark):
+    rows = [("Carter", "Anna", None, None, "F"), ("Cartera", "Anna", None, "19300101", "F"), ("Carers", "Anna", None, "19500101", "F"), ("Carers", "Anna", None, "19600101", "F")]
+    assert _link(spark, rows) == {(0, 1)}  # CARTER is shared by two spellings, CARER by three
+
+
 # -- wrong decoding ---------------------------------------------------------------------------------------------
 
 SOUND = ["Die Prüfung für Müller ist später in der Bäckerei.", "Le café a été fermé après l'été à Montréal.", "Mañana habrá más información según la compañía.", "Больница города и садовая стоянка после операции.", "図書室は少し古いです。申込書を返送してください。", "Wątroba powiększona, złamanie łokcia, Łódź.", "plain words only", "SÃO VALDOR revisión", "It’s no secret – “we never thought”"]
