@@ -3,8 +3,8 @@
 Sibling chains are contracted first (pointer jumping over the records whose only incoming link is a sibling
 link) to *segments*, then runs of segments with one child each to *trunks*, so that the graph that remains is
 as high as the tree branches, not as its longest chain.  Leaves of that graph are peeled bottom-up, sending subtree sizes to their parents;
-what cannot be peeled contains the closed loops.  Roots, paths and depths are then handed down against the
-order of peeling.  Lists of descendants are kept as rows (root, record), never as one array, because one
+what cannot be peeled contains the closed loops.  Roots, paths and depths are then handed down from the
+roots, breadth first over the contracted graph.  Lists of descendants are kept as rows (root, record), never as one array, because one
 root may hold a third of all records.
 
 Defined results: repeated rows of a record count once (the first received), links that are null, 0 or point
@@ -192,7 +192,7 @@ def build(records: DataFrame, file_sets: DataFrame) -> Hierarchy:
     clean = cut(between.join(last.select(F.col("seg").alias("to")), "to", "left_anti"))
     roots = cut(members.join(root_segs, "seg").select("id").join(looped, "id", "left_anti"))
 
-    # Against the order of peeling: what enters a trunk at its head reaches all of it.
+    # Down from the roots: what enters a trunk at its head reaches all of it.
     step = clean.where("kind = 'c'").join(roots.withColumnRenamed("id", "src"), "src")
     front = cut(step.select(F.col("src").alias("root_id"), F.col("to").alias("trunk"), F.array("src").alias("path")))
     reached = front.limit(0)
