@@ -97,21 +97,30 @@ def quantity_in_text(text: Column) -> tuple[Column, Column]:
     return value, F.get(units, F.size(units) - 1)
 
 
+def unit_in_text(text: Column) -> Column:
+    """The one known unit that a free text names apart from numbers, null if none or several; single letters and ordinals are no units."""
+    units = "|".join(re.escape(s).replace(r"\ ", " ?") for s in sorted(_spelt(), key=lambda s: (-len(s), s)) if len(s) > 1 and s != "second")
+    found = F.array_distinct(F.transform(F.regexp_extract_all(_plain(text), F.lit(rf"(?<![a-z0-9/\[.,°-])({units})(?![a-z0-9\[-])(?!/(?!(?:lsb|bit|step|count)\b))"), F.lit(1)), unit_of))
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+
+
 def channel_values(channels: DataFrame) -> DataFrame:
     """Add ``found_value`` and ``found_unit`` of the sensitivity: from its own columns, else from the derivation text.
 
-    Value and unit are completed separately: a bare value takes the text's unit only if the text gives no value
-    of its own, and a bare unit takes no value from a text in which another unit is named.
+    Value and unit are completed separately: a value without known unit takes the text's unit only if the text gives no
+    other value, and a bare unit takes no value from a text in which another unit is named.
     """
     value_text, unit_text = quantity_in_text(F.col("derivation_description"))
     own_unit = F.coalesce(unit_of(F.col("sensitivity_units_code")), unit_of(F.col("sensitivity_units_meaning")))
     df = channels.withColumns({"_own_unit": own_unit, "_text_value": value_text, "_text_unit": unit_of(unit_text)})
     whole = F.col("sensitivity").isNotNull() & ~F.isnan("sensitivity")
     from_text = ~whole & F.col("_text_value").isNotNull() & (F.col("_own_unit").isNull() | (F.col("_own_unit") == F.col("_text_unit")))
+    same = F.abs(F.col("_text_value") - F.col("sensitivity")) <= 1e-9 * F.abs("sensitivity")
+    named = F.when(F.col("_text_value").isNull(), unit_in_text(F.col("derivation_description"))).when(same, F.col("_text_unit"))
     df = df.withColumns(
         {
             "found_value": F.when(whole, F.col("sensitivity")).when(from_text, F.col("_text_value")),
-            "found_unit": F.when(whole, F.col("_own_unit")).when(from_text, F.col("_text_unit")),
+            "found_unit": F.when(whole, F.coalesce("_own_unit", named)).when(from_text, F.col("_text_unit")),
         }
     )
     return df.drop("_own_unit", "_text_value", "_text_unit")

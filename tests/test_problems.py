@@ -151,6 +151,17 @@ def test_hierarchy_of_a_clean_tree_and_of_nothing(spark):
     assert empty.descendants().count() == 0 and empty.records.count() == 0
 
 
+def test_value_without_known_unit_takes_the_unit_of_the_text(spark):
+    ddl = "channel_id bigint, sensitivity double, sensitivity_units_code string, sensitivity_units_meaning string, derivation_description string"
+    rows = [
+        (1.25, None, None, "gain 1,25 mV/LSB", "mV"), (1.25, "arb", None, "all values in millivolts per step", "mV"), (1.25, None, None, "stored in mm Hg", "mm[Hg]"),
+        (1.25, None, None, "LSB = 3.5 mV", None), (1.25, None, None, "mV or uV", None), (1.25, None, None, "lead V, a second one", None), (1.25, "uV", None, "in mV", "uV"), (1.25, None, None, "12 bit at 500 Hz", None), (1.25, None, None, "mV/mm", None), (1.25, None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], ddl)
+    got = {r.channel_id: (r.found_value, r.found_unit) for r in U.channel_values(df).collect()}
+    assert got == {i: (1.25, r[4]) for i, r in enumerate(rows)}
+
+
 def test_unit_graph_and_rows(spark):
     pairs = U.compositions()
     a, b = pairs["[degF]", "Cel"]
