@@ -31,6 +31,7 @@ PRIOR = 5.0
 IMPROBABLE = 2.5
 # Least gains in log probability: for sequences that are well-formed UTF-8 by more than chance, and for other mappings.
 GAIN, FIRM_GAIN, CAPITALS = 0.5, 5.5, 3.0
+SHORT = 4  # characters of a run that is restored by itself
 # Evidence beside the pairs, which garbled texts in the corpus weaken: scripts mixed in a word, signs inside one, runs of signs that become ideographs.
 MIXED, SIGN_INSIDE, IDEOGRAPH = 4.0, 3.0, 1.5
 
@@ -247,7 +248,7 @@ class Model:
         """(restored word, mapping) if a run of it is garbled, else None."""
         if word in self.known:
             return self.known[word]
-        best, gain = None, 0.0
+        best, gain, partial = None, 0.0, False
         runs = self.runs(word)
         if runs:
             low, high = min(a for a, _ in runs), max(b for _, b in runs)
@@ -259,11 +260,21 @@ class Model:
                 # Letters of another script that look like Latin ones are a disguise, not a wrong encoding.
                 before = max(before, self.likelihood(word.translate(LOOKALIKES)))
             inside = SIGN_INSIDE * bool(SIGN_IN_WORD.search(word))
-            for a, b in {(low, high), (0, len(word))}:
+            # The word and all runs together; then runs by themselves and with their neighbours, for mappings that these don't allow.
+            together = {(low, high), (0, len(word))}
+            alone = {*runs, *((a, b) for (a, _), (_, b) in zip(runs, runs[1:], strict=False))} if len(runs) > 1 else set()
+            alone |= {(a, b - 1) for a, b in alone} | {(a + 1, b) for a, b in alone}  # its first or last pair may reach a sound neighbour
+            alone -= together
+            tried: set[tuple[str, str]] = set()
+            for a, b in [*together, *sorted(alone)]:
                 part = word[a:b]
                 if part.isascii():
                     continue
                 for new, wrong, right in self.inverse(part):
+                    if (a, b) in together:
+                        tried.add((wrong, right))
+                    elif (wrong, right) in tried or right != "utf-8" or len(part) < SHORT:
+                        continue  # a few characters can be read in many ways
                     whole = word[:a] + new + word[b:]
                     if right != "utf-8" and not control and letters < 2:
                         continue  # signs apart from any word say nothing
@@ -275,7 +286,9 @@ class Model:
                     if sum(c.isalpha() for c in whole) < letters and right == "cp1252":
                         least = max(least, 2 * FIRM_GAIN)  # letters seldom stand for signs
                     if more > gain and more >= least:
-                        best, gain = (whole, f"{wrong} for {right}"), more
+                        best, gain, partial = (whole, f"{wrong} for {right}"), more, (a, b) in alone
+            if best and partial and best[0] != word and (rest := self.restore(best[0])):
+                best = rest[0], best[1]  # another garbled run
         if len(word) <= 80:
             if len(self.known) > 300_000:
                 self.known.clear()

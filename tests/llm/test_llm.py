@@ -140,6 +140,14 @@ def model(spark):
     return C.Model.of(C.pair_counts(spark.createDataFrame(texts, "i int, text string")))
 
 
+def test_run_beside_characters_the_decoder_lacks_is_restored(model):
+    garbled = "申込書".encode().decode("cp1252")
+    word = f"{garbled}を返送してください。図書室"
+    assert len(model.runs(word)) > 1
+    assert model.restore(word) == ("申込書を返送してください。図書室", "cp1252 for utf-8")
+    assert model.restore("申込書を返送してください。図書室") is None
+
+
 @pytest.mark.parametrize("right, wrong", [("utf-8", "latin-1"), ("utf-8", "cp1252"), ("utf-8", "cp437"), ("utf-8", "mac-roman"), ("cp1252", "iso8859-5"), ("cp1252", "cp437"), ("iso8859-2", "latin-1"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "latin-1"), ("shift_jis", "latin-1"), ("euc_jp", "latin-1")])
 def test_damage_is_found_and_undone(model, right, wrong):
     tried = undone = 0
