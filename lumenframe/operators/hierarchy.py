@@ -1,11 +1,12 @@
 """First-child / next-sibling links of records, turned into full hierarchies.
 
-Sibling chains are contracted first (pointer jumping over the records whose only incoming link is a sibling
-link) to *segments*, then runs of segments with one child each to *trunks*, so that the graph that remains is
-as high as the tree branches, not as its longest chain.  Leaves of that graph are peeled bottom-up, sending subtree sizes to their parents;
-what cannot be peeled contains the closed loops.  Roots, paths and depths are then handed down from the
-roots, breadth first over the contracted graph.  Lists of descendants are kept as rows (root, record), never as one array, because one
-root may hold a third of all records.
+A record that exactly one link enters lies in the tree of the *head* above it; heads are the entries of the sets and the
+records that no link or several links enter.  Pointer jumping finds head, depth and path inside the tree of every record at
+once, so that the rounds follow the logarithm of the longest chain.  Trees whose head is a root fall apart at
+the children of roots.  What remains is a graph of such *units*, as high as links are damaged.  Its leaves are peeled
+bottom-up: each round sends lists of descendants (as rows, never as one array) and subtree sizes to the parents.  What
+cannot be peeled contains the closed loops; these are taken out and peeling goes on with what lies above them.  In the
+reverse order of peeling, roots, depths and paths are handed down.
 
 Defined results: repeated rows of a record count once (the first received), links that are null, 0 or point
 to no record are ignored, records without an id are dropped, records not reached keep null root and depth.
@@ -13,27 +14,37 @@ to no record are ignored, records without an id are dropped, records not reached
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.session import cut
+from lumenframe.session import Rounds, cut, cut_counted
+
+IDS = "array<bigint>"
 
 
 @dataclass
-class Hierarchy:
-    """``records``: one row per record; ``members``: (id, seg, pos); ``reached``: (root_id, seg, path)."""
+class Trees:
+    """``members``: (id, head, pos, depth, top, inside) of records below heads; ``cyclic``: ids on loops that nothing enters.
+
+    ``pos`` counts links from the head, ``depth`` those to a first child, ``top`` is where the first of these leads,
+    ``inside`` holds their sources, if paths are wanted.  ``ups[k]`` is (id, up): the record 2^k links above.
+    """
 
-    records: DataFrame
     members: DataFrame
-    reached: DataFrame
+    cyclic: DataFrame
+    ups: list[DataFrame]
 
-    def descendants(self) -> DataFrame:
-        """(root_id, record_id) of every record below a root."""
-        pairs = self.reached.select("root_id", "seg").distinct().join(self.members, "seg")
-        return pairs.select("root_id", F.col("id").alias("record_id"))
+
+@dataclass
+class Peeled:
+    """``units``: (unit, whole, unknown, peel_round), ``lists``: (holder, unit) of the units at and below a holder, by round."""
+
+    units: Rounds
+    lists: Rounds
+    sent: Rounds
+    rounds: int = 0
 
 
 def _nodes(records: DataFrame) -> DataFrame:
@@ -49,187 +60,240 @@ def _links(nodes: DataFrame) -> DataFrame:
     return cut(all_links.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi"))
 
 
-def _contract(state: DataFrame) -> DataFrame:
-    """Pointer jumping: ``id`` follows ``ptr`` until it points to a done row; ``pos`` counts steps, ``inside`` joins what lies between.
+def _trees(nodes: DataFrame, links: DataFrame, starts: DataFrame, paths: bool) -> Trees:
+    """Records by head.  Each round doubles the links that are jumped; a record is done once it points to its head.
 
-    Rows that are still not done after as many doublings as there are rows lie on loops that nothing enters.
+    If no more than 2^r records are still open after r rounds, the next round reaches the heads of all but those that
+    hang below a loop without entry, and these then point to records on the loop.
+    """
+    entering = links.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min(F.struct("src", "kind")).alias("by"))
+    ids = nodes.select("id").join(entering, "id", "left").join(starts.withColumn("start", F.lit(True)), "id", "left")
+    head, child = (F.coalesce("n", F.lit(0)) != 1) | F.coalesce("start", F.lit(False)), F.col("by.kind") == "c"
+    none = F.array().cast(IDS)
+    inside = F.when(~head & child, F.array("by.src")).otherwise(none) if paths else none
+    begin = ids.select("id", F.when(head, F.col("id")).otherwise(F.col("by.src")).alias("ptr"), (~head).cast("bigint").alias("pos"), (~head & child).cast("bigint").alias("depth"), F.when(~head & child, F.col("id")).alias("top"), inside.alias("inside"), head.alias("done"))
+    held = Rounds(nodes.sparkSession, f"id bigint, ptr bigint, pos bigint, depth bigint, top bigint, inside {IDS}, done boolean")
+    state, active = held.add(begin, "not done")
+    rounds = 0
+    while active:
+        last = active <= 2**rounds
+        known = held.all().where("done").unionByName(state.where("not done"))
+        above = known.select(F.col("id").alias("ptr"), *[F.col(c).alias(f"_{c}") for c in ("ptr", "pos", "depth", "top", "inside", "done")])
+        moved = state.where("not done").join(above, "ptr").select("id", F.col("_ptr").alias("ptr"), (F.col("pos") + F.col("_pos")).alias("pos"), (F.col("depth") + F.col("_depth")).alias("depth"), F.coalesce("_top", "top").alias("top"), F.concat("_inside", "inside").alias("inside"), F.col("_done").alias("done"))
+        state, active = held.add(moved, "not done")
+        rounds += 1
+        if last and active <= 2**rounds:
+            break
+    members = held.all().where("done").select("id", F.col("ptr").alias("head"), "pos", "depth", "top", "inside")
+    cyclic = state.where("not done").select(F.col("ptr").alias("id")).distinct()
+    ups = [held.at(k).where(f"not done and pos = {2**k}").select("id", F.col("ptr").alias("up")) for k in range(len(held.paths))]
+    return Trees(members, cyclic, ups)
+
+
+def _root_heads(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Heads whose chains of siblings are roots: the entries, and heads that such a chain leads to."""
+    steps = edges.where("kind = 'n' and top is null").select("head", "to")
+    held = Rounds(starts.sparkSession, "head bigint")
+    front, n = held.add(starts.select(F.col("id").alias("head")))
+    while n:
+        step = front.join(steps, "head").select(F.col("to").alias("head")).distinct()
+        front, n = held.add(step.join(held.all(), "head", "left_anti"))
+    return held.all()
+
+
+def _wanted(links: DataFrame, units: DataFrame) -> DataFrame:
+    """Root units whose lists someone else needs: entered from below a root or from no root, or following such a unit."""
+    root_units = units.where("is_root").select("unit").distinct()
+    into = links.join(root_units.withColumnRenamed("unit", "to"), "to", "left_semi")
+    held = Rounds(links.sparkSession, "unit bigint")
+    front, n = held.add(into.where("not chain").select(F.col("to").alias("unit")).distinct())
+    while n:
+        step = front.join(into.where("chain"), "unit").select(F.col("to").alias("unit")).distinct()
+        front, n = held.add(step.join(held.all(), "unit", "left_anti"))
+    return held.all()
+
+
+def _peel(state: DataFrame, links: DataFrame, list_links: DataFrame, keep: DataFrame, out: Peeled) -> DataFrame:
+    """Peel ``state`` (unit, whole, unknown, n_open) as far as it goes, adding to ``out``; what is left over.
+
+    Each round takes the units without an open child and sends sizes and lists to their parents.
     """
-    state = cut(state)
-    rounds, active = 0, state.where("not done").count()
-    limit = math.ceil(math.log2(max(active, 2))) + 1
-    while active and rounds < limit:
-        target = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("pos").alias("pos2"), F.col("inside").alias("inside2"), F.col("done").alias("done2"))
-        moved = state.where("not done").join(target, "ptr")
-        moved = moved.select("id", F.col("ptr2").alias("ptr"), (F.col("pos") + F.col("pos2")).alias("pos"), F.concat("inside2", "inside").alias("inside"), F.col("done2").alias("done"))
-        state = cut(state.where("done").unionByName(moved))
-        rounds, active = rounds + 1, state.where("not done").count()
+    state, n_leaves = cut_counted(state, "n_open = 0")
+    while n_leaves:
+        leaves = out.units.add(state.where("n_open = 0").select("unit", "whole", "unknown", F.lit(out.rounds).alias("peel_round")))[0]
+        got = out.sent.all().withColumnRenamed("parent", "holder").join(leaves.select(F.col("unit").alias("holder")), "holder", "left_semi")
+        lists = leaves.select(F.col("unit").alias("holder"), "unit").union(got.select("holder", "unit")).distinct()
+        send = list_links.select(F.col("unit").alias("parent"), F.col("to").alias("holder")).distinct()
+        lists = cut(lists)
+        out.lists.add(lists.join(keep, "holder", "left_semi"))
+        out.sent.add(lists.join(send, "holder").select("parent", "unit").distinct())
+        sizes = links.join(leaves.select(F.col("unit").alias("to"), "whole", "unknown"), "to")
+        sent = sizes.groupBy("unit").agg(F.sum("whole").alias("more"), F.max("unknown").alias("other"), F.count("*").alias("n"))
+        rest = state.where("n_open > 0").join(sent, "unit", "left")
+        zero = F.lit(0)
+        state, n_leaves = cut_counted(rest.select("unit", (F.col("whole") + F.coalesce("more", zero)).alias("whole"), (F.col("unknown") | F.coalesce("other", F.lit(False))).alias("unknown"), (F.col("n_open") - F.coalesce("n", zero)).alias("n_open")), "n_open = 0")
+        out.rounds += 1
     return state
 
 
-def _segments(nodes: DataFrame, links: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, seg, pos) of every record, and the ids on sibling loops that nothing else enters."""
-    entering = links.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("prev"), F.max("kind").alias("kind"))
-    interior = entering.where("n = 1 and kind = 'n' and prev != dst").select(F.col("dst").alias("id"), "prev").join(starts, "id", "left_anti")
-    head = F.col("prev").isNull()
-    ids = nodes.select("id").join(interior, "id", "left")
-    state = _contract(ids.select("id", F.coalesce("prev", "id").alias("ptr"), F.when(head, 0).otherwise(1).cast("bigint").alias("pos"), F.array().cast("array<bigint>").alias("inside"), head.alias("done")))
-    return state.where("done").select("id", F.col("ptr").alias("seg"), "pos"), state.where("not done").select("id")
-
-
-def _trunks(segs: DataFrame, edges: DataFrame, starts: DataFrame, root_segs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(seg, trunk, inside) of every segment, the segments on loops of single children, and the edges between trunks.
+def _loops(residual: DataFrame) -> DataFrame:
+    """(unit, loop) of the units on closed loops, from links (unit, to) that could not be peeled.
 
-    ``inside`` holds the records passed on the way from the head of the trunk to the segment.
+    Links whose source nothing enters are trimmed; then the largest id that reaches a unit is spread along
+    the links, and a unit that reaches its own colour back is on the loop of that colour.
     """
-    leaving = edges.groupBy("seg").agg(F.count("*").alias("n_out"))
-    entering = edges.groupBy("to").agg(F.count("*").alias("n_in"))
-    single = edges.where("kind = 'c' and seg != to").join(leaving.where("n_out = 1"), "seg", "left_semi").join(entering.where("n_in = 1"), "to", "left_semi")
-    single = cut(single.join(starts.select(F.col("id").alias("to")), "to", "left_anti").join(root_segs, "seg", "left_anti").select("to", "seg", "src"))
-    head = F.col("prev").isNull()
-    ids = segs.select(F.col("seg").alias("id")).join(single.select(F.col("to").alias("id"), F.col("seg").alias("prev"), "src"), "id", "left")
-    inside = F.when(head, F.array().cast("array<bigint>")).otherwise(F.array("src"))
-    state = _contract(ids.select("id", F.coalesce("prev", "id").alias("ptr"), F.when(head, 0).otherwise(1).cast("bigint").alias("pos"), inside.alias("inside"), head.alias("done")))
-    trunks = cut(state.where("done").select(F.col("id").alias("seg"), F.col("ptr").alias("trunk"), "inside"))
-    between = edges.join(single.select("to"), "to", "left_anti").join(trunks, "seg").select("trunk", "seg", "inside", "src", "to", "kind")
-    return trunks, state.where("not done").select(F.col("id").alias("seg")), cut(between)
-
-
-def _empty(df: DataFrame) -> bool:
-    return not df.take(1)
+    held = Rounds(residual.sparkSession, "unit bigint, loop bigint")
+    left, now = cut_counted(residual.select("unit", "to").distinct())
+    while True:
+        before = -1
+        while now and now != before:
+            before = now
+            trimmed = left.join(left.select(F.col("to").alias("unit")).distinct(), "unit", "left_semi").join(left.select(F.col("unit").alias("to")).distinct(), "to", "left_semi")
+            left, now = cut_counted(trimmed.select("unit", "to"))
+        if not now:
+            return held.all()
+        colour, changed = cut(left.select("unit").union(left.select("to")).distinct().select("unit", F.col("unit").alias("colour"))), 1
+        while changed:
+            sent = left.join(colour, "unit").select(F.col("to").alias("unit"), F.col("colour").alias("sent")).groupBy("unit").agg(F.max("sent").alias("sent"))
+            new = colour.join(sent, "unit", "left").select("unit", F.greatest("colour", F.coalesce("sent", "colour")).alias("colour"), (F.col("sent") > F.col("colour")).alias("changed"))
+            new, changed = cut_counted(new, "changed")
+            colour = new.drop("changed")
+        inside = left.join(colour, "unit").join(colour.select(F.col("unit").alias("to"), F.col("colour").alias("to_colour")), "to").where("colour = to_colour").select("unit", "to", "colour")
+        inside = cut(inside)
+        # Walk backwards from each colour's own unit.
+        back = Rounds(residual.sparkSession, "unit bigint, colour bigint")
+        front, n = back.add(inside.where("to = colour").select("unit", "colour").distinct())
+        while n:
+            step = inside.join(front.select(F.col("unit").alias("to"), "colour"), ["to", "colour"]).select("unit", "colour").distinct()
+            front, n = back.add(step.join(back.all(), ["unit", "colour"], "left_anti"))
+        held.add(back.all().select("unit", F.col("colour").alias("loop")))
+        gone = cut(colour.where("unit = colour").select("unit").union(back.all().select("unit")).distinct())
+        left, now = cut_counted(left.join(gone, "unit", "left_anti").join(gone.withColumnRenamed("unit", "to"), "to", "left_anti").select("unit", "to"))
 
 
-def _peel(edges: DataFrame, trunks: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """(trunk, below, peel_round) of every trunk that can be peeled, and the edges between those that cannot.
+def _and_above(ids: DataFrame, trees: Trees) -> DataFrame:
+    """The ids and all records above them in their trees: jumps of falling size reach every distance."""
+    for up in reversed(trees.ups):
+        ids = ids.join(up, "id", "left").select(F.explode(F.array_compact(F.array("id", "up"))).alias("id")).distinct()
+    return ids
 
-    Each round takes the trunks without an open child and sends the sizes of their subtrees to their parents.
-    """
-    into = cut(edges.select(F.col("to").alias("trunk"), F.col("trunk").alias("parent")))
-    opened = edges.groupBy("trunk").agg(F.count("*").alias("n_open"))
-    state = trunks.join(opened, "trunk", "left").select("trunk", "length", F.lit(0).cast("bigint").alias("below"), F.coalesce("n_open", F.lit(0)).alias("n_open"))
-    state, peeled, rounds = cut(state), None, 0
-    while not _empty(leaves := state.where("n_open = 0")):
-        done = leaves.select("trunk", "below", F.lit(rounds).alias("peel_round"))
-        peeled = done if peeled is None else peeled.union(done)
-        sent = into.join(leaves.select("trunk", (F.col("length") + F.col("below")).alias("size")), "trunk").groupBy(F.col("parent").alias("trunk")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-        rest = state.where("n_open > 0").join(sent, "trunk", "left")
-        state = cut(rest.select("trunk", "length", (F.col("below") + F.coalesce("size", F.lit(0))).alias("below"), (F.col("n_open") - F.coalesce("n", F.lit(0))).alias("n_open")))
-        rounds += 1
-    stuck = state.select("trunk")
-    left = edges.join(stuck, "trunk", "left_semi").join(stuck.withColumnRenamed("trunk", "to"), "to", "left_semi")
-    return peeled, cut(left.select(F.col("trunk").alias("seg"), "to"))
 
+@dataclass
+class Hierarchy:
+    """What ``build`` found; ``descendants`` and ``records`` are made from it."""
 
-def _loops(residual: DataFrame) -> DataFrame:
-    """(seg, loop) of the segments on closed loops, from edges that could not be peeled.
+    nodes: DataFrame
+    links: DataFrame
+    trees: Trees
+    units: DataFrame
+    edges: DataFrame
+    below_roots: DataFrame
+    looped: DataFrame
+    peeled: Peeled
 
-    Edges whose source nothing enters are trimmed; then the largest id that reaches a segment is spread along
-    the edges, and a segment that reaches its own colour back is on the loop of that colour.
+    def descendants(self) -> DataFrame:
+        """(root_id, record_id) of every record below a root: the lists that peeling sent to the children of roots."""
+        pairs = self.below_roots.withColumnRenamed("unit", "holder").join(self.peeled.lists.all(), "holder").select("root_id", "unit")
+        return pairs.distinct().join(self.units.select("unit", F.col("id").alias("record_id")), "unit").select("root_id", "record_id")
+
+    @property
+    def records(self) -> DataFrame:
+        """(record_id, file_set_id, status, root_id, parent_id, depth, path, n_descendants, peel_round), one row per record.
+
+        A record linked from two places takes the smallest (root, path length, path) and counts once per link in
+        n_descendants; n_descendants is null for records above a loop, whose subtree could not be peeled.
+        """
+        placed, below = self._placed(), self._below()
+        rounds = self.peeled.units.all().select("unit", "peel_round")
+        rows = self.units.join(placed, "unit", "left").join(rounds, "unit", "left")
+        rows = self.nodes.select("id", "file_set_id").join(rows, "id", "left").join(below, "id", "left").join(self.looped.withColumn("on_loop", F.lit(True)), "id", "left")
+        loop, root = F.coalesce("on_loop", F.lit(False)), F.coalesce("is_root", F.lit(False))
+        path = F.concat("v.path", "inside")
+        seen = ~loop & F.col("v").isNotNull()
+        return rows.select(
+            F.col("id").alias("record_id"),
+            "file_set_id",
+            F.when(loop, "loop").when(root, "root").when(seen, "below").otherwise("unreached").alias("status"),
+            F.when(~loop & root, F.col("id")).when(seen, F.col("v.root_id")).alias("root_id"),
+            F.when(seen & ~root, F.element_at(path, -1)).alias("parent_id"),
+            F.when(~loop & root, 0).when(seen, F.size(path)).alias("depth"),
+            F.when(~loop & root, F.col("id").cast("string")).when(seen, F.concat_ws("/", path.cast("array<string>"), F.col("id").cast("string"))).alias("path"),
+            F.when(~loop & (F.coalesce("unknown", F.lit(0)) == 0), F.coalesce("n", F.lit(0))).alias("n_descendants"),
+            "peel_round",
+        )
+
+    def _placed(self) -> DataFrame:
+        """(unit, v: root_id, size, path) of every unit below a root, handed down against the order of peeling."""
+        held = Rounds(self.nodes.sparkSession, f"unit bigint, v struct<root_id:bigint,size:int,path:{IDS}>")
+        rounds = self.peeled.units.all().select("unit", "peel_round")
+        first = self.below_roots.select("unit", F.col("root_id").alias("root"), F.array("root_id").alias("path"))
+        steps = cut(self.edges.join(rounds.select(F.col("unit").alias("to"), "peel_round"), "to"))
+        for t in reversed(range(self.peeled.rounds)):
+            own = first.join(rounds.where(F.col("peel_round") == t), "unit").select("unit", "root", "path")
+            path = F.concat("v.path", "inside", F.when(F.col("kind") == "c", F.array("src")).otherwise(F.array().cast(IDS)))
+            given = steps.where(F.col("peel_round") == t).join(held.all(), "unit").select(F.col("to").alias("unit"), F.col("v.root_id").alias("root"), path.alias("path"))
+            held.add(own.union(given).groupBy("unit").agg(F.min(F.struct(F.col("root").alias("root_id"), F.size("path").alias("size"), "path")).alias("v")))
+        return held.all()
+
+    def _below(self) -> DataFrame:
+        """(id, n, unknown) of the records that have a child: sizes below it, summed over jumps of rising size."""
+        whole = self.peeled.units.all().select(F.col("unit").alias("to"), "whole", "unknown")
+        sent = self.edges.where("not split").join(whole, "to", "left").groupBy(F.col("src").alias("id")).agg(F.sum("whole").alias("more"), F.max(F.coalesce("unknown", F.lit(True)).cast("int")).alias("other"))
+        zero = F.lit(0)
+        sums = cut(self.nodes.select("id").join(sent, "id", "left").select("id", (1 + F.coalesce("more", zero)).alias("n"), F.coalesce("other", zero).alias("unknown")))
+        for up in self.trees.ups:
+            sent = up.join(sums, "id").groupBy(F.col("up").alias("id")).agg(F.sum("n").alias("more"), F.max("unknown").alias("other"))
+            sums = cut(sums.join(sent, "id", "left").select("id", (F.col("n") + F.coalesce("more", zero)).alias("n"), F.greatest("unknown", F.coalesce("other", zero)).alias("unknown")))
+        return self.links.where("kind = 'c'").join(sums.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "n", "unknown")
+
+
+def build(records: DataFrame, file_sets: DataFrame, paths: bool = True) -> Hierarchy:
+    """Hierarchies of ``records`` (record_id, file_set_id, next_sibling, first_child, received_at) from the entries in ``file_sets`` (first_root_record).
+
+    Without ``paths`` only descendants can be asked for.
     """
-    spark = residual.sparkSession
-    found = spark.createDataFrame([], "seg bigint, loop bigint")
-    left = residual.select("seg", "to").distinct()
-    while True:
-        before = -1
-        while True:
-            left = cut(left.join(left.select(F.col("to").alias("seg")).distinct(), "seg", "left_semi").join(left.select(F.col("seg").alias("to")).distinct(), "to", "left_semi").select("seg", "to"))
-            now = left.count()
-            if now == before or now == 0:
-                break
-            before = now
-        if now == 0:
-            return found
-        colour = cut(left.select("seg").union(left.select("to")).distinct().select("seg", F.col("seg").alias("colour")))
-        while True:
-            sent = left.join(colour, "seg").select(F.col("to").alias("seg"), F.col("colour").alias("sent")).groupBy("seg").agg(F.max("sent").alias("sent"))
-            new = cut(colour.join(sent, "seg", "left").select("seg", F.greatest("colour", F.coalesce("sent", "colour")).alias("colour"), (F.col("sent") > F.col("colour")).alias("changed")))
-            changed = not _empty(new.where("changed"))
-            colour = new.drop("changed")
-            if not changed:
-                break
-        inside = left.join(colour, "seg").join(colour.select(F.col("seg").alias("to"), F.col("colour").alias("to_colour")), "to").where("colour = to_colour").select("seg", "to", "colour")
-        inside = cut(inside)
-        # Walk backwards from each colour's own segment.
-        back = cut(inside.where("to = colour").select("seg", "colour").distinct())
-        front = back
-        while not _empty(front):
-            front = inside.join(front.select(F.col("seg").alias("to"), "colour"), ["to", "colour"]).select("seg", "colour").distinct().join(back, ["seg", "colour"], "left_anti")
-            front = cut(front)
-            back = cut(back.union(front))
-        found = cut(found.union(back.select("seg", F.col("colour").alias("loop"))))
-        gone = colour.where("seg = colour").select("seg").union(back.select("seg")).distinct()
-        left = left.join(gone, "seg", "left_anti").join(gone.withColumnRenamed("seg", "to"), "to", "left_anti").select("seg", "to")
-
-
-def build(records: DataFrame, file_sets: DataFrame) -> Hierarchy:
-    """Hierarchies of ``records`` (record_id, file_set_id, next_sibling, first_child, received_at) from the entries in ``file_sets`` (first_root_record)."""
     nodes = _nodes(records)
     links = _links(nodes)
-    starts = file_sets.select(F.col("first_root_record").alias("id")).where("id is not null").distinct().join(nodes.select("id"), "id", "left_semi")
-    members, idle = _segments(nodes, links, starts)
-    members = cut(members)
-    inner = members.where("pos > 0").select(F.col("id").alias("dst"))
-    edges = links.join(inner, "dst", "left_anti").join(members.withColumnRenamed("id", "src"), "src").select("seg", "pos", "src", F.col("dst").alias("to"), "kind")
-    edges = cut(edges)
-
-    front = starts.join(members, "id").select("seg").distinct()
-    root_segs = front
-    while True:
-        front = cut(front.join(edges.where("kind = 'n'"), "seg").select(F.col("to").alias("seg")).distinct().join(root_segs, "seg", "left_anti"))
-        if _empty(front):
-            break
-        root_segs = cut(root_segs.union(front))
-
-    lengths = members.groupBy("seg").agg(F.count("*").alias("length"))
-    trunks, idle_segs, between = _trunks(lengths, edges, starts, root_segs)
-    sizes = trunks.join(lengths, "seg").groupBy("trunk").agg(F.sum("length").alias("length"))
-    peeled, residual = _peel(between, sizes)
-    # A loop enters a segment at its head: the members up to the last link back into the loop are on it.
-    on_loops = trunks.join(_loops(residual).withColumnRenamed("seg", "trunk"), "trunk").select("seg", "loop").union(idle_segs.select("seg", F.lit(-1).cast("bigint").alias("loop")))
-    on_loops = cut(on_loops)
-    last = edges.join(on_loops, "seg").join(on_loops.select(F.col("seg").alias("to"), F.col("loop").alias("to_loop")), "to").where("loop = to_loop").groupBy("seg").agg(F.max("pos").alias("last"))
-    last = cut(last)
-    looped = cut(members.join(last, "seg").where("pos <= last").select("id").union(idle))
-    clean = cut(between.join(last.select(F.col("seg").alias("to")), "to", "left_anti"))
-    roots = cut(members.join(root_segs, "seg").select("id").join(looped, "id", "left_anti"))
-
-    # Down from the roots: what enters a trunk at its head reaches all of it.
-    step = clean.where("kind = 'c'").join(roots.withColumnRenamed("id", "src"), "src")
-    front = cut(step.select(F.col("src").alias("root_id"), F.col("to").alias("trunk"), F.array("src").alias("path")))
-    reached = front.limit(0)
-    while not _empty(front):
-        reached = reached.union(front)
-        path = F.concat("path", "inside", F.when(F.col("kind") == "c", F.array("src")).otherwise(F.array().cast("array<bigint>")))
-        front = front.join(clean, "trunk").select("root_id", F.col("to").alias("trunk"), path.alias("path"))
-        front = cut(front.groupBy("root_id", "trunk").agg(F.min(F.struct(F.size("path"), "path")).alias("v")).select("root_id", "trunk", "v.path"))
-    spread = reached.join(trunks, "trunk").join(last.select("seg"), "seg", "left_anti").select("root_id", "seg", F.concat("path", "inside").alias("path"))
-    return Hierarchy(_described(nodes, members, roots, looped, spread, edges, trunks, peeled, lengths), members, spread)
-
-
-def _described(nodes: DataFrame, members: DataFrame, roots: DataFrame, looped: DataFrame, reached: DataFrame, edges: DataFrame, trunks: DataFrame, peeled: DataFrame | None, lengths: DataFrame) -> DataFrame:
-    """(record_id, file_set_id, status, root_id, parent_id, depth, path, n_descendants, peel_round), one row per record.
-
-    A record linked from two places takes the smallest (root, path length, path) and counts once per link in
-    n_descendants; n_descendants is null for records above a loop, whose subtree could not be peeled.
-    """
-    first = reached.groupBy("seg").agg(F.min(F.struct("root_id", F.size("path").alias("depth"), "path")).alias("v"))
-    if peeled is None:
-        peeled = trunks.limit(0).select("trunk", F.lit(0).cast("bigint").alias("below"), F.lit(0).alias("peel_round"))
-    # Records below a segment: the segments after it in its trunk, and what was sent to the trunk.
-    after = Window.partitionBy("trunk").orderBy(F.size("inside").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    under = trunks.join(lengths, "seg").join(peeled, "trunk", "left").select("seg", "peel_round", (F.col("below") + F.coalesce(F.sum("length").over(after), F.lit(0)) + F.col("length")).alias("whole"))
-    below = edges.where("kind = 'c'").join(under.select(F.col("seg").alias("to"), "whole"), "to", "left").groupBy(F.col("src").alias("id")).agg(F.sum("whole").alias("n"), F.count_if(F.col("whole").isNull()).alias("unknown"))
-    rows = members.join(first, "seg", "left").join(under.select("seg", "peel_round"), "seg", "left").join(below, "id", "left").join(roots.withColumn("is_root", F.lit(True)), "id", "left")
-    placed = nodes.select("id", "file_set_id").join(rows, "id", "left").join(looped.withColumn("on_loop", F.lit(True)), "id", "left")
-    loop, root = F.coalesce("on_loop", F.lit(False)), F.coalesce("is_root", F.lit(False))
-    seen = ~loop & F.col("v").isNotNull()
-    return placed.select(
-        F.col("id").alias("record_id"),
-        "file_set_id",
-        F.when(loop, "loop").when(root, "root").when(seen, "below").otherwise("unreached").alias("status"),
-        F.when(~loop & root, F.col("id")).when(seen, F.col("v.root_id")).alias("root_id"),
-        F.when(seen & ~root, F.element_at("v.path", -1)).alias("parent_id"),
-        F.when(~loop & root, 0).when(seen, F.col("v.depth")).alias("depth"),
-        F.when(~loop & root, F.col("id").cast("string")).when(seen, F.concat_ws("/", F.col("v.path").cast("array<string>"), F.col("id").cast("string"))).alias("path"),
-        F.when(~loop & (F.coalesce("unknown", F.lit(0)) == 0), F.coalesce("n", F.lit(0))).alias("n_descendants"),
-        "peel_round",
-    )
+    starts = cut(file_sets.select(F.col("first_root_record").alias("id")).where("id is not null").distinct().join(nodes.select("id"), "id", "left_semi"))
+    trees = _trees(nodes, links, starts, paths)
+    heads = trees.members.where("id = head").select(F.col("id").alias("dst"))
+    edges = cut(links.join(heads, "dst", "left_semi").join(trees.members.withColumnRenamed("id", "src"), "src").select("head", "top", "inside", "pos", "src", F.col("dst").alias("to"), "kind"))
+    root_heads = _root_heads(starts, edges)
+
+    # Trees of roots fall apart at the children of roots.
+    flagged = trees.members.join(root_heads.withColumn("rooted", F.lit(True)), "head", "left")
+    split = F.coalesce("rooted", F.lit(False)) & F.col("top").isNotNull()
+    is_root = F.coalesce("rooted", F.lit(False)) & F.col("top").isNull()
+    own_inside = F.when(split, F.slice("inside", F.lit(2), F.greatest(F.size("inside") - 1, F.lit(0)))).otherwise(F.col("inside"))
+    units = cut(flagged.select("id", F.when(split, F.col("top")).otherwise(F.col("head")).alias("unit"), is_root.alias("is_root"), "head", own_inside.alias("inside")))
+    tops = units.where("unit = id and unit != head").select("id", F.col("head").alias("unit"))
+    to_tops = tops.join(links.where("kind = 'c'").withColumnRenamed("dst", "id"), "id").select("unit", "src", F.col("id").alias("to"), "kind", F.array().cast(IDS).alias("inside"), F.lit(False).alias("chain"), F.lit(True).alias("split"))
+    placed = edges.join(units.select(F.col("id").alias("src"), "unit", "is_root", F.col("inside").alias("own")), "src")
+    chain = F.col("is_root") & (F.col("kind") == "n")
+    between = cut(placed.select("unit", "src", "to", "kind", F.col("own").alias("inside"), chain.alias("chain"), F.lit(False).alias("split")).union(to_tops))
+
+    # Peel, take out the loops, peel what was above them.
+    wanted = _wanted(between, units)
+    unwanted = units.where("is_root").select("unit").distinct().join(wanted, "unit", "left_anti")
+    list_links = between.join(unwanted, "unit", "left_anti")
+    children = links.where("kind = 'c'").join(units.where("is_root").select(F.col("id").alias("src")), "src").select(F.col("src").alias("root_id"), F.col("dst").alias("unit"))
+    children = cut(children)
+    keep = children.select(F.col("unit").alias("holder")).distinct()
+    spark = nodes.sparkSession
+    out = Peeled(Rounds(spark, "unit bigint, whole bigint, unknown boolean, peel_round int"), Rounds(spark, "holder bigint, unit bigint"), Rounds(spark, "parent bigint, unit bigint"))
+    opened = between.groupBy("unit").agg(F.count("*").alias("n_open"))
+    sizes = units.groupBy("unit").agg(F.count("*").alias("whole"))
+    state = sizes.join(opened, "unit", "left").select("unit", "whole", F.lit(False).alias("unknown"), F.coalesce("n_open", F.lit(0)).alias("n_open"))
+    stuck = _peel(state, between, list_links, keep, out)
+    residual = between.join(stuck.select("unit"), "unit", "left_semi").join(stuck.select(F.col("unit").alias("to")), "to", "left_semi")
+    on_loops = _loops(residual)
+    alive = stuck.join(on_loops.select("unit"), "unit", "left_anti").select("unit", "whole")
+    ahead = residual.join(on_loops.select(F.col("unit").alias("to"), F.lit(True).alias("looped")), "to", "left").groupBy("unit").agg(F.count_if(F.col("looped").isNull()).alias("n_open"), F.count_if("looped").alias("n_loops"))
+    state = alive.join(ahead, "unit", "left").select("unit", "whole", (F.coalesce("n_loops", F.lit(0)) > 0).alias("unknown"), F.coalesce("n_open", F.lit(0)).alias("n_open"))
+    _peel(state, between, list_links, keep, out)
+
+    # On a loop is what lies above its links; a loop without entry is known from the jumps.
+    inner = residual.join(on_loops, "unit").join(on_loops.select(F.col("unit").alias("to"), F.col("loop").alias("to_loop")), "to").where("loop = to_loop")
+    looped = cut(_and_above(inner.select(F.col("src").alias("id")).distinct(), trees).union(trees.cyclic).distinct())
+    below_roots = cut(children.join(looped.withColumnRenamed("id", "root_id"), "root_id", "left_anti"))
+    return Hierarchy(nodes, links, trees, units, between, below_roots, looped, out)

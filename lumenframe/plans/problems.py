@@ -30,12 +30,12 @@ def p1_zone_estimates(spark: SparkSession, d: str) -> DataFrame:
     return stations.select("station_id", "zone_id").join(estimate, "station_id", "left")
 
 
-def _hierarchy(spark: SparkSession, d: str) -> hierarchy.Hierarchy:
-    return hierarchy.build(table(spark, d, "dicomdir_records"), table(spark, d, "file_sets"))
+def _hierarchy(spark: SparkSession, d: str, paths: bool = True) -> hierarchy.Hierarchy:
+    return hierarchy.build(table(spark, d, "dicomdir_records"), table(spark, d, "file_sets"), paths)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _hierarchy(spark, d).descendants()
+    return _hierarchy(spark, d, paths=False).descendants()
 
 
 def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:

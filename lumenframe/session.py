@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -35,11 +36,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: what the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) it is a temporary folder of this machine.
+    Only where that is unset and all work is done in this process (tests, a laptop) it is a temporary folder of this machine;
+    a cluster without the setting is an error, since each executor would write to a disk of its own.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     global _own
     _own = _own or tempfile.mkdtemp(prefix="lumenframe-")
     return f"file://{_own}"
@@ -49,6 +53,16 @@ _own: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _write(df: DataFrame) -> str:
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lumenframe-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release)
+    _written.append((spark, path))
+    df.write.parquet(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder and continue from there.
 
@@ -56,13 +70,35 @@ def cut(df: DataFrame) -> DataFrame:
     unlike a checkpoint, carries no constraints of the earlier plan, which iterations would multiply.  The tables
     of a session are removed when the process ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lumenframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(release)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df))
+
+
+def cut_counted(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+    """``cut``, and how many rows fulfil the condition, counted by the same job."""
+    seen = Observation()
+    held = cut(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+    return held, int(seen.get.get("n") or 0)
+
+
+class Rounds:
+    """Tables of one schema, written one after the other by an iteration, that can be read as one."""
+
+    def __init__(self, spark: SparkSession, ddl: str) -> None:
+        self.spark, self.ddl, self.paths = spark, ddl, []
+
+    def add(self, df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+        """The rows as a table, and how many fulfil the condition."""
+        seen = Observation()
+        empty = self.spark.createDataFrame([], self.ddl)
+        named = df.select(*[F.col(f.name).cast(f.dataType) for f in empty.schema])
+        self.paths.append(_write(named.observe(seen, F.count_if(F.expr(condition)).alias("n"))))
+        return self.at(-1), int(seen.get.get("n") or 0)
+
+    def at(self, i: int) -> DataFrame:
+        return self.spark.read.schema(self.ddl).parquet(self.paths[i])
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.ddl).parquet(*self.paths) if self.paths else self.spark.createDataFrame([], self.ddl)
 
 
 def release() -> None:
