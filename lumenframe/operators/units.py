@@ -5,13 +5,15 @@ worked out once on the driver (the graph is a constant), every cycle is checked
 and the data are equi-joined on source unit and target unit.
 
 Defined results: a null or non-finite value, an unknown unit or a unit of another dimension give a null result; a
-unit code that is unknown gives way to the meaning, then to a unit named in the free text.
+unit code that is unknown gives way to the meaning, then to a unit in brackets at the end of the label, then to a unit named
+in the free text.
 """
 
 from __future__ import annotations
 
 import re
 from collections import deque
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +66,15 @@ def compositions(conversions: list[tuple[str, str, float, float]] = CONVERSIONS,
     return pairs
 
 
+@cache
+def dimensions() -> dict[str, str]:
+    """Unit to the first unit, in order of the alphabet, that it can be converted to: the name of its dimension."""
+    found: dict[str, str] = {}
+    for source, target in sorted(compositions()):
+        found.setdefault(source, target)
+    return found
+
+
 def conversion_table(spark: SparkSession) -> DataFrame:
     """(source_unit, target_unit, factor, shift): constant, a few hundred rows."""
     return spark.createDataFrame([(s, t, a, b) for (s, t), (a, b) in compositions().items()], "source_unit string, target_unit string, factor double, shift double")
@@ -83,18 +94,27 @@ def unit_of(text: Column) -> Column:
     return F.try_element_at(table, _plain(text))
 
 
+def dimension_of(unit: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in dimensions().items() for x in pair]), unit)
+
+
+def unit_in_label(label: Column) -> Column:
+    """Canonical unit that a label ends with in brackets, null if unknown; the unit's own spelling may hold brackets."""
+    inside = F.regexp_extract(label, r"[\[(]\s*([^()]*?)\s*[\])]\s*$", 1)
+    return F.coalesce(unit_of(inside), unit_of(F.regexp_extract(label, r"[\[(]\s*([^\[\]()]*?)\s*[\])]\s*$", 1)))
+
+
 def _text_pattern() -> str:
     units = "|".join(re.escape(s).replace(r"\ ", " ?") for s in sorted(_spelt(), key=lambda s: (-len(s), s)))
     return rf"([-+]?[0-9]+(?:[.,][0-9]+)?(?:e[-+]?[0-9]+)?)\s*({units})(?=/(?:lsb|bit|step|count)\b| per (?:bit|lsb|step|count)\b|[^a-z0-9/\[]|$)"
 
 
-def quantity_in_text(text: Column) -> tuple[Column, Column]:
-    """(value, unit spelling) of the last number in a free text that a known unit follows; a comma counts as the decimal point."""
+def quantities_in_text(text: Column) -> Column:
+    """All (value, unit) of a free text, numbers that a known unit follows, in order; a comma counts as the decimal point."""
     pattern = _text_pattern()
     plain = _plain(text)
     numbers, units = F.regexp_extract_all(plain, F.lit(pattern), F.lit(1)), F.regexp_extract_all(plain, F.lit(pattern), F.lit(2))
-    value = F.regexp_replace(F.get(numbers, F.size(numbers) - 1), ",", ".").try_cast("double")
-    return value, F.get(units, F.size(units) - 1)
+    return F.zip_with(numbers, units, lambda n, u: F.struct(F.regexp_replace(n, ",", ".").try_cast("double").alias("value"), unit_of(u).alias("unit")))
 
 
 def unit_in_text(text: Column) -> Column:
@@ -104,26 +124,31 @@ def unit_in_text(text: Column) -> Column:
     return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
 
 
-def channel_values(channels: DataFrame) -> DataFrame:
-    """Add ``found_value`` and ``found_unit`` of the sensitivity: from its own columns, else from the derivation text.
+def channel_values(channels: DataFrame, target: str | None = None) -> DataFrame:
+    """Add ``found_value`` and ``found_unit`` of the sensitivity: from its own columns, else from label and derivation text.
 
-    Value and unit are completed separately: a value without known unit takes the text's unit only if the text gives no
-    other value, and a bare unit takes no value from a text in which another unit is named.
+    The unit comes from the code, else from the meaning, the label, the text.  Value and unit are completed separately: a value
+    without known unit takes the text's unit only if the text gives no other value, and a bare unit takes no value from a text
+    in which another unit is named.  Of several quantities of a text the last counts; those of another dimension than the unit in the
+    column ``target``, as a sampling rate, are none.
     """
-    value_text, unit_text = quantity_in_text(F.col("derivation_description"))
     own_unit = F.coalesce(unit_of(F.col("sensitivity_units_code")), unit_of(F.col("sensitivity_units_meaning")))
-    df = channels.withColumns({"_own_unit": own_unit, "_text_value": value_text, "_text_unit": unit_of(unit_text)})
+    fits = lambda unit: F.lit(True) if target is None else F.coalesce(dimension_of(unit) == dimension_of(F.col(target)), F.col(target).isNull())
+    told = F.filter(quantities_in_text(F.col("derivation_description")), lambda q: fits(q["unit"]))
+    named = unit_in_text(F.col("derivation_description"))
+    label = unit_in_label(F.col("label")) if "label" in channels.columns else F.lit(None).cast("string")
+    df = channels.withColumns({"_own_unit": F.coalesce(own_unit, F.when(fits(label), label)), "_told": F.element_at(F.when(F.size(told) > 0, told), -1), "_named": F.when(fits(named), named)})
     whole = F.col("sensitivity").isNotNull() & ~F.isnan("sensitivity")
-    from_text = ~whole & F.col("_text_value").isNotNull() & (F.col("_own_unit").isNull() | (F.col("_own_unit") == F.col("_text_unit")))
-    same = F.abs(F.col("_text_value") - F.col("sensitivity")) <= 1e-9 * F.abs("sensitivity")
-    named = F.when(F.col("_text_value").isNull(), unit_in_text(F.col("derivation_description"))).when(same, F.col("_text_unit"))
+    from_text = ~whole & F.col("_told.value").isNotNull() & (F.col("_own_unit").isNull() | (F.col("_own_unit") == F.col("_told.unit")))
+    same = F.abs(F.col("_told.value") - F.col("sensitivity")) <= 1e-9 * F.abs("sensitivity")
+    text_unit = F.when(F.col("_told.value").isNull(), F.col("_named")).when(same, F.col("_told.unit"))
     df = df.withColumns(
         {
-            "found_value": F.when(whole, F.col("sensitivity")).when(from_text, F.col("_text_value")),
-            "found_unit": F.when(whole, F.coalesce("_own_unit", named)).when(from_text, F.col("_text_unit")),
+            "found_value": F.when(whole, F.col("sensitivity")).when(from_text, F.col("_told.value")),
+            "found_unit": F.when(whole, F.coalesce("_own_unit", text_unit)).when(from_text, F.col("_told.unit")),
         }
     )
-    return df.drop("_own_unit", "_text_value", "_text_unit")
+    return df.drop("_own_unit", "_told", "_named")
 
 
 def to_nominal_units(channels: DataFrame, nominals: DataFrame) -> DataFrame:
@@ -132,8 +157,9 @@ def to_nominal_units(channels: DataFrame, nominals: DataFrame) -> DataFrame:
     ``nominals`` is the clean reference of a few dozen rows: one per device model and channel source.
     """
     reference = nominals.groupBy("device_model", "source_code_value").agg(F.min(F.struct("nominal", "nominal_unit")).alias("_n"))
-    df = channel_values(channels).join(reference, ["device_model", "source_code_value"], "left")
+    df = channels.join(reference, ["device_model", "source_code_value"], "left")
     df = df.withColumns({"nominal": F.col("_n.nominal"), "nominal_unit": F.col("_n.nominal_unit"), "_target": unit_of(F.col("_n.nominal_unit"))}).drop("_n")
+    df = channel_values(df, "_target")
     ways = conversion_table(channels.sparkSession).withColumnsRenamed({"source_unit": "found_unit", "target_unit": "_target"})
     df = df.join(F.broadcast(ways), ["found_unit", "_target"], "left")
     raw = F.col("found_value") * F.coalesce("sensitivity_correction_factor", F.lit(1.0))

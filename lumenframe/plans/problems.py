@@ -53,7 +53,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_common_units(spark: SparkSession, d: str) -> DataFrame:
     """Every channel with its sensitivity in the unit of the nominal."""
-    return _channels(spark, d).select("channel_id", "found_value", "found_unit", F.round("common_value", 9).alias("common_value"), "nominal", "nominal_unit").distinct()
+    return _channels(spark, d).select("channel_id", "found_value", "found_unit", F.round("common_value", 6).alias("common_value"), "nominal", "nominal_unit").distinct()
 
 
 def _nested(spark: SparkSession, d: str) -> DataFrame:
@@ -89,6 +89,11 @@ def p6_levels(spark: SparkSession, d: str) -> DataFrame:
     return shred.shredded(_nested(spark, d)).groupBy("origin", "leaf_path").agg(F.sum(F.size("levels")).cast("bigint").alias("entries"), F.countDistinct("parent_id").alias("records"))
 
 
+def p6_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    """The records without rows, and why."""
+    return shred.unreadable(_nested(spark, d)).select("origin", "parent_id", F.substring_index("reason", ":", 1).alias("reason"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return rejects.parse_lines(table(spark, d, "header_lines")).where("not valid").select("line_id").distinct()
 
@@ -102,16 +107,30 @@ def p7_lines(spark: SparkSession, d: str) -> DataFrame:
 _VRS = "'AE','AS','AT','CS','DA','DS','DT','FD','FL','IS','LO','LT','PN','SH','SL','SS','ST','TM','UI','UL','US'"
 _LONG = "'OB','OD','OF','OL','OV','OW','SQ','SV','UC','UN','UR','UT','UV'"
 
-def _values(rows: list[tuple]) -> str:
-    quoted = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
-    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
-
-
-_SPELT = [(spelling, unit) for unit, spellings in units.SPELLINGS.items() for spelling in spellings]
-_WAYS = [(a, b, x, y) for (a, b), (x, y) in units.compositions().items()]
-_UNITS = "|".join(s.replace("[", r"\[").replace("]", r"\]") for s, _ in sorted(_SPELT, key=lambda x: (-len(x[0]), x[0])))
+# The units of these tables, spelt out by hand: (spelling, unit, dimension, size in the nominal unit of the dimension).
+_SPELT = """
+('v', 'V', 'v', 1e6), ('volt', 'V', 'v', 1e6), ('volts', 'V', 'v', 1e6), ('mv', 'mV', 'v', 1e3), ('millivolt', 'mV', 'v', 1e3), ('milli-volt', 'mV', 'v', 1e3),
+('uv', 'uV', 'v', 1e0), ('microvolt', 'uV', 'v', 1e0), ('microvolts', 'uV', 'v', 1e0), ('nv', 'nV', 'v', 1e-3), ('nanovolt', 'nV', 'v', 1e-3),
+('mm[hg]', 'mm[Hg]', 'p', 1e0), ('mmhg', 'mm[Hg]', 'p', 1e0), ('mm hg', 'mm[Hg]', 'p', 1e0), ('torr', 'mm[Hg]', 'p', 1e0), ('millimeter of mercury', 'mm[Hg]', 'p', 1e0),
+('kpa', 'kPa', 'p', 1e3 / 133.322387415), ('kilopascal', 'kPa', 'p', 1e3 / 133.322387415), ('pa', 'Pa', 'p', 1e0 / 133.322387415), ('pascal', 'Pa', 'p', 1e0 / 133.322387415),
+('mbar', 'mbar', 'p', 1e2 / 133.322387415), ('hpa', 'mbar', 'p', 1e2 / 133.322387415), ('cm[h2o]', 'cm[H2O]', 'p', 98.0665e0 / 133.322387415), ('cmh2o', 'cm[H2O]', 'p', 98.0665e0 / 133.322387415), ('cm h2o', 'cm[H2O]', 'p', 98.0665e0 / 133.322387415),
+('ml/s', 'mL/s', 'f', 1e0), ('ml/sec', 'mL/s', 'f', 1e0), ('cc/s', 'mL/s', 'f', 1e0), ('l/s', 'L/s', 'f', 1e3), ('litres per second', 'L/s', 'f', 1e3),
+('l/min', 'L/min', 'f', 1e3 / 60), ('lpm', 'L/min', 'f', 1e3 / 60)
+"""
+_UNITS = r"millimeter of mercury|litres per second|kilopascal|milli-volt|millivolt|microvolts|microvolt|nanovolt|pascal|cm\[h2o\]|mm\[hg\]|ml/sec|cm h2o|mm hg|cmh2o|l/min|volts|mmhg|torr|mbar|volt|ml/s|cc/s|kpa|hpa|l/s|lpm|mv|uv|nv|pa|v"
 _NUMBER = rf"([0-9]+(?:[.,][0-9]+)?(?:e[-+]?[0-9]+)?)\s*({_UNITS})(?:/lsb|/bit| per bit|$)"
 _PLAIN = "replace(replace(lower(trim({})), 'µ', 'u'), 'μ', 'u')"
+_CHANNELS = f"""
+with u(spelling, unit, dim, size) as (values {_SPELT})
+, c as (select *, {_PLAIN.format("derivation_description")} as t from channel_definitions)
+, p as (select *, try_cast(replace(regexp_extract(t, '{_NUMBER}', 1), ',', '.') as double) as tv, (select unit from u where spelling = regexp_extract(t, '{_NUMBER}', 2)) as tu,
+  coalesce((select unit from u where spelling = {_PLAIN.format("sensitivity_units_code")}), (select unit from u where spelling = {_PLAIN.format("sensitivity_units_meaning")}),
+           (select unit from u where spelling = {_PLAIN.format("regexp_extract(label, '[[](.*)[]]$', 1)")})) as own from c)
+, q as (select *, case when sensitivity is not null then sensitivity when own is null or own = tu then tv end as v, case when sensitivity is not null then own when tv is not null and (own is null or own = tu) then tu end as un from p)
+, r as (select q.*, nominal, nominal_unit, s.size from q left join channel_nominals n using (device_model, source_code_value)
+  left join (select distinct unit, dim, size from u) s on s.unit = q.un and s.dim = case n.nominal_unit when 'uV' then 'v' when 'mm[Hg]' then 'p' when 'mL/s' then 'f' end)
+, x as (select *, v * coalesce(sensitivity_correction_factor, 1) * size as common from r)
+"""
 
 ORACLE: dict[str, str] = {
     "p4_found": """
@@ -125,15 +144,8 @@ with recursive r as (select record_id as id, any_value(next_sibling) as ns, any_
   union select below.root, e.dst from below join e on e.src = below.id where e.dst not in (select id from loops))
 select root as root_id, id as record_id from below
 """,
-    "p5_found": f"""
-with u(spelling, unit) as (values {_values(_SPELT)}), w(a, b, f, o) as (values {_values(_WAYS)})
-, c as (select *, {_PLAIN.format("derivation_description")} as t from channel_definitions)
-, p as (select *, try_cast(replace(regexp_extract(t, '{_NUMBER}', 1), ',', '.') as double) as tv, (select unit from u where spelling = regexp_extract(t, '{_NUMBER}', 2)) as tu,
-  coalesce((select unit from u where spelling = {_PLAIN.format("sensitivity_units_code")}), (select unit from u where spelling = {_PLAIN.format("sensitivity_units_meaning")})) as own from c)
-, q as (select *, case when sensitivity is not null then sensitivity when own is null or own = tu then tv end as v, case when sensitivity is not null then own when own is null or own = tu then tu end as un from p)
-select distinct channel_id from q join channel_nominals n using (device_model, source_code_value) join w on w.a = q.un and w.b = n.nominal_unit
-where abs((v * coalesce(sensitivity_correction_factor, 1)) * f + o - nominal) > 0.01 * abs(nominal)
-""",
+    "p5_found": f"{_CHANNELS} select distinct channel_id from x where abs(common - nominal) > 0.01 * abs(nominal)",
+    "p5_common_units": f"{_CHANNELS} select distinct channel_id, v as found_value, un as found_unit, round(common, 6) as common_value, nominal, nominal_unit from x",
     "p6_found": r"""
 with s as (select 'waveform_modules' as origin, module_id as id, module_json as t from waveform_modules union select 'dicomdir_records', record_id, data_set from dicomdir_records)
 , j as (select origin, id, case when json_type(t) = 'VARCHAR' then (t->>'$') else t end as t from s where t is not null and trim(t) != '' and json_valid(t))
@@ -143,6 +155,10 @@ from n i join n a on a.origin = i.origin and a.rid = i.rid and a.id = i.parent a
 join n v on v.origin = i.origin and v.rid = i.rid and v.parent = a.parent and v.key = 'vr' and v.atom = '"SQ"'
 where i.type = 'OBJECT'
 """.replace("\\\\", "\\"),
+    "p6_unreadable": r"""
+with s as (select 'waveform_modules' as origin, module_id as parent_id, module_json as t from waveform_modules union select 'dicomdir_records', record_id, data_set from dicomdir_records)
+select origin, parent_id, case when t is null then 'null' when trim(t, chr(32) || chr(9) || chr(10) || chr(13)) = '' then 'blank' else 'not JSON' end as reason from s where t is null or trim(t, chr(32) || chr(9) || chr(10) || chr(13)) = '' or not json_valid(t)
+""",
     "p7_found": rf"""
 with q as (
   select line_id, raw, regexp_full_match(coalesce(raw, '"'), '(?s)(?:[^",
@@ -163,4 +179,4 @@ where not (ok and regexp_full_match(tag, '[0-9A-F]{{8}}')
   and regexp_full_match(pos, '[0-9]+')) or not ok
 """,
 }
-QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p1_zone_estimates, p4_found, p4_hierarchy, p5_found, p5_common_units, p6_found, p6_groups, p6_channels, p6_sources, p6_levels, p7_found, p7_lines)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p1_zone_estimates, p4_found, p4_hierarchy, p5_found, p5_common_units, p6_found, p6_groups, p6_channels, p6_sources, p6_levels, p6_unreadable, p7_found, p7_lines)}

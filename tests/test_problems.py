@@ -162,6 +162,20 @@ def test_value_without_known_unit_takes_the_unit_of_the_text(spark):
     assert got == {i: (1.25, r[4]) for i, r in enumerate(rows)}
 
 
+def test_units_in_labels_and_rates_in_texts(spark):
+    ddl = "channel_id bigint, device_model string, source_code_value string, label string, sensitivity double, sensitivity_units_code string, sensitivity_units_meaning string, sensitivity_correction_factor double, derivation_description string"
+    rows = [
+        ("Lead II [V]", 1.25e-6, None, None, None, 1.25), ("Lead [mm[Hg]]", 1.25, None, None, None, None), ("Lead (milli-volt) ", 0.00125, "arb", None, "re-sampled to 500 Hz", 1.25), ("Lead [V]", 1.25, "uV", None, None, 1.25),
+        ("Lead [x] V", 1.25, None, None, None, None), ("Lead", None, None, None, "re-sampled to 500 Hz, gain 1.25 uV/LSB", 1.25), ("Lead", None, None, None, "gain 1.25 uV/LSB at 500 Hz", 1.25), ("Lead", None, None, None, "re-sampled to 500 Hz", None), (None, 1.25, None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, "M", "S", *r[:4], None, r[4]) for i, r in enumerate(rows)], ddl)
+    nominals = spark.createDataFrame([("M", "S", 1.25, "uV")], "device_model string, source_code_value string, nominal double, nominal_unit string")
+    got = {r.channel_id: (r.common_value, r.found_unit) for r in U.to_nominal_units(df, nominals).collect()}
+    for i, r in enumerate(rows):
+        assert got[i][0] == (None if r[5] is None else pytest.approx(r[5])), r
+    assert got[7] == (None, None)
+
+
 def test_unit_graph_and_rows(spark):
     pairs = U.compositions()
     a, b = pairs["[degF]", "Cel"]
@@ -215,6 +229,33 @@ def test_shredding_rebuilds_items(spark):
     assert len(list(N.items(*(lambda c: (c, set(c)))(N.shred(json.loads(deep)[0]))))) == 299
 
 
+def test_depth_and_wrapping_have_no_limit(spark):
+    n = 3000
+    deep = '{"00400275": {"vr": "SQ", "Value": [' * n + "{}" + "]}}" * n
+    assert sum(1 for _ in N.items(*(lambda c: (c, set(c)))(N.shred(N.data_set(deep))))) == n
+    leaf = '{"00081030": {"vr": "UN", "Value": ' + "[" * 100_000 + "1" + "]" * 100_000 + "}}"
+    assert N.shred(N.data_set(leaf), True)["00081030"][0][2].count("[") == 100_000
+    wrapped = '{"00400275": {"vr": "SQ", "Value": [{}]}}'
+    for _ in range(7):
+        wrapped = json.dumps(wrapped)
+    escaped = '{"00400275": {"vr": "S\\u0051", "Value": [{}]}}'
+    rows = [("o", 1, wrapped), ("o", 2, None), ("o", 3, ""), ("o", 4, "{SQ"), ("o", 5, "[1]"), ("o", 6, '"null"'), ("o", 7, escaped)]
+    df = spark.createDataFrame(rows, "origin string, parent_id bigint, text string")
+    assert {(r.parent_id, r.item_path) for r in N.nested_items(df).collect()} == {(1, "00400275/[0]"), (7, "00400275/[0]")}
+    assert {(r.parent_id, r.reason.split(":")[0]) for r in N.unreadable(df).collect()} == {(2, "null"), (3, "blank"), (4, "not JSON"), (5, "no object"), (6, "null")}
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, true, null, "x\\n\\u00e9"], "b": {}, "c": [], "a": 3}', " [ ] ", "1", '"s"', "[1,", '{"a" 1}', "[1 2]", '{"a": 1,}', "tru", "1 1", "", "{,}"])
+def test_deep_reader_agrees_with_the_plain_one(text):
+    try:
+        want = json.loads(text)
+    except ValueError:
+        with pytest.raises(ValueError):
+            N.deep_loads(text)
+        return
+    assert N.deep_loads(text) == want and N.deep_dumps(want) == json.dumps(want, ensure_ascii=False)
+
+
 def test_field_tables_keep_parents(spark):
     text = json.dumps({"54000100": {"vr": "SQ", "Value": [{}, {"003A0004": {"vr": "CS", "Value": ["ORIGINAL"]}, "003A0200": {"vr": "SQ", "Value": [{"003A0202": {"vr": "IS", "Value": [3]}}, {}]}}]}})
     df = spark.createDataFrame([("w", 1, text)], "origin string, parent_id bigint, text string")
