@@ -15,10 +15,10 @@ from lumenframe.functions import scalars as S
 
 # The public elements that identify people, institutions, places or instances; removed from files that leave.
 IDENTIFYING = [
-    "00080014", "00080050", "00080080", "00080081", "00080082", "00080090", "00080092", "00080094", "00080096", "00081010",
-    "00081040", "00081048", "00081049", "00081050", "00081052", "00081060", "00081062", "00081070", "00081072", "00081120",
-    "00081155", "00081195", "00083010", "00181000", "00181004", "00181005", "00181007", "00181008", "00181030", "00200010",
-    "00200052", "00200200", "00204000", "00321032", "00321033", "00380010", "00380300", "00380400", "00400275", "0040A124",
+    "00080014", "00080050", "00080080", "00080081", "00080082", "00080090", "00080092", "00080094", "00080096", "00080201",
+    "00080420", "00080421", "00081000", "00081010", "00081030", "00081032", "0008103E", "0008103F", "00081040", "00081041",
+    "00081048", "00081049", "00081050", "00081052", "00081060", "00081062", "00081070", "00081072", "00081080", "00081084",
+    "00181030", "00200010", "00321033", "00400009", "00400275", "00401102", "00401103", "00401104", "0040A124", "00880140",
     "30060024",
 ]
 
@@ -60,7 +60,7 @@ def delete_private(elements: DataFrame) -> DataFrame:
 def anonymous(tag: Column, vr: Column) -> Column:
     """Whether an element may stay: no AE, no private group, no patient group, none of the identifying elements."""
     number = S.tag_int(tag)
-    return (F.coalesce(vr, F.lit("UN")) != "AE") & ~S.is_private(number) & (S.tag_group(number) != 0x10) & ~tag.isin(IDENTIFYING)
+    return (F.coalesce(vr, F.lit("UN")) != "AE") & ~S.is_private(number) & (S.tag_group(number) != 0x10) & ~F.upper(tag).isin(IDENTIFYING)
 
 
 def anonymize(elements: DataFrame, recursive: bool = True) -> DataFrame:

@@ -5,15 +5,17 @@ of nesting depth k has a presence column: definition level 2k where an item exis
 something that is no item, less where the element, its items or an ancestor are missing.  The tables of items are rebuilt
 from the level sequences alone: the repetition level says which ancestor's counter moves on.
 
-Defined results: null, blank and unreadable texts and texts that hold no JSON object give no rows; a text wrapped
-as a JSON string is unwrapped; tags are compared in upper case; of a repeated key the last counts.
+Defined results: null, blank and unreadable texts and texts that hold no JSON object give no rows and come out of ``unreadable``
+with the reason; a text wrapped as a JSON string, however often, is unwrapped; records may be nested to any depth; tags are
+compared in upper case; of a repeated key the last counts.
 """
 
 from __future__ import annotations
 
 import json
-import sys
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,19 +25,129 @@ Level = tuple[int, int, object]
 LEVELS = pa.schema([("origin", pa.string()), ("parent_id", pa.int64()), ("leaf_path", pa.string()), ("levels", pa.list_(pa.struct([("r", pa.int32()), ("d", pa.int32()), ("value", pa.string())])))])
 
 
+SPACE = re.compile(r"[ \t\r\n]*")
+SCALAR = re.compile(r"true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|NaN|-?Infinity")
+
+
+def deep_loads(text: str) -> object:
+    """JSON of any depth: the containers that are open lie on a list, not on the call stack."""
+    skip = lambda i: SPACE.match(text, i).end()
+    open_: list[tuple[object, str | None]] = []
+    at, result = skip(0), None
+
+    def key(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError(f"key expected at {i}")
+        name, i = scanstring(text, i + 1)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError(f"colon expected at {i}")
+        return name, skip(i + 1)
+
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            value: object = {} if c == "{" else []
+            at = skip(at + 1)
+            if text[at : at + 1] == ("}" if c == "{" else "]"):
+                at += 1
+            else:
+                name = None
+                if c == "{":
+                    name, at = key(at)
+                open_.append((value, name))
+                continue
+        elif c == '"':
+            value, at = scanstring(text, at + 1)
+        else:
+            m = SCALAR.match(text, at)
+            if not m:
+                raise ValueError(f"value expected at {at}")
+            value, at = json.loads(m[0]), m.end()
+        # The value is whole; so may be the containers that it ends.
+        while True:
+            at = skip(at)
+            if not open_:
+                result = value
+                if at != len(text):
+                    raise ValueError(f"more text at {at}")
+                return result
+            holder, name = open_.pop()
+            if isinstance(holder, dict):
+                holder[name] = value
+            else:
+                holder.append(value)
+            c = text[at : at + 1]
+            if c == ",":
+                at, name = skip(at + 1), None
+                if isinstance(holder, dict):
+                    name, at = key(at)
+                open_.append((holder, name))
+                break
+            if c != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError(f"comma or end expected at {at}")
+            value, at = holder, at + 1
+
+
+def deep_dumps(value: object) -> str:
+    """JSON text of a value of any depth."""
+    out: list[str] = []
+    todo: list[object] = [value]
+    while todo:
+        one = todo.pop()
+        if isinstance(one, _Text):
+            out.append(one)
+        elif isinstance(one, dict):
+            inner: list[object] = []
+            for i, (k, v) in enumerate(one.items()):
+                inner += [_Text((", " if i else "") + json.dumps(k, ensure_ascii=False) + ": "), v]
+            todo += [_Text("}"), *reversed(inner), _Text("{")]
+        elif isinstance(one, list):
+            inner = []
+            for i, v in enumerate(one):
+                inner += [_Text(", "), v] if i else [v]
+            todo += [_Text("]"), *reversed(inner), _Text("[")]
+        else:
+            out.append(json.dumps(one, ensure_ascii=False))
+    return "".join(out)
+
+
+class _Text(str):
+    __slots__ = ()
+
+
+def _loads(text: str) -> object:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return deep_loads(text)
+
+
+def _dumps(value: object) -> str:
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        return deep_dumps(value)
+
+
+def read(text: str | None) -> tuple[dict | None, str | None]:
+    """(JSON object of a text, unwrapped; None), or (None, why there is none)."""
+    value: object = text
+    while isinstance(value, str):
+        if not value.strip():
+            return None, "blank"
+        try:
+            value = _loads(value)
+        except ValueError as e:
+            return None, f"not JSON: {e}"
+    if isinstance(value, dict):
+        return value, None
+    return None, "null" if value is None else "no object"
+
+
 def data_set(text: str | None) -> dict | None:
     """The JSON object of a text, unwrapped; None if there is none."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))
-    for _ in range(4):
-        if not isinstance(text, str) or not text.strip():
-            return None
-        try:
-            text = json.loads(text)
-        except (ValueError, RecursionError):
-            return None
-        if isinstance(text, dict):
-            return text
-    return None
+    return read(text)[0]
 
 
 def _sequence(element: object) -> list | None:
@@ -46,7 +158,18 @@ def _sequence(element: object) -> list | None:
     return None
 
 
-def _layout(item: dict, node: dict, with_values: bool) -> None:
+def _walk(first: Iterator) -> None:
+    """Run nested generators, each of which yields those it would call; the calls lie on a list."""
+    calls = [first]
+    while calls:
+        call = next(calls[-1], None)
+        if call is None:
+            calls.pop()
+        else:
+            calls.append(call)
+
+
+def _layout(item: dict, node: dict, with_values: bool) -> Iterator:
     """Collect the sequences (dict) and leaves (None) that occur anywhere in the record."""
     for tag, element in item.items():
         items = _sequence(element)
@@ -56,7 +179,7 @@ def _layout(item: dict, node: dict, with_values: bool) -> None:
                 below = node[tag.upper()] = {}
             for one in items:
                 if isinstance(one, dict):
-                    _layout(one, below, with_values)
+                    yield _layout(one, below, with_values)
         elif with_values:
             node.setdefault(tag.upper(), None)
 
@@ -64,17 +187,17 @@ def _layout(item: dict, node: dict, with_values: bool) -> None:
 def shred(record: dict, with_values: bool = False) -> dict[str, list[Level]]:
     """Columns of a record: leaf path (tags joined with /) to its level sequence; sequences have a presence column."""
     layout: dict = {}
-    _layout(record, layout, with_values)
+    _walk(_layout(record, layout, with_values))
     columns: dict[str, list[Level]] = {}
 
-    def missing(node: dict, prefix: str, r: int, d: int) -> None:
+    def missing(node: dict, prefix: str, r: int, d: int) -> Iterator:
         for tag, below in node.items():
             path = prefix + tag
             columns.setdefault(path, []).append((r, d, None))
             if below:
-                missing(below, path + "/", r, d)
+                yield missing(below, path + "/", r, d)
 
-    def emit(item: dict, node: dict, prefix: str, depth: int, r: int) -> None:
+    def emit(item: dict, node: dict, prefix: str, depth: int, r: int) -> Iterator:
         here = {tag.upper(): element for tag, element in item.items()}
         for tag, below in node.items():
             path = prefix + tag
@@ -82,24 +205,24 @@ def shred(record: dict, with_values: bool = False) -> dict[str, list[Level]]:
             if below is None:
                 value = None
                 if isinstance(element, dict):
-                    value = json.dumps(element.get("Value", element.get("InlineBinary")), ensure_ascii=False)
+                    value = _dumps(element.get("Value", element.get("InlineBinary")))
                 columns.setdefault(path, []).append((r, 2 * depth + (tag in here), value))
                 continue
             items = _sequence(element)
             if not items:
-                missing({tag: below}, prefix, r, 2 * depth)
+                yield missing({tag: below}, prefix, r, 2 * depth)
                 continue
             column = columns.setdefault(path, [])
             for i, one in enumerate(items):
                 again = r if i == 0 else depth + 1
                 if isinstance(one, dict):
                     column.append((again, 2 * depth + 2, None))
-                    emit(one, below, path + "/", depth + 1, again)
+                    yield emit(one, below, path + "/", depth + 1, again)
                 else:
                     column.append((again, 2 * depth + 1, None))
-                    missing(below, path + "/", again, 2 * depth + 1)
+                    yield missing(below, path + "/", again, 2 * depth + 1)
 
-    emit(record, layout, "", 0, 0)
+    _walk(emit(record, layout, "", 0, 0))
     return columns
 
 
@@ -162,7 +285,7 @@ def nested_items(records: DataFrame) -> DataFrame:
                     rows[2].extend(found)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, schema.types, strict=True)], schema=schema)
 
-    rows = records.select("origin", "parent_id", "text").where("parent_id is not null and contains(text, 'SQ')").mapInArrow(run, "origin string, parent_id bigint, item_path string")
+    rows = records.select("origin", "parent_id", "text").where(r"parent_id is not null and (contains(text, 'SQ') or contains(text, '\\u'))").mapInArrow(run, "origin string, parent_id bigint, item_path string")
     return rows.distinct().withColumn("parent_path", F.nullif(F.regexp_replace("item_path", r"/?[^/]+/\[[0-9]+\]$", ""), F.lit("")))
 
 
@@ -195,3 +318,15 @@ def field_table(records: DataFrame, sequence: str, fields: dict[str, str]) -> Da
 
     columns = "origin string, parent_id bigint, item_path string, parent_path string" + "".join(f", {n} string" for n in names)
     return records.select("origin", "parent_id", "text").where(F.col("parent_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, columns).distinct()
+
+
+def unreadable(records: DataFrame) -> DataFrame:
+    """(origin, parent_id, reason) of the records whose text gives no rows."""
+    schema = pa.schema([("origin", pa.string()), ("parent_id", pa.int64()), ("reason", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            why = pa.array([read(text)[1] for text in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), why], schema=schema).filter(why.is_valid())
+
+    return records.select("origin", "parent_id", "text").mapInArrow(run, "origin string, parent_id bigint, reason string").distinct()

@@ -331,7 +331,11 @@ def insert_elements(spark: SparkSession, d: str) -> DataFrame:
 
 
 _KEEP = """not exists (select 1 from rejected r where r.file = e.file and starts_with(e.p, r.p || '/['))"""
-_IDENTIFYING = ", ".join(f"'{t}'" for t in E.IDENTIFYING)
+# Written out by hand: group 0008, then 0018 to 3006.
+_IDENTIFYING = """
+'00080014', '00080050', '00080080', '00080081', '00080082', '00080090', '00080092', '00080094', '00080096', '00080201', '00080420', '00080421', '00081000', '00081010', '00081030', '00081032',
+'0008103E', '0008103F', '00081040', '00081041', '00081048', '00081049', '00081050', '00081052', '00081060', '00081062', '00081070', '00081072', '00081080', '00081084',
+'00181030', '00200010', '00321033', '00400009', '00400275', '00401102', '00401103', '00401104', '0040A124', '00880140', '30060024'"""
 
 
 @query(f"""

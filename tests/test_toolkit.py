@@ -66,6 +66,17 @@ def test_rejected_sequences_take_their_items_with_them(spark):
     assert left(E.anonymize(once)) == left(once)
 
 
+def test_identifying_elements_go_at_every_depth(spark):
+    step = [("00081111", 0)]
+    gone = ["00081030", "0008103E", "00080201", "00081000", "00081080", "00081084", "00081032", "00400009", "00401102", "00880140"]
+    stay = ["00081120", "00081155", "00181000", "00200052", "00200200", "00321032", "00380010"]
+    rows = [("f", path, tag, "LO", "x") for path in ([], step) for tag in gone + stay] + [("f", [], "00081111", "SQ", None), ("f", [], "00080054", "AE", "x"), ("f", [], "00100010", "PN", "x"), ("f", [], "00091001", "LO", "x")]
+    df = spark.createDataFrame(rows, "file string, path array<struct<tag:string,item:int>>, tag string, vr string, values_json string")
+    left = [(r.tag, len(r.path)) for r in E.anonymize(df).collect()]
+    assert sorted(left) == sorted([(t, n) for t in stay for n in (0, 1)] + [("00081111", 0)]) and len(set(E.IDENTIFYING)) == 41
+    assert {(r.tag, len(r.path)) for r in E.anonymize(df, recursive=False).collect()} == set(left) | {(t, 1) for t in gone}
+
+
 def test_private_creators_are_found_by_block(spark):
     got = {r.tag: r.private_creator for r in E.private_blocks(_rows(spark)).where("size(path) = 0").collect()}
     assert got == {"00091001": "ACME", "00092001": None}
