@@ -90,8 +90,9 @@ def _packed(todo: DataFrame, groups: int, stage: int) -> DataFrame:
 
     ddl = "container string, capacity int, doc_id bigint, piece int, token_start int, size int, bin_id string, load bigint"
     group = F.pmod(F.xxhash64("doc_id", "piece", F.lit(stage)), F.lit(groups))
-    # A number of partitions that is asked for is kept; small groups would otherwise be put together in few tasks.
-    tasks = max(1, min(groups * 3, 2_000))
+    # A number of partitions that is asked for is kept; small groups would otherwise be put together in few tasks.  Of three
+    # containers each group is a task, as long as these are no more than twenty for each core of the cluster.
+    tasks = min(groups * 3, max(3, 20 * todo.sparkSession.sparkContext.defaultParallelism))
     return todo.withColumn("group", group).repartition(tasks, "container", "group").groupBy("container", "group").applyInPandas(pack, ddl)
 
 

@@ -47,6 +47,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    return tokens.decode_documents(tokens.encode_documents(table(spark, d, "documents")))
+
+
 def p9_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every text, or every part of one that exceeds a capacity, with its container."""
     sizes = tokens.encode_documents(table(spark, d, "documents"), count=True)
@@ -72,5 +77,7 @@ def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.source_rates(table(spark, d, "documents"), cut(_scores(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_persons, p8_ids, p9_packing, p10_found, p10_scores, p10_source_rates)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_persons, p8_ids, p8_decoded, p9_packing, p10_found, p10_scores, p10_source_rates)}
+ORACLE: dict[str, str] = {
+    "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
+}

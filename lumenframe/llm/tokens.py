@@ -1,20 +1,20 @@
-"""Encoding of whole texts with a public byte-level BPE tokenizer.
+"""Encoding of whole texts with a public byte-level BPE tokenizer, and decoding.
 
-Long texts are cut into overlapping chunks that are pre-tokenised in parallel.  Each chunk reports the first pre-token
-boundary at or after its own start and at or after its own end; where the end of one chunk and the start of the next
-agree, the two scans have resynchronised and the pieces between the cuts are those of the whole text.  Texts whose chunks
-do not agree (a run longer than the overlap) are encoded whole.  Pre-tokens never hold white space after
-other characters, so a text falls apart at every single space between two other characters; the ids of such words
-are kept in a table per worker.
+Texts are cut into overlapping chunks, and every chunk is pre-tokenised by itself, those of one text in different tasks.  A chunk
+reports the first pre-token boundary at or after its own start and at or after its own end; where the end of one chunk and
+the start of the next agree, the two scans have resynchronised and the pieces between the cuts are those of the whole text.  Only
+then the pieces are encoded; the ids of short pieces are kept in a table per worker.  Every text takes this way; one that is no longer than
+a chunk is a single chunk, which has no neighbour to be stitched to and need not leave its task.  Texts whose chunks
+do not agree (a run longer than the overlap) are encoded as one chunk.  Decoding concatenates the bytes of the ids.
 
-Defined results: null and empty texts have the empty list of ids; every row comes out, repeated ones too.
+Defined results: null and empty texts have the empty list of ids, which decodes to the empty text; null lists decode to null; every row comes
+out, repeated ones too.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,16 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.session import cut_counted
+
 FOLDER = os.environ.get("LUMENFRAME_TOKENIZERS", "/opt/tokenizers")
-CHUNK, OVERLAP = 65_536, 2_048
-WORDS_KEPT = 400_000
+CHUNK, OVERLAP = 4_096, 512
+PIECES_KEPT, PIECE_LENGTH = 400_000, 64
+# Keys of texts to be encoded as one chunk are sent to all tasks up to this number, beyond it they are joined by shuffle.
+BROADCAST_KEYS = 100_000
 
 # Fixed value: the published pre-token pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The pattern looks at most at an apostrophe and two letters beyond the end of a piece.
 LOOKAHEAD = 3
-APART = re.compile(r"(?<=\S) (?=\S)")
-NEAR_SPACE = re.compile(r"\s | \s")
 
 
 @cache
@@ -45,61 +47,57 @@ def encoding(folder: str = FOLDER, name: str = "byte_bpe_50k"):  # noqa: ANN201
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class Words(dict):
-    """Word to the little-endian ids of the word with a space before it; emptied when it has grown too large."""
+class Pieces(dict):
+    """Pre-token to its little-endian ids; emptied when it has grown too large."""
 
     def __init__(self, folder: str, name: str) -> None:
-        self.encoding = encoding(folder, name)
+        import regex
 
-    def ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype="<i4").tobytes()
+        self.encoding, self.split = encoding(folder, name), regex.compile(PATTERN).findall
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.ids(" " + word)
-        if len(word) <= 64:
-            if len(self) >= WORDS_KEPT:
+    def __missing__(self, piece: str) -> bytes:
+        found = np.array(self.encoding.encode_ordinary(piece), dtype="<i4").tobytes()
+        if len(piece) <= PIECE_LENGTH:
+            if len(self) >= PIECES_KEPT:
                 self.clear()
-            self[word] = found
+            self[piece] = found
         return found
 
-    def encode(self, text: str) -> bytes:
-        words = APART.split(text) if NEAR_SPACE.search(text) or text[:1] == " " or text[-1:] == " " else text.split(" ")
-        first = self.ids(words[0]) if words[0] else b""
-        return first + b"".join(map(self.__getitem__, words[1:]))
+    def chunk(self, text: str, start: int, end: int, last: bool) -> tuple[int | None, int | None, bytes]:
+        """The boundaries of ``cuts`` and the ids of the pieces between them; no ids if one is missing."""
+        pieces = self.split(text)
+        if start == 0 and last:
+            return 0, len(text), b"".join(map(self.__getitem__, pieces))
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        a, b = cuts(text, ends, start, end, last)
+        if a is None or b is None:
+            return None, None, b""
+        i, j = np.searchsorted(ends, [a, b], side="right")
+        return a, b, b"".join(map(self.__getitem__, pieces[0 if a == 0 else i : j]))
 
 
 @cache
-def words(folder: str = FOLDER, name: str = "byte_bpe_50k") -> Words:
-    return Words(folder, name)
-
-
-@cache
-def _pieces():  # noqa: ANN202 - regex type
-    import regex
-
-    return regex.compile(PATTERN)
+def pieces(folder: str = FOLDER, name: str = "byte_bpe_50k") -> Pieces:
+    return Pieces(folder, name)
 
 
-def cuts(text: str, start: int, end: int, last: bool) -> tuple[int | None, int | None]:
-    """First boundaries at or after ``start`` and at or after ``end`` of a scan from the beginning of ``text``.
+def cuts(text: str, ends: np.ndarray, start: int, end: int, last: bool) -> tuple[int | None, int | None]:
+    """First boundaries at or after ``start`` and at or after ``end`` among the ends of the pieces of ``text``.
 
     Only boundaries after other characters than white space count: a run of white space is split by what follows it.
     Near the end of a chunk a piece is sure only where the text really ends; None where no sure boundary follows.
     """
-    first = None if start else 0
-    at = 0
     sure = len(text) if last else len(text) - LOOKAHEAD
-    for m in _pieces().finditer(text):
-        at = m.end()
-        if at > sure:
-            return first, None
-        if at < len(text) and text[at - 1].isspace():
-            continue
-        if first is None and at >= start:
-            first = at
-        if at >= end:
-            return first, at
-    return (at if first is None and last else first), (at if last else None)
+
+    def first(at: int) -> int | None:
+        for e in ends[np.searchsorted(ends, at) :]:
+            if e > sure:
+                return None
+            if e == len(text) or not text[e - 1].isspace():
+                return int(e)
+        return None
+
+    return (0 if start == 0 else first(start)), first(end)
 
 
 def _lists(parts: list[bytes]) -> pa.ListArray:
@@ -119,48 +117,83 @@ def _sliced(column: pa.Array, rows: int = 512) -> Iterator[tuple[int, list]]:
 def encode_documents(documents: DataFrame, count: bool = False, folder: str = FOLDER, name: str = "byte_bpe_50k", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, ids) of every row of ``documents`` (doc_id, text); with ``count`` (doc_id, n_tokens)."""
     result, kind = ("n_tokens", "int") if count else ("ids", "array<int>")
-    base = documents.select("doc_id", "text")
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = words(folder, name)
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pieces(folder, name)
         for batch in batches:
             for i, texts in _sliced(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), _out([known.encode(t) if t else b"" for t in texts], count)], ["doc_id", result])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), _out([known.chunk(t, 0, len(t), True)[2] if t else b"" for t in texts], count)], ["doc_id", result])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, key, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                for first in range(0, -(-len(text) // chunk), 256):
+                    at = [chunk * i for i in range(first, min(first + 256, -(-len(text) // chunk)))]
+                    begin = [max(0, x - overlap) for x in at]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([doc] * len(at), pa.int64()), pa.array([key] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(begin, pa.int64()),
+                            pa.array([x + chunk + overlap >= len(text) for x in at], pa.bool_()), pa.array([text[b : x + chunk + overlap] for b, x in zip(begin, at, strict=True)], pa.string()),
+                        ],
+                        ["doc_id", "text_key", "at", "begin", "last", "part"],
+                    )
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = words(folder, name)
+        known = pieces(folder, name)
         for batch in batches:
-            from_, start, end, last = (batch.column(i).to_pylist() for i in range(3, 7))
             found: list[list] = [[], [], []]
-            for text, *at in zip(batch.column(7).to_pylist(), from_, start, end, last, strict=True):
-                a, b = cuts(text, at[1] - at[0], at[2] - at[0], at[3])
-                sure = a is not None and b is not None
-                found[0].append(a + at[0] if sure else None)
-                found[1].append(b + at[0] if sure else None)
-                found[2].append(known.encode(text[a:b]) if sure else b"")
-            at_cuts = [pa.array(found[i], pa.int64()) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], *at_cuts, _out(found[2], count)], ["doc_id", "text_key", "ix", "from_cut", "to_cut", result])
-
-    length = F.length("text")
+            for at, begin, last, text in zip(*[batch.column(i).to_pylist() for i in range(2, 6)], strict=True):
+                a, b, ids = known.chunk(text, at - begin, min(at + chunk - begin, len(text)), last)
+                for column, x in zip(found, (None if a is None else a + begin, None if b is None else b + begin, ids), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), _out(found[2], count)], ["doc_id", "text_key", "at", "from_cut", "to_cut", result])
+
+    base, length = documents.select("doc_id", "text"), F.length("text")
     ddl = f"doc_id bigint, {result} {kind}"
-    whole = base.where(F.coalesce(length, F.lit(0)) <= chunk).mapInArrow(short, ddl)
-    # Rows are known by id and text, which any second run of a task finds again; equal rows are encoded once and given out as often as they are.
-    long = base.where(length > chunk).withColumn("text_key", F.xxhash64("text", length))
+    whole = base.where(F.coalesce(length, F.lit(0)) <= chunk).mapInArrow(single, ddl)
+    # Rows are known by id and text, which any second run of a task finds again; equal rows are given out as often as they are.
     same = ["doc_id", "text_key"]
-    start = F.col("ix") * chunk
-    spread = long.select(*same, "text", length.alias("n"), F.explode(F.sequence(F.lit(0), F.ceil(length / chunk).cast("int") - 1)).alias("ix"))
-    begin = F.greatest(F.lit(0), start - overlap)
-    end = F.least(F.col("n"), start + chunk)
-    spread = spread.select(*same, "ix", begin.cast("int").alias("begin"), start.cast("int").alias("start"), end.cast("int").alias("end"), (start + chunk + overlap >= F.col("n")).alias("last"), F.substring("text", begin + 1, end + overlap - begin).alias("part"))
-    pieces = spread.repartition(*same, "ix").mapInArrow(chunks, f"doc_id bigint, text_key bigint, ix int, from_cut bigint, to_cut bigint, {result} {kind}")
-    joined = pieces.groupBy(*same).agg(F.array_sort(F.collect_set(F.struct("ix", "from_cut", "to_cut", result))).alias("p"))
+    long = base.where(length > chunk).select("doc_id", F.xxhash64("text", length).alias("text_key"), "text")
+    parts = long.mapInArrow(spread, "doc_id bigint, text_key bigint, at bigint, begin bigint, last boolean, part string")
+    scanned = parts.repartition(*same, "at").mapInArrow(chunks, f"doc_id bigint, text_key bigint, at bigint, from_cut bigint, to_cut bigint, {result} {kind}")
+    each = scanned.repartition(*same).groupBy(*same, "at").agg(F.min("from_cut").alias("from_cut"), F.min("to_cut").alias("to_cut"), F.first(result).alias(result), F.count("*").alias("times"))
+    joined = each.groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("at", "from_cut", "to_cut", result))).alias("p"), F.min("times").cast("int").alias("times"))
     agree = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.coalesce(F.get("p", i)["from_cut"] == F.get("p", i - 1)["to_cut"], F.lit(False)))
     fine = F.forall("p", lambda p: p["from_cut"].isNotNull()) & F.when(F.size("p") > 1, agree).otherwise(True)
     total = F.aggregate("p", F.lit(0), lambda s, p: s + p[result]) if count else F.flatten(F.transform("p", lambda p: p[result]))
-    times = long.groupBy(*same).agg(F.count("*").alias("times"))
-    on = [F.col(f"j.{c}").eqNullSafe(F.col(f"t.{c}")) for c in same]
-    judged = joined.select(*same, F.when(fine, total).alias(result)).alias("j").join(times.alias("t"), on).select("j.*", "t.times")
-    stitched = judged.where(F.col(result).isNotNull()).select("doc_id", result, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_i")).drop("_i")
-    broken = judged.where(F.col(result).isNull()).select(*same)
-    failed = long.alias("j").join(broken.alias("t"), on, "left_semi").select("doc_id", "text").mapInArrow(short, ddl)
-    return whole.union(stitched).union(failed)
+    judged, n_apart = cut_counted(joined.select(*same, F.when(fine, total).alias(result), "times"), f"{result} is null")
+    stitched = judged.where(F.col(result).isNotNull()).select("doc_id", result, F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("_i")).drop("_i")
+    out = whole.union(stitched)
+    if not n_apart:
+        return out
+    apart = judged.where(F.col(result).isNull()).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
+    apart = F.broadcast(apart) if n_apart <= BROADCAST_KEYS else apart.hint("merge")
+    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))
+    return out.union(long.join(apart, on, "left_semi").select("doc_id", "text").mapInArrow(single, ddl))
+
+
+@cache
+def _bytes_of(folder: str, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all tokens one after the other, where each begins) by id."""
+    tokens = encoding(folder, name)
+    held = [tokens.decode_single_token_bytes(i) for i in range(tokens.n_vocab)]
+    return np.frombuffer(b"".join(held), np.uint8), np.cumsum([0] + [len(b) for b in held])
+
+
+def decode_documents(encoded: DataFrame, folder: str = FOLDER, name: str = "byte_bpe_50k") -> DataFrame:
+    """(doc_id, text) of every row of ``encoded`` (doc_id, ids): the raw bytes of the ids, one after the other, read as UTF-8."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, begin = _bytes_of(folder, name)
+        for batch in batches:
+            lists = batch.column(1)
+            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = begin[ids + 1] - begin[ids]
+            ends = np.r_[0, np.cumsum(sizes)]
+            raw = flat[np.repeat(begin[ids] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+            counts = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
+            cut_at = ends[np.r_[0, np.cumsum(counts)]]
+            texts = [raw[a:b].decode("utf-8", "replace") if known else None for a, b, known in zip(cut_at, cut_at[1:], lists.is_valid().to_pylist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")

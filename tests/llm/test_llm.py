@@ -18,7 +18,7 @@ AWKWARD = ["", None, " ", "  two  spaces ", "tab\tand\nlines\n\n  x", "it's we'l
 
 def test_ids_equal_those_of_the_whole_text(spark):
     rng = random.Random(7)
-    texts = AWKWARD + ["".join(rng.choice(["ab", " ", "\n", "'ll", "7", "é", "  ", "。", "-", "Z"]) for _ in range(rng.randrange(2500))) for _ in range(40)]
+    texts = AWKWARD + ["word's é, " * 3000, "多" * 9000, " " * 9000 + "x", "ab " * 4096 + "\n" * 5000] + ["".join(rng.choice(["ab", " ", "\n", "'ll", "7", "é", "  ", "。", "-", "Z"]) for _ in range(rng.randrange(2500))) for _ in range(40)]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "y"), (5, texts[5], "y")], "doc_id bigint, text string, ids string")
     e = K.encoding()
     for chunk, overlap in ((K.CHUNK, K.OVERLAP), (200, 40), (50, 10)):
@@ -27,9 +27,13 @@ def test_ids_equal_those_of_the_whole_text(spark):
         for r in rows:
             assert list(r.ids) == (e.encode_ordinary(texts[r.doc_id]) if texts[r.doc_id] else []), (chunk, texts[r.doc_id][:40])
             assert b"".join(e.decode_single_token_bytes(i) for i in r.ids).decode() == (texts[r.doc_id] or "")
+        decoded = K.decode_documents(K.encode_documents(df, chunk=chunk, overlap=overlap)).collect()
+        assert len(decoded) == len(rows) and all(r.text == (texts[r.doc_id] or "") for r in decoded)
         counts = {r.doc_id: r.n_tokens for r in K.encode_documents(df, count=True, chunk=chunk, overlap=overlap).collect()}
         assert counts == {r.doc_id: len(r.ids) for r in rows}
-    assert K.encode_documents(df.limit(0)).count() == 0
+    assert K.encode_documents(df.limit(0)).count() == 0 and K.decode_documents(K.encode_documents(df.limit(0))).count() == 0
+    null = spark.createDataFrame([(1, None), (2, [])], "doc_id bigint, ids array<int>")
+    assert {r.doc_id: r.text for r in K.decode_documents(null).collect()} == {1: None, 2: ""}
 
 
 # -- packing ----------------------------------------------------------------------------------------------------
