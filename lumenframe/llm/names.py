@@ -1,11 +1,15 @@
 """Variant spellings of people's names, linked to the person they mean.
 
-Every typed name is rewritten to a canonical one by rules (case, accents, titles and legal forms, particles, nicknames,
-initials, order of the parts), then exploded to *forms*: rewritings that survive a typing error (a letter left out), an
-initial or a missing birth date.  Rows with equal forms meet in an equi-join; a pair counts by what agrees and by how
+Every typed name is rewritten by rules (case, accents, titles and legal forms, particles, initials, order of the parts); a nickname
+stands for each full name it may be short for.  All rewritings are exploded to *forms*, which also survive a typing error (a letter
+left out), an initial or a missing birth date.  Rows with equal forms meet in an equi-join; a pair counts by what agrees and by how
 rare its rarest shared form is.  Rows with a birth date and a full given name are linked first; rows that lack
 either join a person only if exactly one person fits best, because different people share names and birth dates.
 
+The forms are joined from the telling to the common: dated ones, then full names, and only for rows that no person's full name fits,
+surname and initial.  What such a common form could find beside a better one would never count, so nothing is lost, and a surname
+that many people share is not joined with itself.  Equal spellings are one node, so that copies don't multiply.
+
 Defined results: null or blank names link to nothing; equal names without a birth date are linked only if no two persons
 of that name are told apart by birth dates; repeated rows of an id count once.
 """
@@ -19,11 +23,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lumenframe.session import cut
+from lumenframe.session import cut, cut_counted
 
-# Familiar forms of given names.
+# Familiar forms of given names; some stand for several names.
 NICKNAMES = {
     "abigail": ["abby", "gail"], "agnieszka": ["aga"], "alexander": ["alex", "sascha", "sasha", "xander"], "andrew": ["andy", "drew"], "anthony": ["tony"], "barbara": ["babs", "barb"],
     "benjamin": ["ben", "benny"], "charles": ["charlie", "chuck"], "christopher": ["chris", "kit"], "concepcion": ["concha", "conchita"], "daniel": ["dan", "danny"], "deborah": ["debbie", "deb"], "dmitri": ["dima"],
@@ -34,6 +37,10 @@ NICKNAMES = {
     "malgorzata": ["gosia"], "margaret": ["maggie", "meg", "peggy"], "matthew": ["matt"], "michael": ["mick", "mike"], "nikolai": ["kolya"], "patricia": ["patty", "trish", "pat"], "penelope": ["penny"],
     "rebecca": ["becky"], "richard": ["dick", "rick", "rich"], "robert": ["bob", "bobby", "rob"], "samuel": ["sam", "sammy"], "sebastian": ["basti"], "stanislaw": ["staszek"], "susan": ["sue", "suzy"],
     "theodore": ["theo"], "thomas": ["tom", "tommy"], "ulrike": ["uli", "ulla"], "victoria": ["vicky"], "virginia": ["ginny"], "vladimir": ["vova", "volodya"], "wilhelmina": ["minna", "willa"],
+    "alan": ["al"], "albert": ["al", "bert", "bertie"], "alexandra": ["alex", "sandra", "sasha"], "alfred": ["alf", "fred"], "arthur": ["art"], "catherine": ["cathy", "kate"], "christine": ["chris", "chrissie", "tina"],
+    "david": ["dave", "davy"], "donald": ["don", "donnie"], "douglas": ["doug"], "eugene": ["gene"], "frederick": ["fred", "freddie"], "gerald": ["gerry", "jerry"], "gregory": ["greg"], "harold": ["harry", "hal"], "henry": ["harry", "hank"],
+    "jeffrey": ["jeff"], "jonathan": ["jon"], "joshua": ["josh"], "kenneth": ["ken", "kenny"], "lawrence": ["larry"], "leonard": ["len", "lenny"], "nathaniel": ["nat", "nate"], "nicholas": ["nick", "nicky"], "patrick": ["pat", "paddy"],
+    "peter": ["pete"], "philip": ["phil"], "raymond": ["ray"], "ronald": ["ron", "ronnie"], "samantha": ["sam", "sammy"], "stephen": ["steve"], "steven": ["steve"], "timothy": ["tim"], "walter": ["walt", "wally"],
     "william": ["bill", "billy", "will"], "yevgenia": ["zhenya"], "zbigniew": ["zbyszek"],
 }
 
@@ -41,7 +48,6 @@ NICKNAMES = {
 PARTICLES = {"van", "von", "de", "la", "der", "den", "del", "della", "di", "da", "dos", "al", "el", "mc", "mac", "bin", "ibn", "le", "du", "zu", "ter", "ten"}
 TITLES = {"dr", "prof", "mr", "mrs", "ms", "miss", "herr", "frau", "sir", "dame", "md", "phd", "jr", "sr", "ii", "iii", "iv", "dipl", "ing", "inc", "ltd", "gmbh", "llc", "ag"}
 
-FULL_OF = {nick: full for full, nicks in NICKNAMES.items() for nick in nicks}
 ALIAS = re.compile(r"\(+([^()]*)\)*")
 DIGRAPHS = re.compile("([aou])e")
 NOT_WORD = re.compile(r"[^\w\s,-]+|_")
@@ -53,13 +59,17 @@ def plain(text: str | None) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
 
 
-def core(token: str) -> str:
-    return DIGRAPHS.sub(r"\1", token)
+def full_names(nicknames: dict[str, list[str]] = NICKNAMES) -> dict[str, list[str]]:
+    """Nickname to the canonical full names it may stand for."""
+    found: dict[str, list[str]] = {}
+    for full, nicks in nicknames.items():
+        for nick in nicks:
+            found.setdefault(core(nick), []).append(core(full))
+    return found
 
 
-def given_name(token: str) -> str:
-    """Canonical given name: a nickname becomes the full name."""
-    return core(FULL_OF.get(token, token))
+def core(token: str) -> str:
+    return DIGRAPHS.sub(r"\1", token)
 
 
 def _tokens(text: str) -> list[str]:
@@ -89,7 +99,7 @@ def canonical(last: str | None, first: str | None, middle: str | None) -> tuple[
     if len(name) <= 1 and alias:
         name = alias
     rest = _tokens(middle) or given[1:]
-    return core("".join(surname)), given_name(name), core(rest[0]) if rest else ""
+    return core("".join(surname)), core(name), core(rest[0]) if rest else ""
 
 
 def birth_key(text: str | None) -> str:
@@ -116,8 +126,10 @@ def rewritten(names: DataFrame) -> DataFrame:
     return read.withColumn("sex", F.when(F.upper(F.trim("sex")).isin("M", "F"), F.upper(F.trim("sex"))).otherwise("")).where("s != '' or g != ''")
 
 
-def _aliases() -> Column:
-    return F.create_map(*[F.lit(x) for n, f in FULL_OF.items() for x in (core(n), core(f))])
+def _fulls(token: Column) -> Column:
+    """The names a given name may stand for, itself if it is no nickname."""
+    table = F.create_map(*[x for nick, fulls in full_names().items() for x in (F.lit(nick), F.array(*map(F.lit, fulls)))])
+    return F.coalesce(F.try_element_at(table, token), F.array(token))
 
 
 def turned(rows: DataFrame) -> DataFrame:
@@ -128,7 +140,9 @@ def turned(rows: DataFrame) -> DataFrame:
     both = rows.join(ratio.select(F.col("t").alias("s"), F.col("ratio").alias("s_ratio")), "s", "left").join(ratio.select(F.col("t").alias("g"), F.col("ratio").alias("g_ratio")), "g", "left")
     turn = (F.col("g") != "") & (F.col("s") != "") & (F.col("s_ratio") > F.col("g_ratio"))
     given = F.when(turn, F.col("s")).otherwise(F.col("g"))
-    return both.select("name_id", F.when(turn, F.col("g")).otherwise(F.col("s")).alias("s"), F.coalesce(F.try_element_at(_aliases(), given), given).alias("g"), "m", "birth", "sex")
+    # A nickname of one name is that name; one of several stays, and its forms are exploded.
+    one = F.when(F.size(_fulls(given)) == 1, F.get(_fulls(given), F.lit(0))).otherwise(given)
+    return both.select("name_id", F.when(turn, F.col("g")).otherwise(F.col("s")).alias("s"), one.alias("g"), "m", "birth", "sex")
 
 
 def _shorter(c: str) -> Column:
@@ -137,20 +151,30 @@ def _shorter(c: str) -> Column:
     return F.array_distinct(F.concat(F.array(c), F.when(F.length(c) >= 4, every).otherwise(F.array().cast("array<string>"))))
 
 
-def forms(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Forms with a birth date and forms without, as (node, form)."""
-    word = lambda *x: F.concat_ws("|", *x)
-    shorter = _shorter("s")
+def _word(*parts: Column | str) -> Column:
+    return F.concat_ws("|", *parts)
+
+
+def dated_forms(nodes: DataFrame) -> DataFrame:
+    """(node, form) with a birth date, of every rewriting."""
     first = F.substring("g", 1, 1)
-    ends = [word(F.lit("a"), "birth", F.substring("s", 1, 4), first), word(F.lit("z"), "birth", F.substring("s", -4, 4), first)]
+    ends = [_word(F.lit("a"), "birth", F.substring("s", 1, 4), first), _word(F.lit("z"), "birth", F.substring("s", -4, 4), first)]
     # Parts in either order.
-    crossed = [word(F.lit(k), "birth", F.least(F.substring("s", at, 3), F.substring("g", at, 3)), F.greatest(F.substring("s", at, 3), F.substring("g", at, 3))) for k, at in (("p", 1), ("q", -3))]
+    crossed = [_word(F.lit(k), "birth", F.least(F.substring("s", at, 3), F.substring("g", at, 3)), F.greatest(F.substring("s", at, 3), F.substring("g", at, 3))) for k, at in (("p", 1), ("q", -3))]
+    each = nodes.where("birth != '' and s != ''").select("node", "s", "birth", F.explode(F.array_distinct(F.concat(F.array("g"), _fulls(F.col("g"))))).alias("g"))
     ends = F.concat(F.array(*ends), F.when(F.length("g") > 1, F.array(*crossed)).otherwise(F.array().cast("array<string>")))
-    dated = nodes.where("birth != '' and s != ''").select("node", F.explode(F.concat(F.transform(shorter, lambda v: word(F.lit("s"), "birth", v)), ends)).alias("form"))
-    initial = F.array(word(F.lit("i"), "s", F.substring("g", 1, 1)))
-    full = F.when(F.length("g") > 1, F.transform(shorter, lambda v: word(F.lit("n"), v, "g"))).otherwise(F.array().cast("array<string>"))
-    undated = nodes.where("s != '' and g != ''").select("node", F.explode(F.concat(initial, full)).alias("form"))
-    return dated, undated
+    return each.select("node", F.explode(F.concat(F.transform(_shorter("s"), lambda v: _word(F.lit("s"), "birth", v)), ends)).alias("form")).distinct()
+
+
+def full_forms(nodes: DataFrame) -> DataFrame:
+    """(node, form) of surname, also with a letter left out, and full given name."""
+    each = nodes.where("s != '' and length(g) > 1").select("node", "s", F.explode(F.array_distinct(F.concat(F.array("g"), _fulls(F.col("g"))))).alias("g"))
+    return each.select("node", F.explode(F.transform(_shorter("s"), lambda v: _word(F.lit("n"), v, "g"))).alias("form"))
+
+
+def initial_forms(nodes: DataFrame) -> DataFrame:
+    """(node, form) of surname and initial."""
+    return nodes.where("s != '' and g != ''").select("node", _word(F.lit("i"), "s", F.substring("g", 1, 1)).alias("form"))
 
 
 def _agreement(a: str, b: str) -> Column:
@@ -163,26 +187,24 @@ def _agreement(a: str, b: str) -> Column:
     return F.when((x == y) & (short > 1), 3).when((short > 1) & near, 2).when(initial, 1).otherwise(0)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, tier) of nodes that share a form and agree; higher tiers are better.
-
-    Undated nodes are joined with all others over undated forms, dated ones among themselves over dated forms.
-    """
-    dated, undated = forms(nodes)
-    nodes = nodes.withColumn("f", F.coalesce(F.try_element_at(_aliases(), F.col("s")), F.col("s")))
-    missing = nodes.where("birth = ''").select("node")
-    one = dated.join(dated.withColumnRenamed("node", "b"), "form").where("node < b")
-    lacking = undated.join(missing, "node", "left_semi")
-    two = lacking.join(undated.withColumnRenamed("node", "b"), "form").where("node != b")
-    two = two.select("form", F.least("node", "b").alias("node"), F.greatest("node", "b").alias("b"))
-    rarity = dated.union(undated).groupBy("form").agg(F.count("*").alias("n"))
-    pairs = one.select("form", "node", "b").union(two).join(rarity, "form").groupBy(F.col("node").alias("a"), "b").agg(F.min("n").alias("n"))
-    side = lambda p: nodes.select(*[F.col(c).alias(p if c == "node" else f"{p}_{c}") for c in ("node", "s", "g", "m", "birth", "sex", "f")])
+def shared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b, n): nodes of two sets of forms (node, form) that share one; n counts the nodes that share the rarest."""
+    rarity = b.groupBy("form").agg(F.count("*").alias("n"))
+    other = b.join(rarity, "form").select("form", F.col("node").alias("b"), "n")
+    pairs = a.select("form", F.col("node").alias("a")).join(other, "form").where("a != b")
+    return pairs.groupBy("a", "b").agg(F.min("n").alias("n"))
+
+
+def judged(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b, n) that agree, with ``tier``, ``kg`` and ``dated``; higher tiers are better."""
+    nodes = nodes.withColumn("f", F.get(_fulls(F.col("s")), F.lit(0))).withColumn("gs", _fulls(F.col("g")))
+    side = lambda p: nodes.select(*[F.col(c).alias(p if c == "node" else f"{p}_{c}") for c in ("node", "s", "g", "m", "birth", "sex", "f", "gs")])
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     # A surname may be further off where birth date and given name are equal.
     least = F.least(F.length("a_s"), F.length("b_s"))
     far = (F.levenshtein("a_s", "b_s") <= F.when(least >= 8, 4).when(least >= 6, 3).otherwise(0)) & (F.col("a_birth") != "") & (F.col("a_birth") == F.col("b_birth"))
-    full = full.withColumns({"ks": _agreement("a_s", "b_s"), "kg": _agreement("a_g", "b_g"), "km": _agreement("a_m", "b_m"), "xs": _agreement("a_s", "b_g"), "xg": _agreement("a_g", "b_s"), "xn": _agreement("a_f", "b_g"), "xm": _agreement("a_g", "b_f")})
+    alike = (F.length("a_g") > 1) & (F.length("b_g") > 1) & F.arrays_overlap(F.concat("a_gs", F.array("a_g")), F.concat("b_gs", F.array("b_g")))
+    full = full.withColumns({"ks": _agreement("a_s", "b_s"), "kg": F.when(alike, 3).otherwise(_agreement("a_g", "b_g")), "km": _agreement("a_m", "b_m"), "xs": _agreement("a_s", "b_g"), "xg": _agreement("a_g", "b_s"), "xn": _agreement("a_f", "b_g"), "xm": _agreement("a_g", "b_f")})
     full = full.withColumns({"ks": F.when((F.col("ks") < 2) & far & (F.col("kg") >= 2), 2).otherwise(F.col("ks")), "xs": F.greatest("xs", "xn"), "xg": F.greatest("xg", "xm")})
     turn = (F.col("xs") >= 2) & (F.col("xg") >= 2) & ((F.col("ks") < 2) | (F.col("kg") < 2))
     full = full.withColumns({"ks": F.when(turn, 2).otherwise(F.col("ks")), "kg": F.when(turn, 2).otherwise(F.col("kg"))})
@@ -202,9 +224,9 @@ def components(edges: DataFrame, ids: DataFrame) -> DataFrame:
         near = both.join(label.select(F.col("node").alias("b"), "person"), "b").groupBy(F.col("a").alias("node")).agg(F.min("person").alias("near"))
         low = label.join(near, "node", "left").select("node", F.least("person", F.coalesce("near", "person")).alias("low"), "person")
         jump = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        new = cut(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("person"), (F.col("low") != F.col("person")).alias("moved")))
+        new, moved = cut_counted(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("person"), (F.col("low") != F.col("person")).alias("moved")), "moved")
         label = new.drop("moved")
-        if not new.where("moved").take(1):
+        if not moved:
             return label
 
 
@@ -216,22 +238,36 @@ def link(names: DataFrame) -> DataFrame:
     ids = rows.groupBy(*key).agg(F.min("name_id").alias("node"))
     rows = cut(rows.join(ids, key).select("name_id", "node"))
     nodes = cut(ids)
-    found = cut(candidates(nodes))
-    strong = nodes.where("birth != '' and s != '' and length(g) > 1").select("node")
-    is_strong = lambda side: found.join(strong.withColumnRenamed("node", side), side, "left_semi")
-    sure = is_strong("a").where("dated and kg >= 2").join(strong.withColumnRenamed("node", "b"), "b", "left_semi")
-    persons = components(sure, strong)
+    strong = nodes.where("birth != '' and s != '' and length(g) > 1")
+    weak = nodes.join(strong.select("node"), "node", "left_anti")
+    named = lambda df, c: df.select(F.col("node").alias(c))
+
+    # Dated forms make the persons.
+    dated = cut(dated_forms(nodes))
+    with_date = cut(judged(shared(dated, dated).where("a < b"), nodes))
+    sure = with_date.where("dated and kg >= 2").join(named(strong, "a"), "a", "left_semi").join(named(strong, "b"), "b", "left_semi")
+    persons = components(sure, strong.select("node"))
+
+    # Rows without a birth date meet all others over full names, then those that no person fits over initials.
+    missing = nodes.where("birth = ''")
+    everyone = full_forms(nodes)
+    by_name = cut(judged(shared(full_forms(missing), everyone), nodes))
+    open_ = missing.join(by_name.join(named(strong, "b"), "b", "left_semi").select(F.col("a").alias("node")), "node", "left_anti")
+    by_initial = judged(shared(initial_forms(open_), initial_forms(strong)), nodes)
     # A row that lacks something joins the person that fits best, among equals the one with the rarest shared form, if that is one.
-    weak = nodes.select("node").join(strong, "node", "left_anti")
-    ways = found.select(F.col("a").alias("node"), F.col("b").alias("other"), "tier", "n").union(found.select("b", "a", "tier", "n")).join(weak, "node", "left_semi")
+    turned_round = with_date.select(F.col("b").alias("a"), F.col("a").alias("b"), "tier", "n", "kg", "dated")
+    ways = with_date.union(turned_round).union(by_name).union(by_initial).select(F.col("a").alias("node"), F.col("b").alias("other"), "tier", "n").join(weak.select("node"), "node", "left_semi")
     near = ways.join(persons.withColumnRenamed("node", "other"), "other").groupBy("node", "person").agg(F.max(F.struct("tier", -F.col("n"))).alias("fit"))
-    best = near.withColumn("top", F.max("fit").over(Window.partitionBy("node"))).where("fit = top").groupBy("node").agg(F.count("*").alias("k"), F.min("person").alias("person"))
-    best = cut(best)
+    top = near.groupBy("node").agg(F.max("fit").alias("top"))
+    best = cut(near.join(top, "node").where("fit = top").groupBy("node").agg(F.count("*").alias("k"), F.min("person").alias("person")))
     joined = best.where("k = 1").select("node", "person")
+
     # What fits no person at all is linked among itself, to equals only.
-    rest = weak.join(best, "node", "left_anti")
-    among = found.where("(dated and kg >= 1) or kg >= 2").join(rest.withColumnRenamed("node", "a"), "a", "left_semi").join(rest.withColumnRenamed("node", "b"), "b", "left_semi")
-    others = components(among, rest)
+    rest = cut(weak.join(best, "node", "left_anti"))
+    left = initial_forms(rest.where("length(g) > 1"))
+    by_initial = judged(shared(left, left).where("a < b"), rest)
+    among = with_date.union(by_name).union(by_initial).where("(dated and kg >= 1) or kg >= 2").join(named(rest, "a"), "a", "left_semi").join(named(rest, "b"), "b", "left_semi")
+    others = components(among, rest.select("node"))
     alone = best.where("k > 1").select("node", F.col("node").alias("person"))
     return rows.join(persons.union(joined).union(others).union(alone), "node").select("name_id", "person")
 
