@@ -68,7 +68,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Score of every document."""
+    """Score, probability and evidence of every document."""
     return _scores(spark, d)
 
 
