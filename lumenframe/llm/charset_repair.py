@@ -223,11 +223,11 @@ class Model:
         weights = [IMPROBABLE - (log - self.single[CLASS[c]]) for log, c in zip(self.logs(f" {word} "), f"{word} ", strict=False)]
         return [(max(0, a - 1), min(len(word), b)) for a, b in segments(weights)]
 
-    def inverse(self, part: str) -> Iterator[tuple[str, str, str]]:
-        """(restored part, wrong decoder, true encoding) of all mappings that are possible."""
+    def inverse(self, part: str, only: str | None = None) -> Iterator[tuple[str, str, str]]:
+        """(restored part, wrong decoder, true encoding) of all mappings that are possible, or of those of one true encoding."""
         seen = {part}
         raws: dict[str, bytes | None] = {}
-        for right, decoders in CONFUSED.items():
+        for right, decoders in CONFUSED.items() if only is None else [(only, CONFUSED[only])]:
             for wrong in decoders:
                 if wrong not in raws:
                     raws[wrong] = _bytes(part, wrong)
@@ -268,13 +268,14 @@ class Model:
             tried: set[tuple[str, str]] = set()
             for a, b in [*together, *sorted(alone)]:
                 part = word[a:b]
-                if part.isascii():
-                    continue
-                for new, wrong, right in self.inverse(part):
-                    if (a, b) in together:
+                by_itself = (a, b) in alone
+                if part.isascii() or by_itself and len(part) < SHORT:
+                    continue  # a few characters can be read in many ways
+                for new, wrong, right in self.inverse(part, "utf-8" if by_itself else None):
+                    if not by_itself:
                         tried.add((wrong, right))
-                    elif (wrong, right) in tried or right != "utf-8" or len(part) < SHORT:
-                        continue  # a few characters can be read in many ways
+                    elif (wrong, right) in tried:
+                        continue
                     whole = word[:a] + new + word[b:]
                     if right != "utf-8" and not control and letters < 2:
                         continue  # signs apart from any word say nothing
