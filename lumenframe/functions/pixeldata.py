@@ -176,7 +176,7 @@ def decode(data: bytes, d: Description, syntax: str, bit_offset: int = 0) -> np.
         data, planar = rle_decode(data, d), False
     elif syntax == DEFLATED_FRAME:
         try:
-            data, planar = zlib.decompressobj(-15).decompress(data), d.planar
+            data, planar = zlib.decompressobj(-15).decompress(data, -(-d.frame_bits // 8) + 1), d.planar  # never more than a frame
         except zlib.error as e:
             raise DecoderError(str(e)) from e
     elif syntax in NATIVE:
@@ -305,9 +305,24 @@ class Grey:
     window: Window | None = None
     voi: Lut | None = None
     inverse: bool = False
+    cache: np.ndarray | None = None
+    first: int = 0
 
     def render(self, stored: np.ndarray) -> np.ndarray:
-        """Eight-bit grey levels."""
+        """Eight-bit grey levels; those of up to 65 536 different stored values are worked out once and kept for further frames."""
+        if not stored.size:
+            return stored.astype(np.uint8)
+        least, most = int(stored.min()), int(stored.max())
+        if self.window is None and self.voi is None or most - least >= 65_536:
+            return self.levels(stored)
+        if self.cache is None or least < self.first or most >= self.first + len(self.cache):
+            low, high = (least, most) if self.cache is None else (min(least, self.first), max(most, self.first + len(self.cache) - 1))
+            if high - low >= 65_536:
+                return self.levels(stored)
+            self.first, self.cache = low, self.levels(np.arange(low, high + 1))
+        return self.cache[stored.astype(np.int64) - self.first]
+
+    def levels(self, stored: np.ndarray) -> np.ndarray:
         x = self.modality.at(stored).astype(np.float32) if self.modality else stored.astype(np.float32) * np.float32(self.slope) + np.float32(self.intercept)
         if self.voi:
             level = self.voi.normalised(x)
@@ -318,6 +333,46 @@ class Grey:
         return np.clip(np.floor(level * 255 + 0.5), 0, 255).astype(np.uint8)
 
 
+def standard_palette(name: str) -> np.ndarray:
+    """256 RGB colours of a palette of the standard, from the straight lines it is made of; each level is rounded down."""
+    if name == "PET_20_STEP":
+        steps = np.array([c for c, _ in STEPS], np.uint8)
+        return np.repeat(steps, [n for _, n in STEPS], axis=0)
+    i = np.arange(256)
+    channels = []
+    for points in PALETTES[name]:
+        at, level = zip(*points, strict=True)
+        line = np.interp(i, at, np.array(level, float))
+        channels.append(np.clip(np.floor(line + 1e-9), 0, 255).astype(np.uint8))
+    return np.stack(channels, -1)
+
+
+# Fixed values of the standard: (index, level) where the lines of red, green and blue begin and end.
+PALETTES = {
+    "HOT_IRON": ([(0, 0), (128, 256)], [(128, 0), (254, 252), (255, 255)], [(191, 0), (255, 256)]),
+    "PET": ([(63, 0), (192, 255)], [(0, 0), (63, 128), (128, 0), (255, 255)], [(0, 0), (127, 253.0078125), (128, 256), (192, 0), (255, 255)]),
+    "SPRING": ([(0, 255)], [(0, 0), (255, 255)], [(0, 255), (255, 0)]),
+    "SUMMER": ([(0, 0)], [(0, 255.5), (255, 128)], [(127, 0.5), (255, 254.5)]),
+    "FALL": ([(0, 255)], [(0, 255), (255, 0)], [(0, 0)]),
+    "WINTER": ([(127, 0.5), (255, 127.5)], [(0, 0), (255, 255)], [(0, 255.5), (255, 128)]),
+}
+# Fixed values of the standard: the twenty colours of the stepped palette, and how many levels each has.
+STEPS = [
+    ((0, 0, 0), 13), ((96, 0, 80), 13), ((48, 48, 80), 13), ((48, 48, 112), 12), ((80, 80, 128), 13), ((96, 96, 176), 13), ((112, 112, 192), 13), ((128, 128, 224), 12), ((48, 96, 48), 13), ((48, 144, 48), 13),
+    ((80, 192, 80), 13), ((64, 224, 64), 12), ((224, 224, 80), 13), ((208, 208, 96), 13), ((208, 176, 64), 13), ((208, 144, 0), 12), ((192, 96, 0), 13), ((176, 48, 0), 13), ((255, 0, 0), 13), ((255, 255, 255), 13),
+]
+
+
+def png(image: np.ndarray) -> bytes:
+    """A grey or RGB image of eight or sixteen bits as a PNG file."""
+    depth = 16 if image.dtype.itemsize == 2 else 8
+    rows = np.ascontiguousarray(image.astype(">u2" if depth == 16 else np.uint8)).reshape(image.shape[0], -1).view(np.uint8).reshape(image.shape[0], -1)
+    lines = np.concatenate([np.zeros((image.shape[0], 1), np.uint8), rows], axis=1).tobytes()
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], depth, 2 if image.ndim == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
 # -- colour and geometry ------------------------------------------------------------------------------------
 
 

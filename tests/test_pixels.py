@@ -104,3 +104,59 @@ def test_waveforms_over_a_table(spark):
     assert {(r.group_ix, r.channel_ix, r.first_sample): r.samples for r in rows if not r.error} == {(0, 0, 0): [0, 2, 4], (0, 0, 3): [6, 8], (0, 1, 0): [1, 3, 5], (0, 1, 3): [7, 9]}
     assert [r.group_ix for r in rows if r.error] == [2]
     assert waveforms.samples(df).count() == 10
+
+
+def test_palettes_and_png():
+    import struct
+    import zlib
+
+    hot, pet = P.standard_palette("HOT_IRON"), P.standard_palette("PET")
+    assert hot[[1, 127, 128, 129, 192, 254, 255]].tolist() == [[2, 0, 0], [254, 0, 0], [255, 0, 0], [255, 2, 0], [255, 128, 4], [255, 252, 252], [255, 255, 255]]
+    assert pet[[1, 32, 63, 64, 107, 127, 128, 129, 191, 192, 213, 255]].tolist() == [[0, 2, 1], [0, 65, 63], [0, 128, 125], [1, 126, 127], [86, 41, 213], [126, 1, 253], [128, 0, 255], [130, 2, 252], [253, 126, 4], [255, 128, 0], [255, 170, 85], [255, 255, 255]]
+    assert P.standard_palette("SUMMER")[[0, 1, 16, 128, 160, 255]].tolist() == [[0, 255, 0], [0, 255, 0], [0, 247, 0], [0, 191, 2], [0, 175, 65], [0, 128, 254]]
+    assert P.standard_palette("WINTER")[[0, 128, 192, 255]].tolist() == [[0, 0, 255], [1, 128, 191], [64, 192, 159], [127, 255, 128]]
+    assert P.standard_palette("SPRING")[7].tolist() == [255, 7, 248] and P.standard_palette("FALL")[7].tolist() == [255, 248, 0] and P.standard_palette("PET_20_STEP")[[12, 13, 255]].tolist() == [[0, 0, 0], [96, 0, 80], [255, 255, 255]]
+    image = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    data = P.png(image)
+    at, parts = 8, {}
+    while at < len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        parts[kind] = data[at + 8 : at + 8 + n]
+        assert struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + parts[kind])
+        at += 12 + n
+    lines = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(2, 13)
+    assert not lines[:, 0].any() and np.array_equal(lines[:, 1:].reshape(2, 4, 3), image)
+
+
+def test_colour_tables_overlays_and_look_up_sequences(spark):
+    import base64
+
+    inline = lambda x, t="<u2": base64.b64encode(np.asarray(x, t).tobytes()).decode()
+    table = {f"0028110{i}": ("US", [4, 0, 8]) for i in (1, 2, 3)}
+    a = json.loads(_image([[[0, 1], [2, 3]]], **table, **{"00280004": ("CS", ["PALETTE COLOR"])}))
+    a |= {f"0028120{i}": {"vr": "OW", "InlineBinary": inline([10 * i, 20 * i, 30 * i, 40 * i])} for i in (1, 2, 3)}
+    b = json.loads(_image([[[0, 1], [2, 3]]]))
+    b |= {"00283000": {"vr": "SQ", "Value": [{"00283002": {"vr": "US", "Value": [4, 0, 16]}, "00283006": {"vr": "US", "Value": [100, 200, 300, 400]}}]}}
+    b |= {"00283010": {"vr": "SQ", "Value": [{"00283002": {"vr": "US", "Value": [2, 200, 8]}, "00283006": {"vr": "OW", "InlineBinary": inline([51, 204])}}]}}
+    c = json.loads(_image([[[0, 4095], [0, 0]]])) | {"60000010": {"vr": "US", "Value": [1]}, "60000011": {"vr": "US", "Value": [2]}, "60000050": {"vr": "SS", "Value": [2, 1]}, "60003000": {"vr": "OW", "InlineBinary": base64.b64encode(bytes([2, 0])).decode()}}
+    df = _elements(spark, *[(n, json.dumps(x)) for n, x in zip("abc", (a, b, c), strict=True)])
+    got = {r.file: (r.samples, r.pixels, r.error) for r in pixels.rendered(df, overlays=True).collect()}
+    assert got["a"] == (3, [10, 20, 30, 20, 40, 60, 30, 60, 90, 40, 80, 120], None)
+    assert got["b"] == (1, [51, 51, 204, 204], None) and got["c"] == (1, [0, 255, 0, 255], None)
+    assert {r.file: r.pixels[-3:] for r in pixels.rendered(df.where("file = 'c'"), colours="HOT_IRON").collect()} == {"c": [0, 0, 0]}
+    files = pixels.image_files(df).collect()
+    assert {r.name for r in files} == {"a.0000.png", "b.0000.png", "c.0000.png"} and all(bytes(r.content[:4]) == b"\x89PNG" for r in files)
+    assert {bytes(r.content) for r in pixels.image_files(df.where("file = 'c'"), "raw").collect()} == {np.array([0, 4095, 0, 0], "<u2").tobytes()}
+
+
+def test_transcoded_data_sets_keep_their_images(spark):
+    a = _image([[[0, 1], [2, 4095]], [[7, 7], [7, 9]]])
+    bad = json.dumps({"00020010": {"vr": "UI", "Value": ["1.2.840.10008.1.2.4.90"]}} | {k: v for k, v in json.loads(a).items() if k != "00020010"})
+    df = _elements(spark, ("a", a), ("bad", bad))
+    rle, failed = pixels.transcoded_elements(df, P.RLE)
+    assert [(r.file, "no decoder" in r.error) for r in failed.collect()] == [("bad", True)]
+    back, _ = pixels.transcoded_elements(rle, p10.EXPLICIT)
+    for x in (rle, back):
+        got = {r.frame_index: r.pixels for r in pixels.stored_values(x.where("file = 'a'")).collect()}
+        assert got == {0: [0, 1, 2, 4095], 1: [7, 7, 7, 9]}
+    assert rle.where("file = 'a' and tag = '00020010'").first().values_json == json.dumps([P.RLE]) and rle.where("file = 'bad'").count() == df.where("file = 'bad'").count()
