@@ -1,4 +1,4 @@
-"""Command line: ``python -m lumenframe.cli COMMAND …`` over files, folders and any file system that Spark reads.
+"""Command line: ``python -m lumenframe.cli COMMAND INPUT… [OUTPUT]`` over files, folders, globs and any file system that Spark reads.
 
 Commands: list, print, modify, rewrite, dcm-to-json, json-to-dcm, get-pixel-data, archive.
 """
@@ -8,9 +8,11 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenframe.functions import printing
 from lumenframe.operators import archive, elements, listing, pixels
@@ -20,17 +22,46 @@ from lumenframe.sources import datasource, dicom_json, p10
 LISTED = {"sop_class": "00080016", "instance": "00080018", "study": "0020000D", "series": "0020000E", "patient": "00100020", "patient_name": "00100010", "study_date": "00080020", "modality": "00080060", "syntax": "00020010"}
 
 
-def _read(spark: SparkSession, path: str, tags: list[str] | None = None) -> DataFrame:
-    reader = spark.read.format("dicom").option("path", path)
-    return (reader.option("tags", ",".join(tags)) if tags else reader).load()
+WRITING = ("modify", "rewrite", "dcm-to-json", "json-to-dcm", "get-pixel-data", "archive")
+
+
+def _read(spark: SparkSession, paths: list[str], tags: list[str] | None = None, extension: str | None = None) -> DataFrame:
+    """Elements of local files by the data source, those of other file systems through Spark's own reader of bytes."""
+    remote = [p for p in paths if "://" in p and not p.startswith("file://")]
+    local = [p for p in paths if p not in remote]
+    found = None
+    if local:
+        reader = spark.read.format("dicom").option("path", "\n".join(local))
+        reader = reader.option("extension", extension) if extension else reader
+        found = (reader.option("tags", ",".join(tags)) if tags else reader).load()
+    if remote:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        more = datasource.parsed((reader.option("pathGlobFilter", f"*.{extension}") if extension else reader).load(remote), **({"tags": ",".join(tags)} if tags else {}))
+        found = more if found is None else found.unionByName(more)
+    return found
+
+
+def _base(paths: list[str]) -> str | None:
+    """The folder that output names are relative to: the only input, or the one above all inputs."""
+    if len(paths) == 1 and not os.path.isdir(paths[0]):
+        return os.path.dirname(datasource.split_glob(paths[0])[0] + "/x") if datasource.split_glob(paths[0])[1] else None
+    return os.path.commonpath([os.path.abspath(datasource.split_glob(p)[0] if os.path.isdir(datasource.split_glob(p)[0]) else os.path.dirname(p)) for p in paths])
+
+
+def _whole(spark: SparkSession, paths: list[str], tags: list[str] | None = None) -> DataFrame:
+    """Elements of the files that can be read to their end; the others are named on standard error."""
+    rows = _read(spark, paths, tags)
+    for r in rows.where("error is not null").select("file", "error").toLocalIterator():
+        print(f"{r.file}: {r.error}", file=sys.stderr)
+    return dicom_json.whole(rows)
 
 
 def _first(column: str) -> F.Column:  # type: ignore[name-defined]
     return F.get(F.from_json(column, "array<string>"), F.lit(0))
 
 
-def _wide(spark: SparkSession, path: str) -> DataFrame:
-    wide = elements.pivot(_read(spark, path, list(LISTED.values())), LISTED)
+def _wide(spark: SparkSession, paths: list[str]) -> DataFrame:
+    wide = elements.pivot(_read(spark, paths, list(LISTED.values())).where("error is null"), LISTED)
     named = F.coalesce(F.get_json_object("patient_name", "$[0].Alphabetic"), F.lit(""))
     return wide.select("file", *[(named if n == "patient_name" else _first(n)).alias(n) for n in LISTED])
 
@@ -38,8 +69,8 @@ def _wide(spark: SparkSession, path: str) -> DataFrame:
 def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="lumenframe")
     parser.add_argument("command", choices=["list", "print", "modify", "rewrite", "dcm-to-json", "json-to-dcm", "get-pixel-data", "archive"])
-    parser.add_argument("input")
-    parser.add_argument("output", nargs="?")
+    parser.add_argument("paths", nargs="*", help="inputs, and for commands that write their output last")
+    parser.add_argument("--file-list", help="file with one input a line, - for standard input")
     parser.add_argument("--select", action="append", default=[], help="tag that a listed file must have")
     parser.add_argument("--summarize", action="store_true")
     parser.add_argument("--extension")
@@ -54,21 +85,28 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
     parser.add_argument("--select-frames", default="0..")
     parser.add_argument("--crop")
     parser.add_argument("--orientation", default="identity")
+    parser.add_argument("--format", choices=["png", "raw", "parquet"], default="png")
+    parser.add_argument("--overlays", action="store_true")
+    parser.add_argument("--colours", help="palette of the standard for grey images")
     args = parser.parse_args(argv)
+    args.output = args.paths.pop() if args.command in WRITING and args.paths else None
+    args.inputs = datasource.inputs(args.paths, args.file_list)
+    if not args.inputs or args.command in WRITING and not args.output:
+        parser.error("inputs and, for commands that write, an output are needed")
     spark = spark or session("local[*]")
     datasource.register(spark)
     if args.command == "list":
         _list(spark, args)
     elif args.command == "print":
-        for path, _, _ in datasource.walk(args.input):
+        for path, _, _ in datasource.walk("\n".join(args.inputs)):
             with open(path, "rb") as f:
                 print("\n".join(printing.lines(p10.Walker(f).elements(), args.width)))
     elif args.command in ("modify", "rewrite"):
-        rows = _read(spark, args.input).where("error is null")
+        rows = _whole(spark, args.inputs)
         if args.merge_json:
             with open(args.merge_json) as f:
-                new = [(e.hex, e.vr, *dicom_json.V.row_values(e.value, e.vr, e.charset)) for e in dicom_json.read(f.read()) if not e.path and e.vr != "SQ"]
-            rows = elements.insert(rows, spark.createDataFrame(new, "tag string, vr string, values_json string, inline_binary binary"))
+                new = list(dicom_json.rows("", dicom_json.read(f.read())))
+            rows = elements.insert(rows, spark.createDataFrame(new, dicom_json.DDL).drop("file", "ordinal"))
         # Merged elements are themselves subject to what follows.
         if args.delete:
             rows = elements.delete_tags(rows, args.delete)
@@ -76,32 +114,34 @@ def run(argv: list[str] | None = None, spark: SparkSession | None = None) -> Non
             rows = elements.delete_private(rows)
         if args.anonymize:
             rows = elements.anonymize(rows)
-        datasource.save(rows, args.output, args.transfer_syntax)
+        datasource.save(rows, args.output, args.transfer_syntax, _base(args.inputs))
     elif args.command == "dcm-to-json":
-        texts = dicom_json.elements_to_json(_read(spark, args.input).where("error is null"))
+        texts = dicom_json.elements_to_json(_whole(spark, args.inputs))
         texts.select("text").write.mode("overwrite").text(args.output)
     elif args.command == "json-to-dcm":
-        texts = spark.read.text(args.input, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-        datasource.save(dicom_json.json_to_elements(texts), args.output, args.transfer_syntax)
+        texts = spark.read.option("recursiveFileLookup", "true").text(args.inputs, wholetext=True).select(F.regexp_replace(F.input_file_name(), "^file:/*", "/").alias("file"), F.col("value").alias("text"))
+        datasource.save(dicom_json.whole(dicom_json.json_to_elements(texts)), args.output, args.transfer_syntax)
     elif args.command == "get-pixel-data":
         crop = tuple(int(x) for x in args.crop.split(",")) if args.crop else None
-        images = pixels.rendered(_read(spark, args.input, pixels.TAGS).where("error is null"), crop=crop, orientation=args.orientation, together=True)
-        counted = images.withColumn("n_frames", F.count("*").over(F_window()))
-        listing.selected_frames(counted, args.select_frames).drop("n_frames").write.mode("overwrite").parquet(args.output)
+        options = {"crop": crop, "orientation": args.orientation, "overlays": args.overlays, "colours": args.colours}
+        rows = _read(spark, args.inputs, pixels.TAGS).where("error is null")
+        images = pixels.rendered(rows, together=True, **options) if args.format == "parquet" else pixels.image_files(rows, args.format, together=True, **options)
+        counted = images.withColumn("n_frames", F.count("*").over(Window.partitionBy("file")))
+        chosen = listing.selected_frames(counted, args.select_frames).drop("n_frames")
+        if args.format == "parquet":
+            chosen.write.mode("overwrite").parquet(args.output)
+        else:
+            print(pixels.write_files(chosen, args.output, _base(args.inputs)))
     else:
         _archive(spark, args)
 
 
-def F_window():  # noqa: ANN201, N802
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("file")
-
-
 def _list(spark: SparkSession, args: argparse.Namespace) -> None:
-    wide = _wide(spark, args.input)
-    sizes = spark.createDataFrame(datasource.walk(args.input, args.extension) or [("", 0, 0.0)], "file string, length bigint, modified double")
-    files = listing.list_files(wide.join(sizes, "file").withColumn("path", F.col("file")), args.extension, args.ignore)
+    wide = _wide(spark, args.inputs)
+    # Spark lists the files with their sizes; a glob has its own pattern above.
+    folders = [datasource.split_glob(p)[0] for p in args.inputs]
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select(F.regexp_replace("path", "^file:/*", "/").alias("file"), "length")
+    files = listing.list_files(wide.join(listed, "file").withColumn("path", F.col("file")), args.extension, args.ignore)
     if args.summarize:
         listing.summary(files, F.coalesce("syntax", F.lit(p10.IMPLICIT)), F.col("length")).show(100, False)
         listing.totals(files, "length", "study", "path").show(1, False)
@@ -109,17 +149,17 @@ def _list(spark: SparkSession, args: argparse.Namespace) -> None:
     tags = {t.lower(): t.upper() for t in args.select}
     shown = files.select("path", "length")
     if tags:
-        chosen = elements.pivot(_read(spark, args.input, list(tags.values())), tags).withColumnRenamed("file", "path")
+        chosen = elements.pivot(_read(spark, args.inputs, list(tags.values())).where("error is null"), tags).withColumnRenamed("file", "path")
         shown = shown.join(chosen, "path", "left")
     for row in shown.orderBy("path").toLocalIterator():
         print(json.dumps(row.asDict(), ensure_ascii=False))
 
 
 def _archive(spark: SparkSession, args: argparse.Namespace) -> None:
-    wide = _wide(spark, args.input).where("instance is not null").fillna("")
+    wide = _wide(spark, args.inputs).where("instance is not null").fillna("")
     named = listing.archive_names(wide, "patient", "study", "series", ["file"]).withColumn("file_id", F.col("name"))
     index = archive.dicomdirs(named.withColumn("file_set_id", F.lit(os.path.basename(args.output)[:16]))).select(F.lit("DICOMDIR").alias("name"), "content")
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(args.input)
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([datasource.split_glob(p)[0] for p in args.inputs])
     files = named.join(content.select(F.regexp_replace("path", "^file:/*", "/").alias("file"), "content"), "file").select("name", "content")
     print(archive.write_zip(index.unionByName(files), args.output))
 

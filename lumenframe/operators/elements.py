@@ -70,14 +70,37 @@ def anonymize(elements: DataFrame, recursive: bool = True) -> DataFrame:
 
 
 def insert(elements: DataFrame, new: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Root elements of ``new`` (file or for all files: tag, vr, …) replace those of the same tag, with what lay in them."""
+    """Root elements of ``new`` (file or for all files: tag, vr, …) replace those of the same tag, with what lay in them.
+
+    ``new`` may hold nested elements with their ``path``.  Without a column ``file`` it is one data set for all files, a table by
+    itself small enough to lie in one array; its rows are exploded for each file.
+    """
+    path_type = elements.schema["path"].dataType
+    if "path" not in new.columns:
+        new = new.withColumn("path", F.array().cast(path_type))
     if "file" not in new.columns:
         targets = (elements if files is None else files).select("file").distinct()
-        new = targets.join(F.broadcast(new), how="cross")
-    keys = new.select("file", "tag").distinct()
+        one = new.agg(F.collect_list(F.struct(*new.columns)).alias("_rows"))
+        new = targets.join(one, how="cross").select("file", F.inline("_rows"))
     root = F.when(F.size("path") > 0, F.get("path", F.lit(0))["tag"]).otherwise(F.col("tag"))
-    kept = elements.withColumn("_root", root).join(keys.withColumnRenamed("tag", "_root"), ["file", "_root"], "left_anti").drop("_root")
-    return kept.unionByName(new.withColumn("path", F.array().cast(elements.schema["path"].dataType)) if "path" not in new.columns else new, allowMissingColumns=True)
+    keys = new.select("file", root.alias("_root")).distinct()
+    kept = elements.withColumn("_root", root).join(keys, ["file", "_root"], "left_anti").select(*elements.columns)
+    return kept.unionByName(new.select(*[c for c in new.columns if c in elements.columns]), allowMissingColumns=True)
+
+
+def insert_module(elements: DataFrame, values: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """A module written into data sets: ``values`` has one row per file, ``columns`` maps its columns to (tag, vr).
+
+    Null columns leave what is there; arrays are multiple values.  The counterpart of ``pivot``.
+    """
+    kinds = dict(values.dtypes)
+    each = []
+    for name, (tag, vr) in columns.items():
+        held = F.col(name) if kinds[name].startswith("array") else F.array(F.col(name))
+        if vr == "PN":
+            held = F.transform(held, lambda v: F.struct(v.alias("Alphabetic")))
+        each.append(F.when(F.col(name).isNotNull(), F.struct(F.lit(tag).alias("tag"), F.lit(vr).alias("vr"), F.to_json(held).alias("values_json"))))
+    return insert(elements, values.select("file", F.inline(F.array_compact(F.array(*each)))))
 
 
 def merge(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
@@ -116,14 +139,21 @@ def private_blocks(elements: DataFrame) -> DataFrame:
 
 
 def infer_vr(elements: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``vr`` completed from a dictionary (tag, vr, name) of bounded size; unknown tags are UN, creators LO, group lengths UL.
+    """``vr`` completed from a dictionary (tag, vr, name); unknown tags are UN, creators LO, group lengths UL.
 
-    The dictionary is the standard's, a few thousand rows, and may be sent to all tasks.
+    Where the dictionary allows several, the pixel representation of the same data set, else of the file's root, says whether numbers
+    are signed, and words stand for bytes or words.
     """
     number = S.tag_int(F.col("tag"))
     known = dictionary.groupBy("tag").agg(F.min("vr").alias("_vr"), F.min("name").alias("name"))
     implied = F.when(S.is_private_creator(number), "LO").when(S.tag_element(number) == 0, "UL").otherwise(F.coalesce("_vr", F.lit("UN")))
-    return elements.join(F.broadcast(known), "tag", "left").withColumn("vr", F.coalesce("vr", implied)).drop("_vr")
+    df = elements.join(known, "tag", "left").withColumn("vr", F.coalesce("vr", implied)).drop("_vr")
+    df = df.withColumn("vr", F.when(F.col("vr").isin("OB or OW", "US or OW", "US or SS or OW"), "OW").otherwise(F.col("vr")))
+    clear, open_ = df.where(~F.col("vr").eqNullSafe("US or SS")), df.where("vr = 'US or SS'")
+    told = elements.where("tag = '00280103'").select("file", S.path_text(F.col("path")).alias("_at"), F.get(F.from_json("values_json", "array<int>"), F.lit(0)).alias("_sign"))
+    signs = told.groupBy("file").agg(F.map_from_entries(F.collect_set(F.struct("_at", F.coalesce("_sign", F.lit(0)).alias("_sign")))).alias("_signs"))
+    found = open_.join(signs, "file", "left").withColumn("_own", F.coalesce(F.try_element_at("_signs", S.path_text(F.col("path"))), F.try_element_at("_signs", F.lit("")), F.lit(0)))
+    return clear.unionByName(found.withColumn("vr", F.when(F.col("_own") == 1, "SS").otherwise("US")).drop("_signs", "_own"))
 
 
 def order_violations(elements: DataFrame) -> DataFrame:
@@ -140,7 +170,18 @@ def file_meta(elements: DataFrame) -> DataFrame:
     return own.unionByName(copied.join(own.select("file", "tag"), ["file", "tag"], "left_anti"))
 
 
+def value_bytes(vr: Column, values_json: Column, inline_binary: Column) -> Column:
+    """Octets of a value as a file holds it: numbers by their width, text with its separators, padded to an even number."""
+    n = F.coalesce(F.json_array_length(values_json), F.lit(0))
+    width = F.when(vr.isin("US", "SS"), 2).when(vr.isin("UL", "SL", "FL", "AT"), 4).when(vr.isin("FD", "UV", "SV"), 8)
+    groups = F.transform(F.from_json(values_json, "array<struct<Alphabetic:string,Ideographic:string,Phonetic:string>>"), lambda p: F.rtrim(F.concat_ws("=", F.coalesce(p["Alphabetic"], F.lit("")), F.coalesce(p["Ideographic"], F.lit("")), F.coalesce(p["Phonetic"], F.lit(""))), F.lit("=")))
+    strings = F.transform(F.from_json(values_json, "array<string>"), lambda v: F.coalesce(v, F.lit("")))
+    text = F.octet_length(F.array_join(F.when(vr == "PN", groups).otherwise(strings), "\\"))
+    size = F.coalesce(F.octet_length(inline_binary), F.when(vr == "SQ", 0), width * n, text, F.lit(0))
+    return (size + size % 2).cast("bigint")
+
+
 def byte_sizes(elements: DataFrame) -> DataFrame:
     """(file, n_elements, n_bytes): size of the values at all depths, eight bytes of header each."""
-    size = F.coalesce(F.octet_length("inline_binary"), F.octet_length("values_json"), F.lit(0))
+    size = value_bytes(F.col("vr"), F.col("values_json"), F.col("inline_binary"))
     return elements.groupBy("file").agg(F.count("*").alias("n_elements"), F.sum(size + 8).alias("n_bytes"))

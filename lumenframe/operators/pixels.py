@@ -7,6 +7,8 @@ decoded comes out with its reason in ``error`` and no image.
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -306,3 +308,25 @@ def transcoded_elements(elements: DataFrame, syntax: str) -> tuple[DataFrame, Da
     offset_tables = new.where("tag = '7FE00010'").select("file", F.explode(F.array(F.lit("7FE00001"), F.lit("7FE00002"))).alias("tag"))
     kept = elements.join(offset_tables.withColumn("gone", F.lit(True)), ["file", "tag"], "left_anti")
     return E.insert(kept, new), made.where("error is not null").select("file", "error")
+
+
+def write_files(files: DataFrame, folder: str, base: str | None = None) -> int:
+    """Write (file, name, content) below a folder that all executors share, from the tasks; how many files were written.
+
+    Each file appears at once, by renaming.  With ``base`` the names keep their paths below it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = 0
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                final = os.path.join(folder, os.path.relpath(name, base) if base else os.path.basename(name))
+                os.makedirs(os.path.dirname(final), exist_ok=True)
+                temporary = f"{final}.{uuid.uuid4().hex}.tmp"
+                with open(temporary, "wb") as out:
+                    out.write(content)
+                os.replace(temporary, final)
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return files.where("error is null").select("name", "content").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -1,18 +1,25 @@
 """``spark.read.format("dicom")``: Part 10 files as rows of data elements, in batches and as streams, and back to files.
 
-Options: ``tags`` (comma-separated hexadecimal root tags: others are not materialised and the read stops behind the largest),
+Options: ``path`` (a file, a folder or a glob, several with line breaks between them), ``tags`` (comma-separated hexadecimal root tags: others are not materialised and the read stops behind the largest),
 ``mode`` (PERMISSIVE keeps what was read before an error and adds it in ``error``; FAILFAST raises; DROPMALFORMED drops the file),
-``requirePrefix``, ``maxDepth``, ``maxValue``, ``extension``, ``bytesPerPartition``; for writing ``transferSyntax`` and ``zlibLevel``.
+``requirePrefix`` (a file without the DICM prefix is an error like others; with ``false`` it is read from its first byte), ``defaultSyntax``, ``maxDepth``, ``maxValue``,
+``maxString``, ``extension``, ``skipHidden`` (default false), ``bytesPerPartition``; for writing ``transferSyntax``, ``zlibLevel`` and ``base`` (the folder that output names are
+relative to).  Object stores and anything else that Spark lists come in through ``parsed`` over ``binaryFile``.
 """
 
 from __future__ import annotations
 
+import glob as globs
 import os
+import re
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -25,16 +32,67 @@ def _local(path: str) -> str:
     return path[7:] if path.startswith("file://") else path
 
 
-def walk(root: str, extension: str | None = None) -> list[tuple[str, int, float]]:
-    """(path, size, modification time) of the files below a folder, in order of path."""
-    root = _local(root)
-    if os.path.isfile(root):
-        names = [root]
-    else:
-        names = [os.path.join(folder, n) for folder, _, files in os.walk(root) for n in files if not n.startswith((".", "_"))]
+def walk(root: str, extension: str | None = None, hidden: bool = True) -> list[tuple[str, int, float]]:
+    """(path, size, time of arrival) of the files below a folder or that match a glob, in order of path.
+
+    Of a glob only the folder before its first wildcard is listed.  The time is that of the last change of a file's entry, which a copied file gets
+    when it arrives, however old its content is.  Files that are still being written (``.tmp``) are left out.
+    """
+    found: list[str] = []
+    for one in filter(None, root.split("\n")):
+        one = _local(one)
+        fixed, pattern = split_glob(one)
+        if os.path.isfile(one):
+            found.append(one)
+            continue
+        names = (os.path.join(folder, n) for folder, _, files in os.walk(fixed) for n in files)
+        found += names if pattern is None else [n for n in names if re.match(pattern, n.lower())]
+    kept = [n for n in found if not n.endswith(".tmp") and (hidden or not os.path.basename(n).startswith((".", "_")))]
     if extension:
-        names = [n for n in names if n.lower().endswith("." + extension.lower().lstrip("."))]
-    return sorted((n, os.path.getsize(n), os.path.getmtime(n)) for n in names)
+        kept = [n for n in kept if n.lower().endswith("." + extension.lower().lstrip("."))]
+    out = []
+    for n in sorted(set(kept)):
+        stat = os.stat(n)
+        out.append((n, stat.st_size, stat.st_ctime))
+    return out
+
+
+def split_glob(path: str) -> tuple[str, str | None]:
+    """(folder before the first wildcard, pattern over lower-cased paths), or (path, None) of one without wildcards."""
+    if not globs.has_magic(path) and "{" not in path:
+        return path, None
+    from lumenframe.operators.listing import glob_pattern
+
+    fixed: list[str] = []
+    for part in path.split("/"):
+        if globs.has_magic(part) or "{" in part:
+            break
+        fixed.append(part)
+    return "/".join(fixed) or ("/" if path.startswith("/") else "."), glob_pattern(path)
+
+
+def inputs(paths: list[str], file_list: str | None = None) -> list[str]:
+    """Paths, folders and globs of a command, with those of a list (one per line, ``-`` for standard input).
+
+    An input that is given twice or lies in another one would be read twice: that is an error.
+    """
+    given = list(paths)
+    if file_list:
+        lines = sys.stdin if file_list == "-" else open(file_list)  # noqa: SIM115
+        given += [line.strip() for line in lines if line.strip()]
+    seen: dict[str, str] = {}
+    for one in given:
+        at = one if "://" in one and not one.startswith("file://") else os.path.abspath(_local(one))
+        if at in seen:
+            raise ValueError(f"{one} is given twice")
+        seen[at] = one
+    for at, one in seen.items():
+        above = os.path.dirname(at)
+        while above and above != os.path.dirname(above):
+            if above in seen:
+                raise ValueError(f"{one} lies in {seen[above]}")
+            above = os.path.dirname(above)
+    return given
 
 
 @dataclass
@@ -57,34 +115,55 @@ def grouped(files: list[tuple[str, int, float]], most: int) -> list[Files]:
     return [Files(tuple(paths)) for paths in out]
 
 
-def read_file(path: str, options: dict) -> Iterator[tuple]:
-    """Rows of one file."""
+def config_of(options: dict) -> p10.Config:
     tags = options.get("tags")
-    config = p10.Config(
+    return p10.Config(
         tags=frozenset(int(t, 16) for t in tags.replace(" ", "").split(",") if t) if tags else None,
         require_prefix=options.get("requireprefix", "true").lower() == "true",
+        default_syntax=options.get("defaultsyntax", p10.IMPLICIT),
         max_depth=int(options.get("maxdepth", 10_000)),
         max_value=int(options.get("maxvalue", 2**32 - 2)),
+        max_string=int(options.get("maxstring", 2**32 - 2)),
     )
+
+
+def read_elements(name: str, source: object, options: dict) -> Iterator[tuple]:
+    """Rows of one file or of its bytes."""
     mode = options.get("mode", "PERMISSIVE").upper()
-    with open(path, "rb") as file:
-        if config.require_prefix and not p10.is_p10(file.read(132)):
-            return
-        file.seek(0)
-        held: list[tuple] = []
-        try:
-            for row in dicom_json.rows(path, p10.Walker(file, config).elements()):
-                if mode == "PERMISSIVE":
-                    yield (*row, None)
-                else:
-                    held.append((*row, None))
-        except ValueError as e:
-            if mode == "FAILFAST":
-                raise
+    held: list[tuple] = []
+    try:
+        for row in dicom_json.rows(name, p10.Walker(source, config_of(options)).elements()):  # type: ignore[arg-type]
             if mode == "PERMISSIVE":
-                yield (path, None, None, None, None, None, None, None, None, str(e))
-            return
-        yield from held
+                yield (*row, None)
+            else:
+                held.append((*row, None))
+    except ValueError as e:
+        if mode == "FAILFAST":
+            raise
+        if mode == "PERMISSIVE":
+            yield (name, None, None, None, None, None, None, None, None, str(e))
+        return
+    yield from held
+
+
+def read_file(path: str, options: dict) -> Iterator[tuple]:
+    with open(path, "rb") as file:
+        yield from read_elements(path, file, options)
+
+
+def parsed(files: DataFrame, **options: str) -> DataFrame:
+    """Elements of ``files`` (path, content), as ``spark.read.format("binaryFile")`` gives them on any file system, or any table with a column of bytes."""
+    own = {k.lower(): str(v) for k, v in options.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([*dicom_json.ROW, ("error", pa.string())])
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = list(read_elements(path, content, own)) if content is not None else [(path, *[None] * 8, "no content")]
+                columns = list(zip(*found, strict=True)) if found else [[] for _ in kinds]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds.types, strict=True)], schema=kinds)
+
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 class Reader(DataSourceReader):
@@ -92,7 +171,7 @@ class Reader(DataSourceReader):
         self.options = {k.lower(): v for k, v in options.items()}
 
     def partitions(self) -> list[Files]:
-        return grouped(walk(self.options["path"], self.options.get("extension")), int(self.options.get("bytesperpartition", 32 << 20))) or [Files(())]
+        return grouped(walk(self.options["path"], self.options.get("extension"), self.options.get("skiphidden", "false").lower() != "true"), int(self.options.get("bytesperpartition", 32 << 20))) or [Files(())]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         for path in partition.paths:
@@ -100,7 +179,7 @@ class Reader(DataSourceReader):
 
 
 class StreamReader(DataSourceStreamReader):
-    """New files by modification time and path; each micro-batch takes at most ``maxFilesPerTrigger`` and reads them in tasks."""
+    """New files by time of arrival and path; each micro-batch takes at most ``maxFilesPerTrigger`` and reads them in tasks."""
 
     def __init__(self, options: dict) -> None:
         self.options = {k.lower(): v for k, v in options.items()}
@@ -129,6 +208,14 @@ class StreamReader(DataSourceStreamReader):
             yield from read_file(path, self.options)
 
 
+def output_name(file: str, base: str | None = None) -> str:
+    """Name of an output file: the path below ``base``, else the last part of the path."""
+    name = os.path.relpath(_local(file), _local(base)) if base else os.path.basename(file)
+    if name.startswith(".."):
+        raise ValueError(f"{file} does not lie in {base}")
+    return name if name.lower().endswith(".dcm") else name + ".dcm"
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """Pairs of temporary and final names."""
@@ -145,11 +232,12 @@ class Writer(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         folder = _local(self.options["path"])
         os.makedirs(folder, exist_ok=True)
-        syntax, level = self.options.get("transfersyntax", p10.EXPLICIT), int(self.options.get("zliblevel", 6))
+        syntax, level, base = self.options.get("transfersyntax", p10.EXPLICIT), int(self.options.get("zliblevel", 6)), self.options.get("base")
         names: list[tuple[str, str]] = []
 
         def flush(file: str, held: list) -> None:
-            final = os.path.join(folder, os.path.basename(file) + ("" if file.lower().endswith(".dcm") else ".dcm"))
+            final = os.path.join(folder, output_name(file, base))
+            os.makedirs(os.path.dirname(final), exist_ok=True)
             temporary = f"{final}.{uuid.uuid4().hex}.tmp"
             with open(temporary, "wb") as out:
                 out.write(p10.write((dicom_json.element(r) for r in held), syntax, level))
@@ -168,9 +256,12 @@ class Writer(DataSourceWriter):
         return Written(tuple(names))
 
     def commit(self, messages: list) -> None:
-        for m in messages:
-            for temporary, final in m.files if m else ():
-                os.replace(temporary, final)
+        made = [pair for m in messages if m for pair in m.files]
+        if len({final for _, final in made}) < len(made):
+            self.abort(messages)
+            raise ValueError("two data sets have the same output name; give their common folder as base")
+        for temporary, final in made:
+            os.replace(temporary, final)
 
     def abort(self, messages: list) -> None:
         for m in messages:
@@ -201,13 +292,17 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(DicomSource)
 
 
-def save(elements: DataFrame, folder: str, syntax: str = p10.EXPLICIT) -> None:
-    """Write one file per data set, the rows of a file brought together and sorted."""
+def save(elements: DataFrame, folder: str, syntax: str = p10.EXPLICIT, base: str | None = None) -> None:
+    """Write one file per data set, the rows of a file brought together and in order of path and tag.
+
+    With ``base`` the files keep their paths below it; two data sets of one output name are an error, and nothing is written.
+    Files with a row in ``error`` were not read to their end and are left out.
+    """
     register(elements.sparkSession)
+    elements = dicom_json.whole(elements)
     if "fragments" not in elements.columns:
-        from pyspark.sql import functions as F
-
         elements = elements.withColumns({"fragments": F.lit(None).cast("array<binary>"), "item_count": F.lit(None).cast("int")})
     columns = ["file", "path", "tag", "vr", "values_json", "inline_binary", "fragments", "item_count"]
-    together = elements.select(*columns).repartition("file").sortWithinPartitions("file")
-    together.write.format("dicom").mode("append").option("transferSyntax", syntax).save(folder)
+    together = elements.select(*columns).repartition("file").sortWithinPartitions("file", "path", "tag")
+    writer = together.write.format("dicom").mode("append").option("transferSyntax", syntax)
+    (writer.option("base", base) if base else writer).save(folder)

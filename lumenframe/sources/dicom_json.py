@@ -111,11 +111,6 @@ def rows(file: str, elements: Iterable[p10.Element]) -> Iterator[tuple]:
         yield (file, i, [{"tag": t, "item": n} for t, n in e.path], e.hex, e.vr, shown, binary, e.fragments, e.items)
 
 
-def batch(found: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*found, strict=True)) if found else [[] for _ in ROW]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, ROW.types, strict=True)], schema=ROW)
-
-
 def element(row: dict) -> p10.Element:
     """A row of the elements table as an element again."""
     path = tuple((p["tag"], p["item"]) for p in row["path"] or [])
@@ -129,23 +124,34 @@ def element(row: dict) -> p10.Element:
 
 
 def json_to_elements(texts: DataFrame) -> DataFrame:
-    """Elements of ``texts`` (file, text); unreadable texts give no rows."""
+    """Elements of ``texts`` (file, text), with a column ``error``; an unreadable text gives one row with the reason and no tag."""
+    kinds = pa.schema([*ROW, ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             found: list[tuple] = []
             for file, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 try:
-                    found.extend(rows(file, read(text)))
-                except (ValueError, TypeError, AttributeError):
-                    continue
-            yield batch(found)
+                    found += [(*r, None) for r in list(rows(file, read(text)))]
+                except (ValueError, TypeError, AttributeError, RecursionError) as e:
+                    found.append((file, *[None] * (len(ROW) - 1), f"not DICOM JSON: {e}"))
+            columns = list(zip(*found, strict=True)) if found else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds.types, strict=True)], schema=kinds)
+
+    return texts.select("file", "text").where("text is not null").mapInArrow(run, DDL + ", error string")
+
 
-    return texts.select("file", "text").where("text is not null").mapInArrow(run, DDL)
+def whole(elements: DataFrame) -> DataFrame:
+    """The elements of files that were read to their end, without the column ``error``; files with an error are left out altogether."""
+    if "error" not in elements.columns:
+        return elements
+    broken = elements.where("error is not null").select("file").distinct()
+    return elements.where("error is null").join(broken, "file", "left_anti").select(*[c for c in elements.columns if c != "error"])
 
 
 def elements_to_json(elements: DataFrame) -> DataFrame:
-    """(file, text): one DICOM JSON object per file; a file is one data set and fits a task."""
+    """(file, text): one DICOM JSON object per file; a file is one data set and fits a task.  Files with an error are left out."""
+    elements = whole(elements)
     names = [c for c in ROW.names if c in elements.columns]
 
     def run(table: pa.Table) -> pa.Table:

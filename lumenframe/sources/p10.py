@@ -37,6 +37,7 @@ class Config:
 
     max_depth: int = 10_000
     max_value: int = 2**32 - 2
+    max_string: int = 2**32 - 2
     require_prefix: bool = False
     default_syntax: str = IMPLICIT
     tags: frozenset[int] | None = None
@@ -109,6 +110,13 @@ def is_p10(head: bytes) -> bool:
     return head[128:132] == b"DICM"
 
 
+def settled(vr: str, representation: int | None) -> str:
+    """One of several representations that a dictionary allows in an implicit file: signed or not by the pixel representation, words for bytes or words."""
+    if vr in ("US_SS", "US or SS"):
+        return "SS" if representation else "US"
+    return "OW" if vr in ("OB or OW", "OB_OW", "US or OW", "US_OW", "US or SS or OW") else vr
+
+
 class Walker:
     """Reads the elements of one file."""
 
@@ -164,14 +172,14 @@ class Walker:
         if tag >> 16 & 1 and 0x10 <= tag & 0xFFFF <= 0xFF:
             return "LO"
         vr = self.config.dictionary.get(tag, "UN")
-        return ("SS" if clarify.get(REPRESENTATION) else "US") if vr in ("US_SS", "US or SS") else vr
+        return settled(vr, clarify.get(REPRESENTATION))
 
     def _standard(self, path: Path, charset: str | None, implicit: bool, big: bool) -> Iterator[Element]:
         tag, vr, length = self._header(implicit, big, {})
         yield Element(path, tag, vr, self._value(length, vr, big), charset=charset)
 
     def _value(self, length: int, vr: str, big: bool) -> bytes:
-        if length > self.config.max_value:
+        if length > (min(self.config.max_value, self.config.max_string) if vr in V.TEXT or vr in V.ASCII else self.config.max_value):
             raise P10Error(f"value of {length} bytes is too long", self.bytes.pos)
         data = self.bytes.read(length)
         return V.swap(data, vr) if big else data

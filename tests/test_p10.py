@@ -136,12 +136,13 @@ def test_source_reads_writes_and_streams(spark, tmp_path):
     read = spark.read.format("dicom").option("path", folder)
     df = read.load()
     assert df.where("error is null").select("file").distinct().count() == 6
-    assert df.where("error is not null").count() == 1
-    pruned = spark.read.format("dicom").option("path", folder).option("tags", "00080020,00080018").load()
+    assert {os.path.basename(r.file): "prefix" in r.error for r in df.where("error is not null").collect()} == {"broken.dcm": False, "text.txt": True}
+    pruned = spark.read.format("dicom").option("path", folder).option("tags", "00080020,00080018").load().where("error is null")
     assert {r.tag for r in pruned.select("tag").distinct().collect()} == {"00080020", "00080018"}
-    whole = df.where("file not like '%broken%'")
     out = str(tmp_path / "out")
-    datasource.save(whole, out, p10.BIG)
+    datasource.save(df, out, p10.BIG)
+    binary = datasource.parsed(spark.read.format("binaryFile").load(folder), mode="PERMISSIVE")
+    assert binary.where("error is null").count() == df.where("error is null").count() and binary.where("error is not null").count() == 2
     again = dicom_json.elements_to_json(spark.read.format("dicom").option("path", out).load().where("tag not like '0002%'")).collect()
     assert len(again) == 5 and all(canon(r.text) == canon(SAMPLE) for r in again)
     stream = spark.readStream.format("dicom").option("path", folder).option("maxFilesPerTrigger", "2").load()
@@ -153,5 +154,36 @@ def test_source_reads_writes_and_streams(spark, tmp_path):
 
 def test_json_rows_round_trip(spark):
     df = spark.createDataFrame([("a", SAMPLE), ("b", "{broken"), ("c", None)], "file string, text string")
-    back = dicom_json.elements_to_json(dicom_json.json_to_elements(df)).collect()
+    rows = dicom_json.json_to_elements(df)
+    assert [(r.file, r.tag) for r in rows.where("error is not null").collect()] == [("b", None)]
+    back = dicom_json.elements_to_json(rows).collect()
     assert [r.file for r in back] == ["a"] and canon(back[0].text) == canon(SAMPLE)
+
+
+def test_inputs_globs_and_output_names(spark, tmp_path):
+    for name in ("a/1.dcm", "b/1.dcm", "b/.hidden", "b/x.tmp"):
+        os.makedirs((tmp_path / name).parent, exist_ok=True)
+        (tmp_path / name).write_bytes(p10.write(dicom_json.read(SAMPLE)))
+    root = str(tmp_path)
+    names = lambda x, **more: [os.path.relpath(f[0], root) for f in datasource.walk(x, **more)]
+    assert names(root) == ["a/1.dcm", "b/.hidden", "b/1.dcm"] and names(root, hidden=False) == ["a/1.dcm", "b/1.dcm"] and names(f"{root}/b/*.DCM") == ["b/1.dcm"]
+    assert datasource.split_glob("/x/y/*/z?.dcm")[0] == "/x/y" and datasource.split_glob("/x/y") == ("/x/y", None) and names(f"{root}/a/1.dcm\n{root}/b/1.dcm") == ["a/1.dcm", "b/1.dcm"]
+    (tmp_path / "list.txt").write_text(f"{root}/b\n\n")
+    assert datasource.inputs([f"{root}/a"], f"{root}/list.txt") == [f"{root}/a", f"{root}/b"]
+    for wrong in ([f"{root}/a", f"{root}/a/"], [root, f"{root}/b/1.dcm"]):
+        with pytest.raises(ValueError, match="twice|lies in"):
+            datasource.inputs(wrong)
+    datasource.register(spark)
+    df = spark.read.format("dicom").option("path", root).option("extension", "dcm").load()
+    with pytest.raises(Exception, match="same output name"):
+        datasource.save(df, str(tmp_path / "out"))
+    assert not [f for f in os.listdir(tmp_path / "out") if not f.startswith(".")]
+    datasource.save(df, str(tmp_path / "out"), base=root)
+    assert names(str(tmp_path / "out")) == ["out/a/1.dcm", "out/b/1.dcm"]
+
+
+def test_limits_and_representations():
+    data = p10.write(dicom_json.read(SAMPLE), p10.IMPLICIT)
+    with pytest.raises(p10.P10Error, match="too long"):
+        list(p10.Walker(data, p10.Config(max_string=2)).elements())
+    assert [p10.settled("US or SS", x) for x in (None, 0, 1)] == ["US", "US", "SS"] and p10.settled("OB or OW", None) == "OW" and p10.settled("LO", 1) == "LO"
