@@ -2,7 +2,7 @@
 
 A value is read into wall-clock microseconds plus, where it states one, an offset or a zone.
 What the value says counts first, then the separate offset column, then the zone of the
-station.  Stations without a registered zone get the candidate zone (a whole offset history,
+station.  Stations without a registered zone get the offset history (of all that this system knows,
 not one offset) under which the fewest of their local stamps contradict the time of arrival.
 
 Defined results: null, blank, unreadable and incomplete values (no hour and minute), impossible
@@ -11,6 +11,8 @@ dates and wall-clock times that a zone has twice or never give a null instant.
 
 from __future__ import annotations
 
+import zoneinfo
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,8 +130,23 @@ def parse(stamps: DataFrame) -> DataFrame:
 
 
 def known_zones(spark: SparkSession) -> DataFrame:
-    """The zone names this JVM can convert: a fixed table of about 600 rows."""
-    return spark.createDataFrame([(str(z),) for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds()], "zone string")
+    """The zone names that can be converted, a fixed table of about 600 rows: those of the JVM, through Spark Connect those of Python."""
+    try:
+        names = [str(z) for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds()]
+    except Exception:  # noqa: BLE001 - no JVM on this side
+        names = sorted(zoneinfo.available_timezones())
+    return spark.createDataFrame([(z,) for z in names], "zone string")
+
+
+def offset_histories(stations: DataFrame) -> DataFrame:
+    """(zone, foreign, low, high): one name of each distinct offset history since 2000, a registered one if it has one, and the full hours that its offsets lie between."""
+    spark = stations.sparkSession
+    used = stations.select(F.col("zone_id").alias("zone")).where("zone is not null").distinct().withColumn("foreign", F.lit(False))
+    weeks = F.sequence(F.lit("2000-01-03T12:00:00Z").cast("timestamp"), F.lit("2037-12-31T12:00:00Z").cast("timestamp"), F.expr("interval 7 days"))
+    at = known_zones(spark).select("zone", F.explode(weeks).alias("at")).select("zone", "at", ((F.unix_micros(F.from_utc_timestamp("at", F.col("zone"))) - F.unix_micros("at")) / 60_000_000).alias("offset"))
+    history = at.groupBy("zone").agg(F.bit_xor(F.xxhash64("at", "offset")).alias("key"), F.floor(F.min("offset") / 60).alias("low"), F.floor(F.max("offset") / 60).alias("high"))
+    named = history.join(used, "zone", "left").select("*", F.struct(F.coalesce("foreign", F.lit(True)).alias("foreign"), F.length("zone").alias("n"), "zone").alias("name"))
+    return named.groupBy("key", "low", "high").agg(F.min("name").alias("v")).select("v.zone", "v.foreign", "low", "high")
 
 
 def _zone_offset_us(zone: Column, utc_us: Column) -> Column:
@@ -150,44 +167,52 @@ def with_instant(df: DataFrame, zone: str, name: str) -> DataFrame:
     return df.drop("_early", "_late", "_early_fits", "_late_fits")
 
 
-def zone_violations(parsed: DataFrame, candidates: DataFrame, usual_delay_minutes: int = 29) -> DataFrame:
-    """(station_id, zone, stamps, violations, lag_us) of every candidate history for every station.
+def usual_delay(parsed: DataFrame) -> float:
+    """Minutes within which nine of ten files arrive, from the stamps that state their own offset; 29 where there are none, and no more than that, since zones lie half an hour apart."""
+    at = F.coalesce("epoch_us", F.col("wall_us") - F.col("said_minutes").cast("bigint") * 60_000_000)
+    lag = F.unix_micros(F.col("received_at").cast("timestamp")) - at
+    found = parsed.select(lag.alias("lag")).where(F.col("lag").between(0, DAY_US)).agg(F.percentile_approx("lag", 0.9)).first()[0]
+    return min(29.0, found / 60_000_000) if found else 29.0
+
+
+def zone_violations(parsed: DataFrame, candidates: DataFrame, usual_delay_minutes: float | None = None) -> DataFrame:
+    """(station_id, zone, foreign, stamps, violations, lag_us) of the candidate histories of every station.
 
     A stamp violates a history when it would lie after its own arrival, longer before it than files usually
-    take (``usual_delay_minutes``, less than the distance of two zones), or on a wall-clock time that the zone
-    never had.  Stamps that arrived months late violate every history alike.  Rows are multiplied by the candidates (a fixed table of offset histories, not data)
-    and aggregated map-side at once.
+    take (measured, if not given), or on a wall-clock time that the zone
+    never had.  Stamps that arrived months late violate every history alike.  Candidates of a station are the histories whose offsets come within
+    an hour of what the middle stamp arrived at, an equi-join on that hour.
     """
+    delay = usual_delay(parsed) if usual_delay_minutes is None else usual_delay_minutes
     naive = parsed.where("wall_us is not null and said_minutes is null and said_zone is null and received_at is not null and not unreadable_zone")
-    each = naive.select("station_id", "wall_us", F.unix_micros(F.col("received_at").cast("timestamp")).alias("seen_us")).join(F.broadcast(candidates), how="cross")
+    naive = naive.select("station_id", "wall_us", F.unix_micros(F.col("received_at").cast("timestamp")).alias("seen_us"))
+    middle = naive.groupBy("station_id").agg(F.percentile_approx(F.col("wall_us") - F.col("seen_us"), 0.5).alias("ahead"))
+    hour = F.floor(F.col("ahead") / 3_600_000_000)
+    near = middle.select("station_id", F.explode(F.sequence(hour - 1, hour + 2)).alias("hour"))
+    spread = candidates.select("zone", "foreign", F.explode(F.sequence("low", "high")).alias("hour"))
+    chosen = near.join(spread, "hour").select("station_id", "zone", "foreign").distinct()
+    each = naive.join(chosen, "station_id")
     return (
         stage(with_instant(each, "zone", "at_us"), {"lag": F.col("seen_us") - F.col("at_us")})
-        .groupBy("station_id", "zone")
+        .groupBy("station_id", "zone", "foreign")
         .agg(
             F.count("*").alias("stamps"),
-            F.count_if(~F.coalesce(F.col("lag").between(0, usual_delay_minutes * 60_000_000), F.lit(False))).alias("violations"),
+            F.count_if(~F.coalesce(F.col("lag").between(0, delay * 60_000_000), F.lit(False))).alias("violations"),
             F.percentile_approx(F.when(F.col("lag") >= 0, F.col("lag")), 0.5).alias("lag_us"),
         )
     )
 
 
 def estimated_zones(violations: DataFrame) -> DataFrame:
-    """The history with the fewest violations; among equals the one with the shortest usual delay, then by name.
+    """The history with the fewest violations; among equals one that is registered elsewhere, the one with the shortest usual delay, then by name.
 
     A history that most stamps of the station violate is no estimate.
     """
-    order = F.struct("violations", F.coalesce("lag_us", F.lit(2**62)).alias("lag_us"), "zone", "stamps")
+    order = F.struct("violations", "foreign", F.coalesce("lag_us", F.lit(2**62)).alias("lag_us"), "zone", "stamps")
     best = violations.groupBy("station_id").agg(F.min(order).alias("best"))
     return best.where("best.violations * 2 <= best.stamps").select("station_id", F.col("best.zone").alias("estimated_zone"))
 
 
-def candidate_zones(stations: DataFrame) -> DataFrame:
-    """Histories to choose from: the zones the registry uses anywhere, and UTC."""
-    spark = stations.sparkSession
-    used = stations.select(F.col("zone_id").alias("zone")).where("zone is not null").distinct()
-    return used.union(spark.createDataFrame([("UTC",)], "zone string")).distinct().join(F.broadcast(known_zones(spark)), "zone", "left_semi")
-
-
 def normalise(stamps: DataFrame, stations: DataFrame) -> DataFrame:
     """All columns of ``stamps`` plus ``instant_us``, ``zone_source`` and ``zone_used``.
 
@@ -201,9 +226,15 @@ def normalise(stamps: DataFrame, stations: DataFrame) -> DataFrame:
     )
     own = [c for c in stamps.columns if c not in ("date_order", "station_zone")]
     parsed = parse(stamps.select(*own).join(registry, "station_id", "left"))
-    unzoned = parsed.where("station_zone is null and station_id is not null")
-    estimate = estimated_zones(zone_violations(unzoned, candidate_zones(stations)))
-    return _resolve(parsed.join(estimate, "station_id", "left"), zones).select(*stamps.columns, "instant_us", "zone_source", "zone_used")
+    # Where every station is registered there is nothing to estimate.
+    placed = registry.where("station_zone is not null").select("station_id")
+    if stamps.where("station_id is not null").select("station_id").distinct().join(placed, "station_id", "left_anti").take(1):
+        unzoned = parsed.where("station_zone is null and station_id is not null")
+        estimate = estimated_zones(zone_violations(unzoned, offset_histories(stations), usual_delay(parsed)))
+        parsed = parsed.join(estimate, "station_id", "left")
+    else:
+        parsed = parsed.withColumn("estimated_zone", F.lit(None).cast("string"))
+    return _resolve(parsed, zones).select(*stamps.columns, "instant_us", "zone_source", "zone_used")
 
 
 def _resolve(parsed: DataFrame, zones: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def p1_zone_estimates(spark: SparkSession, d: str) -> DataFrame:
     """Zone histories estimated for every station as if none were registered, beside the registered one."""
     stations = table(spark, d, "stations")
     parsed = timestamps.parse(table(spark, d, "time_values").join(F.broadcast(stations.select("station_id", "date_order")), "station_id", "left"))
-    estimate = timestamps.estimated_zones(timestamps.zone_violations(parsed, timestamps.candidate_zones(stations)))
+    estimate = timestamps.estimated_zones(timestamps.zone_violations(parsed, timestamps.offset_histories(stations)))
     return stations.select("station_id", "zone_id").join(estimate, "station_id", "left")
 
 

@@ -74,6 +74,10 @@ def test_a_missing_zone_is_estimated_from_arrivals(spark):
     stations = spark.createDataFrame([(1, "Europe/Berlin", "DMY"), (2, "America/New_York", "MDY"), (3, None, "YMD")], "station_id int, zone_id string, date_order string")
     out = T.normalise(spark.createDataFrame(rows, STAMPS), stations).collect()
     assert {r.zone_used for r in out} == {"America/New_York"} and {r.zone_source for r in out} == {"estimate"}
+    # A history that no station is registered with is found as well, under one of its names.
+    elsewhere = T.normalise(spark.createDataFrame(rows, STAMPS), stations.where("station_id = 1")).collect()
+    want = {r.stamp_id: r.instant_us for r in out}
+    assert {r.stamp_id: r.instant_us for r in elsewhere} == want and {r.zone_source for r in elsewhere} == {"estimate"}
 
 
 def test_same_instants_pairs(spark):
