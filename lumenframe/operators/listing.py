@@ -59,6 +59,11 @@ def list_files(files: DataFrame, extension: str | None = None, ignore: list[str]
     return found
 
 
+def cube(files: DataFrame, by: list[str], size: str) -> DataFrame:
+    """(by…, level, n_files, n_bytes) at every combination of the columns; ``level`` has a bit for each column that is summed up."""
+    return files.cube(*by).agg(F.grouping_id().alias("level"), F.count("*").alias("n_files"), F.sum(size).alias("n_bytes"))
+
+
 def summary(files: DataFrame, by: Column, size: Column) -> DataFrame:
     """(class, n_files, n_bytes, file_share, byte_share) per class, most files first."""
     counted = files.groupBy(by.alias("class")).agg(F.count("*").alias("n_files"), F.sum(F.coalesce(size, F.lit(0))).cast("bigint").alias("n_bytes"))
@@ -98,25 +103,37 @@ def hierarchy_records(instances: DataFrame, levels: list[tuple[str, str]]) -> Da
     return linked.join(first, ["key", "depth"], "left").select("level", "key", F.nullif("parent_key", F.lit("")).alias("parent_key"), "next_key", "child_key")
 
 
-def first_seen(df: DataFrame, key: str, order: list[str], within: list[str] | None = None) -> Column:
-    """Number of a key by the order in which keys first appear, from 0."""
-    at = F.min(F.struct(*order)).over(Window.partitionBy(*(within or []), key))
-    return F.dense_rank().over(Window.partitionBy(*(within or [F.lit(0)])).orderBy(at)) - 1
+def first_seen(df: DataFrame, key: str, order: list[str], name: str, within: list[str] | None = None) -> DataFrame:
+    """(within…, key, name, _at): the number of each key by the order in which keys first appear, from 0, and where it does.
+
+    Only one row per key is numbered, by ranges of the whole order where nothing is numbered within.
+    """
+    held = df.groupBy(*(within or []), key).agg(F.min(F.struct(*order)).alias("_at"))
+    if not within:
+        return numbered(held, ["_at", key], name)
+    return held.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy("_at", key)) - 1)
 
 
-def archive_names(instances: DataFrame, patient: str, study: str, series: str, order: list[str]) -> DataFrame:
+def archive_names(instances: DataFrame, patient: str, study: str, series: str, order: list[str], layout: str = "series", upper: bool = True) -> DataFrame:
     """Names PA…/ST…/SE…/IM… of exported files, numbered by first appearance within their folder.
 
-    Numbers are given per patient, per study and per series, so that no window spans the archive; patients are
-    numbered by ranges.
+    First places are aggregated per series, and patients, studies and series are numbered from these small tables; only the files of
+    one series are numbered together.  ``layout`` is ``series``, ``study`` (files lie in the folder of their study) or ``flat`` (all in one).
+    Files without one of the keys get no name and are left out.
     """
-    width = lambda c, p: F.concat(F.lit(p), F.lpad(c.cast("string"), 6, "0"))
-    patients = instances.groupBy(patient).agg(F.min(F.struct(*order)).alias("_at"))
-    df = instances.join(numbered(patients, ["_at"], "_pa").select(patient, "_pa"), patient)
-    df = df.withColumn("_st", first_seen(df, study, order, [patient]))
-    df = df.withColumn("_se", first_seen(df, series, order, [patient, study]))
-    df = df.withColumn("_im", F.row_number().over(Window.partitionBy(patient, study, series).orderBy(*order)) - 1)
-    return df.withColumn("name", F.concat_ws("/", width(F.col("_pa"), "PA"), width(F.col("_st"), "ST"), width(F.col("_se"), "SE"), width(F.col("_im"), "IM"))).drop("_pa", "_st", "_se", "_im")
+    rows = instances.dropna(subset=[patient, study, series])
+    width = lambda c, p: F.concat(F.lit(p if upper else p.lower()), F.lpad(F.col(c).cast("string"), 6, "0"))
+    if layout == "flat":
+        return numbered(rows, order, "_im").withColumn("name", width("_im", "IM")).drop("_im")
+    at_series = rows.groupBy(patient, study, series).agg(F.min(F.struct(*order)).alias("_first"))
+    patients = first_seen(at_series, patient, ["_first"], "_pa").select(patient, "_pa")
+    studies = first_seen(at_series, study, ["_first"], "_st", [patient]).select(patient, study, "_st")
+    folders = first_seen(at_series, series, ["_first"], "_se", [patient, study]).select(patient, study, series, "_se")
+    folders = folders.join(studies, [patient, study]).join(patients, patient)
+    keys = [patient, study] if layout == "study" else [patient, study, series]
+    parts = [("_pa", "PA"), ("_st", "ST"), *([] if layout == "study" else [("_se", "SE")]), ("_im", "IM")]
+    df = rows.withColumn("_im", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).join(folders, [patient, study, series])
+    return df.withColumn("name", F.concat_ws("/", *[width(c, p) for c, p in parts])).select(*instances.columns, "name")
 
 
 def selected_frames(frames: DataFrame, selection: str, index: str = "frame_index", count: str = "n_frames") -> DataFrame:

@@ -34,18 +34,29 @@ def first_arrivals(elements: DataFrame, lateness: str = "1 day") -> DataFrame:
     return elements.withColumn("received_at", F.col("received_at").cast("timestamp")).withWatermark("received_at", lateness).dropDuplicatesWithinWatermark(["element_id"])
 
 
-def modules(elements: DataFrame, tags: dict[str, str]) -> DataFrame:
+def modules(elements: DataFrame, tags: dict[str, str], quiet_minutes: float | None = None) -> DataFrame:
     """One row per file with the values of the wanted root tags, given out once a greater tag has been seen.
 
     Tags ascend within a file, so a tag beyond the largest wanted one is what a watermark is to time.  Wanted elements
-    that come later are late and do not change what was given out.
+    that come later are late and do not change what was given out.  With ``quiet_minutes``, a file that nothing
+    comes for in that time is over: what is held of it is given out, if it has not been, and its state is dropped, so that the state follows the files in
+    transit; such a query runs batches without data to look at its clocks.  Without, what was given out keeps one mark per file.
     """
     names = list(tags)
     highest = max(tags.values())
     by_tag = {t: n for n, t in tags.items()}
+    empty = [None] * len(names)
+
+    def row(key: tuple, held: list) -> pd.DataFrame:
+        return pd.DataFrame({"file": [key[0]], **{n: [v] for n, v in zip(names, held, strict=False)}})
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else [None] * len(names) + [False]
+        held = list(state.get) if state.exists else [*empty, False]
+        if state.hasTimedOut:
+            state.remove()
+            if not held[-1]:
+                yield row(key, held)
+            return
         complete = False
         for pdf in batches:
             for tag, value in zip(pdf["tag"], pdf["values_json"], strict=True):
@@ -56,13 +67,13 @@ def modules(elements: DataFrame, tags: dict[str, str]) -> DataFrame:
                 elif tag > highest:
                     complete = True
         if complete and not held[-1]:
-            held[-1] = True
-            state.update(tuple(held))
-            yield pd.DataFrame({"file": [key[0]], **{n: [v] for n, v in zip(names, held, strict=False)}})
-        else:
-            state.update(tuple(held))
+            yield row(key, held)
+            held = [*empty, True]  # only that it was given out
+        state.update(tuple(held))
+        if quiet_minutes is not None:
+            state.setTimeoutDuration(int(quiet_minutes * 60_000))
 
     out = "file string" + "".join(f", {n} string" for n in names)
     kept = "".join(f"{n} string, " for n in names) + "done boolean"
     roots = elements.where(F.size("path") == 0).select("file", "tag", "values_json")
-    return roots.groupBy("file").applyInPandasWithState(fold, out, kept, "append", GroupStateTimeout.NoTimeout)
+    return roots.groupBy("file").applyInPandasWithState(fold, out, kept, "append", GroupStateTimeout.NoTimeout if quiet_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -104,6 +104,13 @@ def test_waveforms_over_a_table(spark):
     assert {(r.group_ix, r.channel_ix, r.first_sample): r.samples for r in rows if not r.error} == {(0, 0, 0): [0, 2, 4], (0, 0, 3): [6, 8], (0, 1, 0): [1, 3, 5], (0, 1, 3): [7, 9]}
     assert [r.group_ix for r in rows if r.error] == [2]
     assert waveforms.samples(df).count() == 10
+    good = waveforms.chunks(df, 3).where("error is null").orderBy("first_sample", ascending=False)
+    written = waveforms.encoded(good, "SS")
+    assert {(r.group_ix, r.channel_ix, r.first_sample): r.samples for r in waveforms.chunks(written.drop("error"), 3).collect()} == {(0, 0, 0): [0, 2, 4], (0, 0, 3): [6, 8], (0, 1, 0): [1, 3, 5], (0, 1, 3): [7, 9]}
+    assert {r.error for r in waveforms.encoded(good.where("first_sample = 3"), "SS").collect()} == {"samples of channel 0 are missing or there twice"}
+    wide = spark.createDataFrame([("w", 0, 0, 0, [1, 128]), ("v", 0, 0, 0, [-128, 127])], "file string, group_ix int, channel_ix int, first_sample bigint, samples array<bigint>")
+    assert {r.file: r.fits for r in waveforms.in_range(wide, "SB").collect()} == {"w": False, "v": True}
+    assert {r.error for r in waveforms.encoded(wide.where("file = 'w'"), "SB").collect()} == {"samples do not fit SB"}
 
 
 def test_palettes_and_png():

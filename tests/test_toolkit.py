@@ -131,6 +131,21 @@ def test_modules_come_out_once_complete(spark, tmp_path):
     assert [tuple(r) for r in spark.table("mods").collect()] == [("a", '["CT"]', '["x"]')]
 
 
+def test_quiet_files_are_given_out(spark, tmp_path):
+    import time
+
+    rows = [("a", [], "00080060", "CS", '["CT"]'), ("b", [], "00080060", "CS", '["MR"]'), ("b", [], "00080070", "LO", '["y"]')]
+    spark.createDataFrame(rows, DDL).coalesce(1).write.parquet(str(tmp_path / "m"))
+    stream = spark.readStream.schema(DDL).parquet(str(tmp_path / "m"))
+    made = streams.modules(stream, {"modality": "00080060"}, quiet_minutes=0.02)
+    q = made.writeStream.format("memory").queryName("quiet").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    end = time.monotonic() + 60
+    while spark.table("quiet").count() < 2 and time.monotonic() < end:
+        time.sleep(1)
+    q.stop()
+    assert sorted(tuple(r) for r in spark.table("quiet").collect()) == [("a", '["CT"]'), ("b", '["MR"]')]
+
+
 def test_command_line(spark, tmp_path, capsys):
     text = json.dumps({"00080018": {"vr": "UI", "Value": ["1.2.3"]}, "00080060": {"vr": "CS", "Value": ["CT"]}, "0020000D": {"vr": "UI", "Value": ["1.2"]}, "0020000E": {"vr": "UI", "Value": ["1.2.1"]}, "00100020": {"vr": "LO", "Value": ["P1"]}})
     os.makedirs(tmp_path / "in")
@@ -146,5 +161,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert 0x00100020 not in kept and 0x00080060 in kept
     cli.run(["dcm-to-json", str(tmp_path / "in"), str(tmp_path / "json")], spark)
     assert spark.read.text(str(tmp_path / "json")).count() == 2
+    (tmp_path / "more.json").write_text(json.dumps({"00400275": {"vr": "SQ", "Value": [{"00400007": {"vr": "LO", "Value": ["step"]}}]}, "00100020": {"vr": "LO", "Value": ["P2"]}}))
+    (tmp_path / "in" / "cut.dcm").write_bytes(p10.write(dicom_json.read(text))[:-3])
+    cli.run(["modify", str(tmp_path / "in"), str(tmp_path / "merged"), "--merge-json", str(tmp_path / "more.json")], spark)
+    merged = p10.tree(p10.Walker((tmp_path / "merged" / "1.dcm").read_bytes()).elements())
+    assert merged[0x00100020][1].strip() == b"P2" and merged[0x00400275][1][0][0x00400007][1].strip() == b"step"
+    assert sorted(os.listdir(tmp_path / "merged")) == ["0.dcm", "1.dcm"] and "cut.dcm" in capsys.readouterr().err
+    os.remove(tmp_path / "in" / "cut.dcm")
+    image = {"00280010": {"vr": "US", "Value": [1]}, "00280011": {"vr": "US", "Value": [2]}, "00280100": {"vr": "US", "Value": [8]}, "7FE00010": {"vr": "OB", "InlineBinary": "AP8="}}
+    os.makedirs(tmp_path / "img" / "x")
+    (tmp_path / "img" / "x" / "i.dcm").write_bytes(p10.write(dicom_json.read(json.dumps(image))))
+    cli.run(["get-pixel-data", str(tmp_path / "img"), str(tmp_path / "png")], spark)
+    assert (tmp_path / "png" / "x" / "i.dcm.0000.png").read_bytes()[:4] == b"\x89PNG"
+    cli.run(["get-pixel-data", str(tmp_path / "img" / "*" / "*.dcm"), str(tmp_path / "raw"), "--format", "raw"], spark)
+    assert (tmp_path / "raw" / "x" / "i.dcm.0000.bin").read_bytes() == b"\0\xff"
     cli.run(["archive", str(tmp_path / "in"), str(tmp_path / "a.zip")], spark)
     assert len(zipfile.ZipFile(tmp_path / "a.zip").namelist()) == 3
