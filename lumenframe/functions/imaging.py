@@ -138,3 +138,11 @@ def clamp_rect(x: Column, y: Column, width: Column, height: Column, columns: int
     left, top = F.least(F.greatest(x, F.lit(0)), F.lit(columns)), F.least(F.greatest(y, F.lit(0)), F.lit(rows))
     right, bottom = F.least(F.greatest(x + width, F.lit(0)), F.lit(columns)), F.least(F.greatest(y + height, F.lit(0)), F.lit(rows))
     return F.struct(left.alias("x"), top.alias("y"), (right - left).alias("width"), (bottom - top).alias("height"))
+
+
+def statistics(values: Column) -> Column:
+    """Struct of mean and standard deviation of an array of numbers, null of an empty one; one pass each for sum and squares."""
+    n = F.nullif(F.size(values), F.lit(0))
+    sums = F.aggregate(values, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("xx")), lambda s, e: F.struct((s["x"] + e).alias("x"), (s["xx"] + e * e).alias("xx")))
+    mean = sums["x"] / n
+    return F.struct(mean.alias("mean"), F.sqrt(F.greatest(sums["xx"] / n - mean * mean, F.lit(0.0))).alias("sd"))

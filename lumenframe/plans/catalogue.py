@@ -17,6 +17,7 @@ from lumenframe.functions import scalars as S
 from lumenframe.operators import elements as E
 from lumenframe.operators import listing as L
 from lumenframe.session import table
+from lumenframe.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,15 +49,12 @@ def _pixels(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select source as class, count(*) as n_files, sum(n_chars)::bigint as n_bytes,
-       round(count(*) * 100.0 / sum(count(*)) over (), 6)::double as share
+select source as class, count(*) as n_files, sum(n_chars)::bigint as n_bytes, round(count(*) * 100.0 / sum(count(*)) over (), 6)::double as file_share, round(sum(n_chars) * 100.0 / sum(sum(n_chars)) over (), 6)::double as byte_share
 from documents where n_chars > 0 and source is not null group by source
 """)
 def list_summary_group(spark: SparkSession, d: str) -> DataFrame:
-    """Summary by class with each class's share of the files; rows without a class are skipped."""
-    found = table(spark, d, "documents").where("n_chars > 0 and source is not null").groupBy(F.col("source").alias("class"))
-    counted = found.agg(F.count("*").alias("n_files"), F.sum("n_chars").alias("n_bytes"))
-    return counted.withColumn("share", F.round(F.col("n_files") * 100.0 / F.sum("n_files").over(Window.partitionBy()), 6))
+    """Summary by class with each class's share of the files and bytes; rows without a class are skipped."""
+    return L.summary(table(spark, d, "documents").where("n_chars > 0 and source is not null"), F.col("source"), F.col("n_chars"))
 
 
 @query("""
@@ -94,8 +92,7 @@ from files group by cube (modality, transfer_syntax_uid)
 """)
 def list_cube(spark: SparkSession, d: str) -> DataFrame:
     """Summary at every level of modality and transfer syntax."""
-    cube = table(spark, d, "files").cube("modality", "transfer_syntax_uid")
-    return cube.agg(F.grouping_id().alias("level"), F.count("*").alias("n_files"), F.sum("file_length").alias("n_bytes"))
+    return L.cube(table(spark, d, "files"), ["modality", "transfer_syntax_uid"], "file_length")
 
 
 @query("""
@@ -288,15 +285,6 @@ def json_get(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-@query("""
-select c_custkey, rpad('(0010,0010) PN ' || c_name, 50, ' ') || '[' || lpad(len(c_name)::varchar, 6, ' ') || ' bytes] ' || coalesce(c_mktsegment, '') as line from customer
-""")
-def print_line(spark: SparkSession, d: str) -> DataFrame:
-    """A printed element: name padded to a column, length, value."""
-    line = F.concat(F.rpad(F.concat(S.tag_text(F.lit(0x00100010)), F.lit(" PN "), F.col("c_name")), 50, " "), F.lit("["), F.lpad(F.length("c_name").cast("string"), 6, " "), F.lit(" bytes] "), F.coalesce("c_mktsegment", F.lit("")))
-    return table(spark, d, "customer").select("c_custkey", line.alias("line"))
-
-
 @query("select element_id, case when strlen(v) % 2 = 1 then v || ' ' else v end as padded from (select element_id, values_json->>'$[0]' as v from elements where vr = 'LO')")
 def pad_even(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "elements").where("vr = 'LO'").select("element_id", S.pad_even(F.get_json_object("values_json", "$[0]"), "LO").alias("padded"))
@@ -357,21 +345,6 @@ def filter_subtree(spark: SparkSession, d: str) -> DataFrame:
     return E.delete_tags(rows.where(~F.coalesce(F.get("path", F.lit(0))["tag"] == "00400275", F.lit(False))), ["00400275"]).groupBy("element_id", "tag").agg(F.count("*").alias("n"))
 
 
-@query("select element_id, tag from elements where (('0x' || tag)::bigint >> 16) & 1 = 0")
-def delete_private(spark: SparkSession, d: str) -> DataFrame:
-    return E.delete_private(table(spark, d, "elements")).select("element_id", "tag")
-
-
-@query("""
-with e as (select element_id, file, path, ('0x' || tag)::bigint as n, values_json from elements)
-, c as (select file, path, n, min(values_json->>'$[0]') as creator from e where (n >> 16) & 1 = 1 and n & 65535 between 16 and 255 group by all)
-select e.element_id, c.creator as private_creator from e left join c on c.file = e.file and c.path = e.path and c.n = ((e.n >> 16) << 16) | ((e.n & 65535) >> 8)
-where (e.n >> 16) & 1 = 1 and (e.n & 65535) >> 8 between 16 and 255
-""")
-def private_block(spark: SparkSession, d: str) -> DataFrame:
-    return E.private_blocks(table(spark, d, "elements")).select("element_id", "private_creator")
-
-
 @query("""
 select file, min(values_json) filter (tag = '00100010') as patient, min(values_json) filter (tag = '00080060') as modality, min(values_json) filter (tag = '00080020') as study_date
 from elements where len(path) = 0 and tag in ('00100010', '00080060', '00080020') group by file
@@ -409,7 +382,10 @@ def value_at_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select file, count(*) as n_elements, sum(coalesce(octet_length(inline_binary), strlen(values_json), 0) + 8)::bigint as n_bytes from elements group by file
+with v as (select file, coalesce(octet_length(inline_binary), case when vr = 'US' then 2 * json_array_length(values_json) end,
+  case when vr = 'PN' then strlen(array_to_string(list_transform(from_json(values_json, '[{"Alphabetic":"VARCHAR","Ideographic":"VARCHAR","Phonetic":"VARCHAR"}]'), lambda p: rtrim(coalesce(p.Alphabetic, '') || '=' || coalesce(p.Ideographic, '') || '=' || coalesce(p.Phonetic, ''), '=')), '\\'))
+       else strlen(array_to_string(list_transform(from_json(values_json, '["VARCHAR"]'), lambda x: coalesce(x, '')), '\\')) end, 0) as n from elements)
+select file, count(*) as n_elements, sum(n + n % 2 + 8)::bigint as n_bytes from v group by file
 """)
 def byte_sizes(spark: SparkSession, d: str) -> DataFrame:
     return E.byte_sizes(table(spark, d, "elements"))
@@ -418,43 +394,6 @@ def byte_sizes(spark: SparkSession, d: str) -> DataFrame:
 # -- frames and pixels --------------------------------------------------------------------------------------
 
 
-@query("""
-with o as (select user_id, ts as start_ts, lead(ts) over (partition by user_id order by ts, event_id) as end_ts, event_id as frame from events where event_type = 'signup')
-select o.frame, count(*) as fragments from o join events e on e.user_id = o.user_id and e.ts >= o.start_ts and (o.end_ts is null or e.ts < o.end_ts) group by 1
-""")
-def frames_offset_table(spark: SparkSession, d: str) -> DataFrame:
-    """Fragments belong to the greatest offset not after their own position: an as-of join without a range join.
-
-    Offsets and fragments are sorted together per data set, and the last offset seen is carried on.
-    """
-    events = table(spark, d, "events")
-    is_offset = F.col("event_type") == "signup"
-    order = Window.partitionBy("user_id").orderBy("ts", F.when(is_offset, 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    tagged = events.withColumn("frame", F.last(F.when(is_offset, F.col("event_id")), ignorenulls=True).over(order))
-    return tagged.where("frame is not null").groupBy("frame").agg(F.count("*").alias("fragments"))
-
-
-@query("""
-select doc_id, i::int as frame_index, substr(text, (i * 64 + 1)::bigint, 64) as frame from (select doc_id, text, unnest(range(0, n_chars // 64)) as i from documents where n_chars >= 64)
-""")
-def frames_native_split(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of a fixed size; an incomplete last one is clipped."""
-    rows = table(spark, d, "documents").where("n_chars >= 64")
-    each = rows.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor(F.col("n_chars") / 64).cast("int") - 1)).alias("frame_index"))
-    return each.select("doc_id", "frame_index", F.substring("text", F.col("frame_index") * 64 + 1, F.lit(64)).alias("frame"))
-
-
-@query("""
-with e as (select user_id, event_type, ts, event_id, row_number() over (partition by user_id order by ts, event_id) - row_number() over (partition by user_id, event_type order by ts, event_id) as island from events)
-select user_id, event_type, min(event_id) as first_event, count(*) as run from e group by user_id, event_type, island
-""")
-def rle_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of equal values, as run-length coding sees them."""
-    all_, same = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    rows = table(spark, d, "events").withColumn("island", F.row_number().over(all_) - F.row_number().over(same))
-    return rows.groupBy("user_id", "event_type", "island").agg(F.min("event_id").alias("first_event"), F.count("*").alias("run")).drop("island")
-
-
 @query("""
 select least(255, greatest(0, floor(greatest(0, least(1, (l_quantity * 2 - 10 - (40 - 0.5)) / (60 - 1) + 0.5)) * 255 + 0.5)))::int as level, count(*) as n from lineitem group by 1
 """)
@@ -519,11 +458,8 @@ def minmax_window(spark: SparkSession, d: str) -> DataFrame:
 @query("select vec_id, round(avg(e), 6) as mean, round(stddev_pop(e), 6) as sd from (select vec_id, unnest(embedding)::double as e from embeddings) group by 1")
 def image_stats(spark: SparkSession, d: str) -> DataFrame:
     """Mean and spread per image, within the row."""
-    x = F.transform("embedding", lambda e: e.cast("double"))
-    mean = F.aggregate(x, F.lit(0.0), lambda s, e: s + e) / F.size("embedding")
-    rows = table(spark, d, "embeddings").select("vec_id", "embedding", mean.alias("m"))
-    spread = F.sqrt(F.aggregate(F.transform("embedding", lambda e: F.pow(e.cast("double") - F.col("m"), 2)), F.lit(0.0), lambda s, e: s + e) / F.size("embedding"))
-    return rows.select("vec_id", F.round("m", 6).alias("mean"), F.round(spread, 6).alias("sd"))
+    found = table(spark, d, "embeddings").select("vec_id", I.statistics(F.transform("embedding", lambda e: e.cast("double"))).alias("v"))
+    return found.select("vec_id", F.round("v.mean", 6).alias("mean"), F.round("v.sd", 6).alias("sd"))
 
 
 @query(f"select vec_id, list_concat(px[11:14], px[19:22], px[27:30]) as px from {PIXELS}")
@@ -556,46 +492,22 @@ def black_out(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(spark, d).select("vec_id", I.black_out(F.col("px"), 8, 2, 1, 3, 2, F.lit(0)).alias("px"))
 
 
-@query("select event_id, round(sum(coalesce(value, 0)) over (partition by user_id order by ts, event_id rows unbounded preceding), 4) as at_ms from events")
-def cine_time(spark: SparkSession, d: str) -> DataFrame:
-    """Times of frames from their durations."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.round(F.sum(F.coalesce("value", F.lit(0.0))).over(order), 4).alias("at_ms"))
-
-
 # -- waveforms ----------------------------------------------------------------------------------------------
 
 
-@query("select vec_id, (i % 8)::int as channel, (i // 8)::int as sample, embedding[(i + 1)::int]::double as value from (select vec_id, embedding, unnest(range(0, 64)) as i from embeddings)")
-def waveform_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Interleaved samples told apart by channel."""
-    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    return rows.select("vec_id", (F.col("i") % 8).alias("channel"), F.expr("cast(i div 8 as int)").alias("sample"), F.col("v").cast("double").alias("value"))
-
-
-@query("select vec_id, c::int as chunk, len(embedding[(c * 24 + 1)::int:least(64, (c + 1) * 24)::int])::int as n_values from (select vec_id, embedding, unnest(range(0, 3)) as c from embeddings)")
-def waveform_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of three whole sample sets of eight channels."""
-    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    return rows.groupBy("vec_id", F.expr("cast((i div 8) div 3 as int)").alias("chunk")).agg(F.count("*").cast("int").alias("n_values"))
-
-
-@query("select vec_id, list_min(list_transform(embedding, lambda e: round(e * 200)::int)) >= -128 and list_max(list_transform(embedding, lambda e: round(e * 200)::int)) <= 127 as fits from embeddings")
-def waveform_range(spark: SparkSession, d: str) -> DataFrame:
-    """Whether samples fit eight bits."""
-    x = F.transform("embedding", lambda e: F.round(e * 200).cast("int"))
-    return table(spark, d, "embeddings").select("vec_id", ((F.array_min(x) >= -128) & (F.array_max(x) <= 127)).alias("fits"))
-
-
 # -- windows of time ----------------------------------------------------------------------------------------
 
 
 @query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    """The batch form of the streaming window."""
-    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = rows.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    """The streaming window over a table."""
+    return streams.tumbling(table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("select time_bucket(interval 15 minutes, ts) - to_minutes((15 * k)::int) as start, event_type, count(*) as n from events, (select unnest(range(0, 4)) as k) group by 1, 2")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of an hour every quarter."""
+    return streams.sliding(table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("""
@@ -605,6 +517,4 @@ select user_id, min(ts) as start, count(*) as n from s group by user_id, k
 """)
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions that end after six quiet hours."""
-    rows = table(spark, d, "events").where("user_id is not null").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = rows.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
-    return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    return streams.sessions(table(spark, d, "events").where("user_id is not null")).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -43,6 +43,11 @@ def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return _hierarchy(spark, d).records
 
 
+def p4_status(spark: SparkSession, d: str) -> DataFrame:
+    """What became of every record, and the root that it lies below; of several the smallest."""
+    return _hierarchy(spark, d).records.select("record_id", "status", "root_id")
+
+
 def _channels(spark: SparkSession, d: str) -> DataFrame:
     return units.to_nominal_units(table(spark, d, "channel_definitions"), table(spark, d, "channel_nominals"))
 
@@ -132,8 +137,25 @@ with u(spelling, unit, dim, size) as (values {_SPELT})
 , x as (select *, v * coalesce(sensitivity_correction_factor, 1) * size as common from r)
 """
 
-ORACLE: dict[str, str] = {
-    "p4_found": """
+_LINES = rf"""
+with q as (
+  select line_id, raw, regexp_full_match(coalesce(raw, '"'), '(?s)(?:[^",
+]*|"(?:[^"]|"")*")(?:,(?:[^",
+]*|"(?:[^"]|"")*"))*') as ok,
+         regexp_extract_all(coalesce(raw, ''), '(?s)(?:^|,)((?:"(?:[^"]|"")*")|[^",]*)', 1) as c
+  from header_lines
+), f as (
+  select line_id, raw, ok, len(c) = 6 as six, list_transform(c, lambda x: case when x like '"%' then replace(x[2:-2], '""', '"') else x end) as c from q
+), g as (
+  select line_id, raw, ok, six, c, c[2] as tag, c[3] as vr, c[4] as len, c[5] as pos, case when regexp_full_match(c[4], '[0-9]+') then try_cast(c[4] as hugeint) end as n from f
+), h as (
+  select *, case when raw is null then 'null_line' when not ok then 'quoting' when not six then 'columns' when not regexp_full_match(tag, '[0-9A-F]{{8}}') then 'tag'
+    when not (vr in ({_VRS}) or vr in ({_LONG}) or (vr = '' and tag like 'FFFE%')) then 'vr'
+    when n is null or not (n <= case when vr in ({_VRS}) then 65535 else 4294967294 end or (n = 4294967295 and vr in ('SQ','UN','OB','OW'))) then 'length'
+    when not regexp_full_match(pos, '[0-9]+') then 'offset' end as reason from g
+)
+"""
+_TREES = """
 with recursive r as (select record_id as id, any_value(next_sibling) as ns, any_value(first_child) as fc from dicomdir_records where record_id is not null group by 1)
 , e as (select a.id as src, b.id as dst, 'n' as kind from r a join r b on a.ns = b.id union all select a.id, b.id, 'c' from r a join r b on a.fc = b.id)
 , reach as (select src, dst from e union select reach.src, e.dst from reach join e on reach.dst = e.src)
@@ -142,7 +164,14 @@ with recursive r as (select record_id as id, any_value(next_sibling) as ns, any_
 , below as (
   select chain.id as root, e.dst as id from chain join e on e.src = chain.id and e.kind = 'c' where chain.id not in (select id from loops) and e.dst not in (select id from loops)
   union select below.root, e.dst from below join e on e.src = below.id where e.dst not in (select id from loops))
-select root as root_id, id as record_id from below
+"""
+
+ORACLE: dict[str, str] = {
+    "p4_found": f"{_TREES} select root as root_id, id as record_id from below",
+    "p4_status": f"""{_TREES}
+select r.id as record_id, case when r.id in (select id from loops) then 'loop' when r.id in (select id from chain) then 'root' when b.root is not null then 'below' else 'unreached' end as status,
+  case when r.id in (select id from loops) then null when r.id in (select id from chain) then r.id else b.root end as root_id
+from r left join (select id, min(root) as root from below group by 1) b using (id)
 """,
     "p5_found": f"{_CHANNELS} select distinct channel_id from x where abs(common - nominal) > 0.01 * abs(nominal)",
     "p5_common_units": f"{_CHANNELS} select distinct channel_id, v as found_value, un as found_unit, round(common, 6) as common_value, nominal, nominal_unit from x",
@@ -159,24 +188,10 @@ where i.type = 'OBJECT'
 with s as (select 'waveform_modules' as origin, module_id as parent_id, module_json as t from waveform_modules union select 'dicomdir_records', record_id, data_set from dicomdir_records)
 select origin, parent_id, case when t is null then 'null' when trim(t, chr(32) || chr(9) || chr(10) || chr(13)) = '' then 'blank' else 'not JSON' end as reason from s where t is null or trim(t, chr(32) || chr(9) || chr(10) || chr(13)) = '' or not json_valid(t)
 """,
-    "p7_found": rf"""
-with q as (
-  select line_id, raw, regexp_full_match(coalesce(raw, '"'), '(?s)(?:[^",
-]*|"(?:[^"]|"")*")(?:,(?:[^",
-]*|"(?:[^"]|"")*"))*') as ok,
-         regexp_extract_all(coalesce(raw, ''), '(?s)(?:^|,)((?:"(?:[^"]|"")*")|[^",]*)', 1) as c
-  from header_lines
-), f as (
-  select line_id, ok and len(c) = 6 as ok, list_transform(c, lambda x: case when x like '"%' then replace(x[2:-2], '""', '"') else x end) as c from q
-), g as (
-  select line_id, ok, c[2] as tag, c[3] as vr, c[4] as len, c[5] as pos,
-         case when regexp_full_match(c[4], '[0-9]+') then try_cast(c[4] as hugeint) end as n from f
-)
-select distinct line_id from g
-where not (ok and regexp_full_match(tag, '[0-9A-F]{{8}}')
-  and (vr in ({_VRS}) or vr in ({_LONG}) or (vr = '' and tag like 'FFFE%'))
-  and n is not null and (n <= case when vr in ({_VRS}) then 65535 else 4294967294 end or (n = 4294967295 and vr in ('SQ','UN','OB','OW')))
-  and regexp_full_match(pos, '[0-9]+')) or not ok
+    "p7_found": f"{_LINES} select distinct line_id from h where reason is not null",
+    "p7_lines": f"""{_LINES}
+select line_id, reason is null as valid, reason, case when reason is null then c[1] end as file, case when reason is null then tag end as tag, case when reason is null then vr end as vr,
+  case when reason is null then n::bigint end as length, case when reason is null then try_cast(pos as decimal(38, 0)) end as "offset", case when reason is null then c[6] end as keyword from h
 """,
 }
-QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p1_zone_estimates, p4_found, p4_hierarchy, p5_found, p5_common_units, p6_found, p6_groups, p6_channels, p6_sources, p6_levels, p6_unreadable, p7_found, p7_lines)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_instants, p1_zone_estimates, p4_found, p4_hierarchy, p4_status, p5_found, p5_common_units, p6_found, p6_groups, p6_channels, p6_sources, p6_levels, p6_unreadable, p7_found, p7_lines)}
