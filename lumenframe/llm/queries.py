@@ -58,6 +58,17 @@ def p9_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, table(spark, d, "container_sizes"))
 
 
+def p9_valid(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the packing, per container: all documents are there, none split that fits, whole up to its end, and nothing overfull."""
+    sizes = cut(tokens.encode_documents(table(spark, d, "documents"), count=True))
+    rows = cut(packing.pack(sizes, table(spark, d, "container_sizes")))
+    known = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
+    each = rows.groupBy("container", "capacity", "doc_id").agg(F.count("*").alias("parts"), F.sum("size").alias("size")).join(known, "doc_id", "full")
+    documents = each.groupBy("container", "capacity").agg(F.count("*").alias("n_documents"), F.count_if((F.col("parts") > 1) & (F.col("n_tokens") <= F.col("capacity"))).alias("split"), F.count_if(~F.col("size").eqNullSafe(F.col("n_tokens").cast("bigint"))).alias("incomplete"))
+    bins = rows.groupBy("container", "capacity", "bin_id").agg(F.sum("size").alias("load")).groupBy("container").agg(F.count_if(F.col("load") > F.col("capacity")).alias("overfull"))
+    return documents.join(bins, "container").select("container", "n_documents", "split", "incomplete", "overfull")
+
+
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     return toxicity.score_documents(documents, toxicity.fit(documents, table(spark, d, "labels")))
@@ -77,7 +88,8 @@ def p10_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.source_rates(table(spark, d, "documents"), cut(_scores(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_persons, p8_ids, p8_decoded, p9_packing, p10_found, p10_scores, p10_source_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_restored, p3_found, p3_persons, p8_ids, p8_decoded, p9_packing, p9_valid, p10_found, p10_scores, p10_source_rates)}
 ORACLE: dict[str, str] = {
+    "p9_valid": "select container, (select count(distinct doc_id) from documents) as n_documents, 0 as split, 0 as incomplete, 0 as overfull from container_sizes",
     "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
 }
