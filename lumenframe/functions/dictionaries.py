@@ -49,12 +49,40 @@ ELEMENTS = {
     "54000100": ("SQ", "Waveform Sequence"), "54001004": ("US", "Waveform Bits Allocated"), "54001006": ("CS", "Waveform Sample Interpretation"), "54001010": ("OW", "Waveform Data"), "7FE00010": ("OW", "Pixel Data"),
 }
 
+# Fixed values of the standard: names of storage classes that archives mostly hold; others print as they are.
+SOP_CLASSES = {
+    "1.2.840.10008.1.3.10": "Media Storage Directory Storage", "1.2.840.10008.5.1.4.1.1.1": "Computed Radiography Image Storage", "1.2.840.10008.5.1.4.1.1.1.1": "Digital X-Ray Image Storage - For Presentation",
+    "1.2.840.10008.5.1.4.1.1.1.1.1": "Digital X-Ray Image Storage - For Processing", "1.2.840.10008.5.1.4.1.1.1.2": "Digital Mammography X-Ray Image Storage - For Presentation", "1.2.840.10008.5.1.4.1.1.2": "CT Image Storage",
+    "1.2.840.10008.5.1.4.1.1.2.1": "Enhanced CT Image Storage", "1.2.840.10008.5.1.4.1.1.3.1": "Ultrasound Multi-frame Image Storage", "1.2.840.10008.5.1.4.1.1.4": "MR Image Storage", "1.2.840.10008.5.1.4.1.1.4.1": "Enhanced MR Image Storage",
+    "1.2.840.10008.5.1.4.1.1.6.1": "Ultrasound Image Storage", "1.2.840.10008.5.1.4.1.1.7": "Secondary Capture Image Storage", "1.2.840.10008.5.1.4.1.1.9.1.1": "12-lead ECG Waveform Storage", "1.2.840.10008.5.1.4.1.1.9.1.2": "General ECG Waveform Storage",
+    "1.2.840.10008.5.1.4.1.1.9.1.3": "Ambulatory ECG Waveform Storage", "1.2.840.10008.5.1.4.1.1.9.2.1": "Hemodynamic Waveform Storage", "1.2.840.10008.5.1.4.1.1.12.1": "X-Ray Angiographic Image Storage",
+    "1.2.840.10008.5.1.4.1.1.12.2": "X-Ray Radiofluoroscopic Image Storage", "1.2.840.10008.5.1.4.1.1.20": "Nuclear Medicine Image Storage", "1.2.840.10008.5.1.4.1.1.66.4": "Segmentation Storage",
+    "1.2.840.10008.5.1.4.1.1.88.11": "Basic Text SR Storage", "1.2.840.10008.5.1.4.1.1.88.22": "Enhanced SR Storage", "1.2.840.10008.5.1.4.1.1.88.33": "Comprehensive SR Storage", "1.2.840.10008.5.1.4.1.1.104.1": "Encapsulated PDF Storage",
+    "1.2.840.10008.5.1.4.1.1.128": "Positron Emission Tomography Image Storage", "1.2.840.10008.5.1.4.1.1.481.1": "RT Image Storage", "1.2.840.10008.5.1.4.1.1.481.2": "RT Dose Storage", "1.2.840.10008.5.1.4.1.1.481.3": "RT Structure Set Storage",
+    "1.2.840.10008.5.1.4.1.1.481.5": "RT Plan Storage",
+}
+
 # Fixed values of the standard: meanings of code strings, by tag.
 CODE_STRINGS = {
+    "00080064": {"DV": "Digitized Video", "DI": "Digital Interface", "DF": "Digitized Film", "WSD": "Workstation", "SD": "Scanned Document", "SI": "Scanned Image", "DRW": "Drawing", "SYN": "Synthetic Image"},
+    "00180020": {"SE": "Spin Echo", "IR": "Inversion Recovery", "GR": "Gradient Recalled", "EP": "Echo Planar", "RM": "Research Mode"},
+    "00180021": {"SK": "Segmented k-space", "MTC": "Magnetization transfer contrast", "SS": "Steady state", "TRSS": "Time reversed steady state", "SP": "Spoiled", "MP": "MAG prepared", "OSP": "Oversampling phase", "NONE": "No sequence variant"},
+    "00181140": {"CW": "Clockwise", "CC": "Counter clockwise"},
+    "00181181": {"PARA": "Parallel (default)", "PINH": "Pinhole", "FANB": "Fan-beam", "CONE": "Cone-beam", "SLNT": "Slant hole", "ASTG": "Astigmatic", "DIVG": "Diverging", "NONE": "No collimator", "UNKN": "Unknown"},
+    "00185100": {
+        "HFP": "Head First-Prone", "HFS": "Head First-Supine", "HFDR": "Head First-Decubitus Right", "HFDL": "Head First-Decubitus Left", "FFDR": "Feet First-Decubitus Right", "FFDL": "Feet First-Decubitus Left",
+        "FFP": "Feet First-Prone", "FFS": "Feet First-Supine",
+    },
+    "00185101": {"AP": "Anterior/Posterior", "PA": "Posterior/Anterior", "LL": "Left Lateral", "RL": "Right Lateral", "RLD": "Right Lateral Decubitus", "LLD": "Left Lateral Decubitus", "RLO": "Right Lateral Oblique", "LLO": "Left Lateral Oblique"},
+    "00200062": {"R": "Right", "L": "Left", "U": "Unpaired", "B": "Both left and right"},
+    "00281040": {"LIN": "Approximately proportional to X-Ray beam intensity", "LOG": "Non-linear \"Log Function\"", "OTHER": "Not proportional to X-Ray beam intensity"},
+    "00282110": {"00": "Image has not been subjected to lossy compression", "01": "Image has been subjected to lossy compression"},
     "00080060": {
+        "AU": "Audio", "DOC": "Document", "EEG": "Electroencephalography", "HD": "Hemodynamic Waveform", "IVUS": "Intravascular Ultrasound", "KO": "Key Object Selection", "OP": "Ophthalmic Photography", "PR": "Presentation State",
+        "PX": "Panoramic X-Ray", "REG": "Registration", "RESP": "Respiratory Waveform", "SM": "Slide Microscopy", "TG": "Thermography", "XC": "External-camera Photography",
         "CR": "Computed Radiography", "CT": "Computed Tomography", "DX": "Digital Radiography", "ECG": "Electrocardiography", "ES": "Endoscopy", "MG": "Mammography", "MR": "Magnetic Resonance",
-        "NM": "Nuclear Medicine", "OT": "Other", "PT": "Positron Emission Tomography", "RF": "Radio Fluoroscopy", "RTDOSE": "Radiotherapy Dose", "RTIMAGE": "Radiotherapy Image", "RTPLAN": "Radiotherapy Plan",
-        "RTSTRUCT": "Radiotherapy Structure Set", "SC": "Secondary Capture", "SEG": "Segmentation", "SR": "Structured Report Document", "US": "Ultrasound", "XA": "X-Ray Angiography",
+        "NM": "Nuclear Medicine", "OT": "Other", "PT": "Positron emission tomography (PET)", "RF": "Radio Fluoroscopy", "RTDOSE": "Radiotherapy Dose", "RTIMAGE": "Radiotherapy Image", "RTPLAN": "Radiotherapy Plan",
+        "RTSTRUCT": "Radiotherapy Structure Set", "SC": "Secondary Capture", "SEG": "Segmentation", "SR": "SR Document", "US": "Ultrasound", "XA": "X-Ray Angiography",
     },
     "00100040": {"M": "Male", "F": "Female", "O": "Other"},
 }
@@ -86,7 +114,7 @@ def named(value: Column, table: dict[str, str]) -> Column:
 
 
 def uid_named(value: Column) -> Column:
-    return named(value, {u: n for u, n, _, _ in TRANSFER_SYNTAXES})
+    return named(value, {u: n for u, n, _, _ in TRANSFER_SYNTAXES} | SOP_CLASSES)
 
 
 def code_described(tag: str, value: Column) -> Column:

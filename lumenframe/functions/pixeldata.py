@@ -1,6 +1,6 @@
 """Frames and images of one data set, with numpy: splitting, decoding, encoding, grey-level and colour pipelines.
 
-Native, run-length coded and deflated frames are decoded; other codings have no library here and give DecoderError.
+Native, run-length coded, deflated and JPEG frames (sequential and lossless Huffman coding) are decoded; other codings have no library here and give DecoderError.
 Stored values are arrays of rows by columns, by three for colour.
 """
 
@@ -12,8 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from lumenframe.functions import jpeg
+
 RLE = "1.2.840.10008.1.2.5"
 DEFLATED_FRAME = "1.2.840.10008.1.2.8.1"
+JPEG = {"1.2.840.10008.1.2.4.50", "1.2.840.10008.1.2.4.51", "1.2.840.10008.1.2.4.57", "1.2.840.10008.1.2.4.70"}
 NATIVE = {"1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.2", "1.2.840.10008.1.2.1.99", "1.2.840.10008.1.2.1.98"}
 
 
@@ -172,6 +175,8 @@ def rle_encode(data: bytes, d: Description) -> bytes:
 
 def decode(data: bytes, d: Description, syntax: str, bit_offset: int = 0) -> np.ndarray:
     """Stored values of a frame: (rows, columns) or (rows, columns, 3)."""
+    if syntax in JPEG:
+        return _jpeg(data, d)
     if syntax == RLE:
         data, planar = rle_decode(data, d), False
     elif syntax == DEFLATED_FRAME:
@@ -209,6 +214,19 @@ def decode(data: bytes, d: Description, syntax: str, bit_offset: int = 0) -> np.
     return x
 
 
+def _jpeg(data: bytes, d: Description) -> np.ndarray:
+    try:
+        x = jpeg.decode(data)
+    except (ValueError, IndexError, struct.error) as e:
+        raise DecoderError(f"JPEG: {e}") from e
+    if x.shape != ((d.rows, d.columns) if d.samples == 1 else (d.rows, d.columns, d.samples)):
+        raise DecoderError(f"JPEG image of {x.shape}")
+    if d.signed:
+        spare = d.dtype.itemsize * 8 - d.bits_stored
+        return (x.astype(f"<u{d.dtype.itemsize}") << spare).view(d.dtype) >> spare
+    return x
+
+
 def encode(image: np.ndarray, d: Description, syntax: str) -> bytes:
     """Bytes of a frame of stored values."""
     if d.bits_allocated == 1:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable, Iterator
 
-from lumenframe.functions.dictionaries import CODE_STRINGS, ELEMENTS, TRANSFER_SYNTAXES
+from lumenframe.functions.dictionaries import CODE_STRINGS, ELEMENTS, SOP_CLASSES, TRANSFER_SYNTAXES
 from lumenframe.sources import p10
 from lumenframe.sources import values as V
 
 NAME_WIDTH = 37
-UIDS = {u: n for u, n, _, _ in TRANSFER_SYNTAXES}
+UIDS = {u: n for u, n, _, _ in TRANSFER_SYNTAXES} | SOP_CLASSES
 
 
 def graphemes(text: str) -> list[str]:

@@ -277,6 +277,23 @@ def uid_from(*keys: Column, prefix: str = "2.25") -> Column:
     return F.concat(F.lit(prefix + ".1"), F.lpad(digits, 19, "0"), F.lpad(more, 19, "0"))
 
 
+# Fixed values of the standard: most bytes of a value, what they must be a multiple of, and most characters of each string.
+LENGTHS = {
+    "AE": (16, 1, None), "AS": (4, 1, None), "AT": (0xFFFC, 4, None), "CS": (0xFFFE, 1, 16), "DA": (8, 1, None), "DS": (0xFFFE, 1, 16), "DT": (26, 1, None), "FD": (0xFFF8, 8, None), "FL": (0xFFFC, 4, None),
+    "IS": (0xFFFE, 1, 12), "LO": (0xFFFE, 1, 64), "LT": (0xFFFE, 1, 10_240), "OB": (0xFFFFFFFE, 2, None), "OD": (0xFFFFFFF8, 8, None), "OF": (0xFFFFFFFC, 4, None), "OL": (0xFFFFFFFC, 4, None),
+    "OV": (0xFFFFFFF8, 8, None), "OW": (0xFFFFFFFE, 2, None), "PN": (0xFFFE, 1, 324), "SH": (0xFFFE, 1, 16), "SL": (0xFFFC, 4, None), "SQ": (0, 1, None), "SS": (0xFFFE, 2, None), "ST": (0xFFFE, 1, 1_024),
+    "SV": (0xFFFFFFF8, 8, None), "TM": (14, 1, None), "UC": (0xFFFFFFFE, 1, None), "UI": (0xFFFE, 1, 64), "UL": (0xFFFC, 4, None), "UN": (0xFFFFFFFE, 1, None), "UR": (0xFFFFFFFE, 1, None), "US": (0xFFFE, 2, None),
+    "UT": (0xFFFFFFFE, 1, None), "UV": (0xFFF8, 8, None),
+}
+
+
+def length_fits(vr: Column, n_bytes: Column, n_characters: Column) -> Column:
+    """Whether the bytes of a value and the characters of its longest string are allowed; null for an unknown representation."""
+    limits = F.create_map(*[x for k, (most, step, chars) in LENGTHS.items() for x in (F.lit(k), F.struct(F.lit(most).cast("bigint").alias("most"), F.lit(step).alias("step"), F.lit(chars).cast("int").alias("chars")))])
+    limit = F.try_element_at(limits, vr)
+    return F.when(limit.isNotNull(), (n_bytes <= limit["most"]) & (n_bytes % limit["step"] == 0) & (limit["chars"].isNull() | n_characters.isNull() | (n_characters <= limit["chars"])))
+
+
 def multiplicity_fits(n: Column, least: Column | int, most: Column | int | None) -> Column:
     """Whether n values are allowed; no upper bound where ``most`` is None."""
     fits = n >= least

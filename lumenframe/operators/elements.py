@@ -7,8 +7,13 @@ exploded path prefixes, never a nested loop.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from lumenframe.functions import scalars as S
@@ -117,6 +122,30 @@ def pivot(elements: DataFrame, columns: dict[str, str], value: str = "values_jso
     return wanted.groupBy("file").agg(*[F.min(F.when(F.col("tag") == tag, F.col(value))).alias(name) for name, tag in columns.items()])
 
 
+def derived(elements: DataFrame, tags: dict[str, str], make: Callable[[dict[str, list]], dict], ddl: str) -> DataFrame:
+    """A type of one's own: ``make`` gets the values of the named root tags of each file as lists and returns the columns in ``ddl``.
+
+    Files for which it raises ValueError, KeyError, TypeError or IndexError have nulls and the reason in ``error``.
+    """
+    wide, names = pivot(elements, tags), list(tags)
+    fields = [f.name for f in wide.sparkSession.createDataFrame([], ddl).schema]
+    out = "file string, " + ddl + ", error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                try:
+                    found = make({n: json.loads(r[n]) if r[n] else [] for n in names})
+                    rows.append({"file": r["file"], **{f: found.get(f) for f in fields}, "error": None})
+                except (ValueError, KeyError, TypeError, IndexError) as e:
+                    rows.append({"file": r["file"], **dict.fromkeys(fields), "error": f"{type(e).__name__}: {e}"})
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    kinds = to_arrow_schema(wide.sparkSession.createDataFrame([], out).schema)
+    return wide.mapInArrow(run, out)
+
+
 def select(files: DataFrame, elements: DataFrame, required: dict[str, str], optional: dict[str, str]) -> DataFrame:
     """Files with the selected tags as columns; ``missing`` names the required ones that a file lacks."""
     wide = files.join(pivot(elements, required | optional), "file", "left")

@@ -36,9 +36,12 @@ def _typed(values: Column, kind: str) -> Column:
     return F.get(F.from_json(values, "array<string>"), F.lit(0)).try_cast(kind)
 
 
-def module(elements: DataFrame, name: str) -> DataFrame:
-    """A module as typed columns; absent and unreadable values are null, of many the first counts unless the column is an array."""
-    fields = MODULES[name]
+def module(elements: DataFrame, name: str | dict[str, tuple[str, str]]) -> DataFrame:
+    """A module as typed columns; absent and unreadable values are null, of many the first counts unless the column is an array.
+
+    Instead of a name it may be a module of one's own: column to (tag, Spark type).
+    """
+    fields = MODULES[name] if isinstance(name, str) else name
     wide = E.pivot(elements, {n: tag for n, (tag, _) in fields.items()})
     return wide.select("file", *[_typed(F.col(n), kind).alias(n) for n, (_, kind) in fields.items()])
 

@@ -275,11 +275,12 @@ def transcoded(elements: DataFrame, syntax: str, together: bool = False) -> Data
 PLACED = pa.schema([("file", pa.string()), ("tag", pa.string()), ("vr", pa.string()), ("values_json", pa.string()), ("inline_binary", pa.binary()), ("fragments", pa.list_(pa.binary())), ("error", pa.string())])
 
 
-def transcoded_elements(elements: DataFrame, syntax: str) -> tuple[DataFrame, DataFrame]:
+def transcoded_elements(elements: DataFrame, syntax: str, hook: Callable[[np.ndarray, int], np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
     """(elements with their pixel data in another transfer syntax, (file, error) of the data sets that stay as they are).
 
     Run-length coded colour is by pixel, so the planar configuration becomes 0; frames that are encapsulated get a basic offset
-    table of zero length.  Targets are lossless, so that the mark of lossy compression stays as it was.
+    table of zero length.  Targets are lossless, so that the mark of lossy compression stays as it was.  ``hook`` gets the stored values of each frame and its
+    index, and returns what is to be coded, of the same shape.
     """
 
     def make(file: str, s: DataSet) -> list[tuple]:
@@ -287,7 +288,13 @@ def transcoded_elements(elements: DataFrame, syntax: str) -> tuple[DataFrame, Da
         target = P.Description(**{**d.__dict__, "planar": False}) if syntax == P.RLE else d
         if d.photometric == "YBR_FULL_422":
             target = P.Description(**{**target.__dict__, "photometric": "YBR_FULL"})
-        coded = [P.encode(P.decode(data, d, s.syntax, bit), target, syntax) for _, bit, data in s.frames()]
+        images = [P.decode(data, d, s.syntax, bit) for _, bit, data in s.frames()]
+        if hook:
+            shapes = [x.shape for x in images]
+            images = [np.asarray(hook(x, i)) for i, x in enumerate(images)]
+            if [x.shape for x in images] != shapes:
+                raise P.DecoderError("the hook changed the size of a frame")
+        coded = [P.encode(x, target, syntax) for x in images]
         text = lambda *v: json.dumps(list(v))
         rows = [(file, "00020010", "UI", text(syntax), None, None, None), (file, "00280004", "CS", text(target.photometric), None, None, None)]
         if d.samples > 1:
@@ -295,7 +302,7 @@ def transcoded_elements(elements: DataFrame, syntax: str) -> tuple[DataFrame, Da
         if "7FE00010" in s.rows:
             if syntax in P.NATIVE:
                 if d.bits_allocated == 1 and len(coded) > 1:
-                    bits = np.concatenate([P.decode(data, d, s.syntax, bit).reshape(-1) for _, bit, data in s.frames()])
+                    bits = np.concatenate([x.reshape(-1) for x in images])
                     coded = [np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()]
                 rows.append((file, "7FE00010", "OB" if d.bits_allocated <= 8 else "OW", None, b"".join(coded), None, None))
             else:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenframe.functions import dictionaries
 from lumenframe.functions import imaging as I
 from lumenframe.functions import scalars as S
 from lumenframe.operators import elements as E
@@ -28,6 +29,11 @@ PIXELS = "(select vec_id, list_transform(embedding, lambda e: cast(floor((e::dou
 PATH = "array_to_string(list_concat(list_transform(path, lambda p: p.tag || '/[' || p.item || ']'), [tag]), '/')"
 
 
+_N_BYTES = """coalesce(octet_length(inline_binary), case when vr = 'US' then 2 * json_array_length(values_json) end,
+  case when vr = 'PN' then strlen(array_to_string(list_transform(from_json(values_json, '[{"Alphabetic":"VARCHAR","Ideographic":"VARCHAR","Phonetic":"VARCHAR"}]'), lambda p: rtrim(coalesce(p.Alphabetic, '') || '=' || coalesce(p.Ideographic, '') || '=' || coalesce(p.Phonetic, ''), '=')), '\\\\'))
+       else strlen(array_to_string(list_transform(from_json(values_json, '["VARCHAR"]'), lambda x: coalesce(x, '')), '\\\\')) end, 0)"""
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query and its SQL under the function's name."""
 
@@ -259,6 +265,35 @@ def ascii_sanitize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", S.ascii_only(F.col("text")).alias("plain"))
 
 
+@query(f"""
+with v as (select element_id, vr, {_N_BYTES} as n, list_max(list_transform(from_json(values_json, '["VARCHAR"]'), lambda x: len(x))) as chars from elements where vr != 'PN')
+select element_id, case vr when 'CS' then chars is null or chars <= 16 when 'LO' then chars is null or chars <= 64 when 'UI' then chars is null or chars <= 64 when 'DS' then chars is null or chars <= 16 when 'IS' then chars is null or chars <= 12
+  when 'LT' then chars is null or chars <= 10240 when 'DA' then n + n % 2 <= 8 when 'TM' then n + n % 2 <= 14 when 'DT' then n + n % 2 <= 26 when 'AS' then n + n % 2 <= 4 when 'US' then true when 'OW' then true when 'UT' then true end as fits from v
+""")
+def length_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Whether values have a length that their representation allows."""
+    rows = table(spark, d, "elements").where("vr != 'PN'")
+    longest = F.array_max(F.transform(F.from_json("values_json", "array<string>"), F.length))
+    return rows.select("element_id", S.length_fits(F.col("vr"), E.value_bytes(F.col("vr"), F.col("values_json"), F.col("inline_binary")), longest).alias("fits"))
+
+
+@query("select element_id, case values_json->>'$[0]' when 'M' then 'Male' when 'F' then 'Female' when 'O' then 'Other' else values_json->>'$[0]' end as described from elements where tag = '00100040'")
+def code_described(spark: SparkSession, d: str) -> DataFrame:
+    """Code strings with their meaning."""
+    return table(spark, d, "elements").where("tag = '00100040'").select("element_id", dictionaries.code_described("00100040", F.get_json_object("values_json", "$[0]")).alias("described"))
+
+
+@query("""
+select element_id, case v when '1.2.840.10008.5.1.4.1.1.2' then 'CT Image Storage' when '1.2.840.10008.5.1.4.1.1.4' then 'MR Image Storage' when '1.2.840.10008.5.1.4.1.1.1' then 'Computed Radiography Image Storage'
+  when '1.2.840.10008.5.1.4.1.1.6.1' then 'Ultrasound Image Storage' when '1.2.840.10008.5.1.4.1.1.9.1.1' then '12-lead ECG Waveform Storage' when '1.2.840.10008.5.1.4.1.1.9.1.2' then 'General ECG Waveform Storage' when '1.2.840.10008.5.1.4.1.1.9.2.1' then 'Hemodynamic Waveform Storage'
+  when '1.2.840.10008.5.1.4.1.1.7' then 'Secondary Capture Image Storage' when '1.2.840.10008.5.1.4.1.1.88.11' then 'Basic Text SR Storage' when '1.2.840.10008.5.1.4.1.1.12.1' then 'X-Ray Angiographic Image Storage' else v end as named
+from (select element_id, values_json->>'$[0]' as v from elements where tag = '00080016')
+""")
+def uid_named(spark: SparkSession, d: str) -> DataFrame:
+    """Storage classes by name."""
+    return table(spark, d, "elements").where("tag = '00080016'").select("element_id", dictionaries.uid_named(F.get_json_object("values_json", "$[0]")).alias("named"))
+
+
 @query("select element_id, to_base64(inline_binary) as inline from elements where inline_binary is not null")
 def base64_inline(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "elements").where("inline_binary is not null").select("element_id", S.inline_binary(F.col("inline_binary")).alias("inline"))

@@ -374,6 +374,28 @@ def part10_read_back(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file", "tag", at.alias("at"), "vr", value.alias("value"))
 
 
+@query("select file, (min(values_json) filter (tag = '00280010')->>'$[0]')::bigint * 2 as twice, case when min(values_json) filter (tag = '00280010') is null then 'IndexError: list index out of range' end as error from elements where len(path) = 0 and tag in ('00280010', '00080060') group by file")
+def derived_type(spark: SparkSession, d: str) -> DataFrame:
+    """A type of one's own, made by a function from the values of two tags."""
+    return E.derived(table(spark, d, "elements"), {"rows": "00280010", "modality": "00080060"}, lambda v: {"twice": 2 * int(v["rows"][0])}, "twice bigint")
+
+
+@query("select c_custkey, 'LO' as vr, '[\"' || c_name || '\"]' as values_json from customer")
+def elements_of_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Part 10 files in a column of bytes, read by the table function in SQL."""
+    from lumenframe.sources import datasource
+
+    datasource.register(spark)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            made = [p10.write([p10.Element((), 0x00100020, "LO", dicom_json.V.from_json([name], "LO"))]) for name in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["c_custkey", "content"])
+
+    files = table(spark, d, "customer").select("c_custkey", "c_name").mapInArrow(run, "c_custkey bigint, content binary")
+    return spark.sql("select c_custkey, e.vr, e.values_json from {files} f, lateral dicom_elements(f.content) e where e.tag = '00100020'", files=files)
+
+
 @query(ORACLE["part10_read_back"])
 def json_read_back(spark: SparkSession, d: str) -> DataFrame:
     """Every data set written as DICOM JSON and read again."""

@@ -288,8 +288,20 @@ class DicomSource(DataSource):
         return Writer(dict(self.options))
 
 
+class Elements:
+    """Table function: the elements in a value of bytes, for SQL as ``FROM files, LATERAL dicom_elements(content)``."""
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        if content is None:
+            return
+        for _, ordinal, path, tag, vr, values_json, data, fragments, items, error in read_elements("", bytes(content), {}):
+            yield ordinal, None if path is None else [(p["tag"], p["item"]) for p in path], tag, vr, values_json, data, fragments, items, error
+
+
 def register(spark: SparkSession) -> None:
+    """Make the data source ``dicom`` and the table function ``dicom_elements`` known to a session."""
     spark.dataSource.register(DicomSource)
+    spark.udtf.register("dicom_elements", F.udtf(Elements, returnType=SCHEMA.split(", ", 1)[1]))
 
 
 def save(elements: DataFrame, folder: str, syntax: str = p10.EXPLICIT, base: str | None = None) -> None:

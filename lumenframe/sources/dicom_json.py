@@ -63,15 +63,18 @@ def _read(item: dict, path: p10.Path, encapsulated: bool | None) -> Iterator[p10
             yield p10.Element(path, tag, vr, V.from_json(element.get("Value") or [], vr) if element.get("Value") else b"", charset="ISO_IR 192")
 
 
-def write(elements: Iterable[p10.Element], pretty: bool = False, keep_encapsulated: bool = True) -> str:
-    """The DICOM JSON of a data set; group lengths and the character set are left out."""
+def write(elements: Iterable[p10.Element], pretty: bool = False, keep_encapsulated: bool = True, binary: set[int] | None = None) -> str:
+    """The DICOM JSON of a data set; group lengths and the character set are left out.
+
+    With ``binary`` only the binary values of these tags are written, others are left empty.
+    """
     held = list(elements)
     charsets = {(e.path, e.tag): e.charset for e in held}
-    shown = _json(p10.tree(e for e in held if e.tag & 0xFFFF), (), charsets, keep_encapsulated)
+    shown = _json(p10.tree(e for e in held if e.tag & 0xFFFF), (), charsets, keep_encapsulated, binary)
     return json.dumps(shown, ensure_ascii=False, indent=2) if pretty else json.dumps(shown, ensure_ascii=False, separators=(",", ":"))
 
 
-def _json(data_set: p10.DataSet, path: p10.Path, charsets: dict, keep: bool) -> dict:
+def _json(data_set: p10.DataSet, path: p10.Path, charsets: dict, keep: bool, binary: set[int] | None = None) -> dict:
     out: dict = {}
     for tag in sorted(data_set):
         vr, value = data_set[tag]
@@ -79,15 +82,17 @@ def _json(data_set: p10.DataSet, path: p10.Path, charsets: dict, keep: bool) ->
             continue
         element: dict = {"vr": vr}
         if vr == "SQ":
-            items = [_json(x, (*path, (f"{tag:08X}", i)), charsets, keep) for i, x in enumerate(value)]  # type: ignore[arg-type]
+            items = [_json(x, (*path, (f"{tag:08X}", i)), charsets, keep, binary) for i, x in enumerate(value)]  # type: ignore[arg-type]
             element["Value"] = items
         elif isinstance(value, list):
-            if not keep:
+            if not keep or binary is not None and tag not in binary:
                 continue
             element["InlineBinary"] = V.inline(fragments_inline(value))  # type: ignore[arg-type]
         else:
             found = V.to_json(value, vr, charsets.get((path, tag)))
-            if found is None and value:
+            if found is None and value and binary is not None and tag not in binary:
+                pass
+            elif found is None and value:
                 element["InlineBinary"] = V.inline(value)
             elif found:
                 element["Value"] = found

@@ -126,6 +126,17 @@ class Walker:
         self.last = max(self.config.tags) if self.config.tags else None
 
     def elements(self) -> Iterator[Element]:
+        yield from self.header()
+        if self.syntax == DEFLATED:
+            self.bytes = Bytes(inflated(self.bytes.rest()))
+        yield from self.body(None, {})
+
+    def body(self, charset: str | None, clarify: dict) -> Iterator[Element]:
+        """The elements of the data set from a border of two root elements on."""
+        yield from self._data_set((), UNDEFINED, charset, self.syntax == IMPLICIT, self.syntax == BIG, clarify)
+
+    def header(self) -> Iterator[Element]:
+        """Preamble and file meta information, which name the transfer syntax."""
         b = self.bytes
         if is_p10(b.peek(132)):
             b.read(132)
@@ -138,9 +149,22 @@ class Walker:
                 if e.tag & 0xFFFF:
                     yield from self._wanted(e)
         self.syntax = self.syntax or self.config.default_syntax
-        if self.syntax == DEFLATED:
-            self.bytes = Bytes(inflated(b.rest()))
-        yield from self._data_set((), UNDEFINED, None, self.syntax == IMPLICIT, self.syntax == BIG, {})
+
+    def tokens(self, most: int = 262_144) -> Iterator[tuple]:
+        """The file as a flat sequence of bounded tokens: ("element", path, tag, vr, length), ("bytes", data, left) of at most ``most`` bytes each,
+        ("items", path, tag, n) after what lies in a sequence."""
+        for e in self.elements():
+            if e.vr == "SQ":
+                yield "items", e.path, e.hex, e.items
+                continue
+            parts = e.fragments if e.fragments is not None else [e.value]
+            yield "element", e.path, e.hex, e.vr, sum(map(len, parts))
+            left = sum(map(len, parts))
+            for part in parts:
+                for i in range(0, len(part), most):
+                    data = part[i : i + most]
+                    left -= len(data)
+                    yield "bytes", data, left
 
     def _wanted(self, e: Element) -> Iterator[Element]:
         root = int(e.path[0][0], 16) if e.path else e.tag
@@ -238,6 +262,70 @@ class Walker:
             found.append(self.bytes.read(length))
 
 
+class Pushed:
+    """A reader that bytes are pushed into as they come: it gives out the elements that are whole and keeps only the bytes behind the last whole root element.
+
+    Chunks of any size give the same elements.  While a long element comes in, reading is tried again only when the bytes held have doubled.
+    """
+
+    def __init__(self, config: Config | None = None) -> None:
+        self.config = config or Config()
+        self.held, self.again = bytearray(), 0
+        self.syntax: str | None = None
+        self.charset: str | None = None
+        self.clarify: dict = {}
+        self.inflate = None
+
+    def push(self, data: bytes, last: bool = False) -> list[Element]:
+        """The elements that have become whole; with ``last`` the file ends here, and an incomplete element raises P10Error."""
+        self.held += self.inflate.decompress(data) if self.inflate else data
+        if not last and (len(self.held) < self.again or self.syntax is None and len(self.held) < 140):
+            return []
+        found: list[Element] = []
+        whole = 0
+        walker = Walker(bytes(self.held), Config(**{**self.config.__dict__, "tags": None}))
+        try:
+            if self.syntax is None:
+                found += walker.header()
+                if not last and len(walker.bytes.peek(8)) < 8:
+                    self.again = len(self.held) + 1
+                    return []
+                self.syntax, whole = walker.syntax, walker.bytes.pos
+                if self.syntax == DEFLATED:
+                    self.inflate = zlib.decompressobj(-15)
+                    rest = bytes(self.held[whole:])
+                    self.held, self.again = bytearray(), 0
+                    return self._wanted(found) + self.push(rest, last)
+            walker.syntax = self.syntax
+            open_: list[Element] = []
+            for e in walker.body(self.charset, self.clarify):
+                open_.append(e)
+                if e.path:
+                    continue
+                if not last and walker.bytes.pos >= len(self.held):
+                    break  # a sequence may go on where the bytes end
+                found += open_
+                open_, whole = [], walker.bytes.pos
+                if e.tag == CHARSET:
+                    self.charset = e.value.decode("ascii", "replace").strip(" \0")
+                elif e.tag == REPRESENTATION and len(e.value) >= 2:
+                    self.clarify[REPRESENTATION] = struct.unpack("<H", e.value[:2])[0]
+            else:
+                whole = walker.bytes.pos
+        except P10Error:
+            if last:
+                raise
+        if self.syntax is None:
+            found = []
+        del self.held[:whole]
+        self.again = 2 * len(self.held) if self.held else 0
+        return self._wanted(found)
+
+    def _wanted(self, found: list[Element]) -> list[Element]:
+        tags = self.config.tags
+        return [e for e in found if tags is None or (int(e.path[0][0], 16) if e.path else e.tag) in tags]
+
+
 def _head(tag: int, vr: str, length: int, implicit: bool, big: bool) -> bytes:
     order = ">" if big else "<"
     start = struct.pack(order + "HH", tag >> 16, tag & 0xFFFF)
@@ -292,8 +380,8 @@ def _body(data_set: DataSet, implicit: bool, big: bool) -> Iterator[bytes]:
             yield _head(tag, vr, len(data), implicit, big) + (V.swap(data, vr) if big else data)
 
 
-def write(elements: Iterable[Element], syntax: str = EXPLICIT, level: int = 6, implementation: str = "2.25.1") -> bytes:
-    """The file of a data set; group 2 is made anew, sequences have undefined length, text is UTF-8."""
+def write(elements: Iterable[Element], syntax: str = EXPLICIT, level: int = 6, implementation: str = "2.25.1", version: str | None = None, header: bool = True) -> bytes:
+    """The file of a data set; group 2 is made anew, sequences have undefined length, text is UTF-8.  Without ``header`` neither preamble nor group 2 is written."""
     root = tree(e for e in elements if e.tag >> 16 != 2)
     root[CHARSET] = ("CS", b"ISO_IR 192")
     data = b"".join(_body(root, syntax == IMPLICIT, syntax == BIG))
@@ -303,9 +391,13 @@ def write(elements: Iterable[Element], syntax: str = EXPLICIT, level: int = 6, i
             uid = root[source][1]
             meta.append((tag, "UI", uid + b"\0" * (len(uid) % 2)))  # type: ignore[operator,arg-type]
     meta += [(0x00020010, "UI", V.from_json([syntax], "UI")), (0x00020012, "UI", V.from_json([implementation], "UI"))]
+    if version:
+        meta.append((0x00020013, "SH", V.from_json([version[:16]], "SH")))
     group = b"".join(_head(t, vr, len(v), False, False) + v for t, vr, v in meta)
     if syntax == DEFLATED:
         c = zlib.compressobj(level, zlib.DEFLATED, -15)
         data = c.compress(data) + c.flush()
         data += b"\0" * (len(data) % 2)
+    if not header:
+        return data
     return b"\0" * 128 + b"DICM" + _head(0x00020000, "UL", 4, False, False) + struct.pack("<I", len(group)) + group + data

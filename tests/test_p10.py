@@ -182,6 +182,30 @@ def test_inputs_globs_and_output_names(spark, tmp_path):
     assert names(str(tmp_path / "out")) == ["out/a/1.dcm", "out/b/1.dcm"]
 
 
+@pytest.mark.parametrize("step", [1, 7, 100, 10_000])
+def test_pushed_bytes_give_the_same_elements(step):
+    data = p10.write(dicom_json.read(SAMPLE))
+    reader, found = p10.Pushed(), []
+    for i in range(0, len(data), step):
+        found += reader.push(data[i : i + step])
+    found += reader.push(b"", last=True)
+    want = list(p10.Walker(data).elements())
+    assert found == want
+    with pytest.raises(p10.P10Error):
+        p10.Pushed().push(data[:-3], last=True)
+    tokens = list(p10.Walker(data).tokens(5))
+    assert max(len(t[1]) for t in tokens if t[0] == "bytes") <= 5 and b"".join(t[1] for t in tokens if t[0] == "bytes") == b"".join(e.value for e in want)
+
+
+def test_written_without_header_and_with_a_version():
+    bare = p10.write(dicom_json.read(SAMPLE), header=False)
+    assert not p10.is_p10(bare) and [e.hex for e in p10.Walker(bare, p10.Config(default_syntax=p10.EXPLICIT)).elements()][0] == "00080005"
+    named = {e.tag: e.value for e in p10.Walker(p10.write(dicom_json.read(SAMPLE), version="ENGINE 1")).elements()}
+    assert named[0x00020013].strip() == b"ENGINE 1"
+    text = dicom_json.write(dicom_json.read('{"00420011": {"vr": "OB", "InlineBinary": "AAE="}, "00090010": {"vr": "OB", "InlineBinary": "AAE="}}'), binary={0x00420011})
+    assert json.loads(text) == {"00420011": {"vr": "OB", "InlineBinary": "AAE="}, "00090010": {"vr": "OB"}}
+
+
 def test_limits_and_representations():
     data = p10.write(dicom_json.read(SAMPLE), p10.IMPLICIT)
     with pytest.raises(p10.P10Error, match="too long"):

@@ -166,4 +166,7 @@ def test_transcoded_data_sets_keep_their_images(spark):
     for x in (rle, back):
         got = {r.frame_index: r.pixels for r in pixels.stored_values(x.where("file = 'a'")).collect()}
         assert got == {0: [0, 1, 2, 4095], 1: [7, 7, 7, 9]}
+    dark, _ = pixels.transcoded_elements(df.where("file = 'a'"), p10.EXPLICIT, hook=lambda x, i: x // 2 + i)
+    assert {r.frame_index: r.pixels for r in pixels.stored_values(dark).collect()} == {0: [0, 0, 1, 2047], 1: [4, 4, 4, 5]}
+    assert "size" in pixels.transcoded_elements(df.where("file = 'a'"), P.RLE, hook=lambda x, i: x[:1])[1].first().error
     assert rle.where("file = 'a' and tag = '00020010'").first().values_json == json.dumps([P.RLE]) and rle.where("file = 'bad'").count() == df.where("file = 'bad'").count()
