@@ -26,7 +26,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -215,7 +215,7 @@ class Index:
     @classmethod
     def build(cls, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray) -> Index:
         order = np.lexsort((row, bucket))
-        row, bucket, weight = row[order], bucket[order], weight[order]
+        row, bucket, weight = row[order], bucket[order], weight[order].astype(np.float32)
         key = bucket * (1 << 24) + row // BLOCK
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
         of_bucket = bucket[first]
@@ -224,7 +224,8 @@ class Index:
         largest = np.maximum.reduceat(most, start) if len(start) else most
         slot = np.full(int(bucket.max(initial=-1)) + 2, -1, np.int32)
         slot[of_bucket[start]] = np.arange(len(start))
-        return cls(slot, np.r_[start, len(first)], row[first] // BLOCK, most, np.r_[first, len(row)], row, weight, largest, int(row.max(initial=-1)) + 1)
+        small = lambda x: x.astype(np.int32)  # noqa: E731 - positions and rows of a bounded sample
+        return cls(slot, small(np.r_[start, len(first)]), small(row[first] // BLOCK), most, small(np.r_[first, len(row)]), small(row), weight, largest, int(row.max(initial=-1)) + 1)
 
     def find(self, query: np.ndarray, bucket: np.ndarray, weight: np.ndarray, least: float = LEAST, step: int = 4_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, example, cosine) of all examples with at least that cosine; exact."""
@@ -241,7 +242,7 @@ class Index:
         query, at, weight = query[hit], at[hit], weight[hit]
         parts = [none]
         lengths = self.bucket_at[at + 1] - self.bucket_at[at]
-        # Whole queries at a time, as many as fit a step; sums are kept in dense arrays of queries by examples.
+        # Whole queries at a time, as many as fit a step; sums are kept in dense arrays of queries by examples, or sorted where they are few.
         edges = np.flatnonzero(np.r_[True, query[1:] != query[:-1], True]) if len(query) else np.zeros(1, int)
         work = np.r_[0, np.cumsum(lengths)][edges]
         wide = max(1, step // max(1, self.n_rows))
@@ -264,9 +265,15 @@ class Index:
         entry, of = entry[keep], of[keep]
         posting, of2 = _spans(self.block_at[entry], self.block_at[entry + 1] - self.block_at[entry])
         of = of[of2]
-        cosine = np.bincount(query[of] * self.n_rows + self.rows[posting], weight[of] * self.weights[posting], minlength=n * self.n_rows)
-        found = np.flatnonzero(cosine >= least)
-        return found // self.n_rows, found % self.n_rows, cosine[found]
+        keys, product = query[of] * self.n_rows + self.rows[posting], weight[of] * self.weights[posting]
+        if len(keys) * 24 > n * self.n_rows:
+            cosine = np.bincount(keys, product, minlength=n * self.n_rows)
+            found = np.flatnonzero(cosine >= least)
+            return found // self.n_rows, found % self.n_rows, cosine[found]
+        found, number = np.unique(keys, return_inverse=True)
+        cosine = np.bincount(number, product, minlength=len(found))
+        near = cosine >= least
+        return found[near] // self.n_rows, found[near] % self.n_rows, cosine[near]
 
 
 def vote(query: np.ndarray, example: np.ndarray, cosine: np.ndarray, label: np.ndarray, mass: np.ndarray, n: int, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
@@ -305,6 +312,7 @@ class Model:
     n: np.ndarray
     document: np.ndarray
     curve: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
+    held: object = None
 
     def score(self, reader: Reader, texts: list[str | None], own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list]:
         """(score, number of passages at or above the threshold, evidence) of each text.
@@ -372,6 +380,7 @@ def frequencies(documents: DataFrame, terms: Terms) -> np.ndarray:
 
     rows = documents.select("text").where("text is not null").mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     counted = rows.toPandas()
+    held.unpersist()
     total = np.zeros(terms.n + 1, np.int64)
     total[counted["term"].to_numpy()] = counted["n"].to_numpy()
     return total
@@ -494,7 +503,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
 
 def _calibrated(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """The curve from scores to probabilities, from the documents of the sample, each scored without its own vote."""
-    held = sample.sparkSession.sparkContext.broadcast(model)
+    held = model.held = sample.sparkSession.sparkContext.broadcast(replace(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(held.value.terms.words)
@@ -513,7 +522,8 @@ SCORES = "doc_id bigint, toxic_score double, probability double, flagged_passage
 
 def score_documents(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, toxic_score, probability, flagged_passages, evidence) of every document; evidence are the labelled documents nearest to the worst passage."""
-    held = documents.sparkSession.sparkContext.broadcast(model)
+    held = model.held or documents.sparkSession.sparkContext.broadcast(model)
+    curve = model.curve
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic_share", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -521,7 +531,7 @@ def score_documents(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for start, texts in _batches(batch, 1):
                 score, flagged, evidence = held.value.score(reader, texts)
-                likely = np.interp(score, *held.value.curve)
+                likely = np.interp(score, *curve)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(np.round(score, 6)), pa.array(np.round(likely, 6)), pa.array(flagged), pa.array(evidence, kind)], ["doc_id", "toxic_score", "probability", "flagged_passages", "evidence"])
 
     rows = documents.select("doc_id", "text").mapInArrow(run, SCORES)
