@@ -153,6 +153,16 @@ def select(files: DataFrame, elements: DataFrame, required: dict[str, str], opti
     return wide.withColumn("missing", absent)
 
 
+def presence(elements: DataFrame, tags: list[str]) -> DataFrame:
+    """(file, tag, present, has_value) of the root tags that are asked for, for every file."""
+    asked = F.explode(F.array(*[F.lit(t.upper()) for t in tags])).alias("tag")
+    root = elements.where((F.size("path") == 0) & F.col("tag").isin([t.upper() for t in tags]))
+    filled = F.col("values_json").isNotNull() | F.col("inline_binary").isNotNull()
+    found = root.groupBy("file", "tag").agg(F.bool_or(filled).alias("_filled"))
+    every = elements.select("file").distinct().select("file", asked)
+    return every.join(found, ["file", "tag"], "left").select("file", "tag", F.col("_filled").isNotNull().alias("present"), F.coalesce("_filled", F.lit(False)).alias("has_value"))
+
+
 def value_at(elements: DataFrame, path: str) -> DataFrame:
     """The elements at one path TAG/[i]/TAG, per file."""
     return elements.where(path_key(F.col("path"), F.col("tag")) == path.upper())

@@ -205,7 +205,8 @@ def shred(record: dict, with_values: bool = False) -> dict[str, list[Level]]:
             if below is None:
                 value = None
                 if isinstance(element, dict):
-                    value = _dumps(element.get("Value", element.get("InlineBinary")))
+                    held = element.get("Value", element.get("InlineBinary"))
+                    value = None if held is None else _dumps(held)
                 columns.setdefault(path, []).append((r, 2 * depth + (tag in here), value))
                 continue
             items = _sequence(element)

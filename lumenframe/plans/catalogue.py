@@ -294,6 +294,74 @@ def uid_named(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "elements").where("tag = '00080016'").select("element_id", dictionaries.uid_named(F.get_json_object("values_json", "$[0]")).alias("named"))
 
 
+@query("select p_partkey, lpad(p_size::varchar, 3, '0') || 'Y' as age, lpad((p_size % 24)::varchar, 2, '0') || lpad((p_partkey % 60)::varchar, 2, '0') as time, case when p_size % 13 between 1 and 12 then '2024' || lpad((p_size % 13)::varchar, 2, '0') || '09' end as date from part")
+def values_written(spark: SparkSession, d: str) -> DataFrame:
+    """Ages, times and dates in the notation of the standard; impossible ones are null."""
+    rows = table(spark, d, "part")
+    return rows.select("p_partkey", S.age_text(F.col("p_size"), F.lit("Y")).alias("age"), S.time_text(F.col("p_size") % 24, (F.col("p_partkey") % 60).cast("int")).alias("time"), S.date_text(F.lit(2024), F.col("p_size") % 13, F.lit(9)).alias("date"))
+
+
+@query("""
+with t as (select element_id, rtrim(values_json->>'$[0]', ' ') as v from elements where vr = 'DT'), p as (select element_id, v, regexp_extract(v, '[+-][0-9]{4}$') as z, regexp_replace(v, '[+-][0-9]{4}$', '') as b,
+   regexp_full_match(v, '[0-9]{4}([0-9]{2}([0-9]{2}([0-9]{2}([0-9]{2}([0-9]{2}(\\.[0-9]{1,6})?)?)?)?)?)?([+-][0-9]{4})?') as ok from t)
+select element_id, case when ok then b[1:4] || case when len(b) >= 6 then '-' || b[5:6] else '' end || case when len(b) >= 8 then '-' || b[7:8] else '' end || case when len(b) >= 10 then 'T' || b[9:10] else '' end
+  || case when len(b) >= 12 then ':' || b[11:12] else '' end || case when len(b) >= 14 then ':' || case when b like '%.%' then regexp_replace(b[13:], '\\.?0*$', '') else b[13:] end else '' end || case when z != '' then z[1:3] || ':' || z[4:5] else '' end end as iso from p
+""")
+def datetime_iso(spark: SparkSession, d: str) -> DataFrame:
+    """Times of day with date and offset in ISO notation, with the precision that they have."""
+    return table(spark, d, "elements").where("vr = 'DT'").select("element_id", S.datetime_iso(F.get_json_object("values_json", "$[0]")).alias("iso"))
+
+
+@query("select name_id, case when not regexp_matches(coalesce(last_name, '') || coalesce(first_name, '') || coalesce(middle_name, ''), '[\\^=\\\\]') then rtrim(coalesce(last_name, '') || '^' || coalesce(first_name, '') || '^' || coalesce(middle_name, ''), '^') end as written from person_names")
+def name_written(spark: SparkSession, d: str) -> DataFrame:
+    """Components joined to a name; those that hold a separator make none."""
+    parts = F.struct("last_name", "first_name", "middle_name", F.lit("").alias("prefix"), F.lit("").alias("suffix"))
+    return table(spark, d, "person_names").select("name_id", S.name_text(parts).alias("written"))
+
+
+@query(f"""
+with y as (select p_partkey, (p_size * 5 % 256)::double as y, (p_partkey % 256)::double as cb, (floor(p_retailprice) % 256)::double as cr from part)
+select p_partkey, least(255, greatest(0, floor(y + 1.402 * (cr - 128) + 0.5)))::int as r, least(255, greatest(0, floor(y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128) + 0.5)))::int as g, least(255, greatest(0, floor(y + 1.772 * (cb - 128) + 0.5)))::int as b from y
+""")
+def ybr_to_rgb(spark: SparkSession, d: str) -> DataFrame:
+    y, cb, cr = (F.col("p_size") * 5 % 256).cast("double"), (F.col("p_partkey") % 256).cast("double"), (F.floor("p_retailprice") % 256).cast("double")
+    return table(spark, d, "part").select("p_partkey", I.ybr_to_rgb(y, cb, cr).alias("c")).select("p_partkey", "c.*")
+
+
+@query("""
+with r as (select p_partkey, p_size - 20 as x, p_size % 7 - 3 as y, p_size % 11 as w, p_size as h from part), c as (select p_partkey, least(greatest(x, 0), 16) as l, least(greatest(y, 0), 12) as t, least(greatest(x + w, 0), 16) as r, least(greatest(y + h, 0), 12) as b from r)
+select p_partkey, l::int as x, t::int as y, (r - l)::int as width, (b - t)::int as height from c
+""")
+def rect_clamped(spark: SparkSession, d: str) -> DataFrame:
+    """Rectangles cut to an image of 16×12."""
+    size = F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", I.clamp_rect(size - 20, size % 7 - 3, size % 11, size, 16, 12).alias("r")).select("p_partkey", "r.*")
+
+
+@query("""
+with f as (select distinct file from elements), t as (select unnest(['00101010', '00180050']) as tag), e as (select file, tag, bool_or(values_json is not null or inline_binary is not null) as filled from elements where len(path) = 0 group by 1, 2)
+select f.file, t.tag, e.file is not null as present, coalesce(filled, false) as has_value from f cross join t left join e on e.file = f.file and e.tag = t.tag
+""")
+def tag_presence(spark: SparkSession, d: str) -> DataFrame:
+    """Whether files have two tags, and values in them."""
+    return E.presence(table(spark, d, "elements"), ["00101010", "00180050"])
+
+
+@query("""
+with e as (select element_id, file, path, case tag when '00280010' then '00280106' else tag end as tag, values_json from elements), s as (select file, path, element_id % 2 as sign from elements where tag = '00280100')
+, m as (select file, path, max(sign) as sign from s group by all)
+select e.element_id, case when e.tag = '00280106' then case when m.sign = 1 then 'SS' else 'US' end when e.tag = '7FE00010' then 'OW' else 'UN' end as vr from e left join m on m.file = e.file and m.path = e.path where e.tag in ('00280106', '7FE00010', '00100020')
+""")
+def vr_by_context(spark: SparkSession, d: str) -> DataFrame:
+    """Representations of which a dictionary allows several, told by the pixel representation of the same data set."""
+    rows = table(spark, d, "elements").select("element_id", "file", "path", "tag", "values_json")
+    signs = rows.where("tag = '00280100'").groupBy("file", "path").agg(F.max(F.col("element_id") % 2).alias("sign"))
+    signs = signs.select(F.lit(None).cast("bigint").alias("element_id"), "file", "path", F.lit("00280103").alias("tag"), F.to_json(F.array("sign")).alias("values_json"))
+    made = rows.withColumn("tag", F.when(F.col("tag") == "00280010", "00280106").otherwise(F.col("tag"))).where("tag in ('00280106', '7FE00010', '00100020')").unionByName(signs)
+    words = spark.createDataFrame([("00280106", "US or SS", ""), ("7FE00010", "OB or OW", "")], "tag string, vr string, name string")
+    return E.infer_vr(made.withColumn("vr", F.lit(None).cast("string")), words).where("tag != '00280103'").select("element_id", "vr")
+
+
 @query("select element_id, to_base64(inline_binary) as inline from elements where inline_binary is not null")
 def base64_inline(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "elements").where("inline_binary is not null").select("element_id", S.inline_binary(F.col("inline_binary")).alias("inline"))

@@ -137,6 +137,26 @@ with u(spelling, unit, dim, size) as (values {_SPELT})
 , x as (select *, v * coalesce(sensitivity_correction_factor, 1) * size as common from r)
 """
 
+def _items(sequence: str, fields: dict[str, str]) -> str:
+    """SQL of a table of items: nodes of the JSON tree at the depth of the sequence, and of their children the named ones."""
+    tags = sequence.split("/")
+    pattern = "/".join(rf"{t}/\[[0-9]+\]" for t in tags)
+    columns = ", ".join(f"max(v.value::varchar) filter (upper(e.key) = '{tag}') as {name}" for name, tag in fields.items())
+    parent = "nullif(regexp_replace(item_path, '/?[^/]+/\\[[0-9]+\\]$', ''), '')"
+    return rf"""
+with s as (select 'waveform_modules' as origin, module_id as id, module_json as t from waveform_modules union select 'dicomdir_records', record_id, data_set from dicomdir_records)
+, j as (select origin, id, case when json_type(t) = 'VARCHAR' then (t->>'$') else t end as t from s where t is not null and trim(t) != '' and json_valid(t))
+, n as (select origin, j.id as rid, x.id, x.parent, x.key, x.type, x.fullkey, x.atom, x.value from j, json_tree(j.t) x where json_valid(j.t))
+, i as (select i.origin, i.rid, i.id, upper(rtrim(regexp_replace(i.fullkey[2:], '\."?([0-9A-Fa-f]{{8}})"?\."?Value"?\[([0-9]+)\]', '\1/[\2]/', 'g'), '/')) as item_path
+  from n i join n a on a.origin = i.origin and a.rid = i.rid and a.id = i.parent and a.type = 'ARRAY' and a.key = 'Value'
+  join n v on v.origin = i.origin and v.rid = i.rid and v.parent = a.parent and v.key = 'vr' and v.atom = '"SQ"' where i.type = 'OBJECT')
+, k as (select * from i where regexp_full_match(item_path, '{pattern}'))
+select k.origin, k.rid as parent_id, item_path, {parent} as parent_path, {columns}
+from k left join n e on e.origin = k.origin and e.rid = k.rid and e.parent = k.id left join n v on v.origin = k.origin and v.rid = k.rid and v.parent = e.id and v.key = 'Value'
+group by 1, 2, 3, 4
+"""
+
+
 _LINES = rf"""
 with q as (
   select line_id, raw, regexp_full_match(coalesce(raw, '"'), '(?s)(?:[^",
@@ -175,6 +195,9 @@ from r left join (select id, min(root) as root from below group by 1) b using (i
 """,
     "p5_found": f"{_CHANNELS} select distinct channel_id from x where abs(common - nominal) > 0.01 * abs(nominal)",
     "p5_common_units": f"{_CHANNELS} select distinct channel_id, v as found_value, un as found_unit, round(common, 6) as common_value, nominal, nominal_unit from x",
+    "p6_groups": _items("54000100", {"originality": "003A0004", "n_channels": "003A0005", "n_samples": "003A0010", "frequency": "003A001A", "group_label": "003A0020"}),
+    "p6_channels": _items("54000100/003A0200", {"channel_number": "003A0202", "channel_label": "003A0203", "sensitivity": "003A0210", "correction": "003A0212", "bits_stored": "003A021A"}),
+    "p6_sources": _items("54000100/003A0200/003A0208", {"code_value": "00080100", "code_scheme": "00080102", "code_meaning": "00080104"}),
     "p6_found": r"""
 with s as (select 'waveform_modules' as origin, module_id as id, module_json as t from waveform_modules union select 'dicomdir_records', record_id, data_set from dicomdir_records)
 , j as (select origin, id, case when json_type(t) = 'VARCHAR' then (t->>'$') else t end as t from s where t is not null and trim(t) != '' and json_valid(t))

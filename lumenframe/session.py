@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -85,20 +86,20 @@ class Rounds:
 
     def __init__(self, spark: SparkSession, ddl: str) -> None:
         self.spark, self.ddl, self.paths = spark, ddl, []
+        self.schema = StructType.fromDDL(ddl)
 
     def add(self, df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
         """The rows as a table, and how many fulfil the condition."""
         seen = Observation()
-        empty = self.spark.createDataFrame([], self.ddl)
-        named = df.select(*[F.col(f.name).cast(f.dataType) for f in empty.schema])
+        named = df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
         self.paths.append(_write(named.observe(seen, F.count_if(F.expr(condition)).alias("n"))))
         return self.at(-1), int(seen.get.get("n") or 0)
 
     def at(self, i: int) -> DataFrame:
-        return self.spark.read.schema(self.ddl).parquet(self.paths[i])
+        return self.spark.read.schema(self.schema).parquet(self.paths[i])
 
     def all(self) -> DataFrame:
-        return self.spark.read.schema(self.ddl).parquet(*self.paths) if self.paths else self.spark.createDataFrame([], self.ddl)
+        return self.spark.read.schema(self.schema).parquet(*self.paths) if self.paths else self.spark.createDataFrame([], self.schema)
 
 
 def release() -> None:
