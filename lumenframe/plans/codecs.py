@@ -22,7 +22,8 @@ def _elements(spark: SparkSession, d: str) -> DataFrame:
     """Elements once per place; the first received counts."""
     rows = table(spark, d, "elements").where("file is not null and tag rlike '^[0-9A-Fa-f]{8}$'")
     first = F.min(F.struct("element_id", "vr", "values_json", "inline_binary")).alias("v")
-    return rows.groupBy("file", "path", "tag").agg(first).select("file", "path", "tag", "v.vr", "v.values_json", "v.inline_binary")
+    # Spread by file first: what works on whole files then needs no second shuffle.
+    return rows.repartition("file").groupBy("file", "path", "tag").agg(first).select("file", "path", "tag", "v.vr", "v.values_json", "v.inline_binary")
 
 
 def _round_trip(rows: DataFrame, syntax: str) -> DataFrame:

@@ -10,6 +10,7 @@ from lumenframe.functions import printing
 from lumenframe.operators import archive
 from lumenframe.operators import elements as E
 from lumenframe.operators import listing as L
+from lumenframe.operators import modules
 from lumenframe.sources import dicom_json, p10
 from lumenframe.streaming import streams
 
@@ -94,6 +95,54 @@ def test_vr_from_the_dictionary(spark):
     assert {("00080060", "CS"), ("00090010", "LO"), ("00091001", "UN")} <= got
 
 
+def test_vr_by_context_and_presence(spark):
+    rows = [("f", [], "00280103", None, "[1]"), ("f", [], "00280106", None, "[0]"), ("f", [("00400275", 0)], "00280106", None, None), ("g", [], "00280106", None, "[0]"), ("g", [], "7FE00010", None, None), (None, [], "00280106", None, None)]
+    df = spark.createDataFrame(rows, DDL).withColumns({"name_clash": E.F.lit("x"), "inline_binary": E.F.lit(None).cast("binary")})
+    words = spark.createDataFrame([("00280103", "US", "a"), ("00280106", "US or SS", "b"), ("7FE00010", "OB or OW", "c")], "tag string, vr string, name string")
+    got = sorted((r.file or "", len(r.path), r.tag, r.vr) for r in E.infer_vr(df, words).collect())
+    assert got == [("", 0, "00280106", "US"), ("f", 0, "00280103", "US"), ("f", 0, "00280106", "SS"), ("f", 1, "00280106", "SS"), ("g", 0, "00280106", "US"), ("g", 0, "7FE00010", "OW")]
+    assert E.infer_vr(df.limit(0), words).count() == 0 and E.infer_vr(df, words.limit(0)).count() == 6
+    seen = {(r.file, r.tag): (r.present, r.has_value) for r in E.presence(df.where("file is not null"), ["7fe00010", "00280103"]).collect()}
+    assert seen == {("f", "7FE00010"): (False, False), ("f", "00280103"): (True, True), ("g", "7FE00010"): (True, False), ("g", "00280103"): (False, False)}
+    assert E.presence(df.limit(0), ["00280103"]).count() == 0
+
+
+def test_own_types_and_modules(spark):
+    rows = [("f", [], "00280010", "US", "[3]"), ("g", [], "00280010", "US", None), ("h", [], "00280010", "US", '["x"]')]
+    df = spark.createDataFrame(rows, DDL)
+    got = {r.file: (r.twice, r.error) for r in E.derived(df, {"rows": "00280010"}, lambda v: {"twice": 2 * int(v["rows"][0])}, "twice bigint").collect()}
+    assert got["f"] == (6, None) and got["g"] == (None, "IndexError: list index out of range") and got["h"][0] is None and got["h"][1].startswith("ValueError")
+    assert E.derived(df.limit(0), {"rows": "00280010"}, lambda v: {}, "twice bigint").count() == 0
+    own = {r.file: r.height for r in modules.module(df, {"height": ("00280010", "int")}).collect()}
+    assert own == {"f": 3, "g": None, "h": None}
+    values = spark.createDataFrame([("f", "Doe^J", [1, 2], None), ("new", None, None, "k")], "file string, name string, sizes array<int>, other string")
+    out = E.insert_module(df, values, {"name": ("00100010", "PN"), "sizes": ("00280010", "US"), "other": ("00081030", "LO")})
+    assert {(r.file, r.tag): r.values_json for r in out.collect()} == {("f", "00100010"): '[{"Alphabetic":"Doe^J"}]', ("f", "00280010"): "[1,2]", ("g", "00280010"): None, ("h", "00280010"): '["x"]', ("new", "00081030"): '["k"]'}
+    sequence = spark.createDataFrame([([], "00400275", "SQ", None), ([("00400275", 0)], "00400007", "LO", '["s"]')], "path array<struct<tag:string,item:int>>, tag string, vr string, values_json string")
+    assert E.insert(df, sequence).count() == 3 + 2 * 3 and E.insert(df.limit(0), sequence).count() == 0
+
+
+def test_sizes_and_lengths_of_values(spark):
+    from lumenframe.functions import scalars as S
+
+    cases = [("US", "[1, 2, 3]", None, 6, True), ("FD", "[1.5]", None, 8, True), ("LO", '["ab", null, "c"]', None, 6, True), ("PN", '[{"Alphabetic": "a", "Phonetic": "é"}]', None, 6, True), ("SQ", None, None, 0, True), ("OW", None, b"abc", 4, True),
+             ("DA", '["2024-01-01"]', None, 10, False), ("CS", '["ABCDEFGHIJKLMNOPQ"]', None, 18, False), ("UT", None, None, 0, True), ("??", '["x"]', None, 2, None), (None, None, None, 0, None)]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, vr string, values_json string, inline_binary binary")
+    size = E.value_bytes(E.F.col("vr"), E.F.col("values_json"), E.F.col("inline_binary"))
+    longest = E.F.array_max(E.F.transform(E.F.from_json("values_json", "array<string>"), E.F.length))
+    got = {r.i: (r.n, r.fits) for r in df.select("i", size.alias("n"), S.length_fits(E.F.col("vr"), size, longest).alias("fits")).collect()}
+    assert got == {i: c[3:] for i, c in enumerate(cases)}
+
+
+def test_numbers_by_first_appearance(spark):
+    rows = [("p1", "s1", "a", 5), ("p2", "s9", "b", 1), ("p1", "s2", "a", 3), ("p1", "s1", "c", 6), (None, "s1", "a", 0)]
+    df = spark.createDataFrame(rows, "patient string, study string, series string, at int")
+    names = lambda **more: {r.at: r.name for r in L.archive_names(df, "patient", "study", "series", ["at"], **more).collect()}
+    assert names() == {1: "PA000000/ST000000/SE000000/IM000000", 3: "PA000001/ST000000/SE000000/IM000000", 5: "PA000001/ST000001/SE000000/IM000000", 6: "PA000001/ST000001/SE000001/IM000000"}
+    assert names(layout="flat", upper=False) == {1: "im000000", 3: "im000001", 5: "im000002", 6: "im000003"} and names(layout="study")[6] == "PA000001/ST000001/IM000001"
+    assert L.archive_names(df.limit(0), "patient", "study", "series", ["at"]).count() == 0
+
+
 def test_frame_selection(spark):
     frames = spark.range(5).selectExpr("cast(id as int) frame_index", "5 n_frames")
     pick = lambda s: [r.frame_index for r in L.selected_frames(frames, s).orderBy("frame_index").collect()]
