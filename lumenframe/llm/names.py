@@ -188,7 +188,12 @@ def _agreement(a: str, b: str) -> Column:
 
 
 def shared(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a, b, n): nodes of two sets of forms (node, form) that share one; n counts the nodes that share the rarest."""
+    """(a, b, n): nodes of two sets of forms (node, form) that share one; n counts the nodes that share the rarest.
+
+    Forms that ``a`` does not have are left out of ``b`` before anything is counted or moved again.
+    """
+    if a is not b:
+        b = b.join(a.select("form").distinct(), "form", "left_semi")
     rarity = b.groupBy("form").agg(F.count("*").alias("n"))
     other = b.join(rarity, "form").select("form", F.col("node").alias("b"), "n")
     pairs = a.select("form", F.col("node").alias("a")).join(other, "form").where("a != b")
