@@ -140,6 +140,13 @@ def clamp_rect(x: Column, y: Column, width: Column, height: Column, columns: int
     return F.struct(left.alias("x"), top.alias("y"), (right - left).alias("width"), (bottom - top).alias("height"))
 
 
+def expand_rect(x: Column, y: Column, width: Column, height: Column, amount: int) -> Column:
+    """``struct<x,y,width,height>`` of a rectangle grown on all four sides, not beyond 0 and 65535."""
+    most = F.lit(65_535)
+    left, top = F.greatest(x - amount, F.lit(0)), F.greatest(y - amount, F.lit(0))
+    return F.struct(left.alias("x"), top.alias("y"), F.least(F.least(width + (x - left), most) + amount, most).alias("width"), F.least(F.least(height + (y - top), most) + amount, most).alias("height"))
+
+
 def statistics(values: Column) -> Column:
     """Struct of mean and standard deviation of an array of numbers, null of an empty one; one pass each for sum and squares."""
     n = F.nullif(F.size(values), F.lit(0))

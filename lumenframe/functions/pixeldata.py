@@ -323,6 +323,7 @@ class Grey:
     window: Window | None = None
     voi: Lut | None = None
     inverse: bool = False
+    presentation: Lut | None = None
     cache: np.ndarray | None = None
     first: int = 0
 
@@ -346,7 +347,9 @@ class Grey:
             level = self.voi.normalised(x)
         else:
             level = (self.window or window_of(x)).apply(x)
-        if self.inverse:
+        if self.presentation:
+            level = self.presentation.normalised(np.floor(level * (len(self.presentation.data) - 1) + 0.5) + self.presentation.first)
+        elif self.inverse:
             level = 1 - level
         return np.clip(np.floor(level * 255 + 0.5), 0, 255).astype(np.uint8)
 

@@ -46,6 +46,21 @@ def module(elements: DataFrame, name: str | dict[str, tuple[str, str]]) -> DataF
     return wide.select("file", *[_typed(F.col(n), kind).alias(n) for n, (_, kind) in fields.items()])
 
 
+# Fixed values of the standard: elements of the items of a waveform's groups, by name and Spark type.
+WAVEFORM_GROUP = {
+    "originality": ("003A0004", "string"), "n_channels": ("003A0005", "int"), "n_samples": ("003A0010", "bigint"), "sampling_frequency": ("003A001A", "double"), "group_label": ("003A0020", "string"),
+    "bits_allocated": ("54001004", "int"), "interpretation": ("54001006", "string"),
+}
+
+
+def sequence_items(elements: DataFrame, sequence: str, fields: dict[str, tuple[str, str]] = WAVEFORM_GROUP) -> DataFrame:
+    """(file, item_ix, fields…): the items of a root sequence as rows of typed columns, those without any of the fields left out."""
+    step = F.get("path", F.lit(0))
+    wanted = elements.where((F.size("path") == 1) & (step["tag"] == sequence) & F.col("tag").isin([t for t, _ in fields.values()]))
+    wide = wanted.groupBy("file", step["item"].alias("item_ix")).agg(*[F.min(F.when(F.col("tag") == tag, F.col("values_json"))).alias(n) for n, (tag, _) in fields.items()])
+    return wide.select("file", "item_ix", *[_typed(F.col(n), kind).alias(n) for n, (_, kind) in fields.items()])
+
+
 def first_required(column: str) -> Column:
     """A value that must be there: raises where it is null."""
     return F.when(F.col(column).isNull(), F.raise_error(F.lit(f"{column} is missing"))).otherwise(F.col(column))

@@ -27,10 +27,10 @@ FRAMES_DDL = "file string, frame_index int, bit_offset int, data binary, error s
 IMAGES_DDL = "file string, frame_index int, rows int, columns int, samples int, pixels array<int>, error string"
 FILES = pa.schema([("file", pa.string()), ("frame_index", pa.int32()), ("name", pa.string()), ("content", pa.binary()), ("error", pa.string())])
 FILES_DDL = "file string, frame_index int, name string, content binary, error string"
-MODALITY_LUT, VOI_LUT = "00283000", "00283010"
+MODALITY_LUT, VOI_LUT, PRESENTATION_LUT = "00283000", "00283010", "20500010"
 OVERLAYS = [f"{0x6000 + 2 * i:04X}" for i in range(16)]
 #: Root tags that the pixel operators read; a scan can be pruned to them.
-TAGS = ["00020010", "00080016", "00280002", "00280004", "00280006", "00280008", "00280010", "00280011", "00280100", "00280101", "00280103", "00281050", "00281051", "00281052", "00281053", "00281056", "20500020", "7FE00001", "7FE00002", "7FE00010", MODALITY_LUT, VOI_LUT, "00281101", "00281102", "00281103", "00281201", "00281202", "00281203", "00281221", "00281222", "00281223", *[g + e for g in OVERLAYS for e in ("0010", "0011", "0050", "0100", "0102", "3000")]]
+TAGS = ["00020010", "00080016", "00280002", "00280004", "00280006", "00280008", "00280010", "00280011", "00280100", "00280101", "00280103", "00281050", "00281051", "00281052", "00281053", "00281056", "20500020", "7FE00001", "7FE00002", "7FE00010", MODALITY_LUT, VOI_LUT, PRESENTATION_LUT, "00281101", "00281102", "00281103", "00281201", "00281202", "00281203", "00281221", "00281222", "00281223", *[g + e for g in OVERLAYS for e in ("0010", "0011", "0050", "0100", "0102", "3000")]]
 
 
 class DataSet:
@@ -138,7 +138,7 @@ class DataSet:
         if chosen is None or not (window or self.all("00281050")):
             chosen = P.window_of(modality.at(stored_first)) if modality and stored_first is not None else chosen
         inverse = self.get("20500020") == "INVERSE" or (self.get("20500020") is None and self.get("00280004") == "MONOCHROME1")
-        return P.Grey(slope, intercept, modality, chosen, voi, bool(inverse))
+        return P.Grey(slope, intercept, modality, chosen, voi, bool(inverse), self.sequence_lut(PRESENTATION_LUT, False))
 
 
 def _column(values: list, kind: pa.DataType) -> pa.Array:
@@ -180,7 +180,7 @@ def _per_file(elements: DataFrame, ddl: str, schema: pa.Schema, make: Callable[[
         if held:
             yield from run(pa.Table.from_batches(held)).to_batches()
 
-    nested = (F.size("path") == 1) & F.get("path", F.lit(0))["tag"].isin(MODALITY_LUT, VOI_LUT)
+    nested = (F.size("path") == 1) & F.get("path", F.lit(0))["tag"].isin(MODALITY_LUT, VOI_LUT, PRESENTATION_LUT)
     wanted = elements.where((F.col("tag").isin(TAGS) & (F.size("path") == 0)) | nested)
     names = [c for c in ("file", "path", "tag", "vr", "values_json", "inline_binary", "fragments") if c in elements.columns]
     wanted = wanted.select(*names)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenframe.functions import dictionaries
+from lumenframe.functions import getters as G
 from lumenframe.functions import imaging as I
 from lumenframe.functions import scalars as S
 from lumenframe.operators import elements as E
@@ -338,6 +339,40 @@ def rect_clamped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", I.clamp_rect(size - 20, size % 7 - 3, size % 11, size, 16, 12).alias("r")).select("p_partkey", "r.*")
 
 
+_ONE = "case when json_array_length(values_json) = 1 then values_json->>'$[0]' end"
+
+
+@query(f"""
+select element_id, case when vr in ('CS', 'LO', 'LT', 'UI', 'UT') then {_ONE} end as string, case when vr in ('IS', 'US') and regexp_full_match({_ONE}, '[+-]?[0-9]+') then try_cast({_ONE} as bigint) end as int, case when vr = 'DS' then try_cast({_ONE} as double) end as float,
+  case when vr = 'AS' and regexp_full_match({_ONE}, '[0-9]{{3}}[DWMY]') then ({_ONE})[1:3]::int end as age, case when vr = 'DA' and regexp_full_match({_ONE}, '[0-9]{{8}}') then ({_ONE})[1:4]::int end as year, strlen(values_json) is null as empty
+from elements where vr not in ('PN', 'OW', 'TM', 'DT')
+""")
+def getters_single(spark: SparkSession, d: str) -> DataFrame:
+    """The only value of elements by type; null where the representation is another or there are several."""
+    rows = table(spark, d, "elements").where("vr not in ('PN', 'OW', 'TM', 'DT')")
+    return rows.select("element_id", G.string().alias("string"), G.int_().alias("int"), G.float_().alias("float"), G.age()["number"].alias("age"), G.date()["year"].alias("year"), F.col("values_json").isNull().alias("empty"))
+
+
+@query("""
+select element_id, case when vr in ('CS', 'LO', 'LT', 'UI', 'UT') then coalesce(list_transform(from_json(values_json, '["VARCHAR"]'), lambda x: coalesce(x, '')), []) end as strings,
+  case when vr = 'PN' then coalesce(list_transform(from_json(values_json, '[{"Alphabetic":"VARCHAR"}]'), lambda p: case when len(string_split(p.Alphabetic, '^')) <= 5 then rtrim(string_split(p.Alphabetic, '^')[1]) end), []) end as last_names
+from elements where vr not in ('OW', 'TM', 'DT')
+""")
+def getters_many(spark: SparkSession, d: str) -> DataFrame:
+    """All values of elements by type."""
+    rows = table(spark, d, "elements").where("vr not in ('OW', 'TM', 'DT')")
+    return rows.select("element_id", G.strings().alias("strings"), F.transform(G.person_names(), lambda p: p["alphabetic"]["last_name"]).alias("last_names"))
+
+
+@query("""
+with r as (select p_partkey, p_size - 1 as x, p_size % 7 as y, p_size % 11 as w, p_size as h from part) select p_partkey, greatest(x - 5, 0)::int as x, greatest(y - 5, 0)::int as y, (w + x - greatest(x - 5, 0) + 5)::int as width, (h + y - greatest(y - 5, 0) + 5)::int as height from r
+""")
+def rect_expanded(spark: SparkSession, d: str) -> DataFrame:
+    """Rectangles grown by five pixels."""
+    size = F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", I.expand_rect(size - 1, size % 7, size % 11, size, 5).alias("r")).select("p_partkey", "r.*")
+
+
 @query("""
 with f as (select distinct file from elements), t as (select unnest(['00101010', '00180050']) as tag), e as (select file, tag, bool_or(values_json is not null or inline_binary is not null) as filled from elements where len(path) = 0 group by 1, 2)
 select f.file, t.tag, e.file is not null as present, coalesce(filled, false) as has_value from f cross join t left join e on e.file = f.file and e.tag = t.tag

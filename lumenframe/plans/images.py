@@ -172,6 +172,14 @@ def rendered_tables(spark: SparkSession, d: str) -> DataFrame:
     return _shown(pixels.rendered(_data_sets(_levels(spark, d), *steps)))
 
 
+@query(f"select vec_id, 0::int as frame_index, list_transform(px, lambda x: ([0, 51, 255])[floor(greatest(0, least(1, (x - 99.5) / 200 + 0.5)) * 2 + 0.5)::int + 1]) as pixels from {IMAGES}")
+def rendered_presentation(spark: SparkSession, d: str) -> DataFrame:
+    """Through the window of the file, then a presentation table over its whole range."""
+    at = F.array(F.struct(F.lit("20500010").alias("tag"), F.lit(0).alias("item"))).cast(PATH)
+    steps = [_row("00281050", "DS", _values(100)), _row("00281051", "DS", _values(201)), _row("00283002", "US", _values(3, 0, 8), path=at), _row("00283006", "US", _values(0, 51, 255), path=at)]
+    return _shown(pixels.rendered(_data_sets(_levels(spark, d), *steps)))
+
+
 @query(f"select vec_id, 0::int as frame_index, flatten(list_transform(px, lambda x: [([0, 128, 255, 64])[least(x % 6, 3) + 1], ([10, 20, 30, 40])[least(x % 6, 3) + 1], ([255, 0, 255, 0])[least(x % 6, 3) + 1]])) as pixels from {IMAGES}")
 def rendered_palette(spark: SparkSession, d: str) -> DataFrame:
     """Palette indexes as colours; those beyond the table take its last entry."""
@@ -232,6 +240,12 @@ def waveform_written(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("file").cast("bigint").alias("vec_id"), F.hex("inline_binary").alias("data"))
 
 
+@query("select vec_id, 0::int as item_ix, 8::int as n_channels, 8::bigint as n_samples, 'SS' as interpretation from embeddings")
+def waveform_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The multiplex groups of waveforms as typed rows."""
+    return modules.sequence_items(_waveforms(spark, d), "54000100").select(F.col("file").cast("bigint").alias("vec_id"), "item_ix", "n_channels", "n_samples", "interpretation")
+
+
 @query(f"select vec_id, list_min(x) >= -128 and list_max(x) <= 127 as fits from {_SAMPLES}")
 def waveform_range(spark: SparkSession, d: str) -> DataFrame:
     """Whether samples fit eight bits."""

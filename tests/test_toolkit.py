@@ -134,6 +134,18 @@ def test_sizes_and_lengths_of_values(spark):
     assert got == {i: c[3:] for i, c in enumerate(cases)}
 
 
+def test_getters_by_type(spark):
+    from lumenframe.functions import getters as G
+
+    cases = [("IS", "[3]", None), ("IS", "[3, 4]", None), ("US", '["x"]', None), ("UV", '["18446744073709551615"]', None), ("DS", "[1.5, null]", None), ("AT", '["00280010"]', None), ("PN", None, None), ("TM", '["1200"]', None), ("DT", '["2024"]', None),
+             ("OW", None, b"ab"), ("US", "[0, 5, 16]", None), (None, "[1]", None), ("LO", "{broken", None)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, vr string, values_json string, inline_binary binary")
+    r = df.select("i", G.int_().alias("int"), G.ints().alias("ints"), G.big_int().alias("big"), G.floats().alias("floats"), G.attribute_tag().alias("at"), G.person_names().alias("pn"), G.time().alias("tm"), G.date_time().alias("dt"), G.bytes_().alias("raw"), G.lut_descriptor().alias("lut"), G.strings().alias("text")).orderBy("i").collect()
+    assert (r[0].int, r[1].int, r[1].ints, r[2].ints, int(r[3].big), r[4].floats, r[5]["at"]) == (3, None, [3, 4], None, 2**64 - 1, [1.5], 0x00280010)
+    assert r[6].pn == [] and (r[7].tm.hour, r[8].dt.year, bytes(r[9].raw)) == (12, 2024, b"ab") and tuple(r[10].lut) == (65_536, 5, 16)
+    assert (r[11].ints, r[11].text, r[0].text, r[12].text) == (None, None, None, [])
+
+
 def test_numbers_by_first_appearance(spark):
     rows = [("p1", "s1", "a", 5), ("p2", "s9", "b", 1), ("p1", "s2", "a", 3), ("p1", "s1", "c", 6), (None, "s1", "a", 0)]
     df = spark.createDataFrame(rows, "patient string, study string, series string, at int")
