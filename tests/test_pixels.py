@@ -156,6 +156,19 @@ def test_colour_tables_overlays_and_look_up_sequences(spark):
     assert {bytes(r.content) for r in pixels.image_files(df.where("file = 'c'"), "raw").collect()} == {np.array([0, 4095, 0, 0], "<u2").tobytes()}
 
 
+def test_presentation_tables_and_items(spark):
+    from lumenframe.operators import modules
+
+    a = json.loads(_image([[[0, 1], [2, 3]]])) | {"00281050": {"vr": "DS", "Value": [1.5]}, "00281051": {"vr": "DS", "Value": [4]}, "00281056": {"vr": "CS", "Value": ["LINEAR"]}}
+    a |= {"20500010": {"vr": "SQ", "Value": [{"00283002": {"vr": "US", "Value": [3, 0, 8]}, "00283006": {"vr": "US", "Value": [10, 20, 255]}}]}}
+    got = pixels.rendered(_elements(spark, ("a", json.dumps(a)))).first().pixels
+    level = np.clip((np.arange(4) - 1.0) / 3 + 0.5, 0, 1)
+    assert got == [[10, 20, 255][int(np.floor(x * 2 + 0.5))] for x in level]
+    groups = {"54000100": {"vr": "SQ", "Value": [{"003A0005": {"vr": "US", "Value": [2]}}, {}, {"003A001A": {"vr": "DS", "Value": [250.5]}, "54001006": {"vr": "CS"}}]}}
+    rows = modules.sequence_items(_elements(spark, ("w", json.dumps(groups)), ("none", "{}")), "54000100").orderBy("item_ix").collect()
+    assert [(r.file, r.item_ix, r.n_channels, r.sampling_frequency, r.interpretation) for r in rows] == [("w", 0, 2, None, None), ("w", 2, None, 250.5, None)]
+
+
 def test_transcoded_data_sets_keep_their_images(spark):
     a = _image([[[0, 1], [2, 4095]], [[7, 7], [7, 9]]])
     bad = json.dumps({"00020010": {"vr": "UI", "Value": ["1.2.840.10008.1.2.4.90"]}} | {k: v for k, v in json.loads(a).items() if k != "00020010"})
