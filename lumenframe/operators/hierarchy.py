@@ -39,13 +39,17 @@ class Trees:
 
 @dataclass
 class Peeled:
-    """``units``: (unit, whole, unknown, peel_round), ``lists``: (holder, unit) of the units at and below a holder, by round."""
+    """``states``: (unit, whole, unknown, n_open, peel_round) of the units left in each round, ``lists``: (holder, unit) of the units at and below a holder, by round."""
 
-    units: Rounds
+    states: Rounds
     lists: Rounds
     sent: Rounds
     rounds: int = 0
 
+    def units(self) -> DataFrame:
+        """The state of every unit in the round in which it was peeled."""
+        return self.states.all().where("n_open = 0").drop("n_open")
+
 
 def _nodes(records: DataFrame) -> DataFrame:
     first = F.struct("received_at", F.coalesce("next_sibling", F.lit(0)).alias("next"), F.coalesce("first_child", F.lit(0)).alias("child"), "file_set_id")
@@ -113,26 +117,25 @@ def _wanted(links: DataFrame, units: DataFrame) -> DataFrame:
     return held.all()
 
 
-def _peel(state: DataFrame, links: DataFrame, list_links: DataFrame, keep: DataFrame, out: Peeled) -> DataFrame:
+def _peel(state: DataFrame, links: DataFrame, list_links: DataFrame, out: Peeled) -> DataFrame:
     """Peel ``state`` (unit, whole, unknown, n_open) as far as it goes, adding to ``out``; what is left over.
 
     Each round takes the units without an open child and sends sizes and lists to their parents.
     """
-    state, n_leaves = cut_counted(state, "n_open = 0")
+    send = list_links.select(F.col("unit").alias("parent"), F.col("to").alias("holder")).distinct()
+    state, n_leaves = out.states.add(state.withColumn("peel_round", F.lit(out.rounds)), "n_open = 0")
     while n_leaves:
-        leaves = out.units.add(state.where("n_open = 0").select("unit", "whole", "unknown", F.lit(out.rounds).alias("peel_round")))[0]
+        leaves = state.where("n_open = 0")
         got = out.sent.all().withColumnRenamed("parent", "holder").join(leaves.select(F.col("unit").alias("holder")), "holder", "left_semi")
-        lists = leaves.select(F.col("unit").alias("holder"), "unit").union(got.select("holder", "unit")).distinct()
-        send = list_links.select(F.col("unit").alias("parent"), F.col("to").alias("holder")).distinct()
-        lists = cut(lists)
-        out.lists.add(lists.join(keep, "holder", "left_semi"))
+        lists = out.lists.add(leaves.select(F.col("unit").alias("holder"), "unit").union(got.select("holder", "unit")).distinct())[0]
         out.sent.add(lists.join(send, "holder").select("parent", "unit").distinct())
         sizes = links.join(leaves.select(F.col("unit").alias("to"), "whole", "unknown"), "to")
         sent = sizes.groupBy("unit").agg(F.sum("whole").alias("more"), F.max("unknown").alias("other"), F.count("*").alias("n"))
         rest = state.where("n_open > 0").join(sent, "unit", "left")
-        zero = F.lit(0)
-        state, n_leaves = cut_counted(rest.select("unit", (F.col("whole") + F.coalesce("more", zero)).alias("whole"), (F.col("unknown") | F.coalesce("other", F.lit(False))).alias("unknown"), (F.col("n_open") - F.coalesce("n", zero)).alias("n_open")), "n_open = 0")
         out.rounds += 1
+        zero = F.lit(0)
+        columns = [(F.col("whole") + F.coalesce("more", zero)).alias("whole"), (F.col("unknown") | F.coalesce("other", F.lit(False))).alias("unknown"), (F.col("n_open") - F.coalesce("n", zero)).alias("n_open")]
+        state, n_leaves = out.states.add(rest.select("unit", *columns, F.lit(out.rounds).alias("peel_round")), "n_open = 0")
     return state
 
 
@@ -204,7 +207,7 @@ class Hierarchy:
         n_descendants; n_descendants is null for records above a loop, whose subtree could not be peeled.
         """
         placed, below = self._placed(), self._below()
-        rounds = self.peeled.units.all().select("unit", "peel_round")
+        rounds = self.peeled.units().select("unit", "peel_round")
         rows = self.units.join(placed, "unit", "left").join(rounds, "unit", "left")
         rows = self.nodes.select("id", "file_set_id").join(rows, "id", "left").join(below, "id", "left").join(self.looped.withColumn("on_loop", F.lit(True)), "id", "left")
         loop, root = F.coalesce("on_loop", F.lit(False)), F.coalesce("is_root", F.lit(False))
@@ -225,7 +228,7 @@ class Hierarchy:
     def _placed(self) -> DataFrame:
         """(unit, v: root_id, size, path) of every unit below a root, handed down against the order of peeling."""
         held = Rounds(self.nodes.sparkSession, f"unit bigint, v struct<root_id:bigint,size:int,path:{IDS}>")
-        rounds = self.peeled.units.all().select("unit", "peel_round")
+        rounds = self.peeled.units().select("unit", "peel_round")
         first = self.below_roots.select("unit", F.col("root_id").alias("root"), F.array("root_id").alias("path"))
         steps = cut(self.edges.join(rounds.select(F.col("unit").alias("to"), "peel_round"), "to"))
         for t in reversed(range(self.peeled.rounds)):
@@ -237,7 +240,7 @@ class Hierarchy:
 
     def _below(self) -> DataFrame:
         """(id, n, unknown) of the records that have a child: sizes below it, summed over jumps of rising size."""
-        whole = self.peeled.units.all().select(F.col("unit").alias("to"), "whole", "unknown")
+        whole = self.peeled.units().select(F.col("unit").alias("to"), "whole", "unknown")
         sent = self.edges.where("not split").join(whole, "to", "left").groupBy(F.col("src").alias("id")).agg(F.sum("whole").alias("more"), F.max(F.coalesce("unknown", F.lit(True)).cast("int")).alias("other"))
         zero = F.lit(0)
         sums = cut(self.nodes.select("id").join(sent, "id", "left").select("id", (1 + F.coalesce("more", zero)).alias("n"), F.coalesce("other", zero).alias("unknown")))
@@ -278,19 +281,18 @@ def build(records: DataFrame, file_sets: DataFrame, paths: bool = True) -> Hiera
     list_links = between.join(unwanted, "unit", "left_anti")
     children = links.where("kind = 'c'").join(units.where("is_root").select(F.col("id").alias("src")), "src").select(F.col("src").alias("root_id"), F.col("dst").alias("unit"))
     children = cut(children)
-    keep = children.select(F.col("unit").alias("holder")).distinct()
     spark = nodes.sparkSession
-    out = Peeled(Rounds(spark, "unit bigint, whole bigint, unknown boolean, peel_round int"), Rounds(spark, "holder bigint, unit bigint"), Rounds(spark, "parent bigint, unit bigint"))
+    out = Peeled(Rounds(spark, "unit bigint, whole bigint, unknown boolean, n_open bigint, peel_round int"), Rounds(spark, "holder bigint, unit bigint"), Rounds(spark, "parent bigint, unit bigint"))
     opened = between.groupBy("unit").agg(F.count("*").alias("n_open"))
     sizes = units.groupBy("unit").agg(F.count("*").alias("whole"))
     state = sizes.join(opened, "unit", "left").select("unit", "whole", F.lit(False).alias("unknown"), F.coalesce("n_open", F.lit(0)).alias("n_open"))
-    stuck = _peel(state, between, list_links, keep, out)
+    stuck = _peel(state, between, list_links, out)
     residual = between.join(stuck.select("unit"), "unit", "left_semi").join(stuck.select(F.col("unit").alias("to")), "to", "left_semi")
     on_loops = _loops(residual)
     alive = stuck.join(on_loops.select("unit"), "unit", "left_anti").select("unit", "whole")
     ahead = residual.join(on_loops.select(F.col("unit").alias("to"), F.lit(True).alias("looped")), "to", "left").groupBy("unit").agg(F.count_if(F.col("looped").isNull()).alias("n_open"), F.count_if("looped").alias("n_loops"))
     state = alive.join(ahead, "unit", "left").select("unit", "whole", (F.coalesce("n_loops", F.lit(0)) > 0).alias("unknown"), F.coalesce("n_open", F.lit(0)).alias("n_open"))
-    _peel(state, between, list_links, keep, out)
+    _peel(state, between, list_links, out)
 
     # On a loop is what lies above its links; a loop without entry is known from the jumps.
     inner = residual.join(on_loops, "unit").join(on_loops.select(F.col("unit").alias("to"), F.col("loop").alias("to_loop")), "to").where("loop = to_loop")
