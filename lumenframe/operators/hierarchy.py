@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.session import Rounds, cut, cut_counted
+from lumenframe.session import Rounds, cut, cut_counted, modest_broadcasts
 
 IDS = "array<bigint>"
 
@@ -255,6 +255,11 @@ def build(records: DataFrame, file_sets: DataFrame, paths: bool = True) -> Hiera
 
     Without ``paths`` only descendants can be asked for.
     """
+    with modest_broadcasts(records.sparkSession):
+        return _build(records, file_sets, paths)
+
+
+def _build(records: DataFrame, file_sets: DataFrame, paths: bool) -> Hierarchy:
     nodes = _nodes(records)
     links = _links(nodes)
     starts = cut(file_sets.select(F.col("first_root_record").alias("id")).where("id is not null").distinct().join(nodes.select("id"), "id", "left_semi"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +83,18 @@ def cut_counted(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]
     return held, int(seen.get.get("n") or 0)
 
 
+@contextmanager
+def modest_broadcasts(spark: SparkSession, most: str = "1m") -> Iterator[None]:
+    """Lower the size up to which joins send a table through the driver: iterations run many joins, whose tables the driver would hold together."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Rounds:
     """Tables of one schema, written one after the other by an iteration, that can be read as one."""
 
