@@ -1,6 +1,6 @@
 """JPEG frames with Huffman coding: sequential (8 and 12 bits) and lossless, in Python and numpy.
 
-Entropy decoding goes bit by bit and is slow, about a second for a quarter of a million samples; everything behind it is
+Entropy decoding goes bit by bit in Python and is slow; everything behind it is
 vectorised.  Progressive, hierarchical and arithmetic coding are not read.
 """
 
