@@ -9,6 +9,7 @@ either join a person only if exactly one person fits best, because different peo
 The forms are joined from the telling to the common: dated ones, then full names, and only for rows that no person's full name fits,
 surname and initial.  What such a common form could find beside a better one would never count, so nothing is lost, and a surname
 that many people share is not joined with itself.  Equal spellings are one node, so that copies don't multiply.
+Steps write their tables and none is broadcast: however many joins there are, the driver holds the plan of one step and no rows.
 
 Defined results: null or blank names link to nothing; equal names without a birth date are linked only if no two persons
 of that name are told apart by birth dates; repeated rows of an id count once.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.session import cut, cut_counted
+from lumenframe.session import cut, cut_counted, modest_broadcasts
 
 # Familiar forms of given names; some stand for several names.
 NICKNAMES = {
@@ -155,20 +156,26 @@ def _word(*parts: Column | str) -> Column:
     return F.concat_ws("|", *parts)
 
 
+def noded(ids: DataFrame) -> DataFrame:
+    """Nodes with the first name their surname (``f``) and all names their given name (``gs``) may stand for, and whether nothing is missing."""
+    complete = (F.col("birth") != "") & (F.col("s") != "") & (F.length("g") > 1)
+    return ids.select("node", "s", "g", "m", "birth", "sex", F.get(_fulls(F.col("s")), F.lit(0)).alias("f"), _fulls(F.col("g")).alias("gs"), complete.alias("strong"))
+
+
 def dated_forms(nodes: DataFrame) -> DataFrame:
     """(node, form) with a birth date, of every rewriting."""
     first = F.substring("g", 1, 1)
     ends = [_word(F.lit("a"), "birth", F.substring("s", 1, 4), first), _word(F.lit("z"), "birth", F.substring("s", -4, 4), first)]
     # Parts in either order.
     crossed = [_word(F.lit(k), "birth", F.least(F.substring("s", at, 3), F.substring("g", at, 3)), F.greatest(F.substring("s", at, 3), F.substring("g", at, 3))) for k, at in (("p", 1), ("q", -3))]
-    each = nodes.where("birth != '' and s != ''").select("node", "s", "birth", F.explode(F.array_distinct(F.concat(F.array("g"), _fulls(F.col("g"))))).alias("g"))
+    each = nodes.where("birth != '' and s != ''").select("node", "s", "birth", F.explode(F.array_distinct(F.concat(F.array("g"), "gs"))).alias("g"))
     ends = F.concat(F.array(*ends), F.when(F.length("g") > 1, F.array(*crossed)).otherwise(F.array().cast("array<string>")))
     return each.select("node", F.explode(F.concat(F.transform(_shorter("s"), lambda v: _word(F.lit("s"), "birth", v)), ends)).alias("form")).distinct()
 
 
 def full_forms(nodes: DataFrame) -> DataFrame:
     """(node, form) of surname, also with a letter left out, and full given name."""
-    each = nodes.where("s != '' and length(g) > 1").select("node", "s", F.explode(F.array_distinct(F.concat(F.array("g"), _fulls(F.col("g"))))).alias("g"))
+    each = nodes.where("s != '' and length(g) > 1").select("node", "s", F.explode(F.array_distinct(F.concat(F.array("g"), "gs"))).alias("g"))
     return each.select("node", F.explode(F.transform(_shorter("s"), lambda v: _word(F.lit("n"), v, "g"))).alias("form"))
 
 
@@ -201,9 +208,8 @@ def shared(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def judged(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b, n) that agree, with ``tier``, ``kg`` and ``dated``; higher tiers are better."""
-    nodes = nodes.withColumn("f", F.get(_fulls(F.col("s")), F.lit(0))).withColumn("gs", _fulls(F.col("g")))
-    side = lambda p: nodes.select(*[F.col(c).alias(p if c == "node" else f"{p}_{c}") for c in ("node", "s", "g", "m", "birth", "sex", "f", "gs")])
+    """The ``pairs`` (a, b, n) that agree, with ``tier``, ``kg``, ``dated`` and whether either node is strong; higher tiers are better."""
+    side = lambda p: nodes.select(*[F.col(c).alias(p if c == "node" else f"{p}_{c}") for c in ("node", "s", "g", "m", "birth", "sex", "f", "gs", "strong")])
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     # A surname may be further off where birth date and given name are equal.
     least = F.least(F.length("a_s"), F.length("b_s"))
@@ -218,12 +224,13 @@ def judged(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     undated_pair = (F.col("a_birth") == "") | (F.col("b_birth") == "")
     fine = (F.col("ks") >= 2) & (F.col("kg") >= 1) & (dated_pair | (undated_pair & same_sex & (F.col("km") >= 1) & ((F.col("ks") + F.col("kg") >= 5) | ((F.col("ks") == 3) & (F.col("kg") == 1)))))
     tier = F.col("kg") * 100 + F.col("ks") * 10 + F.col("km") + dated_pair.cast("int") * 1000
-    return full.where(fine).select("a", "b", tier.alias("tier"), "n", "kg", dated_pair.alias("dated"))
+    return full.where(fine).select("a", "b", tier.alias("tier"), "n", "kg", dated_pair.alias("dated"), "a_strong", "b_strong")
 
 
 def components(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(node, person): the smallest node reachable; labels spread along edges and through the label they reached, in few rounds."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(edges.select(F.inline(ways)).distinct())
     label = cut(ids.select("node", F.col("node").alias("person")))
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "person"), "b").groupBy(F.col("a").alias("node")).agg(F.min("person").alias("near"))
@@ -237,44 +244,45 @@ def components(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 def link(names: DataFrame) -> DataFrame:
     """(name_id, person) of every row with a name; person is the smallest node of the rows linked."""
-    rows = turned(rewritten(names))
+    with modest_broadcasts(names.sparkSession, "-1"):
+        return cut(_linked(names))
+
+
+def _linked(names: DataFrame) -> DataFrame:
     key = ["s", "g", "m", "birth", "sex"]
-    rows = rows.groupBy("name_id").agg(F.min(F.struct(*key)).alias("v")).select("name_id", "v.*")
-    ids = rows.groupBy(*key).agg(F.min("name_id").alias("node"))
-    rows = cut(rows.join(ids, key).select("name_id", "node"))
-    nodes = cut(ids)
-    strong = nodes.where("birth != '' and s != '' and length(g) > 1")
-    weak = nodes.join(strong.select("node"), "node", "left_anti")
+    rows = turned(cut(rewritten(names)))
+    rows = cut(rows.groupBy("name_id").agg(F.min(F.struct(*key)).alias("v")).select("name_id", "v.*"))
+    nodes = cut(noded(rows.groupBy(*key).agg(F.min("name_id").alias("node"))))
+    strong, weak = nodes.where("strong"), nodes.where("not strong")
     named = lambda df, c: df.select(F.col("node").alias(c))
 
     # Dated forms make the persons.
     dated = cut(dated_forms(nodes))
     with_date = cut(judged(shared(dated, dated).where("a < b"), nodes))
-    sure = with_date.where("dated and kg >= 2").join(named(strong, "a"), "a", "left_semi").join(named(strong, "b"), "b", "left_semi")
-    persons = components(sure, strong.select("node"))
+    persons = components(with_date.where("dated and kg >= 2 and a_strong and b_strong"), strong.select("node"))
 
     # Rows without a birth date meet all others over full names, then those that no person fits over initials.
     missing = nodes.where("birth = ''")
-    everyone = full_forms(nodes)
-    by_name = cut(judged(shared(full_forms(missing), everyone), nodes))
-    open_ = missing.join(by_name.join(named(strong, "b"), "b", "left_semi").select(F.col("a").alias("node")), "node", "left_anti")
-    by_initial = judged(shared(initial_forms(open_), initial_forms(strong)), nodes)
+    by_name = cut(judged(shared(full_forms(missing), full_forms(nodes)), nodes))
+    open_ = cut(missing.join(by_name.where("b_strong").select(F.col("a").alias("node")), "node", "left_anti"))
+    by_initial = cut(judged(shared(initial_forms(open_), initial_forms(strong)), nodes))
     # A row that lacks something joins the person that fits best, among equals the one with the rarest shared form, if that is one.
-    turned_round = with_date.select(F.col("b").alias("a"), F.col("a").alias("b"), "tier", "n", "kg", "dated")
-    ways = with_date.union(turned_round).union(by_name).union(by_initial).select(F.col("a").alias("node"), F.col("b").alias("other"), "tier", "n").join(weak.select("node"), "node", "left_semi")
+    turned_round = with_date.select(F.col("b").alias("a"), F.col("a").alias("b"), "tier", "n", "kg", "dated", F.col("b_strong").alias("a_strong"), F.col("a_strong").alias("b_strong"))
+    ways = with_date.union(turned_round).union(by_name).union(by_initial).where("not a_strong and b_strong").select(F.col("a").alias("node"), F.col("b").alias("other"), "tier", "n")
     near = ways.join(persons.withColumnRenamed("node", "other"), "other").groupBy("node", "person").agg(F.max(F.struct("tier", -F.col("n"))).alias("fit"))
-    top = near.groupBy("node").agg(F.max("fit").alias("top"))
-    best = cut(near.join(top, "node").where("fit = top").groupBy("node").agg(F.count("*").alias("k"), F.min("person").alias("person")))
+    equals = near.groupBy("node", "fit").agg(F.count("*").alias("k"), F.min("person").alias("person"))
+    best = cut(equals.groupBy("node").agg(F.max_by(F.struct("k", "person"), "fit").alias("top")).select("node", "top.*"))
     joined = best.where("k = 1").select("node", "person")
 
     # What fits no person at all is linked among itself, to equals only.
     rest = cut(weak.join(best, "node", "left_anti"))
     left = initial_forms(rest.where("length(g) > 1"))
-    by_initial = judged(shared(left, left).where("a < b"), rest)
-    among = with_date.union(by_name).union(by_initial).where("(dated and kg >= 1) or kg >= 2").join(named(rest, "a"), "a", "left_semi").join(named(rest, "b"), "b", "left_semi")
+    alike = cut(judged(shared(left, left).where("a < b"), rest))
+    among = with_date.union(by_name).union(alike).where("(dated and kg >= 1) or kg >= 2").join(named(rest, "a"), "a", "left_semi").join(named(rest, "b"), "b", "left_semi")
     others = components(among, rest.select("node"))
     alone = best.where("k > 1").select("node", F.col("node").alias("person"))
-    return rows.join(persons.union(joined).union(others).union(alone), "node").select("name_id", "person")
+    ids = rows.join(nodes.select("node", *key), key).select("name_id", "node")
+    return ids.join(persons.union(joined).union(others).union(alone), "node").select("name_id", "person")
 
 
 def pairs(linked: DataFrame) -> DataFrame:

@@ -34,12 +34,12 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return names.pairs(cut(names.link(table(spark, d, "person_names"))))
+    return names.pairs(names.link(table(spark, d, "person_names")))
 
 
 def p3_persons(spark: SparkSession, d: str) -> DataFrame:
     """One row per typed name with its person and the number of rows of that person."""
-    linked = cut(names.link(table(spark, d, "person_names")))
+    linked = names.link(table(spark, d, "person_names"))
     return linked.join(linked.groupBy("person").agg(F.count("*").alias("n_rows")), "person").select("name_id", "person", "n_rows")
 
 

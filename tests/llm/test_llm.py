@@ -132,6 +132,22 @@ def test_rarest_shared_form_tells_persons_apart_that_fit_alike(spark):
     assert _link(spark, rows) == {(0, 1)}  # CARTER is shared by two spellings, CARER by three
 
 
+def test_linking_rewrites_names_once_and_broadcasts_nothing(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    names = [("Carter", "Anna", None, "19300101", "F"), ("Carter", "Anna", None, None, "F"), ("Yorlenbach", "Tibor", None, None, "M"), ("yorlenbach", "TIBOR", None, None, "M")]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert _link(spark, names) == {(0, 1), (2, 3)}
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == threshold
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    ran = [x for x in (store.executionsList().apply(i) for i in range(store.executionsList().size())) if x.executionId() not in before]
+    writes = [x.physicalPlanDescription() for x in ran if "InsertIntoHadoopFsRelationCommand" in x.physicalPlanDescription()]  # the tables that linking writes
+    assert writes
+    assert sum("MapInArrow" in p for p in writes) == 1
+    assert not any("BroadcastExchange" in p for p in writes)
+
+
 # -- wrong decoding ---------------------------------------------------------------------------------------------
 
 SOUND = ["Die Prüfung für Müller ist später in der Bäckerei.", "Le café a été fermé après l'été à Montréal.", "Mañana habrá más información según la compañía.", "Больница города и садовая стоянка после операции.", "図書室は少し古いです。申込書を返送してください。", "Wątroba powiększona, złamanie łokcia, Łódź.", "plain words only", "SÃO VALDOR revisión", "It’s no secret – “we never thought”"]
